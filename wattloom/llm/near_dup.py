@@ -9,10 +9,11 @@ whatever the corpus size; frequencies are exact counts over all documents.
 
 ICWS gives HASHES samples a text; two texts agree in each with probability equal to
 their weighted Jaccard similarity. BANDS bands of ROWS samples are bucket keys. In a
-bucket all others are compared with one leader, buckets whose texts are then all in one
-class are done, and the rest go on with another leader (small ones with all their
-pairs), until every candidate pair is compared or already in one class. Every
-comparison is the exact weighted Jaccard similarity of whole texts.
+bucket all others are compared with one leader; a bucket whose texts are then all in one
+class is done. Buckets that stay divided go on with other leaders while that pays, and
+then compare all their pairs of different classes, except those whose samples agree so
+rarely that the pair cannot be similar (see AGREE). Every link is an exact weighted
+Jaccard similarity of whole texts.
 """
 
 from __future__ import annotations
@@ -36,8 +37,11 @@ COMMON = 0.01
 BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
 STEP = 8
-#: Buckets of at most so many texts that are still divided are compared pair by pair.
-SMALL = 32
+#: Of HASHES samples, two texts at the threshold 0.8 agree in fewer than this with a
+#: probability below 1e-6 (binomial): such pairs of a divided bucket are not compared.
+AGREE = 35
+#: Leaders' rounds end when the pairs left are this many for each bucket entry.
+PAIRS_PER_ENTRY = 4
 _POOL = 12
 _U = np.uint64
 
@@ -136,14 +140,15 @@ def _keys(r, c, beta, log_weight):
     return (ordered << _U(32)) | (tx.mix(t.astype(np.int64).view(np.uint64)) >> _U(32))
 
 
-def signatures(texts: list[str], idf) -> np.ndarray:
-    """Bucket keys, one row per text, one column per band; 0 where a text has no word."""
+def signatures(texts: list[str], idf) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys, one row per text, one column per band, and the samples; 0 where a text has no word."""
     r, c, beta, odd, table = _variates()
     h, weight, bounds = weighted_shingles(texts, idf)
     out = np.zeros((len(texts), BANDS), np.uint64)
+    samples = np.zeros((len(texts), HASHES), np.uint32)
     some = np.flatnonzero(np.diff(bounds))
     if not len(some):
-        return out.view(np.int64)
+        return out.view(np.int64), samples.view(np.int32)
     at = bounds[some]
     h = tx.mix(h)
     plain = weight <= 2 * STEP
@@ -158,11 +163,13 @@ def signatures(texts: list[str], idf) -> np.ndarray:
             e = entry[more].view(np.int64)
             key[more] = _keys(r[k, e], c[k, e], beta[k, e], log_more)
         key ^= (h * odd[1, k]) >> _U(32)
-        band = tx.mix(band * _U(0xD1342543DE82EF95) + np.minimum.reduceat(key, at) % _U(1 << 32))
+        sample = np.minimum.reduceat(key, at) % _U(1 << 32)
+        samples[some, k] = sample
+        band = tx.mix(band * _U(0xD1342543DE82EF95) + sample)
         if k % ROWS == ROWS - 1:
             out[some, k // ROWS] = tx.mix(band + _U(k))
             band = np.zeros(len(some), np.uint64)
-    return out.view(np.int64)
+    return out.view(np.int64), samples.view(np.int32)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -180,12 +187,13 @@ def _sketch(docs: DataFrame, idf) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in tx.chunks(texts):
-                keys = signatures(texts[lo:hi], idf)
+                keys, samples = signatures(texts[lo:hi], idf)
                 digests = [hashlib.md5(t.encode()).digest() for t in texts[lo:hi]]
                 rows = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digests, pa.binary()), rows], names=["doc_id", "digest", "keys"])
+                marks = pa.FixedSizeListArray.from_arrays(pa.array(samples.ravel()), HASHES).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digests, pa.binary()), rows, marks], names=["doc_id", "digest", "keys", "samples"])
 
-    return docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+    return docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, keys array<long>, samples array<int>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
@@ -224,50 +232,56 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     ship(spark)
     idf = idf_table(docs)
     sketch = cut(_sketch(docs, idf))
-    reps = cut(sketch.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
+    reps = cut(sketch.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("samples").alias("samples")))
     entries = reps.where("node is not null").select("node", F.posexplode("keys").alias("band", "key")).where("key <> 0").select("node", F.xxhash64("band", "key").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
     shared = cut(shared)
     entries = cut(entries.join(shared.select("key"), "key"))
     labels = spark.createDataFrame([], "node long, label long")
     if not shared.isEmpty():
-        labels = _classes(docs, entries, shared, idf, threshold)
+        labels = _classes(docs, reps, entries, shared, idf, threshold)
     classes = cut(reps.select("digest", F.col("node")).join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id")))
     out = sketch.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
     alone = docs.where("text is null").select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long").alias("class_id"))
     return out.unionByName(alone).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def _classes(docs: DataFrame, entries: DataFrame, leaders: DataFrame, idf, threshold: float) -> DataFrame:
+def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, leaders: DataFrame, idf, threshold: float) -> DataFrame:
     nodes = entries.select("node").distinct()
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node")
     texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")))
-    pairs = cut(entries.join(leaders, "key").select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
+    pairs = entries.join(leaders, "key").select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     links = tested = None
-    while True:
-        tested = pairs if tested is None else tested.union(pairs)
-        found = cut(_verify(pairs, texts, idf, threshold))
-        links = found if links is None else links.union(found)
+    before, last = math.inf, False
+    for turn in range(1, 1 << 30):
+        pairs = cut(pairs)
+        tested = pairs if tested is None else cut(tested.union(pairs))
+        found = _verify(pairs, texts, idf, threshold)
+        links = cut(found if links is None else links.union(found))
         labels = components(links)
-        labelled = entries.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        # leaders have been compared with all of their bucket
-        labelled = cut(labelled.join(leaders.withColumnRenamed("low", "node"), ["key", "node"], "left_anti"))
-        divided = cut(labelled.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.min("node").alias("low"), F.count("*").alias("n")).where("one <> other"))
-        if divided.isEmpty():
+        if last:
             return labels
-        left = cut(labelled.join(divided, "key"))
-        small = left.where(F.col("n") <= SMALL)
-        x = small.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-        y = small.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-        every = x.join(y, "key").where("a < b and la <> lb").select("a", "b")
-        large = left.where((F.col("n") > SMALL) & (F.col("node") != F.col("low")))
-        lead = left.where(F.col("node") == F.col("low")).select("key", F.col("label").alias("of"))
-        ahead = large.join(lead, "key").where("label <> of").select(F.col("low").alias("a"), F.col("node").alias("b"))
-        pairs = cut(every.union(ahead).distinct().join(tested, ["a", "b"], "left_anti"))
-        entries = left.where(F.col("n") > SMALL).where(F.col("node") != F.col("low")).select("key", "node")
-        leaders = entries.groupBy("key").agg(F.min("node").alias("low")).limit(0)
-        if pairs.isEmpty() and entries.isEmpty():
+        labelled = entries.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        kinds = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+        divided = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square"), F.count("*").alias("kinds"))
+        divided = cut(divided.where("kinds > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("square")) / 2).alias("pairs")))
+        rows, left = divided.agg(F.sum("n"), F.sum("pairs")).first()
+        if not left:
             return labels
+        entries = cut(labelled.join(divided.select("key"), "key"))
+        last = left <= PAIRS_PER_ENTRY * rows or left > 0.5 * before
+        before = left
+        if last:
+            marked = entries.join(reps.select("node", "samples"), "node")
+            x = marked.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("samples").alias("sa"))
+            y = marked.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("samples").alias("sb"))
+            agree = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
+            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (agree >= AGREE)).select("a", "b")
+        else:
+            lead = entries.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("lead"))
+            pairs = entries.join(lead, "key").where("label <> lead.label").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
+    raise AssertionError
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
