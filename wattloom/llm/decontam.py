@@ -5,8 +5,9 @@ a string three times as long, so that a small edit distance becomes a small Hamm
 distance; sampled positions of it are an LSH key. Many walks and samples are repeated:
 their number is set from the items themselves, with edits up to the limit, so that the
 target recall is reached. Every window of an item's length in every document takes part.
-Before its walk a window must hold enough words of items of that length: an item within
-the limit shares at least (length - edits) words with it, so this count loses nothing.
+Before its walk a window must hold enough word pairs of the items: an edit breaks at most
+two pairs, so the count of pairs (one for a run of equal ones, less one for a run cut by
+the window's start) that an item within the limit must share loses nothing.
 Candidates are verified by exact edit distance of the item to the best span there.
 
 A document is worked on in one task and nothing is shuffled. The benchmark is sent to
@@ -16,6 +17,7 @@ tasks in blocks of at most BLOCK_CHARS characters, one pass over the documents e
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from wattloom.session import cut, ship
 #: Edits allowed, as a share of the item's words.
 MAX_EDITS = 0.2
 #: Sampled positions of an LSH key, target recall at the edit limit, most repetitions.
-SAMPLE, RECALL, MOST = 3, 0.98, 128
+SAMPLE, RECALL, MOST = 3, 0.98, 64
 BLOCK_CHARS = 8_000_000
 _BITS = 22
 _U = np.uint64
@@ -67,10 +69,14 @@ def _distances(item: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndar
     return cost[np.arange(len(spans)), end], end
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return tx.mix(a * _U(0xD1342543DE82EF95) + b)
+
+
 class Matcher:
     """The items of one block, with their LSH tables by length."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], repeats: int = 0):
         _, _, _, h, first = tx.words([t or "" for _, t in items])
         self.items = [(k, h[a:b]) for (k, _), a, b in zip(items, first[:-1], first[1:]) if b > a]
         self.lengths: dict[int, list[int]] = {}
@@ -78,9 +84,11 @@ class Matcher:
             self.lengths.setdefault(len(w), []).append(i)
         self.known = np.zeros(1 << _BITS, bool)
         for _, w in self.items:
-            self.known[w >> _U(64 - _BITS)] = True
-        self.vocabulary = {n: np.unique(np.concatenate([self.items[i][1] for i in ids])) for n, ids in self.lengths.items()}
-        self.repeats = self._repetitions()
+            self.known[_pair(w[:-1], w[1:]) >> _U(64 - _BITS)] = True
+        runs = lambda w: int((_pair(w[1:-1], w[2:]) == _pair(w[:-2], w[1:-1])).sum()) if len(w) > 2 else 0
+        self.need = {n: min(n - 1 - runs(self.items[i][1]) for i in ids) - 2 * int(MAX_EDITS * n) - 1 for n, ids in self.lengths.items()}
+        self.pairs = {n: np.unique(np.concatenate([_pair(self.items[i][1][:-1], self.items[i][1][1:]) for i in ids])) for n, ids in self.lengths.items()}
+        self.repeats = repeats or self._repetitions()
         self.tables = {n: self._table(ids) for n, ids in self.lengths.items()}
 
     def _table(self, ids: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -95,19 +103,19 @@ class Matcher:
     def _repetitions(self) -> int:
         """Walks needed for the target recall, from items edited up to the limit."""
         rng = np.random.Generator(np.random.PCG64(11))
-        missed = np.ones((0, MOST), bool)
-        for _, w in self.items[:: max(1, len(self.items) // 100)]:
-            edits = int(MAX_EDITS * len(w))
+        pairs: dict[int, list] = {}
+        for _, w in [x for x in self.items[:: max(1, len(self.items) // 12)] for _ in range(16)]:
             words = w.tolist()
-            for _ in range(edits):
+            for _ in range(int(MAX_EDITS * len(w))):
                 at, kind = int(rng.integers(len(words))), int(rng.integers(3))
                 new = int(rng.integers(1, 1 << 63))
                 words[at : at + (kind != 1)] = [new] if kind != 2 else []
                 words = words or [new]
-            edited = np.array((words + [0] * len(w))[: len(w)], np.uint64)
-            pair = np.stack((w, edited))
-            keys = np.stack([_walk(pair, r) for r in range(MOST)], 1)
-            missed = np.concatenate((missed, (keys[0] != keys[1])[None]))
+            pairs.setdefault(len(w), []).append((w, np.array((words + [0] * len(w))[: len(w)], np.uint64)))
+        missed = np.ones((0, MOST), bool)
+        for both in pairs.values():
+            one, other = (np.stack(x) for x in zip(*both))
+            missed = np.concatenate((missed, np.stack([_walk(one, r) != _walk(other, r) for r in range(MOST)], 1)))
         if not len(missed):
             return 1
         rate = np.minimum((missed.sum(1) + 0.5) / (MOST + 1), 0.995)
@@ -121,9 +129,12 @@ class Matcher:
         _, _, _, h, first = tx.words(texts)
         if not len(h):
             return []
-        hit = self.known[h >> _U(64 - _BITS)]
-        total = np.concatenate((np.zeros(1, np.int32), np.cumsum(hit, dtype=np.int32)))
         owner = np.repeat(np.arange(len(texts)), np.diff(first))
+        pair = _pair(h[:-1], h[1:])
+        hit = self.known[pair >> _U(64 - _BITS)] & (owner[:-1] == owner[1:])
+        hit[1:] &= pair[1:] != pair[:-1]
+        total = np.concatenate((np.zeros(1, np.int32), np.cumsum(hit, dtype=np.int32)))
+        hits = np.flatnonzero(hit)
         stop = first[1:][owner]
         here = np.arange(len(h))
         h = np.concatenate((h, np.zeros(1, np.uint64)))
@@ -131,15 +142,17 @@ class Matcher:
         for length, ids in self.lengths.items():
             edits = int(MAX_EDITS * length)
             end = np.minimum(here + length, stop)
-            at = np.flatnonzero(total[end] - total[:-1] >= length - edits)
+            at = np.flatnonzero((total[end - 1] - total[here] >= self.need[length]) & (end - here >= length - edits))
             if not len(at):
                 continue
-            grid = at[:, None] + np.arange(length)
-            windows = np.where(grid < stop[at][:, None], h[np.minimum(grid, len(h) - 1)], _U(0))
-            enough = np.isin(windows, self.vocabulary[length]).sum(1) >= length - edits
-            at, windows = at[enough], windows[enough]
+            own = np.zeros(len(total), np.int32)  # the same count with pairs of items of this length alone
+            own[hits[np.isin(pair[hits], self.pairs[length])] + 1] = 1
+            np.cumsum(own, out=own)
+            at = at[own[end[at] - 1] - own[at] >= self.need[length]]
             if not len(at):
                 continue
+            grid = at[:, None] + np.arange(length)
+            windows = np.where(grid < stop[at][:, None], h[np.minimum(grid, len(h) - 1)], _U(0))
             # equal windows, as in texts that repeat themselves, are searched once
             mark = tx.mix(windows.copy() * np.arange(1, 2 * length, 2, dtype=np.uint64)).sum(1)
             _, once, same = np.unique(mark, return_index=True, return_inverse=True)
@@ -166,9 +179,9 @@ class Matcher:
                     d, e = _distances(self.items[i][1], spans[lo : lo + 4096])
                     for s, b, x, y in zip(start[lo:].tolist(), begin[lo:].tolist(), d.tolist(), e.tolist()):
                         if x <= edits:
-                            pair, text = (int(owner[s]), i), int(owner[s])
+                            place, text = (int(owner[s]), i), int(owner[s])
                             value = (x, b + max(0, y - length) - int(first[text]), length)
-                            best[pair] = min(best.get(pair, value), value)
+                            best[place] = min(best.get(place, value), value)
         return [(text, self.items[i][0], *v) for (text, i), v in sorted(best.items())]
 
 
@@ -195,13 +208,13 @@ _matchers: dict[int, Matcher] = {}
 
 
 def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+    sent = docs.sparkSession.sparkContext.broadcast((items, Matcher(items).repeats))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = hash(tuple(i for i, _ in sent.value)) ^ len(sent.value) ^ hash(tuple(len(t) for _, t in sent.value))
+        mark = zlib.crc32(repr(sent.value).encode())
         if mark not in _matchers:
             _matchers.clear()
-            _matchers[mark] = Matcher(sent.value)
+            _matchers[mark] = Matcher(*sent.value)
         match = _matchers[mark]
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]

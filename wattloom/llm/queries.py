@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm import near_dup, packing, quality
+from wattloom.llm import chat, decontam, html_extract, near_dup, packing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,18 +22,43 @@ def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op4_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_divergence_rules": op1_divergence_rules,
+    "op2_cgk_decontamination": op2_cgk_decontamination,
     "op3_best_two_fit": op3_best_two_fit,
+    "op4_block_rules": op4_block_rules,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_toxic_segments": op6_toxic_segments,
+    "op7_warc_salvage": op7_warc_salvage,
+    "op10_prefix_targets": op10_prefix_targets,
 }
 
 ORACLE: dict[str, str] = {"op1_divergence_rules": quality.oracle_sql()}
