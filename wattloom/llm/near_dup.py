@@ -10,8 +10,9 @@ whatever the corpus size; frequencies are exact counts over all documents.
 ICWS gives HASHES samples a text; two texts agree in each with probability equal to
 their weighted Jaccard similarity. BANDS bands of ROWS samples are bucket keys. In a
 bucket all others are compared with one leader; a bucket whose texts are then all in one
-class is done. Buckets that stay divided go on with other leaders while that pays, and
-then compare all their pairs of different classes, except those whose samples agree so
+class is done. Buckets that stay divided go on with the text of most links as leader while
+that pays. What is left is compared in blocks of BLOCK texts against BLOCK, inside tasks
+that put out links alone: pairs of different classes, except those whose samples agree so
 rarely that the pair cannot be similar (see AGREE). Every link is an exact weighted
 Jaccard similarity of whole texts.
 """
@@ -40,8 +41,10 @@ STEP = 8
 #: Of HASHES samples, two texts at the threshold 0.8 agree in fewer than this with a
 #: probability below 1e-6 (binomial): such pairs of a divided bucket are not compared.
 AGREE = 35
-#: Leaders' rounds end when the pairs left are this many for each bucket entry.
+#: Leaders' rounds end when the pairs left are this many for each bucket entry, or fell by
+#: less than a fifth.
 PAIRS_PER_ENTRY = 4
+BLOCK = 256
 _POOL = 12
 _U = np.uint64
 
@@ -233,7 +236,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     idf = idf_table(docs)
     sketch = cut(_sketch(docs, idf))
     reps = cut(sketch.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("samples").alias("samples")))
-    entries = reps.where("node is not null").select("node", F.posexplode("keys").alias("band", "key")).where("key <> 0").select("node", F.xxhash64("band", "key").alias("key"))
+    entries = reps.where("node is not null").select("node", F.posexplode("keys").alias("band", "key")).where("key <> 0").select("node", "band", F.xxhash64("band", "key").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
     shared = cut(shared)
     entries = cut(entries.join(shared.select("key"), "key"))
@@ -251,37 +254,71 @@ def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, leaders: Data
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node")
     texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")))
     pairs = entries.join(leaders, "key").select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    links = tested = None
-    before, last = math.inf, False
-    for turn in range(1, 1 << 30):
-        pairs = cut(pairs)
-        tested = pairs if tested is None else cut(tested.union(pairs))
-        found = _verify(pairs, texts, idf, threshold)
+    links = None
+    before = math.inf
+    while True:
+        found = _verify(cut(pairs), texts, idf, threshold)
         links = cut(found if links is None else links.union(found))
         labels = components(links)
-        if last:
-            return labels
-        labelled = entries.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        labelled = entries.select("key", "band", "node").join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
         kinds = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
         divided = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square"), F.count("*").alias("kinds"))
         divided = cut(divided.where("kinds > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("square")) / 2).alias("pairs")))
         rows, left = divided.agg(F.sum("n"), F.sum("pairs")).first()
         if not left:
             return labels
-        entries = cut(labelled.join(divided.select("key"), "key"))
-        last = left <= PAIRS_PER_ENTRY * rows or left > 0.5 * before
+        entries = cut(labelled.join(divided.select("key", "n"), "key"))
+        if left <= PAIRS_PER_ENTRY * rows or left > 0.8 * before:
+            return components(links.union(_compare_blocks(entries, reps, texts, idf, threshold)))
         before = left
-        if last:
-            marked = entries.join(reps.select("node", "samples"), "node")
-            x = marked.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("samples").alias("sa"))
-            y = marked.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("samples").alias("sb"))
-            agree = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
-            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (agree >= AGREE)).select("a", "b")
-        else:
-            lead = entries.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("lead"))
-            pairs = entries.join(lead, "key").where("label <> lead.label").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-    raise AssertionError
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        ranked = entries.join(degree, "node", "left").select("key", "node", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
+        lead = ranked.groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("lead"))
+        ahead = entries.join(lead, "key").where("label <> lead.label")
+        pairs = ahead.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+
+
+def _compare_blocks(entries: DataFrame, reps: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links between texts of different labels in one bucket: entries (key, band, node,
+    label, n). A pair that shares several buckets is compared in that of the first band."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, label, block = (np.array(table[c].to_pylist(), np.int64) for c in ("node", "label", "block"))
+        band = table["band"][0].as_py()
+        marks = np.array(table["samples"].to_pylist(), np.int32).reshape(-1, HASHES)
+        written = table["text"].to_pylist()
+        weighed = []
+        for lo, hi in tx.chunks(written):
+            h, w, at = weighted_shingles(written[lo:hi], idf)
+            weighed += [(h[at[i] : at[i + 1]], w[at[i] : at[i + 1]]) for i in range(hi - lo)]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        a, b = [], []
+        alone = block.min() == block.max()
+        for i in np.flatnonzero(block == block.min()).tolist():
+            others = np.flatnonzero((np.arange(len(node)) > i) if alone else (block != block[i]))
+            others = others[label[others] != label[i]]
+            same = marks[others] == marks[i]
+            new = (same.sum(1) >= AGREE) & ~same.reshape(-1, BANDS, ROWS).all(2)[:, :band].any(1)
+            for j in others[new].tolist():
+                x, y = root(int(label[i])), root(int(label[j]))
+                if x != y and similarity(weighed[i], weighed[j]) >= threshold:
+                    parent[x] = y
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = entries.withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    whole = own.join(reps.select("node", "samples"), "node").join(texts, "node")
+    groups = whole.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "band", "node", "label", "block", "samples", "text")
+    return groups.groupBy("key", "one", "two").applyInArrow(run, "a long, b long")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
