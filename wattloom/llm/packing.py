@@ -30,39 +30,46 @@ CELL = 20_000
 SEGMENT = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "lo", "hi", "first", "per", "at")])
 
 
-def split_tokens(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Pieces (doc_id, piece, start, length, ids_crc32[, ids]) of documents' token ids.
+def split_tokens(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, keyed: bool = False) -> DataFrame:
+    """Pieces (doc_id, piece, start, length, ids_crc32[, text_hash]) of documents' token ids.
 
     A document's ids are its text's ids and then end_id. Only a document longer than
     capacity is cut, into capacity-sized pieces, the last one maybe shorter. A null or
-    empty text has the one id end_id. Repeated rows give repeated pieces. ids holds
-    little-endian unsigned 32-bit ids."""
+    empty text has the one id end_id. Repeated rows give repeated pieces. The checksum is
+    of little-endian unsigned 32-bit ids; text_hash tells texts of one doc_id apart."""
     ship(docs.sparkSession)
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["text_hash"] * keyed]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", text_hash long" * keyed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            lo = 0
-            while lo < len(texts):
-                hi, total = lo, 0
-                while hi < len(texts) and (hi == lo or total + len(texts[hi]) <= 4_000_000):
-                    total += len(texts[hi])
-                    hi += 1
-                flat, off = tok.ids(texts[lo:hi])
+            keys = batch.column(0).to_pylist()
+            marks = batch.column(2).to_pylist() if keyed else keys
+            for at, flat, off in _encoded(path, batch.column(1).to_pylist()):
                 rows: list[tuple] = []
-                for key, a, b in zip(keys[lo:hi], off[:-1].tolist(), off[1:].tolist()):
+                for i, a, b in zip(range(at, len(keys)), off[:-1].tolist(), off[1:].tolist()):
                     ids = np.append(flat[a:b], np.int32(end_id)).astype("<u4")
                     for piece, s in enumerate(range(0, len(ids), capacity)):
-                        raw = ids[s : s + capacity].tobytes()
-                        rows.append((key, piece, s, len(raw) // 4, zlib.crc32(raw), raw)[: 5 + with_ids])
-                cols = list(zip(*rows))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
-                lo = hi
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+                        part = ids[s : s + capacity]
+                        rows.append((keys[i], piece, s, len(part), zlib.crc32(part.tobytes()), marks[i])[: len(names)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    columns = [F.col("doc_id").cast("long"), F.col("text"), *[F.xxhash64("text")] * keyed]
+    return docs.select(*columns).mapInArrow(run, schema)
+
+
+def _encoded(path: str, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts, bounded by characters: first text, flat ids, offsets."""
+    tok = tokenizer(path)
+    lo = 0
+    while lo < len(texts):
+        hi, total = lo, 0
+        while hi < len(texts) and (hi == lo or total + len(texts[hi] or "") <= 4_000_000):
+            total += len(texts[hi] or "")
+            hi += 1
+        yield lo, *tok.ids([t or "" for t in texts[lo:hi]])
+        lo = hi
 
 
 class _Plan:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm import chat, decontam, html_extract, near_dup, packing, quality, toxicity, warc
+from wattloom.llm import chat, decontam, html_extract, licenses, near_dup, packing, quality, token_output, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,14 @@ def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.summary(token_output.packed_sequences(table(spark, sf_dir, "documents"), word_bpe()))
+
+
 def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(table(spark, sf_dir, "conversations"))
 
@@ -58,6 +66,8 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_toxic_segments": op6_toxic_segments,
     "op7_warc_salvage": op7_warc_salvage,
+    "op8_patience_licenses": op8_patience_licenses,
+    "op9_packed_matrices": op9_packed_matrices,
     "op10_prefix_targets": op10_prefix_targets,
 }
 

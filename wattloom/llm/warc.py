@@ -176,8 +176,9 @@ def salvage(content: bytes) -> Iterator[dict]:
         if failure and not found:
             if gap_at is None:
                 gap_at, why = pos, failure
-            starts = [x for x in (content.find(_MEMBER, pos + 1), m.start() if (m := _VERSION.search(content, pos + 1)) else -1) if x >= 0]
-            pos = min(starts, default=len(content))
+            version = _VERSION.search(content, pos + 1)
+            starts = [content.find(_MEMBER, pos + 1), version.start() if version else -1]
+            pos = min((x for x in starts if x >= 0), default=len(content))
             continue
         if gap_at is not None:
             yield {"position": gap_at, "size": pos - gap_at, "gap": why}
