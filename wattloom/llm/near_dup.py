@@ -11,8 +11,8 @@ ICWS gives HASHES samples a text; two texts agree in each with probability equal
 their weighted Jaccard similarity. BANDS bands of ROWS samples are bucket keys. In a
 bucket all others are compared with one leader; a bucket whose texts are then all in one
 class is done. Buckets that stay divided go on with the text of most links as leader while
-that pays. What is left is compared in blocks of BLOCK texts against BLOCK, inside tasks
-that put out links alone: pairs of different classes, except those whose samples agree so
+that pays. What is left is compared pair by pair, in buckets of more than SMALL texts by
+blocks of BLOCK against BLOCK inside tasks that put out links alone: pairs of different classes, except those whose samples agree so
 rarely that the pair cannot be similar (see AGREE). Every link is an exact weighted
 Jaccard similarity of whole texts.
 """
@@ -44,7 +44,7 @@ AGREE = 35
 #: Leaders' rounds end when the pairs left are this many for each bucket entry, or fell by
 #: less than a fifth.
 PAIRS_PER_ENTRY = 4
-BLOCK = 256
+SMALL, BLOCK = 32, 512
 _POOL = 12
 _U = np.uint64
 
@@ -269,7 +269,9 @@ def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, leaders: Data
             return labels
         entries = cut(labelled.join(divided.select("key", "n"), "key"))
         if left <= PAIRS_PER_ENTRY * rows or left > 0.8 * before:
-            return components(links.union(_compare_blocks(entries, reps, texts, idf, threshold)))
+            few = _verify(cut(_small_pairs(entries.where(F.col("n") <= SMALL), reps).distinct()), texts, idf, threshold)
+            many = _compare_blocks(entries.where(F.col("n") > SMALL), reps, texts, idf, threshold)
+            return components(links.union(few).union(many))
         before = left
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         ranked = entries.join(degree, "node", "left").select("key", "node", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
@@ -278,6 +280,16 @@ def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, leaders: Data
         pairs = ahead.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
+def _small_pairs(entries: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels whose samples agree often enough; at most SMALL
+    partners for an entry."""
+    marked = entries.join(reps.select("node", "samples"), "node")
+    x = marked.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("samples").alias("sa"))
+    y = marked.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("samples").alias("sb"))
+    agree = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
+    return x.join(y, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (agree >= AGREE)).select("a", "b")
+
+
 def _compare_blocks(entries: DataFrame, reps: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """Links between texts of different labels in one bucket: entries (key, band, node,
     label, n). A pair that shares several buckets is compared in that of the first band."""
@@ -315,8 +327,8 @@ def _compare_blocks(entries: DataFrame, reps: DataFrame, texts: DataFrame, idf,
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = entries.withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     whole = own.join(reps.select("node", "samples"), "node").join(texts, "node")
+    whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     groups = whole.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "band", "node", "label", "block", "samples", "text")
     return groups.groupBy("key", "one", "two").applyInArrow(run, "a long, b long")
 
