@@ -16,3 +16,10 @@ def normal_tail(z: Column) -> Column:
     for c in reversed(b):
         poly = (poly + c) * t
     return F.exp(-z * z / 2) / F.lit(2.5066282746310002) * poly
+
+
+def safe_corr(a: str, b: str) -> Column:
+    """Pearson correlation of the pairs without a null; null where a side does not vary."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.functions.special import safe_corr
+
 Keys = Sequence[str]
 
 
@@ -49,7 +51,7 @@ def shape(df: DataFrame, x: str, keys: Keys, t: str, tie: str) -> DataFrame:
 def autocorrelation(df: DataFrame, x: str, ks: Sequence[int], keys: Keys, t: str, tie: str) -> DataFrame:
     w = Window.partitionBy(*keys, "seg").orderBy(t, tie)
     d = df.withColumns({f"_l{k}": F.lag(x, k).over(w) for k in ks})
-    return d.groupBy(*keys, "seg").agg(*[F.corr(x, f"_l{k}").alias(f"ac{k}") for k in ks])
+    return d.groupBy(*keys, "seg").agg(*[safe_corr(x, f"_l{k}").alias(f"ac{k}") for k in ks])
 
 
 def coupling(df: DataFrame, a: str, b: str, lags: int, keys: Keys, t: str, tie: str) -> DataFrame:
@@ -61,7 +63,7 @@ def coupling(df: DataFrame, a: str, b: str, lags: int, keys: Keys, t: str, tie:
     shift = lambda k: F.lag("_b", k).over(w) if k >= 0 else F.lead("_b", -k).over(w)
     d = d.withColumns({f"_s{k}": shift(k) for k in range(-lags, lags + 1)})
     products = [F.struct(F.round(F.abs(F.coalesce(F.sum(F.col("_a") * F.col(f"_s{k}")), F.lit(0.0))), 6).alias("v"), F.lit(-abs(k)).alias("near"), F.lit(k).alias("k")) for k in range(-lags, lags + 1)]
-    return d.groupBy(*keys, "seg").agg(F.corr(a, b).alias("corr"), F.array_max(F.array(*products))["k"].alias("lag"), F.count("*").alias("n"))
+    return d.groupBy(*keys, "seg").agg(safe_corr(a, b).alias("corr"), F.array_max(F.array(*products))["k"].alias("lag"), F.count("*").alias("n"))
 
 
 def spectrum(df: DataFrame, x: str, size: int, keys: Keys, t: str, tie: str) -> DataFrame:

@@ -65,8 +65,8 @@ def cumulative(df: DataFrame, label: str, score: str, by: Keys) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     c = score_counts(df, label, score, by)
-    c = c.withColumns({"tp": F.sum("pos").over(w), "n": F.sum("rows").over(w), "p": F.sum("pos").over(whole), "total": F.sum("rows").over(whole)})
-    return c.withColumn("fp", F.col("n") - F.col("tp"))
+    c = c.withColumns({"tp": F.sum("pos").over(w), "n_cut": F.sum("rows").over(w), "n_pos": F.sum("pos").over(whole), "n_all": F.sum("rows").over(whole)})
+    return c.withColumn("fp", F.col("n_cut") - F.col("tp"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: Keys) -> DataFrame:
@@ -74,20 +74,20 @@ def roc_auc(df: DataFrame, label: str, score: str, by: Keys) -> DataFrame:
     c = cumulative(df, label, score, by)
     neg = F.col("rows") - F.col("pos")
     good = F.sum(neg.cast("double") * (F.col("tp") - F.col("pos") / 2))
-    return c.groupBy(*by).agg((good / F.nullif(F.max("p").cast("double") * (F.max("total") - F.max("p")), F.lit(0.0))).alias("auc"))
+    return c.groupBy(*by).agg((good / F.nullif(F.max("n_pos").cast("double") * (F.max("n_all") - F.max("n_pos")), F.lit(0.0))).alias("auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str, by: Keys) -> DataFrame:
     c = cumulative(df, label, score, by)
-    return c.groupBy(*by).agg(F.sum(F.col("pos") / F.nullif(F.col("p"), F.lit(0)) * (F.col("tp") / F.col("n"))).alias("ap"))
+    return c.groupBy(*by).agg(F.sum(F.col("pos") / F.nullif(F.col("n_pos"), F.lit(0)) * (F.col("tp") / F.col("n_cut"))).alias("ap"))
 
 
 def best_f1_cut(df: DataFrame, label: str, score: str, by: Keys, largest: bool = False) -> DataFrame:
     """The cut of the best F1; of equals the smallest, or the largest, threshold."""
     c = cumulative(df, label, score, by)
-    f1 = F.round(2.0 * F.col("tp") / (F.col("n") + F.col("p")), 12)
+    f1 = F.round(2.0 * F.col("tp") / (F.col("n_cut") + F.col("n_pos")), 12)
     order = F.struct(f1, F.col(score) if largest else -F.col(score))
-    best = c.where("p > 0").groupBy(*by).agg(F.max_by(F.struct(F.col(score).alias("cut"), f1.alias("f1"), "tp", "fp"), order).alias("b"))
+    best = c.where("n_pos > 0").groupBy(*by).agg(F.max_by(F.struct(F.col(score).alias("cut"), f1.alias("f1"), "tp", "fp"), order).alias("b"))
     return best.select(*by, "b.*")
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.functions.special import normal_tail
+from wattloom.functions.special import normal_tail, safe_corr
 
 Keys = Sequence[str]
 
@@ -40,10 +40,10 @@ def rank_sum(df: DataFrame, x: str, label: str, by: Keys) -> DataFrame:
 
 
 def ks_two_sample(df: DataFrame, x: str, label: str, by: Keys) -> DataFrame:
-    v = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.sum(F.col(label)).alias("a"), F.sum(1 - F.col(label)).alias("b"))
+    v = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.sum(F.col(label)).alias("_one"), F.sum(1 - F.col(label)).alias("_two"))
     w = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(whole) - F.sum("b").over(w) / F.sum("b").over(whole))
+    gap = F.abs(F.sum("_one").over(w) / F.sum("_one").over(whole) - F.sum("_two").over(w) / F.sum("_two").over(whole))
     return v.withColumn("_g", gap).groupBy(*by).agg(F.max("_g").alias("ks"))
 
 
@@ -52,7 +52,7 @@ def spearman(df: DataFrame, a: str, b: str, by: Keys) -> DataFrame:
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ra = value_ranks(d, a, by).select(*by, a, F.col("rank").alias("_ra"))
     rb = value_ranks(d, b, by).select(*by, b, F.col("rank").alias("_rb"))
-    return d.join(ra, [*by, a]).join(rb, [*by, b]).groupBy(*by).agg(F.corr("_ra", "_rb").alias("rho"), F.corr(a, b).alias("r"), F.count("*").alias("n"))
+    return d.join(ra, [*by, a]).join(rb, [*by, b]).groupBy(*by).agg(safe_corr("_ra", "_rb").alias("rho"), safe_corr(a, b).alias("r"), F.count("*").alias("n"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str, by: Keys = ()) -> DataFrame:
@@ -101,10 +101,8 @@ def permutation_null(df: DataFrame, label: str, score: str, key: str, replicas:
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("replica"), F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003.0) < F.col("_p")
     on = F.when(F.col("replica") == 0, F.col(label) == 1).otherwise(drawn)
     each = d.groupBy(*by, "replica").agg((F.avg(F.when(on, F.col(score))) - F.avg(F.when(~on, F.col(score)))).alias("gap"))
-    seen = F.max(F.when(F.col("replica") == 0, F.abs("gap")))
     every = Window.partitionBy(*by)
     e = each.withColumn("_seen", F.max(F.when(F.col("replica") == 0, F.abs("gap"))).over(every))
-    del seen
     null = F.col("replica") > 0
     return e.groupBy(*by).agg(F.max("_seen").alias("gap"), F.percentile(F.when(null, F.abs("gap")), F.lit(0.95)).alias("null_p95"), F.avg(F.when(null, (F.abs("gap") >= F.col("_seen")).cast("int"))).alias("p"))
 

@@ -1 +1,466 @@
-"""Queries."""
+"""Metrics, policies, intervals and operator diagnosis on naive scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from wattloom.operators import diagnosis as dg, events as ev, intervals as iv, metrics as mt, policy as pl
+from wattloom.operators.features import over
+from wattloom.queries.base import K, S, SCORED, register, scored
+from wattloom.queries.meter import W, runs_sql
+
+BY = ["series_id", "fold"]
+QS = [0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]
+
+
+# ---- metrics
+@register("v1_forecast_metrics", "series_id fold:i n:i mae:f rmse:f nmae:f gain:f mae_peak:f e90:f e99:f e_max:f", SCORED + """, e_ as (select *, abs(y - score) e, abs(y - kw) en from scored)
+select series_id, fold, count(e) n, avg(e) mae, sqrt(avg(e * e)) rmse, avg(e) / nullif(avg(y), 0) nmae, 1 - avg(e) / nullif(avg(en), 0) gain, avg(e) filter (where peak = 1) mae_peak, quantile_cont(e, 0.9) e90, quantile_cont(e, 0.99) e99, max(e) e_max from e_ group by 1, 2""")
+def v1(spark, sf):
+    return mt.forecast_metrics(scored(spark, sf), "y", "score", "kw", "peak", BY)
+
+
+@register("v2_scale_free", "series_id mape:f smape:f mase:f r2:f", SCORED + """select series_id, 100 * avg(abs(y - score) / abs(y)) filter (where y <> 0) mape, 200 * avg(abs(y - score) / (abs(y) + abs(score))) filter (where abs(y) + abs(score) > 0) smape,
+ avg(abs(y - score)) / nullif(avg(abs(y - seasonal)), 0) mase, 1 - sum((y - score) * (y - score)) / nullif(var_pop(y) * count(y), 0) r2 from scored group by 1""")
+def v2(spark, sf):
+    return mt.scale_free(scored(spark, sf), "y", "score", "seasonal", K)
+
+
+CONF = """, c_ as (select series_id, fold, count(*) filter (where "label" = 1 and alert = 1) tp, count(*) filter (where "label" = 0 and alert = 1) fp, count(*) filter (where "label" = 1 and alert = 0) fn, count(*) filter (where "label" = 0 and alert = 0) tn from scored group by 1, 2)"""
+
+
+@register("v3_confusion", "series_id fold:i tp:i fp:i fn:i tn:i precision:f recall:f specificity:f balanced:f f1:f mcc:f accuracy:f", SCORED + CONF + """, r_ as (select *, coalesce(tp / nullif(tp + fp, 0), 0) "precision", coalesce(tp / nullif(tp + fn, 0), 0) recall, coalesce(tn / nullif(tn + fp, 0), 0) specificity from c_)
+select *, (recall + specificity) / 2 balanced, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) f1, coalesce((tp::double * tn - fp::double * fn) / nullif(sqrt((tp + fp)::double * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0) mcc, (tp + tn) / (tp + fp + fn + tn) accuracy from r_""")
+def v3(spark, sf):
+    return mt.class_metrics(scored(spark, sf), "label", "alert", BY)
+
+
+@register("v4_roc_auc", "series_id fold:i auc:f", SCORED + """, n_ as (select series_id, fold, sum("label") np, count(*) - sum("label") nq from scored group by 1, 2),
+r_ as (select *, rank() over (partition by series_id, fold order by score) + (count(*) over (partition by series_id, fold, score) - 1) / 2.0 r from scored)
+select r_.series_id, r_.fold, (sum(r) filter (where "label" = 1) - max(np) * (max(np) + 1) / 2.0) / nullif(max(np) * max(nq), 0) auc from r_ join n_ on n_.series_id = r_.series_id and n_.fold = r_.fold group by 1, 2""")
+def v4(spark, sf):
+    return mt.roc_auc(scored(spark, sf), "label", "score", BY)
+
+
+CUM = """, s_ as (select series_id, score, sum("label") pos, count(*) nr from scored group by 1, 2),
+u_ as (select *, sum(pos) over (partition by series_id order by score desc) tp, sum(nr) over (partition by series_id order by score desc) n, sum(pos) over (partition by series_id) p from s_)
+"""
+
+
+@register("v5_average_precision", "series_id ap:f", SCORED + CUM + "select series_id, sum(pos / nullif(p, 0) * (tp / n)) ap from u_ group by 1")
+def v5(spark, sf):
+    return mt.average_precision(scored(spark, sf), "label", "score", K)
+
+
+@register("v6_probability_scores", "series_id fold:i brier:f log_loss:f", SCORED + """select series_id, fold, avg((p - "label") * (p - "label")) brier, avg(-case when "label" = 1 then ln(least(greatest(p, 1e-6), 1 - 1e-6)) else ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)) end) log_loss from scored group by 1, 2""")
+def v6(spark, sf):
+    return mt.probability_scores(scored(spark, sf), "label", "p", BY)
+
+
+@register("v7_reliability_curve", "series_id bin:i n:i mean_p:f rate:f", SCORED + """select series_id, least(floor(p * 10), 9) bin, count(*) n, avg(p) mean_p, avg("label") rate from scored group by 1, 2""")
+def v7(spark, sf):
+    return mt.reliability_curve(scored(spark, sf), "label", "p", K)
+
+
+@register("v7_ece", "series_id ece:f", SCORED + """, b_ as (select series_id, least(floor(p * 10), 9) bin, count(*) n, avg(p) m, avg("label") r from scored group by 1, 2) select series_id, sum(n * abs(m - r)) / sum(n) ece from b_ group by 1""")
+def v7_ece(spark, sf):
+    return mt.ece(scored(spark, sf), "label", "p", K)
+
+
+for _name, _sign in (("v8_best_f1_smallest", ""), ("v8_best_f1_largest", " desc")):
+
+    @register(_name, "series_id cut:f f1:f tp:i fp:i", SCORED + CUM + f", f_ as (select *, round(2.0 * tp / (n + p), 12) f1 from u_ where p > 0), k_ as (select *, row_number() over (partition by series_id order by f1 desc, score{_sign}) rk from f_) select series_id, score cut, f1, tp, n - tp fp from k_ where rk = 1")
+    def v8(spark, sf, largest=bool(_sign)):
+        return mt.best_f1_cut(scored(spark, sf), "label", "score", K, largest)
+
+
+@register("v9_window_labels", "series_id exact:i within30:i within60:i", SCORED + f""", l_ as (select series_id, peak, lead(peak, 4) over ({W}) a, greatest(lead(peak, 1) over ({W}), lead(peak, 2) over ({W})) b, greatest(lead(peak, 1) over ({W}), lead(peak, 2) over ({W}), lead(peak, 3) over ({W}), lead(peak, 4) over ({W})) c from scored) select series_id, sum(a) exact, sum(b) within30, sum(c) within60 from l_ group by 1""")
+def v9(spark, sf):
+    d, w = scored(spark, sf), over(K, S)
+    ahead = lambda k: F.lead("peak", k).over(w)
+    d = d.withColumns({"a": ahead(4), "b": F.greatest(ahead(1), ahead(2)), "c": F.greatest(*[ahead(k) for k in (1, 2, 3, 4)])})
+    return d.groupBy("series_id").agg(F.sum("a").alias("exact"), F.sum("b").alias("within30"), F.sum("c").alias("within60"))
+
+
+@register("v10_horizon_power", "horizon:i ap_lift:f", SCORED + ", h_ as (" + " union all ".join(f'select {h} horizon, score, lead(peak, {h}) over ({W}) lb from scored' for h in (1, 2, 4)) + """), s_ as (select horizon, score, sum(lb) pos, count(*) nr from h_ where lb is not null group by 1, 2), u_ as (select *, sum(pos) over (partition by horizon order by score desc) tp, sum(nr) over (partition by horizon order by score desc) n, sum(pos) over (partition by horizon) p, sum(nr) over (partition by horizon) t from s_)
+select horizon, sum(pos / p * (tp / n)) / (max(p) / max(t)) ap_lift from u_ group by 1""")
+def v10(spark, sf):
+    d = scored(spark, sf)
+    w = over(K, S)
+    d = d.withColumns({f"lb{h}": F.lead("peak", h).over(w) for h in (1, 2, 4)})
+    long = d.select("score", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"lb{h}").alias("lb")) for h in (1, 2, 4)])).alias("x"))
+    long = long.select("score", "x.horizon", "x.lb").where("lb is not null")
+    rate = long.groupBy("horizon").agg(F.avg("lb").alias("rate"))
+    return mt.average_precision(long, "lb", "score", ["horizon"]).join(rate, "horizon").select("horizon", (F.col("ap") / F.col("rate")).alias("ap_lift"))
+
+
+@register("v12_error_by_hour", "series_id hour:i mae:f n:i", SCORED + """select series_id, "hour", avg(abs(y - score)) mae, count(*) n from scored group by 1, 2""")
+def v12(spark, sf):
+    return scored(spark, sf).groupBy("series_id", "hour").agg(F.avg(F.abs(F.col("y") - F.col("score"))).alias("mae"), F.count("*").alias("n"))
+
+
+@register("v13_state_r2", "series_id r2:f spread:f", SCORED + """, g_ as (select series_id, "hour", count(y) n, sum(y) s, sum(y * y) q from scored group by 1, 2) select series_id, (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / nullif(sum(q) - sum(s) * sum(s) / sum(n), 0) r2, max(s / n) - min(s / n) spread from g_ group by 1""")
+def v13(spark, sf):
+    return mt.group_r2(scored(spark, sf), "y", "hour", K)
+
+
+def conditions():
+    return {"night": F.col("hour") < 6, "idle": F.col("is_operating") == 0, "ramp": F.abs("ramp4") > 100}
+
+
+@register("v17_by_condition", "series_id condition tp:i fp:i fn:i tn:i share_fn:f share_fp:f", SCORED + """, l_ as (select *, unnest(list_filter([case when "hour" < 6 then 'night' end, case when is_operating = 0 then 'idle' end, case when abs(ramp4) > 100 then 'ramp' end, 'ALL'], lambda x: x is not null)) condition from scored),
+c_ as (select series_id, condition, count(*) filter (where "label" = 1 and alert = 1) tp, count(*) filter (where "label" = 0 and alert = 1) fp, count(*) filter (where "label" = 1 and alert = 0) fn, count(*) filter (where "label" = 0 and alert = 0) tn from l_ group by 1, 2)
+select *, fn / nullif(max(fn) filter (where condition = 'ALL') over (partition by series_id), 0) share_fn, fp / nullif(max(fp) filter (where condition = 'ALL') over (partition by series_id), 0) share_fp from c_""")
+def v17(spark, sf):
+    return mt.by_condition(scored(spark, sf), "label", "alert", conditions(), K)
+
+
+@register("v18_pr_curve", "series_id score:f recall:f precision:f", SCORED + CUM + 'select series_id, score, tp / nullif(p, 0) recall, tp / n "precision" from u_')
+def v18(spark, sf):
+    c = mt.cumulative(scored(spark, sf), "label", "score", K)
+    return c.select("series_id", "score", F.try_divide("tp", "n_pos").alias("recall"), (F.col("tp") / F.col("n_cut")).alias("precision"))
+
+
+@register("v19_error_cells", "series_id cell n:i mean_kw:f", SCORED + """, r_ as (select *, percent_rank() over (partition by series_id order by score) r, avg("label") over (partition by series_id) pv from scored)
+select series_id, case when "label" = 1 and r >= 1 - pv then 'TP' when "label" = 1 then 'FN' when r >= 1 - pv then 'FP' else 'TN' end cell, count(*) n, avg(kw) mean_kw from r_ group by 1, 2""")
+def v19(spark, sf):
+    return mt.error_cells(scored(spark, sf), "label", "score", K, mean_kw=F.avg("kw"))
+
+
+@register("v21_rank_normalised", "series_id step:i rank_share:f", SCORED + "select series_id, step, (rank() over (partition by series_id order by score) + (count(*) over (partition by series_id, score) - 1) / 2.0) / count(*) over (partition by series_id) rank_share from scored")
+def v21(spark, sf):
+    return mt.rank_normalised(scored(spark, sf), "score", K)
+
+
+# ---- policies: thresholds from CAL (fold 1), applied to all folds
+CAL = """, cal as (select * from scored where fold = 1),
+thr_ as (select series_id, unnest(range(1, 8)) lv, unnest([0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]) q, unnest(quantile_cont(score, [0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99])) th from cal group by 1),
+thk_ as (select series_id, unnest(range(1, 8)) lv, unnest(quantile_cont(kw, [0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99])) th from cal group by 1),
+fut_ as (select *, coalesce(max(peak) over (partition by series_id order by step rows between 1 following and 4 following), 0) future, case when abs(ramp4) > 100 then 1 else 0 end unsure from scored)
+"""
+
+
+def thresholds(d, pred):
+    return pl.cal_thresholds(d.where("fold = 1"), pred, QS, K)
+
+
+def levelled(spark, sf):
+    """scored with future, unsure, and the early and confirm levels."""
+    d = scored(spark, sf)
+    early, confirm = thresholds(d, "score"), thresholds(d, "kw")
+    d = ev.future_any(d, "peak", 4, K, S).withColumn("unsure", (F.abs("ramp4") > 100).cast("int"))
+    return pl.with_level(pl.with_level(d, "score", early, K, "early_level"), "kw", confirm, K, "confirm_level")
+
+
+LEVELS = CAL + """, lev as (select f.*, (select count(*) from thr_ t where t.series_id = f.series_id and t.th <= f.score) early_level, (select count(*) from thk_ t where t.series_id = f.series_id and t.th <= f.kw) confirm_level from fut_ f)
+"""
+
+
+@register("p1_cal_thresholds", "series_id level:i q:f threshold:f", SCORED + CAL + "select series_id, lv level, q, th threshold from thr_")
+def p1(spark, sf):
+    return thresholds(scored(spark, sf), "score")
+
+
+@register("p2_single_alert", "series_id n:i alerts:i", SCORED + CAL + "select s.series_id, count(*) n, count(*) filter (where score >= th) alerts from scored s join thr_ t on t.series_id = s.series_id and t.q = 0.9 group by 1")
+def p2(spark, sf):
+    d = scored(spark, sf)
+    t = thresholds(d, "score").where("q = 0.9").select("series_id", "threshold")
+    return d.join(t, "series_id").groupBy("series_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("threshold")).alias("alerts"))
+
+
+@register("p5_single_sweep", "series_id early:i tp:i fp:i", SCORED + LEVELS + "select series_id, i early, sum(case when early_level >= i then future else 0 end) tp, sum(case when early_level >= i then 1 - future else 0 end) fp from lev, range(1, 8) r(i) group by 1, 2")
+def p5(spark, sf):
+    return pl.single_sweep(levelled(spark, sf), "early_level", "future", len(QS), K)
+
+
+PAIRS = LEVELS + """, pr as (select series_id, i "early", j "confirm", g gate,
+ case when g = 'confirm_only_if_unsure' then (confirm_level >= j or unsure = 0) else confirm_level >= j end al,
+ g <> 'none' and confirm_level < j and unsure = 1 ad, future, confirm_level < j rj
+ from lev, range(1, 8) a(i), range(1, 8) b(j), (values ('none'), ('advisory_if_unsure'), ('confirm_only_if_unsure')) c(g) where early_level >= i),
+curve as (select series_id, "early", "confirm", gate, count(*) filter (where rj) / count(*) rejection, count(*) filter (where al and future = 1) tp, count(*) filter (where al and future = 0) fp, count(*) filter (where ad) advisories from pr group by 1, 2, 3, 4)
+"""
+
+
+@register("p3_pair_sweep", "series_id early:i confirm:i gate rejection:f tp:i fp:i advisories:i", SCORED + PAIRS + "select * from curve")
+def p3(spark, sf):
+    return pl.pair_sweep(levelled(spark, sf), "early_level", "confirm_level", "unsure", "future", len(QS), K)
+
+
+@register("p4_composite", "series_id any:i two:i long_only:i escalate:i", SCORED + """, c_ as (select series_id, (kw >= thr)::int a, (score >= thr * 0.8)::int b, alert c from scored) select series_id, sum((a + b + c >= 1)::int) "any", sum((a + b + c >= 2)::int) two, sum(c) long_only, sum((a = 1 and c = 1)::int) escalate from c_ group by 1""")
+def p4(spark, sf):
+    d = scored(spark, sf)
+    rules = pl.composite({"a": F.col("kw") >= F.col("thr"), "b": F.col("score") >= F.col("thr") * 0.8, "c": F.col("alert") == 1})
+    return d.groupBy("series_id").agg(*[F.sum(c).alias(n) for n, c in rules.items()])
+
+
+COSTS = PAIRS + """, ev_ as (select series_id, sum(future) n_events from lev group by 1), cost as (select c.*, n_events - tp missed, n_events, ratio, (fp + ratio * (n_events - tp)) / nullif(ratio * n_events, 0) cost from curve c join ev_ e on e.series_id = c.series_id, (values (1.0), (5.0), (10.0), (50.0)) r(ratio))
+"""
+
+
+def costs(spark, sf):
+    d = levelled(spark, sf)
+    total = d.groupBy("series_id").agg(F.sum("future").alias("n_events"))
+    curve = pl.pair_sweep(d, "early_level", "confirm_level", "unsure", "future", len(QS), K).join(total, "series_id")
+    return pl.cost_curve(curve.withColumn("missed", F.col("n_events") - F.col("tp")), [1, 5, 10, 50])
+
+
+@register("p6_cost_curve", "series_id early:i confirm:i gate ratio:f cost:f", SCORED + COSTS + "select * from cost")
+def p6(spark, sf):
+    return costs(spark, sf)
+
+
+@register("p7_best_points", "series_id ratio:f scope early:i confirm:i gate cost:f", SCORED + COSTS + """, sc as (select *, unnest(case when gate = 'none' then ['all', 'plain'] else ['all', 'gated'] end) "scope" from cost),
+k_ as (select *, row_number() over (partition by series_id, ratio, "scope" order by round(cost, 12), "early", "confirm", gate) rk from sc) select * from k_ where rk = 1""")
+def p7(spark, sf):
+    scopes = {"all": F.lit(True), "plain": F.col("gate") == "none", "gated": F.col("gate") != "none"}
+    return pl.best_points(costs(spark, sf), scopes, ["series_id", "ratio"], ["early", "confirm", "gate"])
+
+
+@register("p8_verdict", "series_id ratio:f gated_wins:i", SCORED + COSTS + """select series_id, ratio, case when round(min(cost) filter (where gate <> 'none'), 12) < round(min(cost) filter (where gate = 'none'), 12) then 1 else 0 end gated_wins from cost group by 1, 2""")
+def p8(spark, sf):
+    best = lambda c: F.round(F.min(F.when(c, F.col("cost"))), 12)
+    return costs(spark, sf).groupBy("series_id", "ratio").agg((best(F.col("gate") != "none") < best(F.col("gate") == "none")).cast("int").alias("gated_wins"))
+
+
+@register("p9_pareto", "series_id ratio:f cost:f rejection:f", SCORED + COSTS + """, d_ as (select distinct series_id, ratio, round(cost, 9) cost, round(rejection, 9) rejection from cost), b_ as (select *, max(rejection) over (partition by series_id, ratio order by cost, rejection desc rows between unbounded preceding and 1 preceding) best from d_) select * from b_ where best is null or rejection > best""")
+def p9(spark, sf):
+    d = costs(spark, sf).select("series_id", "ratio", F.round("cost", 9).alias("cost"), F.round("rejection", 9).alias("rejection")).distinct()
+    return pl.pareto(d, ["series_id", "ratio"], "cost", "rejection")
+
+
+SEQ = CAL + """, a_ as (select series_id, step + 4 t, score s60 from scored), b_ as (select series_id, step + 1 t, kw k15 from scored),
+tt as (select a_.series_id, a_.t step, s60, k15 from a_ join b_ on b_.series_id = a_.series_id and b_.t = a_.t),
+st as (select tt.*, case when s60 >= e.th and k15 >= c.th then 'confirmed' when s60 >= e.th then 'rejected' when k15 >= c.th then 'late' else 'quiet' end state from tt join thr_ e on e.series_id = tt.series_id and e.lv = 4 join thk_ c on c.series_id = tt.series_id and c.lv = 5)
+"""
+
+
+def sequential(spark, sf):
+    d = scored(spark, sf)
+    t = pl.target_time(d, {"h60": 4, "h15": 1}, ["score", "kw"], K, S)
+    e = thresholds(d, "score").where("level = 4").select("series_id", F.col("threshold").alias("e"))
+    c = thresholds(d, "kw").where("level = 5").select("series_id", F.col("threshold").alias("c"))
+    return t.join(e, "series_id").join(c, "series_id").withColumn("state", pl.sequential_state(F.col("score_h60") >= F.col("e"), F.col("kw_h15") >= F.col("c")))
+
+
+@register("j4_target_time", "series_id step:i score_h60:f kw_h15:f", SCORED + SEQ + "select series_id, step, s60 score_h60, k15 kw_h15 from tt")
+def j4(spark, sf):
+    return pl.target_time(scored(spark, sf), {"h60": 4, "h15": 1}, ["score", "kw"], K, S)
+
+
+@register("p10_sequential_states", "series_id state n:i", SCORED + SEQ + "select series_id, state, count(*) n from st group by 1, 2")
+def p10(spark, sf):
+    return sequential(spark, sf).groupBy("series_id", "state").agg(F.count("*").alias("n"))
+
+
+@register("p11_select_then_apply", "series_id part cut:i fp:i missed:i", SCORED + LEVELS + """, pt as (select *, case when date_diff('day', ts15::date, (max(ts15) over (partition by series_id))::date) < 7 then 'LOCK' when date_diff('day', ts15::date, (max(ts15) over (partition by series_id))::date) < 14 then 'TEST' else 'SEL' end part from lev),
+sw as (select series_id, part, i, sum(case when early_level >= i then 1 - future else 0 end) fp, sum(case when early_level < i then future else 0 end) missed from pt, range(1, 8) r(i) group by 1, 2, 3),
+pk as (select series_id, i, row_number() over (partition by series_id order by fp + 10 * missed, i) rk from sw where part = 'SEL')
+select sw.series_id, part, sw.i cut, fp, missed from sw join pk on pk.series_id = sw.series_id and pk.i = sw.i and rk = 1 where part <> 'SEL'""")
+def p11(spark, sf):
+    d = iv.last_days(levelled(spark, sf), "ts15", K, 7, 7)
+    s = pl.single_sweep(d, "early_level", "future", len(QS), ["series_id", "part"])
+    total = d.groupBy("series_id", "part").agg(F.sum("future").alias("all"))
+    s = s.join(total, ["series_id", "part"]).withColumn("missed", F.col("all") - F.col("tp"))
+    pick = s.where("part = 'SEL'").groupBy("series_id").agg(F.min_by("early", F.struct(F.col("fp") + 10 * F.col("missed"), "early")).alias("cut"))
+    return s.where("part <> 'SEL'").join(pick, "series_id").where("early = cut")
+
+
+@register("p12_capacity", "series_id gate n:i", SCORED + PAIRS + "select series_id, gate, count(*) n from curve where advisories <= 100 group by 1, 2")
+def p12(spark, sf):
+    return pl.pair_sweep(levelled(spark, sf), "early_level", "confirm_level", "unsure", "future", len(QS), K).where("advisories <= 100").groupBy("series_id", "gate").agg(F.count("*").alias("n"))
+
+
+@register("p13_k_of_m", "series_id step:i timer:i", SCORED + f"select series_id, step, case when sum(alert) over ({W} rows between 3 preceding and current row) >= 2 then 1 else 0 end timer from scored")
+def p13(spark, sf):
+    return scored(spark, sf).withColumn("timer", pl.k_of_m("alert", 2, 4, K, S))
+
+
+@register("p14_smooth", "series_id step:i smooth:f", SCORED + f"select series_id, step, avg(p) over ({W} rows between 2 preceding and current row) smooth from scored")
+def p14(spark, sf):
+    return scored(spark, sf).withColumn("smooth", pl.smooth("p", 3, K, S))
+
+
+@register("p16_rate_cuts", "series_id rate:f cut:f alerts:i", SCORED + CAL + ", c_ as (select series_id, unnest([0.05, 0.1, 0.2]) rate, unnest(quantile_cont(score, [0.95, 0.9, 0.8])) cut from cal group by 1) select c_.series_id, rate, cut, count(*) filter (where score >= cut and fold > 1) alerts from c_ join scored s on s.series_id = c_.series_id group by 1, 2, 3")
+def p16(spark, sf):
+    d = scored(spark, sf)
+    c = pl.rate_cut(d.where("fold = 1"), "score", [0.05, 0.1, 0.2], K)
+    return d.join(F.broadcast(c), "series_id").groupBy("series_id", "rate", "cut").agg(F.count_if((F.col("score") >= F.col("cut")) & (F.col("fold") > 1)).alias("alerts"))
+
+
+@register("p17_pooled_alert", "n:i tp:i fp:i cut:f", SCORED + """, s_ as (select p, sum("label") pos, count(*) nr from scored where fold = 1 group by 1), u_ as (select *, sum(pos) over (order by p desc) tp, sum(nr) over (order by p desc) n, sum(pos) over () pp from s_), k_ as (select p cut from u_ order by round(2.0 * tp / (n + pp), 12) desc, p desc limit 1)
+select count(*) n, count(*) filter (where p >= cut and "label" = 1) tp, count(*) filter (where p >= cut and "label" = 0) fp, max(cut) cut from scored, k_ where fold > 1""")
+def p17(spark, sf):
+    d = scored(spark, sf).withColumn("all", F.lit(0))
+    cut = mt.best_f1_cut(d.where("fold = 1"), "label", "p", ["all"], True).select("all", "cut")
+    hit = F.col("p") >= F.col("cut")
+    return d.where("fold > 1").join(F.broadcast(cut), "all").agg(F.count("*").alias("n"), F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit & (F.col("label") == 0)).alias("fp"), F.max("cut").alias("cut"))
+
+
+@register("p18_matched_budget", "series_id goal:f early:i fp:i", SCORED + LEVELS + """, sw as (select series_id, i, sum(case when early_level >= i then 1 - future else 0 end) fp from lev, range(1, 8) r(i) group by 1, 2), k_ as (select series_id, goal, i, fp, row_number() over (partition by series_id, goal order by abs(fp - goal), i) rk from sw, (values (100.0), (200.0), (400.0)) g(goal)) select series_id, goal, i "early", fp from k_ where rk = 1""")
+def p18(spark, sf):
+    s = pl.single_sweep(levelled(spark, sf), "early_level", "future", len(QS), K)
+    return pl.matched_budget(s, "fp", [100, 200, 400], K, ["early"])
+
+
+# ---- intervals: CAL fold 1, test fold 2 and 3
+INT = SCORED + """, i_ as (select *, score * 0.5 lo, score * 1.5 + 10 hi, case when score >= thr * 0.5 then 'high' else 'low' end grp from scored), e_ as (select *, greatest(lo - y, y - hi) e from i_ where fold = 1),
+n_ as (select series_id, count(*) n, list(e order by e) es from e_ group by 1), q_ as (select series_id, n, least(1.0, 0.9 * (1 + 1.0 / n)) * (n - 1) h, es from n_), c_ as (select series_id, es[floor(h)::int + 1] + (h - floor(h)) * (coalesce(es[floor(h)::int + 2], es[floor(h)::int + 1]) - es[floor(h)::int + 1]) q from q_),
+gn_ as (select series_id, grp, count(*) n, list(e order by e) es from e_ group by 1, 2 having count(*) >= 50), gq_ as (select series_id, grp, least(1.0, 0.9 * (1 + 1.0 / n)) * (n - 1) h, es from gn_), gc_ as (select series_id, grp, es[floor(h)::int + 1] + (h - floor(h)) * (coalesce(es[floor(h)::int + 2], es[floor(h)::int + 1]) - es[floor(h)::int + 1]) q from gq_)
+"""
+
+
+def naive_interval(spark, sf):
+    d = scored(spark, sf)
+    return d.withColumns({"lo": F.col("score") * 0.5, "hi": F.col("score") * 1.5 + 10, "grp": F.when(F.col("score") >= F.col("thr") * 0.5, "high").otherwise("low")})
+
+
+@register("r1_conformal", "series_id step:i int_lo:f int_hi:f", INT + "select i_.series_id, step, lo - q int_lo, hi + q int_hi from i_ join c_ on c_.series_id = i_.series_id where fold > 1")
+def r1(spark, sf):
+    d = naive_interval(spark, sf)
+    return iv.conformal(d.where("fold = 1"), d.where("fold > 1"), "y", "lo", "hi", 0.1, K)
+
+
+@register("r2_group_conformal", "series_id step:i int_lo:f int_hi:f", INT + "select i_.series_id, step, lo - coalesce(gc_.q, c_.q) int_lo, hi + coalesce(gc_.q, c_.q) int_hi from i_ join c_ on c_.series_id = i_.series_id left join gc_ on gc_.series_id = i_.series_id and gc_.grp = i_.grp where fold > 1")
+def r2(spark, sf):
+    d = naive_interval(spark, sf)
+    return iv.conformal(d.where("fold = 1"), d.where("fold > 1"), "y", "lo", "hi", 0.1, K, "grp")
+
+
+@register("r5_bands", "series_id band n:i mae:f", INT + """, w_ as (select series_id, quantile_cont(hi - lo, 0.5) a, quantile_cont(hi - lo, 0.8) b from i_ where fold = 1 group by 1)
+select i_.series_id, case when abs(ramp4) > 400 then 'OOD' when hi - lo <= a then 'HIGH' when hi - lo <= b then 'MEDIUM' else 'LOW' end band, count(*) n, avg(abs(y - score)) mae from i_ join w_ on w_.series_id = i_.series_id where fold > 1 group by 1, 2""")
+def r5(spark, sf):
+    d = naive_interval(spark, sf).withColumn("width", F.col("hi") - F.col("lo"))
+    b = iv.bands(d.where("fold > 1"), "width", iv.width_cuts(d.where("fold = 1"), "width", K), K, F.abs("ramp4") > 400)
+    return b.groupBy("series_id", "band").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("score"))).alias("mae"))
+
+
+@register("r8_coverage_rollup", "series_id n:i coverage:f coverage_operating:f coverage_idle:f coverage_peak:f width:f", INT + """, f_ as (select i_.*, case when y >= lo - q and y <= hi + q then 1 else 0 end hit, hi - lo + 2 * q wd from i_ join c_ on c_.series_id = i_.series_id where fold > 1)
+select series_id, count(*) n, avg(hit) coverage, avg(hit) filter (where is_operating = 1) coverage_operating, avg(hit) filter (where is_operating = 0) coverage_idle, avg(hit) filter (where peak = 1) coverage_peak, avg(wd) width from f_ group by rollup (series_id)""")
+def r8(spark, sf):
+    d = naive_interval(spark, sf)
+    c = iv.conformal(d.where("fold = 1"), d.where("fold > 1"), "y", "lo", "hi", 0.1, K)
+    return iv.coverage(c, "y", K, "is_operating", "peak")
+
+
+@register("r9_risk_score", "series_id step:i risk:f", INT + "select series_id, step, greatest(-3, least(3, (score - thr) / nullif(hi - lo, 0))) risk from i_")
+def r9(spark, sf):
+    return naive_interval(spark, sf).withColumn("width", F.col("hi") - F.col("lo")).withColumn("risk", iv.risk_score("score", "thr", "width"))
+
+
+@register("r10_rule_regime", "series_id regime n:i", SCORED + f""", c_ as (select series_id, quantile_cont(abs(ramp4), 0.9) rc, quantile_cont(score, 0.3) lc from scored where fold = 1 group by 1),
+g_ as (select s.*, rc, lc, max(is_operating) over (partition by s.series_id order by step rows between 4 preceding and current row) a, min(is_operating) over (partition by s.series_id order by step rows between 4 preceding and current row) b from scored s join c_ on c_.series_id = s.series_id)
+select series_id, case when a <> b or abs(ramp4) >= rc then 'TRANSITION' when score <= lc then 'LOW_LOAD' else 'STABLE' end regime, count(*) n from g_ group by 1, 2""")
+def r10(spark, sf):
+    d = scored(spark, sf)
+    c = d.where("fold = 1").groupBy("series_id").agg(F.percentile(F.abs("ramp4"), F.lit(0.9)).alias("rc"), F.percentile("score", F.lit(0.3)).alias("lc"))
+    g = iv.rule_regime(d.join(c, "series_id"), "is_operating", "ramp4", F.col("rc"), "score", F.col("lc"), K, S)
+    return g.groupBy("series_id", "regime").agg(F.count("*").alias("n"))
+
+
+@register("r13_decile_curve", "series_id decile:i n:i mae:f", SCORED + "select series_id, decile, count(*) n, avg(abs(y - score)) mae from (select *, ntile(10) over (partition by series_id order by abs(ramp4), step) decile from scored) group by 1, 2")
+def r13(spark, sf):
+    d = scored(spark, sf).withColumn("decile", F.ntile(10).over(Window.partitionBy("series_id").orderBy(F.abs("ramp4"), "step")))
+    return d.groupBy("series_id", "decile").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("score"))).alias("mae"))
+
+
+# ---- diagnosis
+DIAG = INT + """, c9 as (select series_id, quantile_cont(abs(ramp4), 0.9) rc, quantile_cont(score, 0.8) ec, quantile_cont(kw, 0.9) cc from scored where fold = 1 group by 1),
+d_ as (select i_.*, score >= ec erl, kw >= cc cnf, hi - lo > 150 uns, abs(ramp4) >= rc rmp, is_operating = 0 idl, abs(ramp4) > 600 ood from i_ join c9 on c9.series_id = i_.series_id where fold > 1),
+x_ as (select *, erl and cnf alr, rmp or idl or (erl and not cnf) xpl from d_), g_ as (select *, uns and not xpl gap, case when y >= lo and y <= hi then 1 else 0 end hit, abs(y - score) err from x_)
+"""
+
+
+def diagnosed(spark, sf):
+    d = naive_interval(spark, sf)
+    c = d.where("fold = 1").groupBy("series_id").agg(F.percentile(F.abs("ramp4"), F.lit(0.9)).alias("rc"), F.percentile("score", F.lit(0.8)).alias("ec"), F.percentile("kw", F.lit(0.9)).alias("cc"))
+    d = d.where("fold > 1").join(c, "series_id")
+    no = F.lit(False)
+    d = dg.flags(d.drop("alert"), F.col("score") >= F.col("ec"), F.col("kw") >= F.col("cc"), F.col("hi") - F.col("lo") > 150, no, F.abs("ramp4") >= F.col("rc"), F.col("is_operating") == 0)
+    return d.withColumns({"hit": ((F.col("y") >= F.col("lo")) & (F.col("y") <= F.col("hi"))).cast("int"), "err": F.abs(F.col("y") - F.col("score"))})
+
+
+def ood():
+    return F.abs("ramp4") > 600
+
+
+@register("d1_explained_gap", "series_id unsure:i explained:i gap:i", DIAG + "select series_id, sum(uns::int) unsure, sum(xpl::int) explained, sum(gap::int) gap from g_ group by 1")
+def d1(spark, sf):
+    return diagnosed(spark, sf).groupBy("series_id").agg(*[F.sum(c).alias(c) for c in ("unsure", "explained", "gap")])
+
+
+@register("d2_advisory", "series_id step:i level", DIAG + "select series_id, step, case when ood then 'HUMAN_REVIEW' when alr and not uns then 'CONFIRMED_WARNING' when alr then 'LOW_CONFIDENCE_WARNING' when gap then 'INFORMATION_GAP' when erl then 'EARLY_WATCH' else 'NORMAL' end level from g_")
+def d2(spark, sf):
+    return diagnosed(spark, sf).withColumn("level", dg.advisory(ood()))
+
+
+@register("d3_reasons", "series_id reason n:i", DIAG + """select series_id, coalesce(nullif(concat_ws(' / ', case when ood then 'outside training range' end, case when uns then 'wide interval' end, case when rmp then 'high ramp' end, case when gap then 'cause unknown' end), ''), 'routine') reason, count(*) n from g_ group by 1, 2""")
+def d3(spark, sf):
+    rules = [(ood(), "outside training range"), (F.col("unsure") == 1, "wide interval"), (F.abs("ramp4") >= F.col("rc"), "high ramp"), (F.col("gap") == 1, "cause unknown")]
+    return diagnosed(spark, sf).groupBy("series_id", dg.reasons(rules, "routine").alias("reason")).agg(F.count("*").alias("n"))
+
+
+@register("d4_information_type", "series_id kind n:i", DIAG + "select series_id, case when gap or ood then 'equipment state or process stage' when uns and idl then 'equipment state' when uns then 'product and lot' else 'none' end kind, count(*) n from g_ group by 1, 2")
+def d4(spark, sf):
+    d = diagnosed(spark, sf)
+    return d.groupBy("series_id", dg.information_type(ood(), F.lit(False), F.col("is_operating") == 0).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@register("d5_routing", "series_id cell n:i mae:f coverage:f prevalence:f", DIAG + "select series_id, case when uns then 'uncertain' else 'reliable' end || '_' || case when xpl then 'explained' else 'unexplained' end cell, count(*) n, avg(err) mae, avg(hit) coverage, avg(peak) prevalence from g_ group by 1, 2")
+def d5(spark, sf):
+    return dg.routing(diagnosed(spark, sf), "err", "hit", "peak", K)
+
+
+@register("d6_flag_validation", "series_id flag n:i mae_ratio:f coverage_in:f coverage_out:f", DIAG + ", u_ as (" + " union all ".join(f"select series_id, '{n}' flag, {c}::int f, err, hit from g_" for n, c in (("unsure", "uns"), ("explained", "xpl"), ("gap", "gap"))) + ") select series_id, flag, sum(f) n, avg(err) filter (where f = 1) / nullif(avg(err) filter (where f = 0), 0) mae_ratio, avg(hit) filter (where f = 1) coverage_in, avg(hit) filter (where f = 0) coverage_out from u_ group by 1, 2")
+def d6(spark, sf):
+    return dg.flag_validation(diagnosed(spark, sf), ["unsure", "explained", "gap"], "err", "hit", K)
+
+
+@register("d7_distribution", "level n:i share:f", DIAG + ", l_ as (select case when ood then 'HUMAN_REVIEW' when alr and not uns then 'CONFIRMED_WARNING' when alr then 'LOW_CONFIDENCE_WARNING' when gap then 'INFORMATION_GAP' when erl then 'EARLY_WATCH' else 'NORMAL' end level, count(*) n from g_ group by 1) select level, n, n / sum(n) over () share from l_")
+def d7(spark, sf):
+    c = diagnosed(spark, sf).groupBy(dg.advisory(ood()).alias("level")).agg(F.count("*").alias("n"))
+    return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+
+
+@register("d10_advisory_fine", "series_id level n:i", DIAG + "select series_id, case when ood then 'HUMAN_REVIEW' when alr and not uns then 'CONFIRMED_WARNING' when alr then 'LOW_CONFIDENCE_WARNING' when gap then 'INFORMATION_GAP' when erl and uns then 'UNCERTAIN_ADVISORY' when uns then 'LOW_CONFIDENCE_MONITOR' when erl then 'EARLY_WATCH' else 'NORMAL' end level, count(*) n from g_ group by 1, 2")
+def d10(spark, sf):
+    return diagnosed(spark, sf).groupBy("series_id", dg.advisory_fine(ood()).alias("level")).agg(F.count("*").alias("n"))
+
+
+@register("p19_tier_curve", "series_id tier n:i hits:i", DIAG + ", t_ as (select *, (score - thr) / nullif(hi - lo, 0) rk, case when hi - lo > 150 then 'LOW' else 'HIGH' end bd from g_) select series_id, case when ood then 'REVIEW' when bd = 'HIGH' and rk >= 0.5 then 'AUTO' when rk >= 0.5 then 'WARN' when rk >= 0 then 'ADVISE' else 'MONITOR' end tier, count(*) n, sum(\"label\") hits from t_ group by 1, 2")
+def p19(spark, sf):
+    d = diagnosed(spark, sf).withColumns({"band": F.when(ood(), "OOD").when(F.col("unsure") == 1, "LOW").otherwise("HIGH"), "risk": F.try_divide(F.col("score") - F.col("thr"), F.col("hi") - F.col("lo"))})
+    return d.groupBy("series_id", pl.tier(F.col("band"), F.col("risk"), 0.5, 0.0).alias("tier")).agg(F.count("*").alias("n"), F.sum("label").alias("hits"))
+
+
+# ---- folds
+@register("m1_rolling_origin", "series_id fold:i role n:i first:i last:i", SCORED + """, r_ as (select *, row_number() over (partition by series_id order by step) - 1 i, count(*) over (partition by series_id) n from scored),
+f_ as (select r_.*, k, n - (n // 6) * (5 - k) st, n // 6 sz from r_, range(5) t(k)), g_ as (select *, case when i >= st + sz then null when i >= st then 'TEST' when i >= floor(st * 0.8) then 'CAL' else 'TRAIN' end role from f_)
+select series_id, k fold, role, count(*) n, min(step) "first", max(step) "last" from g_ where role is not null group by 1, 2, 3""")
+def m1(spark, sf):
+    d = iv.rolling_origin(scored(spark, sf).drop("fold"), 5, K, S)
+    return d.groupBy("series_id", "fold", "role").agg(F.count("*").alias("n"), F.min("step").alias("first"), F.max("step").alias("last"))
+
+
+@register("m3_chrono_split", "series_id role n:i", SCORED + ", r_ as (select *, (row_number() over (partition by series_id order by step) - 1) / count(*) over (partition by series_id) pl from scored) select series_id, case when pl < 0.6 then 'TRAIN' when pl < 0.8 then 'CAL' else 'TEST' end role, count(*) n from r_ group by 1, 2")
+def m3(spark, sf):
+    return scored(spark, sf).withColumn("role", iv.chrono_split(K, S, {"TRAIN": 0.6, "CAL": 0.2, "TEST": 0.2})).groupBy("series_id", "role").agg(F.count("*").alias("n"))
+
+
+@register("m5_last_days", "series_id part n:i", SCORED + ", p_ as (select *, date_diff('day', ts15::date, (max(ts15) over (partition by series_id))::date) lf from scored) select series_id, case when lf < 7 then 'LOCK' when lf < 14 then 'TEST' else 'SEL' end part, count(*) n from p_ group by 1, 2")
+def m5(spark, sf):
+    return iv.last_days(scored(spark, sf), "ts15", K, 7, 7).groupBy("series_id", "part").agg(F.count("*").alias("n"))
+
+
+@register("m6_relevance_weight", "series_id step:i residual:f weight:f", SCORED + """, q_ as (select series_id, quantile_cont(y, 0.9) a, quantile_cont(y, 0.995) b from scored where fold < 3 group by 1) select s.series_id, step, y - kw residual, 1 + 4 * greatest(0, least(1, (y - a) / greatest(b - a, 1e-6))) weight from scored s join q_ on q_.series_id = s.series_id""")
+def m6(spark, sf):
+    d = scored(spark, sf)
+    q = d.where("fold < 3").groupBy("series_id").agg(F.percentile("y", F.array(F.lit(0.9), F.lit(0.995))).alias("q"))
+    share = (F.col("y") - F.col("q")[0]) / F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(1e-6))
+    return d.join(q, "series_id").withColumns({"residual": F.col("y") - F.col("kw"), "weight": 1 + 4 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))})
+
+
+@register("m11_naive_seasonal", "series_id naive_mae:f seasonal_mae:f", SCORED + "select series_id, avg(abs(y - kw)) naive_mae, avg(abs(y - lag4)) seasonal_mae from (select *, lead(seasonal, 4) over (partition by series_id order by step) lag4 from scored) where lag4 is not null group by 1")
+def m11(spark, sf):
+    d = scored(spark, sf).withColumn("s4", F.lead("seasonal", 4).over(over(K, S))).where("s4 is not null")
+    return d.groupBy("series_id").agg(F.avg(F.abs(F.col("y") - F.col("kw"))).alias("naive_mae"), F.avg(F.abs(F.col("y") - F.col("s4"))).alias("seasonal_mae"))
