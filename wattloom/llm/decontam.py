@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,21 +38,36 @@ _BITS = 22
 _U = np.uint64
 
 
-def _walk(windows: np.ndarray, seed: int) -> np.ndarray:
-    """LSH key of each window (rows of word hashes, 0 past the end) by one CGK walk."""
-    n, length = windows.shape
-    rng = np.random.Generator(np.random.PCG64([seed, length]))
+@lru_cache(4096)
+def _plan(length: int, repeats: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each walk over windows of this length: the salt of each step, and which steps are sampled."""
     steps = 3 * length
-    salt = rng.integers(1, 1 << 63, steps, dtype=np.uint64)
-    sampled = set(rng.choice(steps, min(SAMPLE, steps), replace=False).tolist())
-    padded = np.concatenate((windows, np.zeros((n, 1), np.uint64)), 1)
-    row, at = np.arange(n), np.zeros(n, np.int64)
-    key = np.zeros(n, np.uint64)
-    for j in range(max(sampled) + 1):
-        symbol = padded[row, at]
-        if j in sampled:
-            key = tx.mix(key * _U(0xD1342543DE82EF95) + symbol + salt[j])
-        at = np.minimum(at + ((symbol ^ salt[j]) * _U(0x9E3779B97F4A7C15) >> _U(63)).astype(np.int64), length)
+    salt = np.empty((repeats, steps), np.uint64)
+    sampled = np.zeros((repeats, steps), bool)
+    for r in range(repeats):
+        rng = np.random.Generator(np.random.PCG64([r, length]))
+        salt[r] = rng.integers(1, 1 << 63, steps, dtype=np.uint64)
+        sampled[r, rng.choice(steps, min(SAMPLE, steps), replace=False)] = True
+    return salt, sampled
+
+
+def _walks(windows: np.ndarray, repeats: int) -> np.ndarray:
+    """LSH keys, a row per walk, of windows (rows of word hashes, 0 past the end)."""
+    n, length = windows.shape
+    salt, sampled = _plan(length, repeats)
+    padded = np.concatenate((windows, np.zeros((n, 1), np.uint64)), 1).ravel()
+    base = np.arange(n) * (length + 1)
+    at = np.zeros((repeats, n), np.int64)
+    key = np.zeros((repeats, n), np.uint64)
+    for j in range(3 * length):
+        symbol = padded[base + at]
+        mark = symbol ^ salt[:, j, None]
+        if (now := np.flatnonzero(sampled[:, j])).size:
+            key[now] = tx.mix(key[now] * _U(0xD1342543DE82EF95) + symbol[now] + salt[now, j, None])
+        mark *= _U(0x9E3779B97F4A7C15)
+        mark >>= _U(63)
+        at += mark.view(np.int64)
+        np.minimum(at, length, out=at)
     return key
 
 
@@ -94,8 +110,7 @@ class Matcher:
     def _table(self, ids: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
         windows = np.stack([self.items[i][1] for i in ids])
         out = []
-        for r in range(self.repeats):
-            key = _walk(windows, r)
+        for key in _walks(windows, self.repeats):
             order = np.argsort(key, kind="stable")
             out.append((key[order], np.array(ids)[order]))
         return out
@@ -115,7 +130,7 @@ class Matcher:
         missed = np.ones((0, MOST), bool)
         for both in pairs.values():
             one, other = (np.stack(x) for x in zip(*both))
-            missed = np.concatenate((missed, np.stack([_walk(one, r) != _walk(other, r) for r in range(MOST)], 1)))
+            missed = np.concatenate((missed, (_walks(one, MOST) != _walks(other, MOST)).T))
         if not len(missed):
             return 1
         rate = np.minimum((missed.sum(1) + 0.5) / (MOST + 1), 0.995)
@@ -136,19 +151,23 @@ class Matcher:
         total = np.concatenate((np.zeros(1, np.int32), np.cumsum(hit, dtype=np.int32)))
         hits = np.flatnonzero(hit)
         stop = first[1:][owner]
-        here = np.arange(len(h))
+        # the longest window holds every shorter one, so only starts where it holds enough go on
+        end = np.minimum(np.arange(len(h)) + max(self.lengths), stop)
+        here = np.flatnonzero(total[end - 1] - total[: len(end)] >= min(self.need.values()))
+        stop_here = stop[here]
         h = np.concatenate((h, np.zeros(1, np.uint64)))
         best: dict[tuple[int, int], tuple] = {}
         for length, ids in self.lengths.items():
             edits = int(MAX_EDITS * length)
-            end = np.minimum(here + length, stop)
-            at = np.flatnonzero((total[end - 1] - total[here] >= self.need[length]) & (end - here >= length - edits))
+            end = np.minimum(here + length, stop_here)
+            enough = (total[end - 1] - total[here] >= self.need[length]) & (end - here >= length - edits)
+            at, end = here[enough], end[enough]
             if not len(at):
                 continue
             own = np.zeros(len(total), np.int32)  # the same count with pairs of items of this length alone
             own[hits[np.isin(pair[hits], self.pairs[length])] + 1] = 1
             np.cumsum(own, out=own)
-            at = at[own[end[at] - 1] - own[at] >= self.need[length]]
+            at = at[own[end - 1] - own[at] >= self.need[length]]
             if not len(at):
                 continue
             grid = at[:, None] + np.arange(length)
@@ -157,8 +176,7 @@ class Matcher:
             mark = tx.mix(windows.copy() * np.arange(1, 2 * length, 2, dtype=np.uint64)).sum(1)
             _, once, same = np.unique(mark, return_index=True, return_inverse=True)
             found = set()
-            for r, (keys, which) in enumerate(self.tables[length]):
-                key = _walk(windows[once], r)
+            for key, (keys, which) in zip(_walks(windows[once], self.repeats), self.tables[length]):
                 lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
                 for w in np.flatnonzero(hi > lo):
                     found.update((int(w), int(i)) for i in which[lo[w] : hi[w]])
