@@ -1 +1,92 @@
-"""Queries."""
+"""Fitted models on the demand fixture: rows-only for the driver, properties in tests."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler  # noqa: F401
+from pyspark.sql import functions as F
+
+from wattloom.operators import intervals as iv, models as ml
+from wattloom.queries.base import K, S, register, scored, shots, table
+from wattloom.session import cut
+
+X = ["kw", "score", "seasonal", "ramp4", "hour", "is_operating"]
+
+
+def frame(spark, sf):
+    d = scored(spark, sf).withColumn("ramp4", F.coalesce("ramp4", F.lit(0.0)))
+    d = iv.rolling_origin(d.drop("fold"), 2, K, S)
+    return cut(d.where("fold = 1"))
+
+
+def parts(spark, sf):
+    d = frame(spark, sf)
+    return tuple(d.where(F.col("role") == r) for r in ("TRAIN", "CAL", "TEST"))
+
+
+for _kind in ("gbt", "rf", "ridge", "lasso"):
+
+    @register(f"m7_point_{_kind}", "series_id n:i mae:f naive_mae:f")
+    def point(spark, sf, kind=_kind):
+        train, cal, test = parts(spark, sf)
+        m = ml.fit_point(train.unionByName(cal), X, "y", kind, base="kw")
+        p = ml.predict_point(m, test, base="kw")
+        return p.groupBy("series_id").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae"), F.avg(F.abs(F.col("y") - F.col("kw"))).alias("naive_mae"))
+
+
+@register("m8_leaf_quantiles", "series_id n:i coverage:f width:f")
+def m8(spark, sf):
+    train, cal, test = parts(spark, sf)
+    m, leaves = ml.fit_quantiles(train, X, "y", [0.05, 0.95])
+    at = lambda d: ml.predict_quantiles(m, leaves, d, ["series_id", "step"], ["lo", "hi"])
+    c = iv.conformal(at(cal), at(test), "y", "lo", "hi", 0.1, K)
+    hit = ((F.col("y") >= F.col("int_lo")) & (F.col("y") <= F.col("int_hi"))).cast("int")
+    return c.groupBy("series_id").agg(F.count("*").alias("n"), F.avg(hit).alias("coverage"), F.avg(F.col("int_hi") - F.col("int_lo")).alias("width"))
+
+
+for _kind in ("logistic", "nb", "rf"):
+
+    @register(f"m12_classifier_{_kind}", "series_id n:i brier:f prior_brier:f")
+    def classifier(spark, sf, kind=_kind):
+        train, cal, test = parts(spark, sf)
+        m = ml.fit_classifier(train, X, "label", kind)
+        t = ml.calibrate(ml.predict_probability(m, cal.drop("p")), ml.predict_probability(m, test.drop("p")), "label", "p")
+        prior = train.agg(F.avg("label")).first()[0]
+        return t.groupBy("series_id").agg(F.count("*").alias("n"), F.avg((F.col("p_cal") - F.col("label")) ** 2).alias("brier"), F.avg((F.lit(prior) - F.col("label")) ** 2).alias("prior_brier"))
+
+
+@register("m17_state_models", "series_id n:i mae:f")
+def m17(spark, sf):
+    train, cal, test = parts(spark, sf)
+    p = ml.state_models(train.unionByName(cal), test, ["kw", "score", "seasonal"], "y", "is_operating")
+    return p.groupBy("series_id").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae"))
+
+
+@register("m26_mixture_regimes", "regime n:i mean_kw:f")
+def m26(spark, sf):
+    train, _, test = parts(spark, sf)
+    r = ml.mixture_regimes(train, test, ["kw", "score", "ramp4"], "kw", "ramp4")
+    return r.groupBy("regime").agg(F.count("*").alias("n"), F.avg("kw").alias("mean_kw"))
+
+
+@register("m27_kmeans_check", "k:i cost:f silhouette:f")
+def m27(spark, sf):
+    e = table(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+    return spark.createDataFrame(ml.kmeans_check(cut(e), [f"e{i}" for i in range(8)], (2, 3, 4)), "k int, cost double, silhouette double")
+
+
+@register("m28_rule_leaves", "leaf:f n:i rate:f lift:f")
+def m28(spark, sf):
+    return ml.rule_leaves(shots(spark, sf), ["a", "b", "c", "d"], "label")
+
+
+@register("m34_components", "vec_id:i pc1:f pc2:f")
+def m34(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+    return ml.components(e, [f"e{i}" for i in range(8)]).select("vec_id", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
+
+
+@register("r4_mahalanobis", "label:i n:i outside:i")
+def r4(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+    d, limit = iv.mahalanobis(e.where("vec_id % 5 <> 0"), e, [f"e{i}" for i in range(4)])
+    return d.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("maha") > limit).alias("outside"))
