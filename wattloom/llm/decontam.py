@@ -142,7 +142,7 @@ class Matcher:
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, first word, words) of each text and item within the limit."""
         _, _, _, h, first = tx.words(texts)
-        if not len(h):
+        if not len(h) or not self.items:
             return []
         owner = np.repeat(np.arange(len(texts)), np.diff(first))
         pair = _pair(h[:-1], h[1:])

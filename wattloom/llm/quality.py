@@ -186,8 +186,8 @@ r as (
   select lang, {sums("chars", len(CHAR_CLASSES))} rc, {sums("tally", places)} rw
   from h where not base_failed and counts is not null group by lang having count(*) >= {MIN_REFERENCE}),
 j as (
-  select h.*, case when n_text >= {MIN_CHARS} then {jsd("chars", "rc")} end char_distance,
-         case when n_words >= {MIN_HISTOGRAM_WORDS} then {jsd("tally", "rw")} end word_distance
+  select h.*, case when rc is not null and n_text >= {MIN_CHARS} then {jsd("chars", "rc")} end char_distance,
+         case when rw is not null and n_words >= {MIN_HISTOGRAM_WORDS} then {jsd("tally", "rw")} end word_distance
   from h left join r on h.lang = r.lang)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance,
        not base_failed and coalesce(char_distance, 0) <= {MAX_CHAR_DISTANCE} and coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} kept
