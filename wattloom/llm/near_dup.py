@@ -297,7 +297,7 @@ def _compare_blocks(entries: DataFrame, reps: DataFrame, texts: DataFrame, idf,
     def run(table: pa.Table) -> pa.Table:
         node, label, block = (np.array(table[c].to_pylist(), np.int64) for c in ("node", "label", "block"))
         band = table["band"][0].as_py()
-        marks = np.array(table["samples"].to_pylist(), np.int32).reshape(-1, HASHES)
+        marks = table["samples"].combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
         written = table["text"].to_pylist()
         weighed = []
         for lo, hi in tx.chunks(written):

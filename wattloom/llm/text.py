@@ -20,7 +20,7 @@ _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 _U = np.uint64
 #: Characters handled at once; a longer text is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 @lru_cache(1)
@@ -50,7 +50,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        m = max(n, CHUNK + CHUNK // 2)
+        m = max(n, CHUNK + CHUNK // 4)
         for k, base in enumerate((_MULT, _INV)):
             x = np.full(m, base, np.uint64)
             x[0] = 1

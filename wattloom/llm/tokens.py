@@ -32,7 +32,7 @@ class WordTokenizer:
         self.bpe = self.model.model
         steps = json.loads(self.model.to_str())["pre_tokenizer"]
         self.byte_level = _byte_names() if '"ByteLevel"' in json.dumps(steps) else None
-        self.index = tx.HashIndex(22)
+        self.index = tx.HashIndex(21)
         self._clear()
 
     def _clear(self) -> None:
