@@ -81,8 +81,8 @@ def spectrum(df: DataFrame, x: str, size: int, keys: Keys, t: str, tie: str) ->
     mean = F.avg(x).over(Window.partitionBy(*keys, "seg", "win"))
     d = d.withColumn("_v", F.col(x) - mean)
     rows = [(n, k, math.cos(2 * math.pi * k * n / size) * h, math.sin(2 * math.pi * k * n / size) * h) for n in range(size) for h in [0.5 - 0.5 * math.cos(2 * math.pi * n / size)] for k in range(1, half + 1)]
-    waves = F.broadcast(spark.createDataFrame(rows, "pos int, k int, c double, s double"))
-    f = d.join(waves, "pos").groupBy(*keys, "seg", "win", "k").agg(F.sum(F.col("_v") * F.col("c")).alias("re"), F.sum(F.col("_v") * F.col("s")).alias("im"))
+    waves = F.broadcast(spark.createDataFrame(rows, "pos int, k int, wave_c double, wave_s double"))
+    f = d.join(waves, "pos").groupBy(*keys, "seg", "win", "k").agg(F.sum(F.col("_v") * F.col("wave_c")).alias("re"), F.sum(F.col("_v") * F.col("wave_s")).alias("im"))
     p = f.groupBy(*keys, "seg", "k").agg(F.avg(F.col("re") ** 2 + F.col("im") ** 2).alias("p"))
     share = F.col("p") / F.nullif(F.sum("p").over(Window.partitionBy(*keys, "seg")), F.lit(0.0))
     p = p.withColumn("q", share)
