@@ -23,6 +23,8 @@ from wattloom.session import checkpoint_dir, cut, ship
 MIN_REVISIT = 100
 #: An archive is closed at this size; compressed bytes.
 ARCHIVE_BYTES = 8_000_000
+#: Bytes given to the decompressor at once: it copies what is left over.
+FEED = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -158,11 +160,16 @@ def salvage(content: bytes) -> Iterator[dict]:
         end, found = pos, []
         if content.startswith(_MEMBER, pos):
             unpack = zlib.decompressobj(31)
+            parts = []
+            end = pos
             try:
-                raw = unpack.decompress(content[pos:])
+                while end < len(content) and not unpack.eof:
+                    parts.append(unpack.decompress(content[end : end + FEED]))
+                    end = min(len(content), end + FEED)
+                raw = b"".join(parts)
                 if not unpack.eof:
                     failure = "member cut short"
-                end = len(content) - len(unpack.unused_data)
+                end -= len(unpack.unused_data)
                 at = 0
                 while not failure and at < len(raw):
                     at, fields, failure = _parse(raw, at)
