@@ -36,11 +36,12 @@ def packed_sequences(docs: DataFrame, path: str, capacity: int = 2048, pad_id: i
     pieces = cut(split_tokens(docs, path, capacity, keyed=True))
     placed = pack(pieces, capacity, best_fit_decreasing)
     place = F.struct("piece", "start", "length", "sequence_id", "offset")
-    key = ["doc_id", "text_hash"]
-    places = placed.groupBy(*key).agg(F.collect_list(place).alias("places"))  # the pieces of one text
-    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).groupBy(*key).agg(F.first("text").alias("text"))
-    same = [texts[k].eqNullSafe(places[k]) for k in key]
-    whole = texts.join(places, same[0] & same[1]).select(texts["doc_id"], "text", "places")
+    # a key without nulls, so that one shuffle serves the grouping and the join
+    key, name = ["doc_key", "text_hash"], F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    places = placed.withColumn("doc_key", name).groupBy(*key).agg(F.collect_list(place).alias("places"))  # the pieces of one text
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).withColumn("doc_key", name)
+    texts = texts.groupBy(*key).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    whole = texts.join(places, key).select("doc_id", "text", "places")
     narrow = tokenizer(path).model.get_vocab_size() <= 1 << 16
     kind = "<u2" if narrow else "<u4"
 
