@@ -72,10 +72,10 @@ def label_granularity(rows: DataFrame, results: DataFrame, day: str) -> DataFram
     return left.crossJoin(results.agg(F.countDistinct(day).alias("result_days"))).crossJoin(missing)
 
 
-def run_structure(df: DataFrame, flag: str, order: str) -> DataFrame:
+def run_structure(df: DataFrame, flag: str, order: Keys) -> DataFrame:
     """Rate of a flag by quarter of the row order; quarters from ranks of hashed ranges
     would not be exact, so rows are numbered by a sort."""
-    q = F.ntile(4).over(Window.orderBy(order))
+    q = F.ntile(4).over(Window.orderBy(*order))
     return df.select(q.alias("quarter"), flag).groupBy("quarter").agg(F.count("*").alias("n"), F.avg(flag).alias("rate"))
 
 

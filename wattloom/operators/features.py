@@ -236,7 +236,8 @@ def centred_mean(df: DataFrame, x: str, n: int, keys: Keys, t: str) -> DataFrame
 
 def rolling_corr(df: DataFrame, a: str, b: str, n: int, keys: Keys, t: str) -> DataFrame:
     w = over(keys, t).rowsBetween(-n + 1, 0)
-    return df.withColumn("roll_corr", F.when(F.count(a).over(w) >= n, F.corr(a, b).over(w)))
+    spread = F.nullif(F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w), F.lit(0.0))
+    return df.withColumn("roll_corr", F.when(F.count(a).over(w) >= n, F.covar_pop(a, b).over(w) / spread))
 
 
 def onset_slopes(df: DataFrame, x: str, onset: str, ks: Sequence[int], keys: Keys, t: str) -> DataFrame:

@@ -91,9 +91,9 @@ def a9(spark, sf):
     return p.join(o, "day", "left").fillna(0, ["urgent", "other"])
 
 
-@register("a10_quarter_rates", "quarter:i n:i rate:f", SHOTS + """select "quarter", count(*) n, avg("label") rate from (select ntile(4) over (order by id) "quarter", "label" from shots) group by 1""")
+@register("a10_quarter_rates", "quarter:i n:i rate:f", SHOTS + """select "quarter", count(*) n, avg("label") rate from (select ntile(4) over (order by id, b, "label") "quarter", "label" from shots) group by 1""")
 def a10(spark, sf):
-    return au.run_structure(shots(spark, sf), "label", "id")
+    return au.run_structure(shots(spark, sf), "label", ["id", "b", "label"])
 
 
 @register("a11_heat_map", "hour:i d1:f d2:f d3:f d4:f d5:f d6:f d7:f", DEMAND + 'select hour(ts15) "hour", ' + ", ".join(f"avg(kw) filter (where isodow(ts15) = {k}) d{k}" for k in range(1, 8)) + " from demand group by 1")

@@ -304,7 +304,7 @@ def f26(spark, sf):
     return ft.centred_mean(demand(spark, sf), "kw", 51, K, S)
 
 
-@register("f27_rolling_corr", "series_id day mean_corr:f low:i", DEMAND + f""", c as (select series_id, ts15::date "day", case when count(kw) over ({W} rows between 99 preceding and current row) >= 100 then round(corr(kw, qty) over ({W} rows between 99 preceding and current row), 9) end r from demand)
+@register("f27_rolling_corr", "series_id day mean_corr:f low:i", DEMAND + f""", c as (select series_id, ts15::date "day", case when count(kw) over ({W} rows between 99 preceding and current row) >= 100 then round(covar_pop(kw, qty) over ({W} rows between 99 preceding and current row) / nullif(stddev_pop(kw) over ({W} rows between 99 preceding and current row) * stddev_pop(qty) over ({W} rows between 99 preceding and current row), 0), 9) end r from demand)
 select series_id, "day", avg(r) mean_corr, count(*) filter (where r < 0.5) low from c group by 1, 2""")
 def f27(spark, sf):
     d = ft.rolling_corr(demand(spark, sf), "kw", "qty", 100, K, S).withColumn("r", F.round("roll_corr", 9))
