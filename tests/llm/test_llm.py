@@ -423,6 +423,30 @@ def test_license_alignment(spark, odd):
     assert licenses.scan(odd).count() == 0
 
 
+def test_licenses_come_out_under_their_own_names():
+    found = lambda t: {r[1] for r in licenses.Scanner(licenses.TEMPLATES, licenses.MIN_COVERAGE).find([t])}
+    notices = {
+        "Released under the BSD License": "BSD-notice",
+        "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0-notice",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0-notice",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1-notice",
+        "Licensed under CC BY-NC-SA 3.0": "CC-BY-NC-SA-3.0-notice",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "CC-BY-NC-4.0-notice",
+        "Licensed under the Mozilla Public License, Version 2.0.": "MPL-2.0-notice",
+        "SPDX-License-Identifier: MIT": "MIT-tag",
+    }
+    for notice, name in notices.items():
+        assert found(f"Prose before. {notice} and prose after.") == {name}, notice
+    assert found("Released under the Foo License. Licensed under CC BY-XX 4.0.") == set()
+    assert found("Licensed under CC BY-NC 4.0. Licensed under CC BY-SA 4.0.") == {"CC-BY-NC-4.0-notice", "CC-BY-SA-4.0-notice"}
+    whole = "Apache-2.0 CC0-1.0 CC-BY-SA-4.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 MPL-2.0 MIT ISC 0BSD BSD-2-Clause BSD-3-Clause BSD-4-Clause Unlicense"
+    for name in whole.split():
+        words = licenses.TEMPLATES[name].split()
+        assert found("Prose before. " + " ".join(words) + " Prose after.") == {name}, name
+    twice = licenses.TEMPLATES["GPL-3.0"] + " And more prose. " * 50 + licenses.TEMPLATES["GPL-3.0-header or-later"]
+    assert found(twice) == {"GPL-3.0", "GPL-3.0-header"}
+
+
 def test_alignment_is_a_common_subsequence():
     rng = random.Random(4)
     for _ in range(200):

@@ -3,13 +3,15 @@
 A template is aligned with a document by the words that occur once in both: the longest
 run of them that rises in both is the anchor chain, gaps between anchors are aligned the
 same way, and equal words beside anchors are taken in. Coverage is the share of the
-template's words that the alignment matches. A document is aligned with a template only
+template's words that the alignment matches. Notices differ in a word or two (the license,
+its version): these naming words must stand in the text. A document is aligned with a template only
 where it holds enough of the template's distinct words, which loses nothing: a coverage
 of c needs at least that share of words, so the count is a necessary condition.
 """
 
 from __future__ import annotations
 
+import pkgutil
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -24,17 +26,93 @@ from wattloom.session import ship
 
 MIN_COVERAGE = 0.8
 
-# Well-known license notices.
-TEMPLATES = {
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-}
+_FILES = "Apache-2.0 Artistic-1.0-Perl CC0-1.0 CC-BY-SA-3.0 CC-BY-SA-4.0 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 MPL-1.1 MPL-2.0"
+
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+_NO_FEE = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_AUTHOR = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+]
+_HEADER = "This {} is free software{} you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation{} {}version {} of the License{}"
+_APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+_AGPL = "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software. This Corresponding Source shall include the Corresponding Source for any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph."
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to http://unlicense.org/"
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+def _known() -> tuple[dict[str, str], dict[str, tuple[str, ...]]]:
+    """Templates, and the phrases of a template that must stand in the text word for word."""
+    whole = {name: pkgutil.get_data("wattloom.llm", f"license_texts/{name}.txt").decode() for name in _FILES.split()}
+    whole |= {
+        "MIT": f"{_GRANT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}",
+        "MIT-0": f"{_GRANT}. {_AS_IS}",
+        "ISC": f"{_NO_FEE}, provided that the above copyright notice and this permission notice appear in all copies. {_AUTHOR}",
+        "0BSD": f"{_NO_FEE}. {_AUTHOR}",
+        "BSD-2-Clause": f"{_BSD[0]} {_BSD[3]}",
+        "BSD-3-Clause": f"{_BSD[0]} 3. {_BSD[2]} {_BSD[3]}",
+        "BSD-4-Clause": f"{_BSD[0]} 3. {_BSD[1]} 4. {_BSD[2]} {_BSD[3]}",
+        "Unlicense": _UNLICENSE,
+        "Zlib": _ZLIB,
+        "AGPL-3.0-section-13": _AGPL,
+    }
+    naming: dict[str, tuple[str, ...]] = {
+        "GPL-3.0": ("use with the gnu affero general public license",),
+        "ISC": ("appear in all copies",),
+        "BSD-3-Clause": ("endorse or promote products",),
+        "BSD-4-Clause": ("advertising materials mentioning features",),
+    }
+    short: dict[str, str] = {}
+
+    def add(key: str, text: str, *phrases: str) -> None:
+        short[key], naming[key] = text, phrases
+
+    add("Apache-2.0-header", _APACHE, "apache license version 2 0")
+    add("MPL-2.0-header", _MPL, "mozilla public license v 2 0")
+    for v in ("1.1", "2.0"):
+        add(f"Apache-{v}-notice", f"Licensed under the Apache License, Version {v}.", f"apache license version {v}")
+    for v in ("1.1", "2.0"):
+        add(f"MPL-{v}-notice", f"Licensed under the Mozilla Public License, Version {v}.", f"mozilla public license version {v}")
+    for v in ("1.0", "2.0"):
+        add(f"EPL-{v}-notice", f"Licensed under the Eclipse Public License, Version {v}.", f"eclipse public license version {v}")
+    add("BSL-1.0-notice", "Distributed under the Boost Software License, Version 1.0.", "boost software license version 1 0")
+    for name in ("MIT", "BSD", "ISC", "Zlib", "WTFPL"):
+        add(f"{name}-notice", f"Released under the {name} License.", name)
+    add("Unlicense-notice", "Released under the Unlicense.", "unlicense")
+    for n in (2, 3, 4):
+        add(f"BSD-{n}-Clause-notice", f"Released under the BSD {n}-Clause License.", f"bsd {n} clause")
+    gnu = [("GPL", "GNU General Public License", "1 2 3"), ("LGPL", "GNU Library General Public License", "2"), ("LGPL", "GNU Lesser General Public License", "2 2.1 3"), ("AGPL", "GNU Affero General Public License", "1 3"), ("GFDL", "GNU Free Documentation License", "1.1 1.2 1.3")]
+    for short_name, name, versions in gnu:
+        for v in versions.split():
+            key = f"{short_name}-{v if '.' in v else v + '.0'}"
+            form = " library" if "Library" in name else ""
+            add(f"{key}-notice{form}", f"This work is licensed under the {name}, version {v}.", f"{name} version {v}")
+            if short_name != "GFDL":
+                kind = "library" if short_name == "LGPL" and v < "3" else "program"
+                add(f"{key}-header or-later{form}", _HEADER.format(kind, ":", name, ",", "either ", v, ", or (at your option) any later version."), name, f"version {v} of")
+                add(f"{key}-header only{form}", _HEADER.format(kind, ":", name, ",", "", v, "."), name, f"version {v} of")
+    parts = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+    cc = [f"{c}-{v}" for c in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("1.0", "2.0", "2.5", "3.0", "4.0")]
+    for c in cc:
+        *kinds, v = c.split("-")
+        long = "-".join(parts[k] for k in kinds) + f" {v}"
+        add(f"CC-{c}-notice", f"Licensed under CC {'-'.join(kinds)} {v}.", f"cc {c}")
+        add(f"CC-{c}-notice long", f"This work is licensed under a Creative Commons {long} International License.", f"commons {long}")
+    add("CC0-1.0-notice", "Licensed under CC0 1.0.", "cc0 1 0")
+    tags = [*_FILES.split(), "MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "Unlicense", "Zlib", "AGPL-3.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "Apache-1.1", "WTFPL", *(f"CC-{c}" for c in cc)]
+    for tag in dict.fromkeys(tags):
+        add(f"{tag}-tag", f"SPDX-License-Identifier: {tag}", f"identifier {tag}")
+    return whole | short, naming
+
+
+#: Whole license texts, headers, notices and SPDX tags. A key is the name that
+#: is put out, and after a blank the form where a name has several.
+TEMPLATES, NAMING = _known()
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -90,11 +168,26 @@ class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
         self.coverage = coverage
         _, _, _, h, first = tx.words(list(templates.values()))
-        self.templates = [(name, h[a:b].tolist()) for name, a, b in zip(templates, first[:-1], first[1:]) if b > a]
+        self.templates = [(name.split(" ")[0], h[a:b].tolist(), self._places(name, h[a:b].tolist())) for name, a, b in zip(templates, first[:-1], first[1:]) if b > a]
         self.known = np.unique(h)
+        #: Words by templates: how often a template has a word.
+        self.counts = np.zeros((len(self.known), len(self.templates)), np.int32)
+        for t, (_, words, _) in enumerate(self.templates):
+            np.add.at(self.counts[:, t], np.searchsorted(self.known, np.array(words, np.uint64)), 1)
+        self.least = coverage * self.counts.sum(0)
+
+    @staticmethod
+    def _places(name: str, words: list[int]) -> list[tuple[int, int]]:
+        """Where the naming phrases stand in a template."""
+        out = []
+        for phrase in NAMING.get(name, ()):
+            want = tx.words([phrase])[3].tolist()
+            out += [(i, i + len(want)) for i in range(len(words) - len(want) + 1) if words[i : i + len(want)] == want][:1]
+        return out
 
     def find(self, texts: list[str]) -> list[tuple]:
-        """(text, license, coverage, first word, end word) of every aligned template."""
+        """(text, license, coverage, first word, end word) of every license: its best place
+        among those that no better template takes."""
         _, _, _, h, first = tx.words(texts)
         if not len(h) or not len(self.known):
             return []
@@ -104,50 +197,84 @@ class Scanner:
         out = []
         for i in range(len(texts)):
             places = hits[bounds[i] : bounds[i + 1]]
-            here = Counter(h[places].tolist())
-            for name, words in self.templates:
-                if sum((Counter(words) & here).values()) < self.coverage * len(words):
-                    continue
-                own = np.isin(h[places], np.array(words, np.uint64))
-                spots = places[own]  # words outside the template match nothing: only its own are aligned
-                best = self._best(h[spots].tolist(), spots, words)
-                if best and best[0] >= self.coverage:
-                    out.append((i, name, round(best[0], 6), int(best[1] - first[i]), int(best[2] - first[i])))
+            if not len(places):
+                continue
+            here, n = np.unique(at[places], return_counts=True)
+            shared = np.minimum(self.counts[here], n[:, None]).sum(0)
+            found = []
+            for t in np.flatnonzero(shared >= self.least).tolist():
+                name, words, naming = self.templates[t]
+                for matched, a, b in self._find(h[first[i] : first[i + 1]], places - first[i], words, naming):
+                    if matched >= self.coverage * len(words):
+                        found.append((2 * matched - len(words), matched / len(words), a, b, name))
+            out += [(i, *row) for row in self._best(found, int(first[i + 1] - first[i]))]
         return out
 
     @staticmethod
-    def _best(text: list[int], spots: np.ndarray, words: list[int]) -> tuple[float, int, int] | None:
-        """Best coverage over dense stretches: words of a license stand near each other, so
-        the text is divided where the gap between its template words is over the template's
-        length, and a stretch longer than two templates is searched in overlapping parts."""
-        best = None
-        cuts = [0, *(np.flatnonzero(np.diff(spots) > len(words)) + 1).tolist(), len(text)]
+    def _best(found: list[tuple], size: int) -> list[tuple]:
+        """Of places that share over half of the words, the template with the most matched
+        less missed words; of each license the best place that is left."""
+        taken = np.zeros(size, bool)
+        best: dict[str, tuple] = {}
+        for _, share, a, b, name in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3], f[4])):
+            if 2 * np.count_nonzero(taken[a:b]) > b - a:
+                continue
+            taken[a:b] = True
+            if name not in best or share > best[name][1]:
+                best[name] = (name, round(share, 6), a, b)
+        return list(best.values())
+
+    @staticmethod
+    def _find(text: np.ndarray, places: np.ndarray, words: list[int], naming: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+        """(matched words, first word, end word) of the template's places.
+
+        With naming phrases: around each place of the first one, all of them aligned whole.
+        Else over dense stretches: words of a license stand near each other, so the text is
+        divided where the gap between its template words is over the template's length, and
+        a stretch longer than two templates is searched in overlapping parts."""
+        if naming:
+            i, j = naming[0]
+            starts = places[text[places] == words[i]]
+            for k in range(1, j - i):
+                starts = starts[starts + k < len(text)]
+                starts = starts[text[starts + k] == words[i + k]]
+            slack = max(2, len(words) // 4)
+            for p in starts.tolist():
+                lo = max(0, p - i - slack)
+                left = align(text[lo:p].tolist(), words[:i])
+                right = align(text[p + j - i : p + len(words) - i + slack].tolist(), words[j:])
+                pairs = [*((lo + x, y) for x, y in left), *((p + k, i + k) for k in range(j - i)), *((p + j - i + x, j + y) for x, y in right)]
+                where = {y: x for x, y in pairs}
+                if all(where.get(y, -1) == where.get(a, -1) + y - a >= 0 for a, b in naming for y in range(a, b)):
+                    yield len(pairs), pairs[0][0], pairs[-1][0] + 1
+            return
+        own = np.isin(text[places], np.array(words, np.uint64))
+        spots = places[own]  # words outside the template match nothing: only its own are aligned
+        known = text[spots].tolist()
+        cuts = [0, *(np.flatnonzero(np.diff(spots) > len(words)) + 1).tolist(), len(known)]
         for a, b in zip(cuts, cuts[1:]):
             step = 2 * len(words)
             for lo in range(a, max(a + 1, b - len(words)), len(words)):
                 hi = min(b, lo + step)
                 if hi - lo < len(words) // 2:
                     continue
-                pairs = align(text[lo:hi], words)
+                pairs = align(known[lo:hi], words)
                 if pairs:
-                    got = (len(pairs) / len(words), int(spots[lo + pairs[0][0]]), int(spots[lo + pairs[-1][0]]) + 1)
-                    if best is None or got[0] > best[0]:
-                        best = got
-        return best
+                    yield len(pairs), int(spots[lo + pairs[0][0]]), int(spots[lo + pairs[-1][0]]) + 1
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = MIN_COVERAGE) -> DataFrame:
-    """(doc_id, license, coverage, first_word, end_word) of every document and template
-    with at least that coverage: the best place of the template in the document.
+    """(doc_id, license, coverage, first_word, end_word) of every document and license
+    with at least that coverage: its best place in the document that no better template
+    takes. The naming words of a template (license, version) must stand in the text.
 
     Words are lower-cased runs of letters and numbers. Null and empty texts give no rows,
     repeated rows repeated ones; extra columns are ignored; no rows give no rows. The
     templates are a fixed list sent with the task."""
     ship(docs.sparkSession)
-    templates = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, coverage)
+        scanner = Scanner(TEMPLATES if templates is None else templates, coverage)
         kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
