@@ -341,6 +341,23 @@ def test_short_blocks_inherit_without_an_article():
     assert html_extract.main_text(page).split("\n") == [good, "And short it is.", good]
 
 
+def test_article_marks_are_a_prior_alone():
+    good = "It is the kind of text that a reader of the page would want to see, as it has many of the words that are in the language, and it is long enough for the rules to be sure of it and to keep it here."
+    teaser = "<article><p>A teaser of the day that is for the reader of this page and no more than that is.</p></article>"
+    assert html_extract.main_text(f"<body>{teaser}<div>{good}</div><div>{good}</div><div>{good}</div></body>").split("\n")[-3:] == [good] * 3
+    code = "for (int k = 0; k < n; k++) { total[k] += weight[k] * value[k]; count[k]++; queue.push(k); }"
+    assert html_extract.main_text(f"<body><p>{good}</p><pre>{code}</pre><p>{good}</p></body>").split("\n") == [good, code, good]
+    assert html_extract.main_text(f"<body><pre>{code}</pre></body>") == code
+    shop = "Widget Gadget Gizmo 3000 Super Deluxe Edition Sale Price Discount Offer Shipping Free Returns Guarantee"
+    assert html_extract.main_text(f"<body><p>{good}</p><div>{shop}</div><p>{good}</p></body>").split("\n") == [good, good]
+
+
+@pytest.mark.parametrize("body", ["Это длинный абзац обычного русского текста, который читатель страницы хотел бы прочитать целиком и без пропусков.", "這是一個足夠長的段落,讀者希望完整地閱讀它,而不會遺漏任何內容,因為它是頁面的正文。", "Ten akapit jest wystarczająco długi, żeby czytelnik strony chciał przeczytać go w całości, bez żadnych braków."])
+def test_languages_without_a_word_list(body):
+    page = f"<body><nav><a href=a>One</a></nav><div>{body}</div><div><a href=x>{body}</a></div><div>{body}</div><footer>{body}</footer></body>"
+    assert html_extract.main_text(page).split("\n") == [body, body]
+
+
 def test_pages_of_the_fixture(spark, sf):
     pages = {r["page_id"]: r["html"] for r in queries.table(spark, sf, "pages").collect()}
     import html

@@ -3,8 +3,10 @@
 Pass one labels each text block by itself: blocks inside page furniture (menus, headers,
 footers, sidebars, notices, adverts, forms, comments) are bad; else link density, length
 and stop-word density decide between good, bad and, for short blocks, undecided. Pass two
-gives each undecided block the label of its nearest decided neighbours. A page that marks
-its article is searched inside it: there only links and furniture make a block bad.
+gives each undecided block the label of its nearest decided neighbours. An article mark is
+a prior for undecided blocks alone, and only where the marked part holds most of the good
+text. Where the stop-word lists say nothing (a page with few of any listed language, a block
+in another script) length and link density decide.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from wattloom.session import ship
 #: Characters under which a block alone decides nothing, and above which few stop words do.
 SHORT, LONG = 70, 200
 MAX_LINKS, STOP_LOW, STOP_HIGH = 0.4, 0.1, 0.2
+#: Link density above which a block with few stop words is bad anywhere.
+FEW_LINKS = 0.2
 
 # Element names and name parts of page furniture.
 RAW = frozenset("script style textarea title noscript template iframe svg math object select button xmp noembed noframes".split())
@@ -30,11 +34,13 @@ FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body caption center col colgroup dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus reply replies respond share sharing social related recommended trending widget skip search copyright".split())
+DATA = frozenset("pre td th li dd".split())  # code, tables and lists have few stop words by nature
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 
 _TAG = re.compile(r"<(?:!--(.*?)(?:-->|$)|([!?][^>]*)>|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_STOP_OF = {k: frozenset(ws) for k, ws in COMMON_WORDS.items()}
 _STOP = frozenset(w for ws in COMMON_WORDS.values() for w in ws)
 _IMPLIED = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -56,7 +62,7 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
 
 def blocks(page: str) -> list[dict]:
     """Text blocks in page order: text, links (characters in links), bad (in furniture),
-    article (in a marked article)."""
+    article (in a marked article), data (in code, a table or a list)."""
     out: list[dict] = []
     parts: list[str] = []
     links = 0
@@ -72,7 +78,7 @@ def blocks(page: str) -> list[dict]:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            out.append({"text": text, "links": links, "bad": furniture(), "article": article()})
+            out.append({"text": text, "links": links, "bad": furniture(), "article": article(), "data": any(t in DATA for t, _, _ in open_tags)})
         parts.clear()
         links = 0
 
@@ -117,57 +123,93 @@ def blocks(page: str) -> list[dict]:
     return out
 
 
+def _size(text: str) -> int:
+    """Characters; one of a wide script (from U+2E80 on) says as much as three."""
+    return len(text) if text.isascii() else len(text) + 2 * sum(c >= "\u2e80" for c in text)
+
+
+def _foreign(text: str) -> bool:
+    """Whether most letters are not Latin: no listed language can match."""
+    if text.isascii():
+        return False
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c >= "\u0250" and not "\u1e00" <= c <= "\u1eff" for c in letters) > len(letters)
+
+
 def label(found: list[dict]) -> list[bool]:
     """Whether each block belongs to the main text."""
-    marked = any(b["article"] and not b["bad"] for b in found)
-    first: list[bool | None] = []
-    for b in found:
-        size = len(b["text"])
-        density = b["links"] / size
-        words = _WORD.findall(b["text"].lower())
-        stop = sum(w in _STOP for w in words) / len(words) if words else 0.0
-        if b["bad"] or density > MAX_LINKS or marked and not b["article"]:
-            first.append(False)
-        elif size < SHORT:
-            first.append(None if density == 0 or marked else False)
-        elif marked or stop >= STOP_HIGH or size > LONG and stop >= STOP_LOW:
-            first.append(True)
-        else:
-            first.append(None if stop >= STOP_LOW else False)
+    words = [_WORD.findall(b["text"].lower()) for b in found]
+    open_blocks = [i for i, b in enumerate(found) if not b["bad"] and b["links"] <= MAX_LINKS * len(b["text"])]
+    total = sum(len(words[i]) for i in open_blocks)
+    counts = [sum(w in _STOP_OF[k] for i in open_blocks for w in words[i]) for k in _STOP_OF]
+    unlisted = max(counts) < STOP_LOW * total
+    first: list[bool | None] = [False] * len(found)
+    few: list[int] = []  # long enough, few links, few stop words
+    for i in open_blocks:
+        b, size = found[i], _size(found[i]["text"])
+        stop = sum(w in _STOP for w in words[i]) / len(words[i]) if words[i] else 0.0
+        density = b["links"] / len(b["text"])
+        if size < SHORT:
+            first[i] = None if density == 0 or b["article"] else False
+        elif stop >= STOP_HIGH or size > LONG and stop >= STOP_LOW:
+            first[i] = True
+        elif stop >= STOP_LOW:
+            first[i] = None
+        elif density <= FEW_LINKS:
+            if unlisted or _foreign(b["text"]):
+                first[i] = True
+            else:
+                few.append(i)
+                first[i] = None
+    good = [i for i in open_blocks if first[i]] or open_blocks
+    inside = sum(_size(found[i]["text"]) for i in good if found[i]["article"])
+    marked = 2 * inside >= sum(_size(found[i]["text"]) for i in good) > 0
+    for i in few:
+        if not (found[i]["data"] or marked and found[i]["article"]):
+            first[i] = False
+    if not marked:
+        for i in open_blocks:
+            if first[i] is None and found[i]["links"] and _size(found[i]["text"]) < SHORT:
+                first[i] = False
     return _inherit(found, first, marked)
 
 
+def _nearest(use: list[bool | None]) -> list[tuple[int | None, int | None]]:
+    """The nearest decided places on both sides of each place."""
+    out: list[list[int | None]] = [[None, None] for _ in use]
+    for side, order in ((0, range(len(use))), (1, range(len(use) - 1, -1, -1))):
+        last = None
+        for i in order:
+            if use[i] is not None:
+                last = i
+            out[i][side] = last
+    return [tuple(x) for x in out]
+
+
 def _inherit(found: list[dict], first: list[bool | None], marked: bool) -> list[bool]:
     """Labels of undecided blocks from the nearest decided neighbour on each side; when
-    they differ, the nearer one, and the article's on a tie. Furniture is no neighbour in a
-    marked article, whose undecided blocks are good where no neighbour decides."""
-    use = [x if x is None or not (marked and not (b["article"] and not b["bad"])) else None for x, b in zip(first, found)]
-    n = len(use)
-    before, after = [None] * n, [None] * n
-    last = None
-    for i in range(n):
-        if use[i] is not None:
-            last = i
-        before[i] = last
-    last = None
-    for i in range(n - 1, -1, -1):
-        if use[i] is not None:
-            last = i
-        after[i] = last
+    they differ, the nearer one. In a marked article only its own blocks are neighbours, and
+    ties and blocks without neighbours are good; on a marked page outside of it they are
+    bad, on other pages ties are good."""
+    inner = [marked and b["article"] and not b["bad"] for b in found]
+    everywhere = _nearest(first)
+    within = _nearest([x if y else None for x, y in zip(first, inner)]) if marked else everywhere
     out = []
     for i, x in enumerate(first):
         if x is not None:
             out.append(x)
             continue
-        a, b = before[i], after[i]
+        a, b = within[i] if inner[i] else everywhere[i]
         if a is None and b is None:
-            out.append(marked)
+            out.append(inner[i])
         elif a is None or b is None:
-            out.append(bool(use[b if a is None else a]))
-        elif use[a] == use[b]:
-            out.append(bool(use[a]))
+            out.append(bool(first[b if a is None else a]))
+        elif first[a] == first[b]:
+            out.append(bool(first[a]))
+        elif i - a == b - i:
+            out.append(inner[i] or not marked)
         else:
-            out.append(bool(use[a]) if i - a < b - i else bool(use[b]) if b - i < i - a else True)
+            out.append(bool(first[a if i - a < b - i else b]))
     return out
 
 
