@@ -406,6 +406,30 @@ def test_salvage_after_damage(pack):
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_inside_members():
+    one = [warc.record(i, f"http://x/{i}", random.Random(i).randbytes(300).hex().encode(), None, False) for i in range(6)]
+    raw = b"".join(one)
+    ids = lambda rows: [r["page_id"] for r in rows if not r["gap"]]
+    gaps = lambda rows: [(r["position"], r.get("inner"), r.get("inner_size"), r["gap"]) for r in rows if r["gap"]]
+    assert ids(warc.salvage(gzip_member(raw))) == list(range(6)) and not gaps(warc.salvage(gzip_member(raw)))
+    for k in (0, 2, 5):  # a record damaged before it was packed
+        bad = bytearray(raw)
+        bad[sum(map(len, one[:k])) + len(one[k]) - 50] ^= 0xFF
+        rows = list(warc.salvage(gzip_member(one[0]) + gzip_member(bytes(bad)) + gzip_member(one[5])))
+        assert ids(rows) == [0, *(i for i in range(6) if i != k), 5]
+        assert gaps(rows) == [(len(gzip_member(one[0])), sum(map(len, one[:k])), len(one[k]), "block digest")]
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    plain = stored.compress(raw) + stored.flush()
+    for packed in (gzip_member(raw), plain):
+        for cut in (packed[: len(packed) * 3 // 4], packed[: len(packed) * 3 // 4] + gzip_member(one[5])):
+            rows = list(warc.salvage(cut))
+            assert ids(rows)[:4] == [0, 1, 2, 3] and len(gaps(rows)) == 1
+            assert ids(rows)[4:] in ([], [4], [5], [4, 5]) and (5 in ids(rows)) == (cut[-20:] == gzip_member(one[5])[-20:])
+        torn = packed[:-8] + bytes(8)  # only the check sum is wrong
+        rows = list(warc.salvage(torn + gzip_member(one[3])))
+        assert ids(rows) == [*range(6), 3] and [g[3] for g in gaps(rows)] == ["member"]
+
+
 # ---- chat
 def test_escape_is_reversible():
     for s in ("<|im_end|>", "<␛|x", "<␛␛|<|", "plain", "<", "|<|"):

@@ -28,7 +28,7 @@ FEED = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
-RECORD = "archive string, position long, size long, gap string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+RECORD = "archive string, position long, size long, inner long, inner_size long, gap string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
 def _record_id(page_id: int | None) -> str:
@@ -105,10 +105,13 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _MEMBER = b"\x1f\x8b\x08"
+_FIELD = re.compile(rb"(?:WARC|Content|X)-[A-Za-z-]+:[^\x00-\x1f]*\r\n", re.I)
 
 
-def _parse(raw: bytes, start: int) -> tuple[int, dict | None, str]:
-    """The record of raw at start: its end, its fields, or None and what failed."""
+def _parse(raw: bytes, start: int, strict: bool = False) -> tuple[int, dict | None, str]:
+    """The record of raw at start: its end, its fields, or None and what failed.
+
+    strict is for bytes whose own check failed: fields must be whole, digests must be there."""
     m = _VERSION.match(raw, start)
     if not m:
         return start, None, "no version line"
@@ -134,6 +137,12 @@ def _parse(raw: bytes, start: int) -> tuple[int, dict | None, str]:
     revisit = head.get("warc-type") == "revisit"
     if not revisit and kind == "sha256" and hashlib.sha256(payload).hexdigest() != digest.lower():
         return start, None, "payload digest"
+    if strict:
+        fields = raw[m.end() : split.start()] + b"\r\n"
+        if "".join(f.decode("latin-1") for f in _FIELD.findall(fields)) != fields.decode("latin-1"):
+            return start, None, "header"
+        if head.get("warc-block-digest", "").partition(":")[0] not in ("sha256", "sha1") or not revisit and kind not in ("sha256", ""):
+            return start, None, "no digest"
     number = lambda k: int(head[k]) if re.fullmatch(r"-?\d+", head.get(k, "")) else None
     tail = re.compile(rb"(?:\r?\n){0,2}").match(raw, end)
     url = head.get("warc-target-uri")
@@ -148,52 +157,108 @@ def _parse(raw: bytes, start: int) -> tuple[int, dict | None, str]:
     }, ""
 
 
+def _unpack(content: bytes, pos: int) -> tuple[bytes, int, str]:
+    """What the gzip member at pos holds as far as it can be read, where reading ended, and
+    what failed."""
+    unpack = zlib.decompressobj(31)
+    parts: list[bytes] = []
+    end = pos
+    try:
+        while end < len(content) and not unpack.eof:
+            parts.append(unpack.decompress(content[end : end + FEED]))
+            end = min(len(content), end + FEED)
+    except zlib.error:
+        # the failed step gave nothing: read up to it again, and then byte by byte
+        unpack = zlib.decompressobj(31)
+        for at in range(pos, end, FEED):
+            unpack.decompress(content[at : at + FEED])
+        try:
+            while end < len(content):
+                parts.append(unpack.decompress(content[end : end + 1]))
+                end += 1
+        except zlib.error:
+            pass
+        return b"".join(parts), end, "member"
+    return b"".join(parts), end - len(unpack.unused_data), "" if unpack.eof else "member cut short"
+
+
+def _inside(raw: bytes, failed: str) -> Iterator[tuple[int, int, dict | None, str]]:
+    """(start, end, fields, failure) of the records and gaps in a member's bytes; failed is
+    why the bytes end early."""
+    at, gap_at, why = 0, None, ""
+    while at < len(raw):
+        end, fields, failure = _parse(raw, at, failed == "member")
+        if fields is None:
+            if gap_at is None:
+                gap_at, why = at, failure
+            version = _VERSION.search(raw, at + 1)
+            at = version.start() if version else len(raw)
+            continue
+        if gap_at is not None:
+            yield gap_at, at, None, why
+            gap_at = None
+        yield at, end, fields, ""
+        at = end
+    if failed or gap_at is not None:
+        yield len(raw) if gap_at is None else gap_at, len(raw), None, failed or why
+
+
+def _next(content: bytes, pos: int, end: int, seen: set[bytes]) -> int:
+    """Where the search goes on after a broken member at pos that was read until end, which
+    may be past its own end: the next member or version line. Of records that stand before
+    end as they are, those with digests in seen are the member's own (stored blocks)."""
+    at = pos + 1
+    member = content.find(_MEMBER, at)
+    while True:
+        version = _VERSION.search(content, at)
+        start = version.start() if version else len(content)
+        if 0 <= member <= start:
+            return member
+        if start >= end:
+            return start
+        at, fields, _ = _parse(content, start)
+        if fields and hashlib.sha256(content[start:at].rstrip()).digest() not in seen:
+            return start
+        at = max(at, start + 1)
+        if 0 <= member < at:
+            member = content.find(_MEMBER, at)
+
+
 def salvage(content: bytes) -> Iterator[dict]:
     """Every record of an archive, plain or gzip, and every quarantined gap of bytes.
 
     After a failed check the search goes on, one byte behind the start of the failed
-    record, at the next gzip member or version line; later records are recovered. A gap has
-    position, size and the first failure as gap; all other fields are None."""
+    record, at the next gzip member or version line; later records are recovered. Inside a
+    member the same search runs over its decompressed bytes, also over those read before
+    the member broke off or failed its check sum: there a record needs right digests and
+    whole header fields, and a wrong byte in a field's value shows in the member's gap row
+    alone. A gap has position, size and the first failure as gap; records and gaps inside a
+    member have the member's position and size, and their own place in its decompressed
+    bytes as inner and inner_size. All other fields of a gap are None."""
     pos, gap_at, why = 0, None, ""
     while pos < len(content):
-        failure = ""
-        end, found = pos, []
+        rows: list[dict] = []
         if content.startswith(_MEMBER, pos):
-            unpack = zlib.decompressobj(31)
-            parts = []
-            end = pos
-            try:
-                while end < len(content) and not unpack.eof:
-                    parts.append(unpack.decompress(content[end : end + FEED]))
-                    end = min(len(content), end + FEED)
-                raw = b"".join(parts)
-                if not unpack.eof:
-                    failure = "member cut short"
-                end -= len(unpack.unused_data)
-                at = 0
-                while not failure and at < len(raw):
-                    at, fields, failure = _parse(raw, at)
-                    if fields:
-                        found.append(fields)
-            except zlib.error:
-                failure = "member"
+            raw, end, broken = _unpack(content, pos)
+            inside = list(_inside(raw, broken))
+            failure = broken or next((f for *_, f in inside if f), "")
+            if any(fields for _, _, fields, _ in inside):
+                rows = [{"inner": a, "inner_size": z - a, "gap": f or None} | (fields or {}) for a, z, fields, f in inside]
+            if broken:
+                end = _next(content, pos, end, {hashlib.sha256(raw[a:z].rstrip()).digest() for a, z, fields, _ in inside if fields})
         else:
             end, fields, failure = _parse(content, pos)
-            found = [fields] if fields else []
-        if failure and not found:
-            if gap_at is None:
-                gap_at, why = pos, failure
-            version = _VERSION.search(content, pos + 1)
-            starts = [content.find(_MEMBER, pos + 1), version.start() if version else -1]
-            pos = min((x for x in starts if x >= 0), default=len(content))
-            continue
-        if gap_at is not None:
+            if fields:
+                rows = [{"gap": None} | fields]
+            else:
+                end = _next(content, pos, pos, set())
+        if rows and gap_at is not None:
             yield {"position": gap_at, "size": pos - gap_at, "gap": why}
             gap_at = None
-        for fields in found:
-            yield {"position": pos, "size": end - pos, "gap": None} | fields
-        if failure:
-            yield {"position": pos, "size": end - pos, "gap": failure}
+        if not rows and gap_at is None and failure:
+            gap_at, why = pos, failure
+        for row in rows:
+            yield {"position": pos, "size": end - pos} | row
         pos = end
     if gap_at is not None:
         yield {"position": gap_at, "size": len(content) - gap_at, "gap": why}
