@@ -41,6 +41,16 @@ def test_twin(spark, sf, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["w1_stream_demand", "w2_sliding_mean", "w3_sessions"])
+def test_streams_of_shuffled_part_files(spark, sf, duck, tmp_path, name):
+    spark.read.parquet(f"{sf}/events.parquet").repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    df = meter.QUERIES[name](spark, str(tmp_path))
+    got = collections.Counter(tuple(norm(r[c]) for c in df.columns) for r in df.collect())
+    q = duck.execute(meter.ORACLE[name])
+    at = [[d[0] for d in q.description].index(c) for c in df.columns]
+    assert got == collections.Counter(tuple(norm(r[i]) for i in at) for r in q.fetchall())
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as e
 

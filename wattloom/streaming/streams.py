@@ -13,10 +13,17 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from wattloom.session import checkpoint_dir
 
 
-def read_events(spark: SparkSession, sf: str, files_per_trigger: int = 1) -> DataFrame:
-    """The events table as a stream of files."""
+def read_events(spark: SparkSession, sf: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The events table as a stream of files.
+
+    Without a limit availableNow takes all present files in one batch: part files need no
+    order in time, as the watermark moves only after the batch. With a limit, rows behind
+    the watermark of earlier files are late."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf}/events.parque*")
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    e = reader.parquet(f"{sf}/events.parque*")
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
