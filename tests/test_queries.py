@@ -6,6 +6,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from wattloom import queries as meter
@@ -51,6 +52,16 @@ def test_streams_of_shuffled_part_files(spark, sf, duck, tmp_path, name):
     assert got == collections.Counter(tuple(norm(r[i]) for i in at) for r in q.fetchall())
 
 
+def test_mahalanobis_counts_every_row(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", "embedding").collect()
+    x = np.array([r["embedding"][:8] for r in rows], float)
+    c = x - x.mean(0)
+    far = ((c @ np.linalg.pinv(np.cov(x.T, ddof=0))) * c).sum(1)
+    want = collections.Counter(r["label"] for r, f in zip(rows, far) if f > np.percentile(far, 99))
+    got = {r["label"]: (r["n"], r["outside"]) for r in meter.QUERIES["r4_mahalanobis"](spark, sf).collect()}
+    assert got == {k: (n, want[k]) for k, n in collections.Counter(r["label"] for r in rows).items()}
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as e
 

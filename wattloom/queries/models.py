@@ -87,6 +87,7 @@ def m34(spark, sf):
 
 @register("r4_mahalanobis", "label:i n:i outside:i")
 def r4(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
-    d, limit = iv.mahalanobis(e.where("vec_id % 5 <> 0"), e, [f"e{i}" for i in range(4)])
+    x = [f"e{i}" for i in range(8)]
+    e = table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(x)])
+    d, limit = iv.mahalanobis(e, e, x)
     return d.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("maha") > limit).alias("outside"))
