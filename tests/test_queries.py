@@ -62,6 +62,15 @@ def test_mahalanobis_counts_every_row(spark, sf):
     assert got == {k: (n, want[k]) for k, n in collections.Counter(r["label"] for r in rows).items()}
 
 
+def test_kmeans_check_of_every_k(spark, sf):
+    rows = meter.QUERIES["m27_kmeans_check"](spark, sf).collect()
+    assert [r["k"] for r in rows] == [2, 3, 4, 5, 6] and all(-1 <= r["ari"] <= 1 for r in rows)
+    from wattloom.operators import models as ml
+
+    d = spark.createDataFrame([(float(10 * c + i % 3), c) for c in range(3) for i in range(30)], "x double, c int")
+    assert {k: ari for k, _, _, ari in ml.kmeans_check(d, ["x"], [3], "c")} == {3: 1.0}
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as e
 

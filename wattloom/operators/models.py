@@ -18,6 +18,8 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicR
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.operators.stats import adjusted_rand
+
 Names = Sequence[str]
 
 
@@ -124,13 +126,14 @@ def mixture_regimes(train: DataFrame, df: DataFrame, features: Names, level: str
     return pipe.transform(df).join(F.broadcast(stats.select("cluster", name.alias("regime"))), "cluster", "left").drop("_x", "features", "_p")
 
 
-def kmeans_check(df: DataFrame, features: Names, ks: Sequence[int], seed: int = 7) -> list[tuple[int, float, float]]:
-    """(k, cost, silhouette by squared distance) for each k."""
-    x = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="features", withMean=True)]).fit(df).transform(df).select("features")
+def kmeans_check(df: DataFrame, features: Names, ks: Sequence[int], label: str, seed: int = 7) -> list[tuple[int, float, float, float | None]]:
+    """(k, cost, silhouette by squared distance, adjusted Rand index with label) for each k."""
+    x = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="features", withMean=True)]).fit(df).transform(df).select("features", F.col(label).alias("_label"))
     out = []
     for k in ks:
         m = KMeans(k=k, seed=seed).fit(x)
-        out.append((k, float(m.summary.trainingCost), float(ClusteringEvaluator().evaluate(m.transform(x)))))
+        t = m.transform(x)
+        out.append((k, float(m.summary.trainingCost), float(ClusteringEvaluator().evaluate(t)), adjusted_rand(t, "_label", "prediction").first()[0]))
     return out
 
 

@@ -68,10 +68,10 @@ def m26(spark, sf):
     return r.groupBy("regime").agg(F.count("*").alias("n"), F.avg("kw").alias("mean_kw"))
 
 
-@register("m27_kmeans_check", "k:i cost:f silhouette:f")
+@register("m27_kmeans_check", "k:i cost:f silhouette:f ari:f")
 def m27(spark, sf):
-    e = table(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return spark.createDataFrame(ml.kmeans_check(cut(e), [f"e{i}" for i in range(8)], (2, 3, 4)), "k int, cost double, silhouette double")
+    e = table(spark, sf, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+    return spark.createDataFrame(ml.kmeans_check(cut(e), [f"e{i}" for i in range(8)], range(2, 7), "label"), "k int, cost double, silhouette double, ari double")
 
 
 @register("m28_rule_leaves", "leaf:f n:i rate:f lift:f")
