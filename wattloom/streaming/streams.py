@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from wattloom.session import checkpoint_dir
+from wattloom.session import scratch
 
 
 def read_events(spark: SparkSession, sf: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -123,7 +122,7 @@ def stateful(rows: DataFrame, processor: StatefulProcessor, schema: str, late: s
 def run_now(stream: DataFrame, finish: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """Process what is there, in the shared folder, and give the written table."""
     spark = stream.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid4().hex}"
+    base = scratch(spark, "stream")
     q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return finish(spark.read.schema(stream.schema).parquet(f"{base}/out"))
