@@ -96,20 +96,30 @@ def test_quality_counts_against_brute_force(odd, docs):
             assert not (r["base_failed"] and r["kept"])
 
 
-def test_quality_twin(spark, sf):
-    c = duckdb.connect()
-    for f in glob.glob(f"{sf}/*.parquet"):
-        c.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
-    names = sorted(queries.op1_divergence_rules(spark, sf).columns)
-    got = collections.Counter(tuple(r[n] for n in names) for r in queries.op1_divergence_rules(spark, sf).collect())
-    want = collections.Counter(c.sql(f"select {', '.join(names)} from ({quality.oracle_sql()})").fetchall())
-    assert got == want
+def test_quality_twin(spark, sf, tmp_path):
+    wide = "日本語の文章です。これは長い。" * 9
+    ref = queries.table(spark, sf, "documents")
+    own = spark.createDataFrame([(i, x, lang, "s", len(x)) for i, x in enumerate([wide, wide * 3, "🙂é " * 80, ""]) for lang in ("en", "ja")], DOCS)
+    ref.unionByName(own).write.parquet(str(tmp_path / "documents.parquet"))
+    for folder in (sf, str(tmp_path)):
+        c = duckdb.connect()
+        c.execute(f"create view documents as select * from '{folder}/documents.parquet{'' if folder == sf else '/*.parquet'}'")
+        df = queries.op1_divergence_rules(spark, folder)
+        names = sorted(df.columns)
+        got = collections.Counter(tuple(r[n] for n in names) for r in df.collect())
+        want = collections.Counter(c.sql(f"select {', '.join(names)} from ({quality.oracle_sql()})").fetchall())
+        assert got == want
+    for r in quality.measures(own).collect():
+        assert sum(r["chars"]) == r["n_text"]
+    assert quality.quality_rules(own.limit(0)).count() == 0 and quality.keep_good(own.limit(0)).count() == 0
 
 
 def test_quality_keeps_good_rows(spark, docs, sf):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
     labels = queries.table(spark, sf, "labels")
+    verdicts = collections.Counter((r["doc_id"], r["kept"]) for r in quality.quality_rules(docs).collect())
+    assert collections.Counter(r["doc_id"] for r in kept.collect()) == collections.Counter({k: n for (k, keep), n in verdicts.items() if keep})
     good = docs.join(labels.where("quality = 1"), "doc_id").count()
     assert kept.join(labels.where("quality = 1"), "doc_id").count() >= 0.9 * good
 
@@ -214,26 +224,49 @@ def test_decontamination_against_brute_force(spark, prose):
         rows.append((1000 + i, f"{prose[i % 60][1][:300]} {' '.join(words)} {prose[(i + 1) % 60][1][:300]}"))
 
     def distance(item, doc):
-        cost = [0] * (len(doc) + 1)
+        """Least edit distance of item to any part of doc: row by row over all of doc."""
+        cost, ramp = np.zeros(len(doc) + 1, np.int64), np.arange(len(doc) + 1)
         for i, w in enumerate(item, 1):
-            new = [i]
-            for j, d in enumerate(doc, 1):
-                new.append(min(cost[j - 1] + (w != d), cost[j] + 1, new[-1] + 1))
-            cost = new
-        return min(cost)
+            step = np.concatenate(([i], np.minimum(cost[:-1] + (doc != w), cost[1:] + 1)))
+            cost = np.minimum.accumulate(step - ramp) + ramp
+        return cost.min()
 
     split = lambda t: re.findall(r"[^\W_]+", t.lower())
-    want = {(d, i) for d, t in rows for i, x in items if len(t) < 2500 and distance(split(x), split(t)) <= int(0.2 * len(split(x)))}
+    cut = {d: np.array(split(t)) for d, t in rows}
+    want = {(d, i) for d in cut for i, x in items if len(cut[d]) and distance(split(x), cut[d]) <= int(0.2 * len(split(x)))}
     df = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    got = {(r["doc_id"], r["item_id"]) for r in df.collect() if len(dict(rows)[r["doc_id"]]) < 2500}
+    got = {(r["doc_id"], r["item_id"]) for r in df.collect()}
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 40
 
 
+def test_recall_at_every_length():
+    """Items edited up to the limit, one by one length in a mixed benchmark."""
+    rng = random.Random(9)
+    items = [(n * 10 + k, " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))) for n in (5, 7, 9, 10, 14, 25, 60) for k in range(8)]
+    match = decontam.Matcher(items, decontam.repetitions(items))
+    found, total = collections.Counter(), collections.Counter()
+    for k, t in items * 5:
+        words = t.split()
+        for _ in range(int(0.2 * len(words))):
+            at, kind = rng.randrange(len(words)), rng.randrange(3)
+            words[at : at + (kind != 1)] = [f"n{rng.randrange(10**6)}"] if kind != 2 else []
+        total[k // 10] += 1
+        found[k // 10] += any(i == k for _, i, *_ in match.find(["before it " + " ".join(words) + " after it"]))
+    assert all(found[n] >= 0.95 * total[n] for n in total)
+
+
+def test_lengths_beyond_the_walks_are_compared_exactly():
+    items = [(1, "a b c d e f g h i j")]
+    exact = decontam.Matcher(items, {10: 0})
+    assert [r[1:3] for r in exact.find(["x a b c y e f g h i j z"])] == [(1, 1)] and exact.find(["nothing of it"]) == []
+
+
 def test_decontamination_of_odd_rows(spark, odd):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "the same row twice of the day"), (None, "x")], "item_id long, text string")
     got = decontam.contaminated(odd, items).collect()
     assert [(r["doc_id"], r["item_id"], r["edits"]) for r in got] == [(7, 3, 0), (7, 3, 0)]
-    assert decontam.keep_clean(odd, items).count() == len(ODD) - 2
+    clean = decontam.keep_clean(odd, items)
+    assert clean.count() == len(ODD) - 2 and clean.columns == odd.columns
     assert decontam.contaminated(odd, items.limit(0)).count() == 0 and decontam.contaminated(odd.limit(0), items).count() == 0
 
 
@@ -517,10 +550,34 @@ def test_maximal_segments_against_brute_force():
             a, b = -top[2], top[3]
             return best(lo, a) + [(a, b)] + best(b, hi)
 
-        got = [(a, b) for a, b, _ in toxicity.maximal_segments(hits, 0.1)]
+        steps = [(p, p + 1, sum(scores[:p]), sum(scores[: p + 1])) for p, _ in hits]
+        got = [(a, b) for a, b, _ in toxicity.maximal_segments(steps)]
         assert round(sum(sum(scores[a:b]) for a, b in got), 6) == round(sum(sum(scores[a:b]) for a, b in best(0, n)), 6)
 
 
+def test_scan_of_texts_is_that_of_their_tokens():
+    """Every token has its log-odds: gains, losses, none; the k-th repeat gains 1/k."""
+    rng = random.Random(8)
+    names = [f"w{i}" for i in range(30)]
+    _, _, _, h, _ = text.words([" ".join(names)])
+    order = np.argsort(h)
+    odds = {n: rng.choice([-1.0, -0.05, 0.05, 0.5, 2.0]) for n in names}
+    model = toxicity.Model(h[order], np.array([odds[names[i]] for i in order]))
+    texts = [" ".join(rng.choice([*names, "other"]) for _ in range(rng.randrange(60))) for _ in range(40)]
+    for t, (n, segs) in zip(texts, model.segments(texts)):
+        seen, total, steps = collections.Counter(), 0.0, []
+        for i, w in enumerate(t.split()):
+            seen[w] += 1
+            s = odds.get(w, 0.0)
+            s = (s / seen[w] if s > 0 else s) - toxicity.DRIFT
+            if s > 0:
+                steps.append((i, i + 1, total, total + s))
+            total += s
+        want = toxicity.maximal_segments(steps)
+        assert n == len(t.split()) and [(a, b) for a, b, _ in segs] == [(a, b) for a, b, _ in want]
+        assert [x for *_, x in segs] == pytest.approx([x for *_, x in want])
+
+
 def test_toxicity_on_held_out_documents(spark):
     big = "/root/testdata/sf0.01"
     got = toxicity.toxicity(queries.table(spark, big, "documents"), queries.table(spark, big, "labels"))

@@ -3,8 +3,10 @@
 Words of items and documents are hashed. A CGK random walk writes a window of words as
 a string three times as long, so that a small edit distance becomes a small Hamming
 distance; sampled positions of it are an LSH key. Many walks and samples are repeated:
-their number is set from the items themselves, with edits up to the limit, so that the
-target recall is reached. Every window of an item's length in every document takes part.
+their number is set for each item length from items of that length, with edits up to the
+limit, so that the target recall is reached at every length; a length for which MOST walks
+would not do is compared exactly with every window that holds enough of an item's word
+pairs. Every window of an item's length in every document takes part.
 Before its walk a window must hold enough word pairs of the items: an edit breaks at most
 two pairs, so the count of pairs (one for a run of equal ones, less one for a run cut by
 the window's start) that an item within the limit must share loses nothing.
@@ -27,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.llm import text as tx
-from wattloom.session import cut, ship
+from wattloom.session import ship
 
 #: Edits allowed, as a share of the item's words.
 MAX_EDITS = 0.2
 #: Sampled positions of an LSH key, target recall at the edit limit, most repetitions.
-SAMPLE, RECALL, MOST = 3, 0.98, 64
+SAMPLE, RECALL, MOST = 3, 0.98, 256
+#: Walks and edited items of each length from which the repetitions are set.
+TRIALS, EDITED = 48, 48
 BLOCK_CHARS = 8_000_000
 _BITS = 22
 _U = np.uint64
@@ -89,12 +93,43 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return tx.mix(a * _U(0xD1342543DE82EF95) + b)
 
 
+def _hashed(items: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
+    """The items that have words, as word hashes."""
+    _, _, _, h, first = tx.words([t or "" for _, t in items])
+    return [(k, h[a:b]) for (k, _), a, b in zip(items, first[:-1], first[1:]) if b > a]
+
+
+def repetitions(items: list[tuple[int, str]]) -> dict[int, int]:
+    """Walks for each item length, by EDITED edited copies of items of that length; 0 where
+    MOST would not reach the recall."""
+    by_length: dict[int, list[np.ndarray]] = {}
+    for _, w in _hashed(items):
+        by_length.setdefault(len(w), []).append(w)
+    out = {}
+    for length, own in by_length.items():
+        rng = np.random.Generator(np.random.PCG64([11, length]))
+        pairs = []
+        for i in range(EDITED):
+            w = own[i * len(own) // EDITED]
+            words = w.tolist()
+            for _ in range(int(MAX_EDITS * length)):
+                at, kind = int(rng.integers(len(words))), int(rng.integers(3))
+                new = int(rng.integers(1, 1 << 63))
+                words[at : at + (kind != 1)] = [new] if kind != 2 else []
+                words = words or [new]
+            pairs.append((w, np.array((words + [0] * length)[:length], np.uint64)))
+        one, other = (np.stack(x) for x in zip(*pairs))
+        missed = (_walks(one, TRIALS) != _walks(other, TRIALS)).sum(0)
+        rate = np.minimum((missed + 0.5) / (TRIALS + 1), 1 - 0.25 / TRIALS)
+        out[length] = next((r for r in range(1, MOST + 1) if 1 - np.mean(rate**r) >= RECALL), 0)
+    return out
+
+
 class Matcher:
     """The items of one block, with their LSH tables by length."""
 
-    def __init__(self, items: list[tuple[int, str]], repeats: int = 0):
-        _, _, _, h, first = tx.words([t or "" for _, t in items])
-        self.items = [(k, h[a:b]) for (k, _), a, b in zip(items, first[:-1], first[1:]) if b > a]
+    def __init__(self, items: list[tuple[int, str]], repeats: dict[int, int]):
+        self.items, self.repeats = _hashed(items), repeats
         self.lengths: dict[int, list[int]] = {}
         for i, (_, w) in enumerate(self.items):
             self.lengths.setdefault(len(w), []).append(i)
@@ -104,41 +139,18 @@ class Matcher:
         runs = lambda w: int((_pair(w[1:-1], w[2:]) == _pair(w[:-2], w[1:-1])).sum()) if len(w) > 2 else 0
         self.need = {n: min(n - 1 - runs(self.items[i][1]) for i in ids) - 2 * int(MAX_EDITS * n) - 1 for n, ids in self.lengths.items()}
         self.pairs = {n: np.unique(np.concatenate([_pair(self.items[i][1][:-1], self.items[i][1][1:]) for i in ids])) for n, ids in self.lengths.items()}
-        self.repeats = repeats or self._repetitions()
-        self.tables = {n: self._table(ids) for n, ids in self.lengths.items()}
+        self.tables = {n: self._table(n, ids) for n, ids in self.lengths.items()}
 
-    def _table(self, ids: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _table(self, length: int, ids: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not self.repeats[length]:
+            return []
         windows = np.stack([self.items[i][1] for i in ids])
         out = []
-        for key in _walks(windows, self.repeats):
+        for key in _walks(windows, self.repeats[length]):
             order = np.argsort(key, kind="stable")
             out.append((key[order], np.array(ids)[order]))
         return out
 
-    def _repetitions(self) -> int:
-        """Walks needed for the target recall, from items edited up to the limit."""
-        rng = np.random.Generator(np.random.PCG64(11))
-        pairs: dict[int, list] = {}
-        for _, w in [x for x in self.items[:: max(1, len(self.items) // 12)] for _ in range(16)]:
-            words = w.tolist()
-            for _ in range(int(MAX_EDITS * len(w))):
-                at, kind = int(rng.integers(len(words))), int(rng.integers(3))
-                new = int(rng.integers(1, 1 << 63))
-                words[at : at + (kind != 1)] = [new] if kind != 2 else []
-                words = words or [new]
-            pairs.setdefault(len(w), []).append((w, np.array((words + [0] * len(w))[: len(w)], np.uint64)))
-        missed = np.ones((0, MOST), bool)
-        for both in pairs.values():
-            one, other = (np.stack(x) for x in zip(*both))
-            missed = np.concatenate((missed, (_walks(one, MOST) != _walks(other, MOST)).T))
-        if not len(missed):
-            return 1
-        rate = np.minimum((missed.sum(1) + 0.5) / (MOST + 1), 0.995)
-        for r in range(1, MOST):
-            if 1 - np.mean(rate**r) >= RECALL:
-                return r
-        return MOST
-
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, first word, words) of each text and item within the limit."""
         _, _, _, h, first = tx.words(texts)
@@ -176,7 +188,9 @@ class Matcher:
             mark = tx.mix(windows.copy() * np.arange(1, 2 * length, 2, dtype=np.uint64)).sum(1)
             _, once, same = np.unique(mark, return_index=True, return_inverse=True)
             found = set()
-            for key, (keys, which) in zip(_walks(windows[once], self.repeats), self.tables[length]):
+            if not self.repeats[length]:
+                found.update((w, i) for w in range(len(once)) for i in ids)
+            for key, (keys, which) in zip(_walks(windows[once], self.repeats[length]), self.tables[length]):
                 lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
                 for w in np.flatnonzero(hi > lo):
                     found.update((int(w), int(i)) for i in which[lo[w] : hi[w]])
@@ -210,30 +224,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are lower-cased runs of letters and numbers. Null or empty texts and items
     match nothing; repeated rows give repeated results; equal items are each reported.
     Extra columns are ignored. An empty table on either side gives no rows."""
-    spark = docs.sparkSession
-    ship(spark)
+    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, item_words int, edits int, similarity double, first_word long")
+    for items in _blocks(benchmark):
+        out = out.union(_block(docs, items))
+    return out
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about BLOCK_CHARS characters."""
+    ship(benchmark.sparkSession)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = math.ceil(chars / BLOCK_CHARS)
-    out = spark.createDataFrame([], "doc_id long, item_id long, item_words int, edits int, similarity double, first_word long")
+    blocks = math.ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_CHARS)
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # at most about BLOCK_CHARS
-        out = out.union(_block(docs, sorted((r["item_id"], r["text"]) for r in rows)))
-    return out
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        yield sorted((r["item_id"], r["text"]) for r in rows)
 
 
 _matchers: dict[int, Matcher] = {}
 
 
+def _matcher(items: list[tuple[int, str]], repeats: dict[int, int]) -> Matcher:
+    """One per worker process: that of the block in hand."""
+    mark = zlib.crc32(repr(items).encode())
+    if mark not in _matchers:
+        _matchers.clear()
+        _matchers[mark] = Matcher(items, repeats)
+    return _matchers[mark]
+
+
 def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((items, Matcher(items).repeats))
+    sent = docs.sparkSession.sparkContext.broadcast((items, repetitions(items)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = zlib.crc32(repr(sent.value).encode())
-        if mark not in _matchers:
-            _matchers.clear()
-            _matchers[mark] = Matcher(*sent.value)
-        match = _matchers[mark]
+        match = _matcher(*sent.value)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in tx.chunks(texts):
@@ -246,6 +269,22 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a benchmark passage. A row with a null doc_id stays."""
-    bad = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("__leak")).where("__leak is not null").distinct())
-    return docs.join(bad, F.col("doc_id") == F.col("__leak"), "left_anti")
+    """The documents without a benchmark passage, each row judged by its own text, in one
+    map for each block of the benchmark."""
+    for items in _blocks(benchmark):
+        docs = _without(docs, items)
+    return docs
+
+
+def _without(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((items, repetitions(items)))
+
+    def clean(texts: list[str | None]) -> list[bool]:
+        match, keep = _matcher(*sent.value), [True] * len(texts)
+        whole = [t or "" for t in texts]
+        for lo, hi in tx.chunks(whole):
+            for t, *_ in match.find(whole[lo:hi]):
+                keep[lo + t] = False
+        return keep
+
+    return tx.keep_rows(docs, clean)

@@ -46,12 +46,16 @@ def _lit_array(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts and both histograms of every document.
+def measures(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, lang, the base counts and both histograms of every document, and with whole
+    its row as the struct document.
 
-    Null texts count as empty. Counts are taken in the row, so nothing is shuffled."""
+    Null texts count as empty. Counts are taken in the row, so nothing is shuffled. The
+    character histogram counts code points, each in one class; its sum is the text's length."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", "lang", text.alias("text"))
+    document = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")] * whole
+    kept = ["document"] * whole
+    base = docs.select("doc_id", "lang", text.alias("text"), *document)
     words = F.filter(F.split("text", _SPLIT), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
     d = base.withColumns({"words": words, "lines": lines})
@@ -68,6 +72,7 @@ def measures(docs: DataFrame) -> DataFrame:
     rest = lambda keep: F.length(F.regexp_replace("text", f"[^{keep}]+", "")).cast("bigint")
     word_chars = F.length(F.array_join("words", "")).cast("bigint")
     d = d.select(
+        *kept,
         "doc_id",
         "lang",
         n.cast("bigint").alias("n_words"),
@@ -79,7 +84,7 @@ def measures(docs: DataFrame) -> DataFrame:
         rest("A-Z").alias("n_upper"),
         rest("0-9").alias("n_digit"),
         rest(".,;:!?'\"()\\-").alias("n_mark"),
-        (F.octet_length("text") - F.length("text")).cast("bigint").alias("n_wide"),
+        F.length(F.regexp_replace("text", "[\\x00-\\x7F]+", "")).cast("bigint").alias("n_wide"),
         F.when(F.col("lang").isin(list(COMMON_WORDS)), F.transform("words", lambda w: F.lower(w))).alias("low"),
     )
     among = lambda ws: lambda w: w.isin(ws)
@@ -91,10 +96,10 @@ def measures(docs: DataFrame) -> DataFrame:
     count = lambda w: F.coalesce(F.get("number", F.array_position("kinds", w).cast("int") - 1), F.lit(0)).cast("int")
     other = F.array((F.col("n_words") - F.size("low")).cast("int"))
     tally = _pick({k: F.concat(F.transform(_lit_array(ws), count), other) for k, ws in COMMON_WORDS.items()}, F.array().cast("array<int>"))
-    plain = F.greatest(F.lit(0), F.col("word_chars") - F.col("n_symbols") - F.col("n_upper") - F.col("n_digit") - F.col("n_mark") - F.col("n_wide"))
+    plain = F.col("word_chars") - F.col("n_symbols") - F.col("n_upper") - F.col("n_digit") - F.col("n_mark") - F.col("n_wide")
     chars = F.array(F.col("n_text") - F.col("word_chars"), F.col("n_symbols"), F.col("n_upper"), F.col("n_digit"), F.col("n_mark"), F.col("n_wide"), plain)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), chars.alias("chars"), tally.alias("tally"))
+    return d.select(*kept, "doc_id", "lang", "n_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), chars.alias("chars"), tally.alias("tally"))
 
 
 def _plogp(p: Column, m: Column) -> Column:
@@ -121,15 +126,8 @@ def references(measured: DataFrame) -> list[dict]:
     return [{"lang": r["lang"], "chars": whole(r, "c", len(CHAR_CLASSES)), "words": whole(r, "w", 1 + len(COMMON_WORDS[r["lang"]]))} for r in rows if r["n"] >= MIN_REFERENCE]
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, char_distance, word_distance, kept.
-
-    A null text is empty, and fails. A null or unlisted language has no reference: the
-    distances are null and the base rules decide. Repeated rows are judged alike; extra
-    columns are ignored; an empty table gives no rows. Base rules: at least MIN_WORDS
-    words, and at most MAX_REPEAT_PERCENT per cent of them in repeated 5-word windows."""
-    measured = cut(measures(docs))
+def _judged(measured: DataFrame) -> DataFrame:
+    """measured with char_distance, word_distance and kept."""
     found = {r["lang"]: r for r in references(measured)}
     none = F.lit(None).cast("double")
     longs = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
@@ -137,17 +135,27 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     if found:
         char = _pick({k: _distance(F.col("chars"), longs(r["chars"])) for k, r in found.items()}, none)
         word = _pick({k: _distance(F.col("tally"), longs(r["words"])) for k, r in found.items()}, none)
-    n_chars = F.aggregate("chars", F.lit(0).cast("bigint"), lambda s, x: s + x)
-    out = measured.withColumns({"char_distance": F.when(n_chars >= MIN_CHARS, F.round(char, 6)), "word_distance": F.when(F.col("n_words") >= MIN_HISTOGRAM_WORDS, F.round(word, 6))})
+    out = measured.withColumns({"char_distance": F.when(F.col("n_text") >= MIN_CHARS, F.round(char, 6)), "word_distance": F.when(F.col("n_words") >= MIN_HISTOGRAM_WORDS, F.round(word, 6))})
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, char_distance, word_distance, kept.
+
+    A null text is empty, and fails. A null or unlisted language has no reference: the
+    distances are null and the base rules decide. Repeated rows are judged alike; extra
+    columns are ignored; an empty table gives no rows. Base rules: at least MIN_WORDS
+    words, and at most MAX_REPEAT_PERCENT per cent of them in repeated 5-word windows."""
+    out = _judged(cut(measures(docs)))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass. Rows that repeat a doc_id stay if all of them pass; a row
-    with a null doc_id cannot be named by a verdict and stays."""
-    bad = quality_rules(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__rejected"), "left_anti")
+    """The documents that pass, each row judged by itself, whatever its doc_id; rows wait
+    beside their counts for the references, so nothing is shuffled."""
+    return _judged(cut(measures(docs, whole=True))).where("kept").select("document.*")
 
 
 def oracle_sql() -> str:
@@ -174,12 +182,12 @@ m as (
   select d.rid, doc_id, lang, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars,
          {kept_chars("#*$%&|<>")}::bigint n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines,
          coalesce(cov.n, 0)::bigint n_repeat_words, length(t) n_text, {kept_chars("A-Z")} n_upper,
-         {kept_chars("0-9")} n_digit, {kept_chars(".,;:!?''\"()\\-")} n_mark, strlen(t) - length(t) n_wide,
+         {kept_chars("0-9")} n_digit, {kept_chars(".,;:!?''\"()\\-")} n_mark, length(regexp_replace(t, '[\\x00-\\x7F]+', '', 'g')) n_wide,
          list_transform(common, lambda c: len(list_filter(w, lambda x: lower(x) = c))) counts
   from d left join cov on d.rid = cov.rid),
 h as (
   select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words base_failed,
-         [n_text - word_chars, n_symbols, n_upper, n_digit, n_mark, n_wide, greatest(0, word_chars - n_symbols - n_upper - n_digit - n_mark - n_wide)] chars,
+         [n_text - word_chars, n_symbols, n_upper, n_digit, n_mark, n_wide, word_chars - n_symbols - n_upper - n_digit - n_mark - n_wide] chars,
          list_append(counts, n_words - list_sum(counts)) tally
   from m),
 r as (

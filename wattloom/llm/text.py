@@ -8,9 +8,12 @@ so no Python loop runs per word.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 # Code points with Unicode's White_Space property.
@@ -119,6 +122,17 @@ def words(texts: list[str]):
     return joined, s, e, span_hash(codes, s, e), np.searchsorted(s, starts)
 
 
+def keep_rows(docs: DataFrame, judge: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of docs whose texts judge accepts, all columns as they are: a map alone."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-word windows of each text, and each text's first window.
     A text of 1 to n-1 words has one window: all its words."""

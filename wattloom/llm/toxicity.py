@@ -1,9 +1,11 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-Training, on a bounded sample of labelled documents: words get log-odds of occurring in
-toxic against clean documents, with an informative Dirichlet prior; words with a high
-z-score are markers with their log-odds as positive scores, every other word costs
-DRIFT. A linear-time scan finds all maximal scoring segments of a document. Under clean
+Training, on a bounded sample of labelled documents: every word of at least MIN_DOCS of its
+documents has log-odds of occurring in toxic against clean documents, under a Dirichlet
+prior that is divided as the classes are; the score is their bound CAUTION standard errors
+nearer to 0, so that thin evidence says little either way. Rarer and unknown words score 0.
+Log-odds are those of a word's presence: its k-th occurrence in a text counts 1/k of a gain.
+Each token costs DRIFT. A linear-time scan finds all maximal scoring segments of a document. Under clean
 text segment scores follow an extreme-value law: its scale solves sum p(s) exp(scale * s)
 = 1 over clean word frequencies, its offset comes from the best segments of clean
 training documents; so each segment has an expected number E in clean text of that
@@ -26,10 +28,12 @@ from wattloom.session import cut, ship
 
 #: Labelled documents of each class in the training sample, at most.
 TRAIN_PER_CLASS = 20_000
-#: Markers: least z-score, least documents, most words kept (by z-score).
-MIN_Z, MIN_DOCS, MAX_MARKERS = 3.0, 5, 20_000
-#: Dirichlet prior of a word: a flat part and a share of its count; cost of other words.
-FLAT, SHARE, DRIFT, SIGNIFICANT = 0.5, 0.01, 0.1, 1.0
+#: Least documents of a word with a score.
+MIN_DOCS = 5
+#: Dirichlet prior of a word in both classes together: a flat part and a share of its count.
+FLAT, SHARE = 1.0, 0.02
+#: Standard errors taken off log-odds; cost of a token; E of segments that count.
+CAUTION, DRIFT, SIGNIFICANT = 1.5, 0.1, 1.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -57,7 +61,7 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Markers (sorted hashes, scores), the extreme-value law and the logistic curve."""
+    """Scores of words (sorted hashes), the extreme-value law and the logistic curve."""
 
     def __init__(self, words: np.ndarray, scores: np.ndarray, scale: float = 1.0, offset: float = 0.0, curve: tuple = (0.0, -3.0)):
         self.words, self.scores, self.scale, self.offset, self.curve = words, scores, scale, offset, curve
@@ -65,15 +69,28 @@ class Model:
     def segments(self, texts: list[str]) -> list[tuple[int, list[tuple[int, int, float]]]]:
         """Of each text: its words, and its maximal scoring segments (first word, end, score)."""
         _, _, _, h, first = tx.words(texts)
+        score = np.full(len(h), -DRIFT)
         if len(self.words) and len(h):
             at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            hit = np.flatnonzero(self.words[at] == h)
-            score = self.scores[at[hit]].tolist()
-        else:
-            hit, score = np.zeros(0, np.int64), []
-        bounds = np.searchsorted(hit, first).tolist()
-        hit, first = hit.tolist(), first.tolist()
-        return [(first[i + 1] - first[i], maximal_segments([(p - first[i], s) for p, s in zip(hit[bounds[i] : bounds[i + 1]], score[bounds[i] : bounds[i + 1]])], DRIFT)) for i in range(len(texts))]
+            own = np.where(self.words[at] == h, self.scores[at], 0.0)
+            up = np.flatnonzero(own > 0)
+            own[up] /= _occurrence(h[up], np.searchsorted(first, up, "right"))
+            score += own
+        total = np.concatenate((np.zeros(1), np.cumsum(score)))
+        # neighbours that both gain are one step of the scan; a text's start begins a new one
+        gain = score > 0
+        begin, end = gain.copy(), gain.copy()
+        begin[1:] &= ~gain[:-1]
+        end[:-1] &= ~gain[1:]
+        edge = first[(first > 0) & (first < len(h))]
+        begin[edge] = gain[edge]
+        end[edge - 1] = gain[edge - 1]
+        a, z = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        bounds = np.searchsorted(a, first).tolist()
+        own = np.repeat(first[:-1], np.diff(first))[a] if len(a) else a
+        steps = list(zip((a - own).tolist(), (z - own).tolist(), total[a].tolist(), total[z].tolist()))
+        n = np.diff(first).tolist()
+        return [(n[i], maximal_segments(steps[bounds[i] : bounds[i + 1]])) for i in range(len(texts))]
 
     def expected(self, score: float, words: int) -> float:
         """Expected segments of at least this score in clean text of so many words."""
@@ -92,32 +109,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a * np.log1p(evidence) + b, -30, 30)))
 
 
-def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments, in linear time, of a sequence that scores `score` at
-    the given positions and -drift at all others (the Ruzzo-Tompa scan over hits)."""
-    stack: list[list] = []  # [first, end, total before, total after]
-    total, last = 0.0, 0
-    for at, score in hits:
-        total -= drift * (at - last)
-        new = [at, at + 1, total, total + score]
-        total, last = total + score, at + 1
+def _occurrence(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which occurrence of its word in its text each entry is, from 1."""
+    mark = tx.mix(words + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(mark, kind="stable")
+    new = np.flatnonzero(np.diff(mark[order], prepend=mark[order][:1] + np.uint64(1)))
+    nth = np.empty(len(words))
+    nth[order] = np.arange(len(words)) - np.repeat(new, np.diff(np.append(new, len(words)))) + 1
+    return nth
+
+
+def maximal_segments(steps: list[tuple[int, int, float, float]]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments, in linear time, of a sequence whose gaining runs are
+    given as (first, end, total score before it, and after it) in order (the Ruzzo-Tompa
+    scan over runs)."""
+    stack: list[tuple[int, int, float, float]] = []
+    for new in steps:
         while True:
             j = len(stack) - 1
-            passed = []
             while j >= 0 and stack[j][2] >= new[2]:
-                passed.append(j)
                 j -= 1
             if j < 0 or stack[j][3] >= new[3]:
                 stack.append(new)
                 break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
+            new = (stack[j][0], new[1], stack[j][2], new[3])
             del stack[j:]
     return [(a, b, y - x) for a, b, x, y in stack]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled documents that are not held out. Without documents of
-    both classes it knows no marker and gives every text the share of toxic labels."""
+    both classes it knows no word and gives every text the share of toxic labels."""
     ship(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = cut(known)
@@ -131,19 +153,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not n.get(0) or not n.get(1):
         return Model(np.zeros(0, np.uint64), np.zeros(0), curve=(0.0, prior))
     counts = cut(_counts(texts))
-    total = counts.agg(F.sum("bad"), F.sum("good")).first()
-    bad, good, both = float(total[0]), float(total[1]), float(total[0] + total[1])
-    alpha = FLAT + SHARE * (F.col("bad") + F.col("good"))
-    mass = SHARE * both + FLAT * counts.count()
-    odds = lambda y, n: F.log((y + alpha) / (n + mass - y - alpha))
-    scored = counts.where(F.col("bad") + F.col("good") >= MIN_DOCS).withColumn("score", odds(F.col("bad"), bad) - odds(F.col("good"), good))
-    scored = scored.withColumn("z", F.col("score") / F.sqrt(1 / (F.col("bad") + alpha) + 1 / (F.col("good") + alpha)))
-    rows = scored.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(MAX_MARKERS).collect()
-    words = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
+    # at most (distinct words of the sample's documents) / MIN_DOCS rows
+    rows = counts.where(F.col("bad") + F.col("good") >= MIN_DOCS).toArrow()
+    words = rows["word"].to_numpy().view(np.uint64)
     order = np.argsort(words)
-    score = np.array([r["score"] for r in rows])[order]
-    rate = np.array([r["good"] for r in rows], float)[order] / max(good, 1.0)
-    model = Model(words[order], score, _scale(score, rate))
+    bad, good = (rows[c].to_numpy().astype(float)[order] for c in ("bad", "good"))
+    part = n[1] / (n[0] + n[1])
+    mass = FLAT + SHARE * (bad + good)
+    in_bad, in_good = bad + mass * part, good + mass * (1 - part)
+    odds = np.log(in_bad / in_good) - math.log(part / (1 - part))
+    score = np.sign(odds) * np.maximum(0, np.abs(odds) - CAUTION * np.sqrt(1 / in_bad + 1 / in_good))
+    model = Model(words[order], score)
+    model.scale = _scale(score - DRIFT, good / max(float(counts.agg(F.sum("good")).first()[0] or 0), 1.0))
     best = _measured(texts, model, lambda m, words, segs: max((s for _, _, s in segs), default=0.0))
     clean = [(x, w) for toxic, w, x in best if not toxic and w]
     if clean:  # the offset makes the mean number of clean documents with E < 1 what the law says
@@ -224,12 +245,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Labels of held-out documents are never read; several labels of one document count as
     toxic if one does; null labels are ignored. A null doc_id is not held out. Repeated
-    rows score alike, extra columns are ignored, empty tables give no rows."""
+    rows score alike, extra columns are ignored; no documents give no rows, no labels the
+    same low score to every text."""
     model = train(docs, labels)
     return score(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "passages")
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic; a row with a null doc_id stays."""
-    bad = cut(score(docs, train(docs, labels)).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("__toxic")).distinct())
-    return docs.join(bad, F.col("doc_id") == F.col("__toxic"), "left_anti")
+    """The documents that are not predicted toxic, each row judged by its own text, in one
+    map after the training; null and empty texts have the score of no passage."""
+    model = train(docs, labels)
+
+    def civil(texts: list[str | None]) -> list[bool]:
+        evidence = np.array([model.evidence(w, s) for w, s in _in_chunks(texts, model)])
+        return (model.probability(evidence) < 0.5).tolist()
+
+    return tx.keep_rows(docs, civil)
