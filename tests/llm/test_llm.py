@@ -193,6 +193,29 @@ def test_samples_agree_as_often_as_texts_are_similar():
     assert abs((marks[0] == marks[1]).mean() - s) < 0.2
 
 
+def test_texts_without_or_under_one_name_keep_their_links(spark):
+    """Rows with no doc_id, and two texts of one doc_id, are compared like others."""
+    rng = random.Random(12)
+    base = [[f"v{rng.randrange(10**6)}" for _ in range(120)] for _ in range(2)]
+    near = [[*w[:60], "changed", *w[61:]] for w in base]
+    join = " ".join
+    rows = [(1, join(base[0])), (1, join(base[1])), (2, join(near[0])), (3, join(near[1])), (None, join([*base[0][:30], "other", *base[0][31:]])), (None, "alone and unnamed as it is"), (None, "alone and unnamed as it is")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(df).collect()
+    assert collections.Counter((r["doc_id"], r["class_id"]) for r in got) == collections.Counter([(1, 1), (1, 1), (2, 1), (3, 1), (None, 1), (None, None), (None, None)])
+    assert len({r["class_key"] for r in got}) == 3
+    assert sorted((r["doc_id"] or 0) for r in near_dup.keep_one(df).collect()) == [0, 1, 1]
+    assert near_dup.near_duplicates(df.limit(0)).count() == 0 and near_dup.keep_one(df.limit(0)).count() == 0
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(components, "LEAST", 3)
+    test_a_large_group_of_near_copies(spark)
+    test_components_of_a_chain(spark)
+    links = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(i, i + 100) for i in range(1, 40)], "a long, b long")
+    assert {r["label"] for r in components.components(links).collect()} == {0}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(10)] + [(20, 21)], "a long, b long")
     got = {r["node"]: r["label"] for r in components.components(links).collect()}

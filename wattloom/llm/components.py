@@ -1,4 +1,4 @@
-"""Connected components of a link table, as iterated joins."""
+"""Connected components of a link table, and joins that a hot key does not stop."""
 
 from __future__ import annotations
 
@@ -7,20 +7,46 @@ from pyspark.sql import functions as F
 
 from wattloom.session import cut
 
+#: A key is hot if it holds over 1 / HOT of the rows, and over LEAST rows: so at most HOT keys
+#: are hot, whatever the size of the table, and their rows can be broadcast.
+HOT, LEAST = 10_000, 64
+
+
+def hot_limit(rows: int) -> int:
+    return max(LEAST, rows // HOT)
+
+
+def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """(key, n) of the hot keys of df, which has so many rows: at most HOT."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hot_limit(rows))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """left join right (inner; right has one small row a key) with the hot keys of left
+    joined by broadcast, where left's rows stay, and the others by a shuffle."""
+    keys = F.broadcast(hot.select(key))
+    some = left.join(F.broadcast(right.join(keys, key)), key)
+    rest = left.join(keys, key, "left_anti").join(right, key)
+    return some.select(*rest.columns).unionByName(rest)
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every end of links (a, b); label is the component's least node.
 
     Each round takes the least label among neighbours and then the label of that label
-    (pointer jumping), so the number of rounds follows the logarithm of a chain's length.
+    (pointer jumping), so the number of rounds follows the logarithm of a chain's length. A
+    node with very many links, or a label of very many nodes, is a hot key of these joins.
     No links: no rows."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    rows = edges.count()
+    hubs = cut(hot_keys(edges, "b", rows).select("b"))
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
-        seen = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        seen = join_hot(edges, labels.withColumnRenamed("node", "b"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = cut(labels.join(seen, "node", "left").select("node", "label", F.least("label", "near").alias("low")))
         jump = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        new = cut(low.join(jump, "low", "left").select("node", F.col("label").alias("old"), F.least("low", "lower").alias("label")))
+        new = join_hot(low, jump, "low", hot_keys(low, "low", rows)).select("node", F.col("label").alias("old"), F.least("low", "lower").alias("label"))
+        new = cut(new)
         if new.where("label <> old").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")

@@ -11,10 +11,15 @@ ICWS gives HASHES samples a text; two texts agree in each with probability equal
 their weighted Jaccard similarity. BANDS bands of ROWS samples are bucket keys. In a
 bucket all others are compared with one leader; a bucket whose texts are then all in one
 class is done. Buckets that stay divided go on with the text of most links as leader while
-that pays. What is left is compared pair by pair, in buckets of more than SMALL texts by
-blocks of BLOCK against BLOCK inside tasks that put out links alone: pairs of different classes, except those whose samples agree so
-rarely that the pair cannot be similar (see AGREE). Every link is an exact weighted
+that pays. What is left is compared pair by pair: pairs of different classes, except those
+whose samples agree so rarely that the pair cannot be similar (see AGREE). Buckets of more
+than SMALL texts are compared by blocks inside tasks, first of samples alone, then of the
+texts that have a partner; tasks put out links alone. Every link is an exact weighted
 Jaccard similarity of whole texts.
+
+A node is a distinct text, so rows without a doc_id, or several texts under one, are compared
+like any other. Buckets, hubs and groups of copies that hold much of the table are hot keys
+(see components).
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.llm import text as tx
-from wattloom.llm.components import components
+from wattloom.llm.components import components, hot_keys, hot_limit, join_hot
 from wattloom.session import cut, ship
 
 WORDS = 5
@@ -44,7 +49,9 @@ AGREE = 35
 #: Leaders' rounds end when the pairs left are this many for each bucket entry, or fell by
 #: less than a fifth.
 PAIRS_PER_ENTRY = 4
-SMALL, BLOCK = 32, 512
+SMALL = 32
+#: Texts, and bytes of text, that a block holds on average.
+BLOCK, BLOCK_BYTES = 512, 8_000_000
 _POOL = 12
 _U = np.uint64
 
@@ -191,16 +198,19 @@ def _sketch(docs: DataFrame, idf) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in tx.chunks(texts):
                 keys, samples = signatures(texts[lo:hi], idf)
-                digests = [hashlib.md5(t.encode()).digest() for t in texts[lo:hi]]
+                written = [t.encode() for t in texts[lo:hi]]
+                digests = [hashlib.md5(t).digest() for t in written]
                 rows = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
                 marks = pa.FixedSizeListArray.from_arrays(pa.array(samples.ravel()), HASHES).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digests, pa.binary()), rows, marks], names=["doc_id", "digest", "keys", "samples"])
+                sizes = pa.array(list(map(len, written)), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digests, pa.binary()), sizes, rows, marks], names=["doc_id", "digest", "size", "keys", "samples"])
 
-    return docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, keys array<long>, samples array<int>")
+    return docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, size long, keys array<long>, samples array<int>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts have at least that similarity."""
+    """The pairs (a, b) whose texts have at least that similarity. a may stand in very many
+    pairs: its text is then copied to as many tasks as they need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,58 +226,87 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
             keep = [similarity(own[x], own[y]) >= threshold for x, y in zip(left, right)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, keep) if k], pa.int64()), pa.array([x for x, k in zip(b, keep) if k], pa.int64())], names=["a", "b"])
 
+    rows = pairs.count()
+    hot = cut(hot_keys(pairs, "a", rows))
+    parts = F.coalesce(F.ceil(F.col("n") / hot_limit(rows)), F.lit(1))
+    spread = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"))
     own = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    other = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(own, "b").join(other, "a").select("a", "b", "text_a", "text_b")
+    other = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(F.broadcast(hot), "a", "left")
+    other = other.select("a", "text_a", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("salt"))
+    both = spread.join(own, "b").join(other, ["a", "salt"]).select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the least doc_id of its class), kept.
+def _digest(text: str = "text"):
+    return F.unhex(F.md5(text))
 
-    Texts are in one class if a chain of exact copies, or of texts with a weighted
-    Jaccard similarity of at least threshold, joins them. kept marks the document whose
-    doc_id is the class_id. A null text is in a class of its own; empty texts are exact
-    copies of each other; a text of fewer than five words is one shingle. doc_id names a
-    document: rows that repeat it are in one class. Extra columns are ignored. No rows
-    give no rows."""
+
+def _name(doc_id: str = "doc_id"):
+    """doc_id as a join key without nulls."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+
+
+def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of every row with a text, and of each distinct text: digest, doc_id
+    (its least), n (its rows), class_id and class_key."""
     spark = docs.sparkSession
     ship(spark)
     idf = idf_table(docs)
     sketch = cut(_sketch(docs, idf))
-    reps = cut(sketch.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("samples").alias("samples")))
-    entries = reps.where("node is not null").select("node", F.posexplode("keys").alias("band", "key")).where("key <> 0").select("node", "band", F.xxhash64("band", "key").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
+    reps = sketch.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("samples").alias("samples"))
+    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()))
+    entries = reps.select("node", F.posexplode("keys").alias("band", "key")).where("key <> 0").select("node", "band", F.xxhash64("band", "key").alias("key"))
+    shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "low", "n")
     shared = cut(shared)
-    entries = cut(entries.join(shared.select("key"), "key"))
     labels = spark.createDataFrame([], "node long, label long")
-    if not shared.isEmpty():
-        labels = _classes(docs, reps, entries, shared, idf, threshold)
-    classes = cut(reps.select("digest", F.col("node")).join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id")))
-    out = sketch.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
-    alone = docs.where("text is null").select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long").alias("class_id"))
-    return out.unionByName(alone).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
-
-
-def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, leaders: DataFrame, idf, threshold: float) -> DataFrame:
-    nodes = entries.select("node").distinct()
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node")
-    texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")))
-    pairs = entries.join(leaders, "key").select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    if size := shared.agg(F.sum("n")).first()[0]:
+        entries = cut(join_hot(entries, shared.select("key", "low"), "key", shared.where(F.col("n") > hot_limit(size))))
+        labels = _classes(docs, reps, entries, idf, threshold)
+    texts = cut(reps.select("node", "digest", "doc_id", "n").join(labels, "node", "left").select("digest", "doc_id", "n", F.coalesce("label", "node").alias("label")))
+    group = texts.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.hex("digest")).alias("class_key"))
+    classes = cut(join_hot(texts, group, "label", hot_keys(texts, "label", size or 0)).drop("label"))
+    return sketch.select("doc_id", "digest"), classes
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (the least doc_id of its class), class_key
+    (a name of the class that is never null for a text), kept.
+
+    Texts are in one class if a chain of exact copies, or of texts with a weighted
+    Jaccard similarity of at least threshold, joins them. kept marks the rows whose doc_id
+    is the class_id, and all rows of a class without any. Rows without a doc_id are compared
+    like others; their class_id is null if no member has one. Each row is in the class of its own text, so a doc_id with two
+    texts may be in two classes. A null text is in a class of its own, without a class_key;
+    empty texts are exact copies of each other; a text of fewer than five words is one
+    shingle. Extra columns are ignored. No rows give no rows."""
+    rows, classes = _classified(docs, threshold)
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    out = join_hot(rows, classes.select("digest", "class_id", "class_key"), "digest", classes.where(F.col("n") > hot_limit(total)))
+    alone = docs.where("text is null").select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long").alias("class_id"), F.lit(None).cast("string").alias("class_key"))
+    return out.select(*alone.columns).unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, idf, threshold: float) -> DataFrame:
+    """(node, label) of the nodes with links. entries: node, band, key, low (the key's leader)."""
+    wanted = entries.select("node").distinct().join(reps.select("node", "digest", _name().alias("name")), "node")
+    own = docs.where("text is not null").select(_digest().alias("digest"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("name"), "text")
+    texts = cut(own.join(wanted, ["digest", "name"]).groupBy("digest", "name").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
+    pairs = entries.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     links = None
     before = math.inf
     while True:
         found = _verify(cut(pairs), texts, idf, threshold)
         links = cut(found if links is None else links.union(found))
         labels = components(links)
-        labelled = entries.select("key", "band", "node").join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
+        labelled = cut(entries.select("key", "band", "node").join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label")))
         kinds = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
         divided = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square"), F.count("*").alias("kinds"))
         divided = cut(divided.where("kinds > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("square")) / 2).alias("pairs")))
         rows, left = divided.agg(F.sum("n"), F.sum("pairs")).first()
         if not left:
             return labels
-        entries = cut(labelled.join(divided.select("key", "n"), "key"))
+        hot = divided.where(F.col("n") > hot_limit(rows))
+        entries = cut(join_hot(labelled, divided.select("key", "n"), "key", hot))
         if left <= PAIRS_PER_ENTRY * rows or left > 0.8 * before:
             few = _verify(cut(_small_pairs(entries.where(F.col("n") <= SMALL), reps).distinct()), texts, idf, threshold)
             many = _compare_blocks(entries.where(F.col("n") > SMALL), reps, texts, idf, threshold)
@@ -275,9 +314,9 @@ def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, leaders: Data
         before = left
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         ranked = entries.join(degree, "node", "left").select("key", "node", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
-        lead = ranked.groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("lead"))
-        ahead = entries.join(lead, "key").where("label <> lead.label")
-        pairs = ahead.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+        lead = cut(ranked.groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("lead")))
+        ahead = join_hot(entries, lead, "key", hot).where("label <> lead.label")
+        pairs = ahead.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _small_pairs(entries: DataFrame, reps: DataFrame) -> DataFrame:
@@ -290,14 +329,34 @@ def _small_pairs(entries: DataFrame, reps: DataFrame) -> DataFrame:
     return x.join(y, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (agree >= AGREE)).select("a", "b")
 
 
+def _partners(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of two blocks (or of one) and the later rows that each may be similar to: those of
+    another label whose samples agree, and whose first shared bucket is this one."""
+    label, block = (np.array(table[c].to_pylist(), np.int64) for c in ("label", "block"))
+    band = table["band"][0].as_py()
+    marks = table["samples"].combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
+    alone = block.min() == block.max()
+    for i in np.flatnonzero(block == block.min()).tolist():
+        others = np.flatnonzero((np.arange(len(label)) > i) if alone else (block != block[i]))
+        others = others[label[others] != label[i]]
+        same = marks[others] == marks[i]
+        yield i, others[(same.sum(1) >= AGREE) & ~same.reshape(-1, BANDS, ROWS).all(2)[:, :band].any(1)]
+
+
 def _compare_blocks(entries: DataFrame, reps: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """Links between texts of different labels in one bucket: entries (key, band, node,
-    label, n). A pair that shares several buckets is compared in that of the first band."""
+    label, n). Blocks go against blocks: first their samples, which leave the texts that have
+    a partner there, then those texts."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        some = np.zeros(len(table), bool)
+        for i, others in _partners(table):
+            if len(others):
+                some[i] = some[others] = True
+        return table.filter(pa.array(some)).drop_columns(["samples"])
 
     def run(table: pa.Table) -> pa.Table:
-        node, label, block = (np.array(table[c].to_pylist(), np.int64) for c in ("node", "label", "block"))
-        band = table["band"][0].as_py()
-        marks = table["samples"].combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
+        node, label = (np.array(table[c].to_pylist(), np.int64) for c in ("node", "label"))
         written = table["text"].to_pylist()
         weighed = []
         for lo, hi in tx.chunks(written):
@@ -311,13 +370,8 @@ def _compare_blocks(entries: DataFrame, reps: DataFrame, texts: DataFrame, idf,
             return x
 
         a, b = [], []
-        alone = block.min() == block.max()
-        for i in np.flatnonzero(block == block.min()).tolist():
-            others = np.flatnonzero((np.arange(len(node)) > i) if alone else (block != block[i]))
-            others = others[label[others] != label[i]]
-            same = marks[others] == marks[i]
-            new = (same.sum(1) >= AGREE) & ~same.reshape(-1, BANDS, ROWS).all(2)[:, :band].any(1)
-            for j in others[new].tolist():
+        for i, others in _partners(table):
+            for j in others.tolist():
                 x, y = root(int(label[i])), root(int(label[j]))
                 if x != y and similarity(weighed[i], weighed[j]) >= threshold:
                     parent[x] = y
@@ -325,20 +379,26 @@ def _compare_blocks(entries: DataFrame, reps: DataFrame, texts: DataFrame, idf,
                     b.append(int(node[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = entries.withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks).cast("int"))
-    whole = own.join(reps.select("node", "samples"), "node").join(texts, "node")
-    whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    groups = whole.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "band", "node", "label", "block", "samples", "text")
-    return groups.groupBy("key", "one", "two").applyInArrow(run, "a long, b long")
+    marks = reps.select("node", "samples")
+    sized = entries.join(reps.select("node", "size"), "node")
+    most = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
+    blocks = cut(sized.groupBy("key").agg(most.alias("blocks"), F.count("*").alias("n")))
+    rows = blocks.agg(F.sum("n")).first()[0] or 0
+    own = join_hot(entries.drop("n"), blocks.select("key", "blocks"), "key", blocks.where(F.col("n") > hot_limit(rows)))
+    own = own.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    whole = own.join(marks, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = whole.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "band", "node", "label", "block", "samples")
+    met = groups.groupBy("key", "one", "two").applyInArrow(meet, "key long, one int, two int, band int, node long, label long, block int")
+    return cut(met).join(marks, "node").join(texts, "node").groupBy("key", "one", "two").applyInArrow(run, "a long, b long")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs with one document of each near-duplicate class. Rows with a null doc_id or a
-    null text stay; of rows that repeat a doc_id one stays."""
-    classes = near_duplicates(docs.select("doc_id", "text"), threshold)
-    kept = classes.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
-    known = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi")
+    """docs with one row of each near-duplicate class: of the document of least doc_id (of
+    repeated rows any one). A null text is a class of its own and stays."""
+    _, classes = _classified(docs.select("doc_id", "text"), threshold)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first")
+    chosen = classes.groupBy("class_key").agg(first).select(F.col("first.digest").alias("__digest"), _name("first.doc_id").alias("__name"))
+    texts = docs.where("text is not null").withColumns({"__digest": _digest(), "__name": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))})
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    first = known.groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("__row")).select("__row.*")
-    return first.unionByName(docs.where("doc_id is null"))
+    kept = texts.join(chosen, ["__digest", "__name"], "left_semi").groupBy("__digest", "__name").agg(F.first(row).alias("__row"))
+    return kept.select("__row.*").unionByName(docs.where("text is null"))
