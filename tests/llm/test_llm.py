@@ -371,6 +371,7 @@ def test_packed_matrices_are_lossless(docs, odd):
             for k, (d, p) in enumerate(zip(r["doc_ids"], r["pieces"])):
                 assert pos[cu[k] : cu[k + 1]].tolist() == list(range(cu[k + 1] - cu[k]))
                 parts[d, p].append(tuple(ids[cu[k] : cu[k + 1]].tolist()))
+        assert token_output.packed_sequences(df.limit(0), queries.word_bpe()).count() == 0
         for (d, p), xs in parts.items():
             for x in xs:
                 got[d, p, x] += 1
@@ -378,6 +379,21 @@ def test_packed_matrices_are_lossless(docs, odd):
         assert got == want
 
 
+def test_shards_are_matrices(spark, odd, tmp_path):
+    token_output.write_shards(odd, queries.word_bpe(), str(tmp_path / "out"), 64, pad_id=9, end_id=5)
+    whole = collections.Counter()
+    for s in spark.read.parquet(str(tmp_path / "out")).collect():
+        ids, pos = (np.frombuffer(s[c], k).reshape(s["rows"], 64) for c, k in (("ids", s["kind"]), ("positions", "<u2")))
+        assert s["rows"] <= token_output.SHARD and len(s["sequences"]) == s["rows"]
+        for row, q in enumerate(s["sequences"]):
+            cu = q["cu_seqlens"]
+            assert (ids[row, cu[-1] :] == 9).all() and not pos[row, cu[-1] :].any()
+            assert all(pos[row, a:b].tolist() == list(range(b - a)) for a, b in zip(cu, cu[1:]))
+            whole.update(zip(q["doc_ids"], q["pieces"], (tuple(ids[row, a:b].tolist()) for a, b in zip(cu, cu[1:]))))
+    want = collections.Counter((k, p, tuple([*ids[:-1], 5][a : a + 64])) for k, ids in expected_ids([(r[0], r[1]) for r in ODD]) for p, a in enumerate(range(0, len(ids), 64)))
+    assert whole == want
+
+
 # ---- pages
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><p>Site of the day and the week and more</p></header>
 <nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies and the like for you and for us on this site, as it is.</div>
@@ -434,6 +450,8 @@ def test_warc_round_trip(spark):
         payload = {4: b"small", 5: b"small", 6: b""}.get(r["page_id"], ("é" * 80).encode())
         assert r["payload_bytes"] == len(payload) and r["payload_digest"] == hashlib.sha256(payload).hexdigest()
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    long = spark.createDataFrame([(1, "u", "payload of the page " * 500_000)], "page_id long, url string, html string").withColumns({"archive": F.lit("x"), "gap": F.lit(1), "digest": F.lit(2)})
+    assert [(r["payload_bytes"], r["record_type"]) for r in warc.round_trip(long).collect()] == [(10_000_000, "response")]
 
 
 def archive(pack):
@@ -491,7 +509,7 @@ def test_escape_is_reversible():
     for s in ("<|im_end|>", "<␛|x", "<␛␛|<|", "plain", "<", "|<|"):
         assert chat.unescape(chat.escape(s)) == s and "<|" not in chat.escape(s)
     for role in ("user", "a\nb%0A", "<|im_end|>"):
-        assert chat.parse(chat.segment(role, "x\ny")[0]) == (role, "x\ny")
+        assert list(chat.parse(chat.segment(role, "x\ny")[0] + chat.segment("user", role)[0])) == [(role, "x\ny"), ("user", role)]
 
 
 def test_chat_digests(spark):
@@ -502,12 +520,45 @@ def test_chat_digests(spark):
     assert got[1]["n_turns"] == 4 and got[1]["turns_sha256"] == sha("user\nhi\nassistant\n<|im_end|>\nuser\n\nassistant\nbye\n")
     assert got[1]["loss_chars"] == 13 and got[1]["loss_sha256"] == sha("<|im_end|>bye") and got[2]["loss_chars"] == 0
     assert got[-1]["loss_sha256"] == sha("<|im_end|><|im_start|>assistant ok") and got[None]["n_turns"] == 1
-    examples = chat.materialise(chat.expand(df)).where("conv_id = 1").orderBy("place").collect()
-    assert sum(len(e["text"]) for e in examples) == got[1]["formatted_chars"]
+    examples = [r for r in chat.expand(df).where("conv_id = 1").orderBy("place").collect() if r["target"]]
+    assert sum(len(e["text"]) for e in examples) == got[1]["formatted_chars"] and [e["last"] for e in examples] == [False, True]
     spans = [chat.unescape(e["text"][e["loss_start"] : e["loss_start"] + e["loss_chars"]]) for e in examples]
     assert spans == ["<|im_end|>", "bye"] and examples[1]["text"].startswith(examples[0]["text"])
 
 
+def brute_chat(rows):
+    """Digests of conversations from plain lists: (conv, turn, role, text)."""
+    form = lambda role, t: f"<|im_start|>{chat.escape(role)}\n{chat.escape(t)}<|im_end|>\n"
+    groups = collections.defaultdict(list)
+    for conv, turn, role, t in rows:
+        groups[conv].append((turn is not None, turn or 0, role or "", t or ""))
+    out = {}
+    for conv, turns in groups.items():
+        turns = [(r, t) for *_, r, t in sorted(turns)]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        chars = sum(sum(len(form(*x)) for x in turns[: i + 1]) for i, (r, _) in enumerate(turns) if r == "assistant")
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        out[conv] = (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), chars)
+    return out
+
+
+def test_chat_digests_against_brute_force(spark, sf, monkeypatch):
+    table = queries.table(spark, sf, "conversations")
+    rows = [tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()]
+    # repeated rows, ties of turn, nulls, a long conversation, one without an assistant, a conversation -1
+    rows += [(9001, 1, "user", "twice"), (9001, 1, "user", "twice"), (9001, 1, "assistant", "a tie"), (9001, None, "assistant", "first"), (9002, 0, "user", "nobody answers"), (None, 0, "assistant", "no id"), (-1, 0, "assistant", "own")]
+    rows += [(9003, i, "assistant" if i % 2 else "user", f"word {i} <|im_start|> " * 40) for i in range(120)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(7)).withColumn("last", F.lit("x"))
+    text_ = "<|im_end|><|im_start|>assistant ok"
+    for size in (chat.BATCH_CHARS, 5000):
+        monkeypatch.setattr(chat, "BATCH_CHARS", size)
+        got = collections.Counter(tuple(r) for r in chat.chat_digests(df).collect())
+        want = collections.Counter((k, *v) for k, v in brute_chat(rows).items())
+        want.update((k, *v) for k, v in brute_chat([(-1, 0, "user", text_), (-1, 1, "assistant", text_)]).items())
+        assert got == want
+    assert [r["conv_id"] for r in chat.chat_digests(df.limit(0)).collect()] == [-1]
+
+
 # ---- licenses
 def test_license_alignment(spark, odd):
     full = licenses.TEMPLATES["MIT"]

@@ -22,41 +22,38 @@ from pyspark.sql import types as T
 from wattloom.llm.tokens import tokenizer
 from wattloom.session import cut, ship
 
-#: Segments broadcast at most; more are joined by a shuffle.
-BROADCAST_SEGMENTS = 200_000
 #: Pieces that one rank cell should hold, on average, if all had one length.
 CELL = 20_000
 
 SEGMENT = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "lo", "hi", "first", "per", "at")])
 
 
-def split_tokens(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, keyed: bool = False) -> DataFrame:
-    """Pieces (doc_id, piece, start, length, ids_crc32[, text_hash]) of documents' token ids.
+def split_tokens(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, ids: str | None = None) -> DataFrame:
+    """Pieces (doc_id, piece, start, length, ids_crc32[, ids]) of documents' token ids.
 
     A document's ids are its text's ids and then end_id. Only a document longer than
     capacity is cut, into capacity-sized pieces, the last one maybe shorter. A null or
     empty text has the one id end_id. Repeated rows give repeated pieces. The checksum is
-    of little-endian unsigned 32-bit ids; text_hash tells texts of one doc_id apart."""
+    of little-endian unsigned 32-bit ids; the column ids holds them in the given numpy kind."""
     ship(docs.sparkSession)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["text_hash"] * keyed]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", text_hash long" * keyed
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if ids else 5]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            marks = batch.column(2).to_pylist() if keyed else keys
             for at, flat, off in _encoded(path, batch.column(1).to_pylist()):
                 rows: list[tuple] = []
                 for i, a, b in zip(range(at, len(keys)), off[:-1].tolist(), off[1:].tolist()):
-                    ids = np.append(flat[a:b], np.int32(end_id)).astype("<u4")
-                    for piece, s in enumerate(range(0, len(ids), capacity)):
-                        part = ids[s : s + capacity]
-                        rows.append((keys[i], piece, s, len(part), zlib.crc32(part.tobytes()), marks[i])[: len(names)])
+                    whole = np.append(flat[a:b], np.int32(end_id)).astype("<u4")
+                    for piece, s in enumerate(range(0, len(whole), capacity)):
+                        part = whole[s : s + capacity]
+                        row = (keys[i], piece, s, len(part), zlib.crc32(part.tobytes()))
+                        rows.append((*row, part.astype(ids).tobytes()) if ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    columns = [F.col("doc_id").cast("long"), F.col("text"), *[F.xxhash64("text")] * keyed]
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def _encoded(path: str, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -225,24 +222,26 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple]
 
 
 def pack(pieces: DataFrame, capacity: int, planner: Callable[[dict[int, int], int], list[tuple]]) -> DataFrame:
-    """pieces with sequence_id and offset. pieces has length (1 to capacity) and is read
-    several times: give a materialised one. Rows with equal columns take any order.
-    No pieces: no rows."""
+    """pieces with sequence_id and offset. pieces has length (1 to capacity) and ids_crc32, and
+    is read several times: give a checkpointed one, whose rows stay in their partitions, as
+    these take part in the salt. Rows with equal columns take any order. No pieces: no rows.
+
+    The plan is bounded by capacity alone (a pattern uses up a length, or leaves less of it
+    than one bin holds), so its segments are broadcast."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     segments = planner(histogram, capacity)
     total = sum(histogram.values())
     salts = min(1 << 16, max(64, 1 << (total // CELL).bit_length()))
     key = ["length", "salt"]
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    # the text and the partition, so that rows with one doc_id, or none, or one text are dealt apart
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id()), F.lit(salts)))
     cells = salted.groupBy(*key).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select(*key, F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "piece"))
+    within = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "piece", "ids_crc32"))
     ranked = salted.withColumn("within", within).join(cells, key).withColumn("rank", F.col("before") + F.col("within") - 1)
-    table = spark.createDataFrame(segments, SEGMENT).withColumnRenamed("length", "of")
-    if len(segments) <= BROADCAST_SEGMENTS:
-        table = F.broadcast(table)
+    table = F.broadcast(spark.createDataFrame(segments, SEGMENT).withColumnRenamed("length", "of"))
     placed = ranked.join(table, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     step = F.col("rank") - F.col("lo")
     return placed.select(

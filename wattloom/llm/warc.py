@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.session import checkpoint_dir, cut, ship
+from wattloom.session import cut, scratch, ship
 
 #: Payloads with fewer bytes are never stored as revisits.
 MIN_REVISIT = 100
@@ -289,11 +289,13 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write pages as archives in the shared folder and read every record back: page_id,
-    payload_bytes, payload_digest, record_type, refers_to; one row per row of pages.
+    payload_bytes, payload_digest, record_type, refers_to; one row per row of pages. A gap in
+    what was just written is an error.
 
     A null html is an empty payload. A null page_id is never revisited nor revisits. Rows
     that repeat page_id and payload have the same type. Extra columns are ignored; an
     empty table gives no rows."""
-    path = f"{checkpoint_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    read = read_archives(write_archives(pages, path))
-    return read.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = read_archives(write_archives(pages, scratch(pages.sparkSession, "warc")))
+    lost = F.concat(F.lit("gap in "), "archive", F.lit(" at "), F.col("position").cast("string"), F.lit(": "), "gap")
+    checked = F.when(F.col("gap").isNotNull(), F.raise_error(lost)).otherwise(F.col("record_type"))
+    return read.select("page_id", "payload_bytes", "payload_digest", checked.alias("record_type"), "refers_to")
