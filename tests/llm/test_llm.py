@@ -424,6 +424,35 @@ def test_article_marks_are_a_prior_alone():
     assert html_extract.main_text(f"<body><p>{good}</p><div>{shop}</div><p>{good}</p></body>").split("\n") == [good, good]
 
 
+def test_furniture_by_whole_names_and_shown_raw_text():
+    good = "It is the kind of text that a reader of the page would want to see, as it has many of the words that are in the language, and it is long enough for the rules to be sure of it and to keep it here."
+    for name in ("share-price", "related-work", "code-comment", "searching"):
+        assert html_extract.main_text(f'<body><p>{good}</p><div class="{name}">{good}</div></body>').split("\n") == [good, good], name
+    for name in ("ad", "comment-list", "site-footer", "share-buttons", "x cookie-notice", "main_nav"):
+        assert html_extract.main_text(f'<body><p>{good}</p><div class="{name}">{good}</div></body>') == good, name
+    page = f"<article><p>{good}</p><p>It is <math><mi>x</mi>+1</math> and <button>more</button> of it</p><xmp>a < b & c</xmp><p>{good}</p></article>"
+    assert html_extract.main_text(page).split("\n") == [good, "It is x+1 and more of it", "a < b & c", good]
+    deep = "<div>" * 3000 + f"<p>{good}" + "</i>" * 3000 + "</div>" * 3000
+    assert html_extract.main_text(f"<nav>{deep}</nav><p>{good}</p>") == good and html_extract.main_text(deep) == good
+
+
+def test_article_tags_do_not_decide(spark, sf):
+    """With <article> renamed to <div> nearly all blocks keep their labels."""
+    blocks = wrong = 0
+    for r in queries.table(spark, sf, "pages").collect():
+        marked, plain = (html_extract.main_text(h).split("\n") for h in (r["html"], re.sub(r"(</?)(?:article|main)\b", r"\1div", r["html"])))
+        blocks += len(marked)
+        wrong += sum(((collections.Counter(marked) - collections.Counter(plain)) + (collections.Counter(plain) - collections.Counter(marked))).values())
+    assert wrong <= 0.02 * blocks
+
+
+def test_pages_of_odd_rows(spark):
+    rows = [(1, "u", None), (1, "u", ""), (None, None, "<p>x"), (2, "u", "<p>same</p>"), (2, "u", "<p>same</p>"), (3, "u", "word " * 200_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit(1)})
+    got = collections.Counter((r["page_id"], r["n_chars"]) for r in html_extract.extract(df).collect())
+    assert got == collections.Counter([(1, 0), (1, 0), (None, 1), (2, 4), (2, 4), (3, 999_999)]) and html_extract.extract(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("body", ["Это длинный абзац обычного русского текста, который читатель страницы хотел бы прочитать целиком и без пропусков.", "這是一個足夠長的段落,讀者希望完整地閱讀它,而不會遺漏任何內容,因為它是頁面的正文。", "Ten akapit jest wystarczająco długi, żeby czytelnik strony chciał przeczytać go w całości, bez żadnych braków."])
 def test_languages_without_a_word_list(body):
     page = f"<body><nav><a href=a>One</a></nav><div>{body}</div><div><a href=x>{body}</a></div><div>{body}</div><footer>{body}</footer></body>"

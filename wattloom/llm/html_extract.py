@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,11 +30,14 @@ MAX_LINKS, STOP_LOW, STOP_HIGH = 0.4, 0.1, 0.2
 FEW_LINKS = 0.2
 
 # Element names and name parts of page furniture.
-RAW = frozenset("script style textarea title noscript template iframe svg math object select button xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object select noembed noframes".split())
+VERBATIM = frozenset(["xmp"])  # raw text that is shown
 FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
-BLOCKS = frozenset("address article aside blockquote body caption center col colgroup dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center col colgroup dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus reply replies respond share sharing social related recommended trending widget skip search copyright".split())
+#: Words that beside a name part leave a class or id furniture (comment-list, but not code-comment).
+GLUE = frozenset("a an all and area article bar block body bottom box button buttons col column container content count feed footer foot form global group head header icon icons inner item items left link links list main message mobile nav outer page panel post primary right row secondary section site slot story text the title to top user view web website wrap wrapper".split())
 DATA = frozenset("pre td th li dd".split())  # code, tables and lists have few stop words by nature
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 
@@ -55,11 +59,17 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id") and tag not in ("html", "body", "article", "main") and NAMES.intersection(re.split(r"[^a-z]+", value)):
+        if key in ("class", "id") and tag not in ("html", "body", "article", "main") and any(map(_names_furniture, value.split())):
             return True
     return False
 
 
+def _names_furniture(name: str) -> bool:
+    """Whether a class or id is made of name parts and words that say nothing else."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    return any(x in NAMES for x in parts) and all(x in NAMES or x in GLUE for x in parts)
+
+
 def blocks(page: str) -> list[dict]:
     """Text blocks in page order: text, links (characters in links), bad (in furniture),
     article (in a marked article), data (in code, a table or a list)."""
@@ -67,30 +77,37 @@ def blocks(page: str) -> list[dict]:
     parts: list[str] = []
     links = 0
     open_tags: list[tuple[str, bool, bool]] = []  # name, furniture, article
+    depth: Counter[str] = Counter()  # open tags by name, and of each kind
 
-    def furniture() -> bool:
-        return any(f for _, f, _ in open_tags)
+    def push(tag: str, bad: bool, article: bool) -> None:
+        open_tags.append((tag, bad, article))
+        depth.update({tag: 1, "*bad": bad, "*article": article, "*data": tag in DATA})
 
-    def article() -> bool:
-        return any(a for _, _, a in open_tags)
+    def pop() -> str:
+        tag, bad, article = open_tags.pop()
+        depth.subtract({tag: 1, "*bad": bad, "*article": article, "*data": tag in DATA})
+        return tag
 
     def flush() -> None:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            out.append({"text": text, "links": links, "bad": furniture(), "article": article(), "data": any(t in DATA for t, _, _ in open_tags)})
+            out.append({"text": text, "links": links, "bad": depth["*bad"] > 0, "article": depth["*article"] > 0, "data": depth["*data"] > 0})
         parts.clear()
         links = 0
 
+    def add(text: str) -> None:
+        nonlocal links
+        parts.append(text)
+        if depth["a"]:
+            links += len(" ".join(text.split()))
+
     pos = 0
     while True:
         m = _TAG.search(page, pos)
         text = page[pos : m.start() if m else len(page)]
         if text:
-            text = entities.unescape(text)
-            parts.append(text)
-            if any(t == "a" for t, _, _ in open_tags):
-                links += len(" ".join(text.split()))
+            add(entities.unescape(text))
         if not m:
             break
         pos = m.end()
@@ -99,30 +116,37 @@ def blocks(page: str) -> list[dict]:
             continue
         if tag in RAW and not closing:
             if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-                pos = end.end() if end else len(page)
+                pos = _end_of(tag, page, pos)[1]
             continue
         if tag in BLOCKS or tag == "br":
             if tag == "br":
                 parts.append(" ")
             else:
                 flush()
+        if tag in VERBATIM and not closing:
+            stop, pos = _end_of(tag, page, m.end())
+            add(page[m.end() : stop])
+            flush()
+            continue
         if closing:
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == tag:
-                    del open_tags[i:]
-                    break
+            if depth[tag]:
+                while pop() != tag:
+                    pass
         elif tag not in VOID and not attributes.rstrip().endswith("/"):
             if tag in _IMPLIED and open_tags and open_tags[-1][0] in _IMPLIED[tag]:
-                open_tags.pop()
-            bad = _is_furniture(tag, attributes, article())
-            open_tags.append((tag, bad, tag in ("article", "main") and not bad))
-            if len(open_tags) > 500:  # unclosed tags: inline ones at the bottom cannot matter
-                open_tags[:] = [t for t in open_tags if t[1] or t[2]] or open_tags[-1:]
+                pop()
+            bad = _is_furniture(tag, attributes, depth["*article"] > 0)
+            push(tag, bad, tag in ("article", "main") and not bad)
     flush()
     return out
 
 
+def _end_of(tag: str, page: str, pos: int) -> tuple[int, int]:
+    """Where the raw text from pos ends, and its closing tag."""
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+    return (end.start(), end.end()) if end else (len(page), len(page))
+
+
 def _size(text: str) -> int:
     """Characters; one of a wide script (from U+2E80 on) says as much as three."""
     return len(text) if text.isascii() else len(text) + 2 * sum(c >= "\u2e80" for c in text)
@@ -144,7 +168,7 @@ def label(found: list[dict]) -> list[bool]:
     counts = [sum(w in _STOP_OF[k] for i in open_blocks for w in words[i]) for k in _STOP_OF]
     unlisted = max(counts) < STOP_LOW * total
     first: list[bool | None] = [False] * len(found)
-    few: list[int] = []  # long enough, few links, few stop words
+    few: list[int] = []  # long enough, few links, no stop word
     for i in open_blocks:
         b, size = found[i], _size(found[i]["text"])
         stop = sum(w in _STOP for w in words[i]) / len(words[i]) if words[i] else 0.0
@@ -159,8 +183,9 @@ def label(found: list[dict]) -> list[bool]:
             if unlisted or _foreign(b["text"]):
                 first[i] = True
             else:
-                few.append(i)
                 first[i] = None
+                if not stop:
+                    few.append(i)
     good = [i for i in open_blocks if first[i]] or open_blocks
     inside = sum(_size(found[i]["text"]) for i in good if found[i]["article"])
     marked = 2 * inside >= sum(_size(found[i]["text"]) for i in good) > 0
@@ -188,24 +213,30 @@ def _nearest(use: list[bool | None]) -> list[tuple[int | None, int | None]]:
 
 def _inherit(found: list[dict], first: list[bool | None], marked: bool) -> list[bool]:
     """Labels of undecided blocks from the nearest decided neighbour on each side; when
-    they differ, the nearer one. In a marked article only its own blocks are neighbours, and
+    they differ, the nearer one, but furniture does not outvote text. Without any sure text on
+    an unmarked page undecided blocks are good. In a marked article only its own blocks are neighbours, and
     ties and blocks without neighbours are good; on a marked page outside of it they are
     bad, on other pages ties are good."""
     inner = [marked and b["article"] and not b["bad"] for b in found]
     everywhere = _nearest(first)
     within = _nearest([x if y else None for x, y in zip(first, inner)]) if marked else everywhere
+    sure = any(first)
     out = []
     for i, x in enumerate(first):
         if x is not None:
             out.append(x)
             continue
         a, b = within[i] if inner[i] else everywhere[i]
-        if a is None and b is None:
+        if not (sure or marked):  # no sure text on the page: what may be text is
+            out.append(True)
+        elif a is None and b is None:
             out.append(inner[i])
         elif a is None or b is None:
             out.append(bool(first[b if a is None else a]))
         elif first[a] == first[b]:
             out.append(bool(first[a]))
+        elif found[b if first[a] else a]["bad"]:  # between text and furniture: an end of the text
+            out.append(inner[i] or not marked)
         elif i - a == b - i:
             out.append(inner[i] or not marked)
         else:
