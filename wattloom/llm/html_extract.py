@@ -42,6 +42,7 @@ DATA = frozenset("pre td th li dd".split())  # code, tables and lists have few s
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 
 _TAG = re.compile(r"<(?:!--(.*?)(?:-->|$)|([!?][^>]*)>|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>)", re.S)
+_OPEN = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")  # a tag that the page's end cuts
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _STOP_OF = {k: frozenset(ws) for k, ws in COMMON_WORDS.items()}
@@ -105,7 +106,7 @@ def blocks(page: str) -> list[dict]:
     pos = 0
     while True:
         m = _TAG.search(page, pos)
-        text = page[pos : m.start() if m else len(page)]
+        text = page[pos : m.start()] if m else _OPEN.sub("", page[pos:])
         if text:
             add(entities.unescape(text))
         if not m:
