@@ -16,18 +16,25 @@ def hot_limit(rows: int) -> int:
     return max(LEAST, rows // HOT)
 
 
-def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """(key, n) of the hot keys of df, which has so many rows: at most HOT."""
-    return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hot_limit(rows))
+def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame | None:
+    """(key, n) of the hot keys of df, which has so many rows: at most HOT; None if none is."""
+    return some(df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hot_limit(rows))) if rows > LEAST else None
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def some(hot: DataFrame) -> DataFrame | None:
+    """The at most HOT rows of hot as a local table, None if there are none."""
+    rows = hot.collect()
+    return hot.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """left join right (inner; right has one small row a key) with the hot keys of left
     joined by broadcast, where left's rows stay, and the others by a shuffle."""
+    if hot is None:
+        return left.join(right, key)
     keys = F.broadcast(hot.select(key))
-    some = left.join(F.broadcast(right.join(keys, key)), key)
     rest = left.join(keys, key, "left_anti").join(right, key)
-    return some.select(*rest.columns).unionByName(rest)
+    return left.join(F.broadcast(right.join(keys, key)), key).select(*rest.columns).unionByName(rest)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
     No links: no rows."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
     rows = edges.count()
-    hubs = cut(hot_keys(edges, "b", rows).select("b"))
+    hubs = hot_keys(edges, "b", rows)
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         seen = join_hot(edges, labels.withColumnRenamed("node", "b"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.llm import text as tx
-from wattloom.llm.components import components, hot_keys, hot_limit, join_hot
+from wattloom.llm.components import components, hot_keys, hot_limit, join_hot, some
 from wattloom.session import cut, ship
 
 WORDS = 5
@@ -227,14 +227,17 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, keep) if k], pa.int64()), pa.array([x for x, k in zip(b, keep) if k], pa.int64())], names=["a", "b"])
 
     rows = pairs.count()
-    hot = cut(hot_keys(pairs, "a", rows))
-    parts = F.coalesce(F.ceil(F.col("n") / hot_limit(rows)), F.lit(1))
-    spread = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"))
+    hot = hot_keys(pairs, "a", rows)
     own = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    other = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(F.broadcast(hot), "a", "left")
-    other = other.select("a", "text_a", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("salt"))
-    both = spread.join(own, "b").join(other, ["a", "salt"]).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
+    other = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    if hot is None:
+        both = pairs.join(own, "b").join(other, "a")
+    else:
+        parts = F.coalesce(F.ceil(F.col("n") / hot_limit(rows)), F.lit(1)).cast("int")
+        spread = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"))
+        copies = other.join(F.broadcast(hot), "a", "left").select("a", "text_a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+        both = spread.join(own, "b").join(copies, ["a", "salt"])
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _digest(text: str = "text"):
@@ -260,7 +263,7 @@ def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     shared = cut(shared)
     labels = spark.createDataFrame([], "node long, label long")
     if size := shared.agg(F.sum("n")).first()[0]:
-        entries = cut(join_hot(entries, shared.select("key", "low"), "key", shared.where(F.col("n") > hot_limit(size))))
+        entries = cut(join_hot(entries, shared.select("key", "low"), "key", some(shared.where(F.col("n") > hot_limit(size)).select("key"))))
         labels = _classes(docs, reps, entries, idf, threshold)
     texts = cut(reps.select("node", "digest", "doc_id", "n").join(labels, "node", "left").select("digest", "doc_id", "n", F.coalesce("label", "node").alias("label")))
     group = texts.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.hex("digest")).alias("class_key"))
@@ -281,7 +284,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     shingle. Extra columns are ignored. No rows give no rows."""
     rows, classes = _classified(docs, threshold)
     total = classes.agg(F.sum("n")).first()[0] or 0
-    out = join_hot(rows, classes.select("digest", "class_id", "class_key"), "digest", classes.where(F.col("n") > hot_limit(total)))
+    named = classes.select(F.xxhash64("digest").alias("mark"), F.col("digest").alias("of"), "class_id", "class_key")
+    hot = some(classes.where(F.col("n") > hot_limit(total)).select(F.xxhash64("digest").alias("mark")))
+    out = join_hot(rows.withColumn("mark", F.xxhash64("digest")), named, "mark", hot).where((F.col("digest") <= F.col("of")) & (F.col("digest") >= F.col("of")))
     alone = docs.where("text is null").select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long").alias("class_id"), F.lit(None).cast("string").alias("class_key"))
     return out.select(*alone.columns).unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
@@ -305,7 +310,7 @@ def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, idf, threshol
         rows, left = divided.agg(F.sum("n"), F.sum("pairs")).first()
         if not left:
             return labels
-        hot = divided.where(F.col("n") > hot_limit(rows))
+        hot = some(divided.where(F.col("n") > hot_limit(rows)).select("key"))
         entries = cut(join_hot(labelled, divided.select("key", "n"), "key", hot))
         if left <= PAIRS_PER_ENTRY * rows or left > 0.8 * before:
             few = _verify(cut(_small_pairs(entries.where(F.col("n") <= SMALL), reps).distinct()), texts, idf, threshold)
@@ -384,7 +389,7 @@ def _compare_blocks(entries: DataFrame, reps: DataFrame, texts: DataFrame, idf,
     most = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
     blocks = cut(sized.groupBy("key").agg(most.alias("blocks"), F.count("*").alias("n")))
     rows = blocks.agg(F.sum("n")).first()[0] or 0
-    own = join_hot(entries.drop("n"), blocks.select("key", "blocks"), "key", blocks.where(F.col("n") > hot_limit(rows)))
+    own = join_hot(entries.drop("n"), blocks.select("key", "blocks"), "key", some(blocks.where(F.col("n") > hot_limit(rows)).select("key")))
     own = own.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     whole = own.join(marks, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = whole.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "band", "node", "label", "block", "samples")
