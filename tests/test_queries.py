@@ -11,7 +11,7 @@ import pytest
 
 from wattloom import queries as meter
 
-SLOW = {"f9_trailing_p95", "f10_threshold_grid", "f11_expanding_p95", "flagship_peak_events"}
+
 
 
 @pytest.fixture(scope="module")

@@ -23,3 +23,10 @@ def safe_corr(a: str, b: str) -> Column:
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
+def uniform(*parts: Column | str) -> Column:
+    """A number in [0, 1) that depends on the parts alone, the same in any engine with md5:
+    the first 32 bits of the digest of the parts joined by `|`."""
+    text = F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

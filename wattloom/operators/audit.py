@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.functions.special import uniform
+from wattloom.plans.ranks import numbered
+
 Keys = Sequence[str]
 
 
@@ -73,10 +76,23 @@ def label_granularity(rows: DataFrame, results: DataFrame, day: str) -> DataFram
 
 
 def run_structure(df: DataFrame, flag: str, order: Keys) -> DataFrame:
-    """Rate of a flag by quarter of the row order; quarters from ranks of hashed ranges
-    would not be exact, so rows are numbered by a sort."""
-    q = F.ntile(4).over(Window.orderBy(*order))
-    return df.select(q.alias("quarter"), flag).groupBy("quarter").agg(F.count("*").alias("n"), F.avg(flag).alias("rate"))
+    """Rate of a flag by quarter of the row order; the first n % 4 quarters have a row more."""
+    d, n = numbered(df.select(*order, flag), order)
+    size, more = divmod(n, 4)
+    rn = F.col("row_number")
+    quarter = F.when(rn <= more * (size + 1), F.ceil(rn / (size + 1))).otherwise(more + F.ceil((rn - more * (size + 1)) / max(size, 1)))
+    return d.groupBy(quarter.cast("int").alias("quarter")).agg(F.count("*").alias("n"), F.avg(flag).alias("rate"))
+
+
+def order_auc(df: DataFrame, label: str, order: str) -> DataFrame:
+    """AUC of the row order for a label, between the first and the last positive row: how far
+    time alone tells the label. Rows of equal order share their rank."""
+    v = df.groupBy(order).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("long")).alias("_pos"))
+    span = F.broadcast(v.where("_pos > 0").agg(F.min(order).alias("_a"), F.max(order).alias("_b")))
+    d, _ = numbered(v.crossJoin(span).where(F.col(order).between(F.col("_a"), F.col("_b"))).drop("_a", "_b"), [order], "_upto", "_n")
+    n, pos = F.sum("_n").cast("double"), F.sum("_pos").cast("double")
+    ranks = F.sum(F.col("_pos") * (F.col("_upto") - (F.col("_n") - 1) / 2))
+    return d.agg(F.sum("_n").alias("n"), ((ranks - pos * (pos + 1) / 2) / F.nullif(pos * (n - pos), F.lit(0.0))).alias("auc"))
 
 
 def equal_bins(df: DataFrame, x: str, y: str, split: str, bins: int, by: Keys = ()) -> DataFrame:
@@ -123,12 +139,17 @@ def budget(df: DataFrame, label: str, score: str, share: float, by: Keys, tie: s
     return d.groupBy(*by).agg((F.sum(F.when(hit, F.col(label)).otherwise(0)) / F.nullif(F.sum(label), F.lit(0))).alias("recall"), F.avg(F.when(hit, F.col(label))).alias("precision"), F.count_if(hit).alias("alerts"))
 
 
-def stratified(df: DataFrame, strata: Keys, per: int, least: int, key: str, seed: int = 0) -> DataFrame:
-    """`per` rows of each stratum by hashed order, topped up to `least` rows in all."""
-    h = F.xxhash64(F.lit(seed), key)
-    first = df.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy(h, key))).where(F.col("_r") <= per).drop("_r")
-    rest = df.join(first.select(key), key, "left_anti").withColumn("_h", h).orderBy("_h", key).limit(least).drop("_h")
-    return first.withColumn("_o", F.lit(0)).unionByName(rest.withColumn("_o", F.lit(1))).orderBy("_o", h, key).limit(max(least, first.count())).drop("_o")
+def stratified(df: DataFrame, strata: Keys, per: int, least: int, keys: Keys, seed: int = 0) -> DataFrame:
+    """`per` rows of each stratum by hashed order, topped up to `least` rows in all from the
+    others in that order: the hash of the first key, then the keys."""
+    d = df.withColumn("_u", uniform(F.lit(seed), keys[0]))
+    d = d.withColumn("_first", (F.row_number().over(Window.partitionBy(*strata).orderBy("_u", *keys)) <= per).cast("int"))
+    # the top-up needs at most `least` rows: the smallest of each task, then of all
+    some = d.where("_first = 0").orderBy("_u", *keys).limit(least)
+    rest = some.withColumn("_place", F.row_number().over(Window.partitionBy("_first").orderBy("_u", *keys)))
+    have = F.broadcast(d.where("_first = 1").agg(F.count("*").alias("_have")))
+    top = rest.crossJoin(have).where(F.col("_place") <= least - F.col("_have")).drop("_place", "_have")
+    return d.where("_first = 1").unionByName(top).drop("_u", "_first")
 
 
 def profiles(df: DataFrame, state: Keys, x: str, ramp: str, peak: str, hour: Column, by: Keys = ()) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.functions.special import uniform
+
 Keys = Sequence[str]
 
 
@@ -94,7 +96,7 @@ def first_per_group(df: DataFrame, keys: Keys, order: Keys) -> DataFrame:
 
 def hashed_split(keys: Keys, share: float, seed: int = 0) -> Column:
     """True for about `share` of the rows, at random but repeatably: no sort, no shuffle."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) < int(share * 1_000_000)
+    return uniform(F.lit(seed), *keys) < share
 
 
 def packed_weather(df: DataFrame) -> DataFrame:

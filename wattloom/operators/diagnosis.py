@@ -23,11 +23,18 @@ def advisory(ood: Column) -> Column:
     return F.when(ood, LEVELS[0]).when(on("alert") & ~on("unsure"), LEVELS[1]).when(on("alert"), LEVELS[2]).when(on("gap"), LEVELS[3]).when(on("early"), LEVELS[4]).otherwise(LEVELS[5])
 
 
-def advisory_fine(ood: Column) -> Column:
-    """Seven levels: uncertain but explained rows get their own, and sure quiet rows with a
-    low-confidence neighbour level are monitored."""
+FINE_LEVELS = ("HUMAN_REVIEW", "WARN_CONFIRMED", "WARN_LOW_CONFIDENCE", "ADVISORY_UNCERTAIN", "EARLY_WATCH", "MONITOR_LOW_CONFIDENCE", "NORMAL_MONITORING")
+
+
+def advisory_fine(ood: Column, confirm: Column) -> Column:
+    """The first rule that holds, in the order of FINE_LEVELS; an early row that is unsure and
+    not confirmed is an uncertain advisory."""
     on = lambda c: F.col(c) == 1
-    return F.when(ood, LEVELS[0]).when(on("alert") & ~on("unsure"), LEVELS[1]).when(on("alert"), LEVELS[2]).when(on("gap"), LEVELS[3]).when(on("early") & on("unsure"), "UNCERTAIN_ADVISORY").when(on("unsure"), "LOW_CONFIDENCE_MONITOR").when(on("early"), LEVELS[4]).otherwise(LEVELS[5])
+    rules = (ood, on("alert") & ~on("unsure"), on("alert"), on("early") & ~confirm & on("unsure"), on("early"), on("unsure"))
+    out = F.when(rules[0], FINE_LEVELS[0])
+    for rule, level in zip(rules[1:], FINE_LEVELS[1:]):
+        out = out.when(rule, level)
+    return out.otherwise(FINE_LEVELS[-1])
 
 
 def reasons(rules: Sequence[tuple[Column, str]], otherwise: str) -> Column:

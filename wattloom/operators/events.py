@@ -141,13 +141,13 @@ def peak_definitions(df: DataFrame, x: str, keys: Keys, step: str, day: Column,
     }).drop("_q", "_day")
 
 
-def missed_taxonomy(df: DataFrame, flag: str, alert: str, margin: str, mae: float | Column, keys: Keys, step: str) -> DataFrame:
+def missed_taxonomy(df: DataFrame, flag: str, alert: str, margin: str, mae: str, keys: Keys, step: str, ways: Keys = ()) -> DataFrame:
     """Each event as caught, forecast_miss (best margin under -2 MAE), rule_blocked (at
-    least -1 MAE) or undetermined."""
-    e = runs(df, flag, keys, step, 2, caught=F.max(alert), best=F.max(margin))
-    mae = F.lit(mae) if not isinstance(mae, Column) else mae
-    kind = F.when(F.col("caught") == 1, "caught").when(F.col("best") < -2 * mae, "forecast_miss").when(F.col("best") >= -1 * mae, "rule_blocked").otherwise("undetermined")
-    return e.withColumn("kind", kind)
+    least -1 MAE) or undetermined, and by which other ways (0/1 columns: a lower threshold, a
+    probability, another stage) it would have been caught. mae is a column of the series."""
+    e = runs(df, flag, keys, step, 2, caught=F.max(alert), best=F.max(margin), _mae=F.max(mae), **{w: F.max(w) for w in ways})
+    kind = F.when(F.col("caught") == 1, "caught").when(F.col("best") < -2 * F.col("_mae"), "forecast_miss").when(F.col("best") >= -F.col("_mae"), "rule_blocked").otherwise("undetermined")
+    return e.withColumn("kind", kind).drop("_mae")
 
 
 def false_alarms(df: DataFrame, alert: str, label: str, margin: str, near: float, keys: Keys, step: str) -> DataFrame:

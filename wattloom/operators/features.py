@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wattloom.plans.halo import trailing_quantiles
 
 Keys = Sequence[str]
 
@@ -86,17 +90,17 @@ def quantile(q: float):
 
 
 def trailing_quantile(df: DataFrame, x: str, n: int, q: float, min_rows: int, keys: Keys, t: str, name: str = "thr") -> DataFrame:
-    """Linear-interpolation quantile of the n rows before the current one. Exact, with
-    n values in each frame: see plans.halo for long series."""
+    """Linear-interpolation quantile of the n rows before the current one, as a plain window
+    of n values a frame: the exact form for short series. See plans.halo.trailing_quantiles."""
     return df.withColumn(name, framed(quantile(q), x, n, keys, t, min_rows, 1))
 
 
-def threshold_grid(df: DataFrame, x: str, windows: dict[int, int], qs: Sequence[float], keys: Keys, t: str) -> DataFrame:
-    """Prevalence, onsets, warm-up loss and drift of trailing-threshold rules, long by rule.
-    windows maps a frame to its least rows."""
-    cols = {f"w{n}_q{int(q * 100)}": framed(quantile(q), x, n, keys, t, m, 1) for n, m in windows.items() for q in qs}
-    wide = df.withColumns(cols)
-    long = wide.unpivot([*keys, t, x], list(cols), "rule", "thr").withColumn("peak", (F.col(x) >= F.col("thr")).cast("int"))
+def threshold_grid(df: DataFrame, x: str, windows: Sequence[int], qs: Sequence[float], min_rows: int, keys: Keys, t: str) -> DataFrame:
+    """Prevalence, onsets, warm-up loss and drift of trailing-threshold rules, long by rule;
+    t is a dense step. All rules come from one pass over chunks of the series."""
+    rules = {f"w{n}_q{int(q * 100)}": (n, q, min_rows) for n in windows for q in qs}
+    wide = trailing_quantiles(df, x, rules, keys, t)
+    long = wide.unpivot([*keys, t, x], list(rules), "rule", "thr").withColumn("peak", (F.col(x) >= F.col("thr")).cast("int"))
     w = Window.partitionBy(*keys, "rule").orderBy(t)
     long = long.withColumn("onset", ((F.col("peak") == 1) & (F.coalesce(F.lag("peak").over(w), F.lit(0)) == 0)).cast("int"))
     return long.groupBy(*keys, "rule").agg(
@@ -105,8 +109,15 @@ def threshold_grid(df: DataFrame, x: str, windows: dict[int, int], qs: Sequence[
 
 
 def expanding_quantile(df: DataFrame, x: str, q: float, min_rows: int, keys: Keys, t: str) -> DataFrame:
-    w = over(keys, t).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("thr_expanding", F.when(F.count(x).over(w) >= min_rows, F.percentile(x, F.lit(q)).over(w)))
+    """Quantile of all the past of a series, kept sorted as it grows: a series is one group,
+    worked through once."""
+    schema = T.StructType([*df.schema.fields, T.StructField("thr_expanding", T.DoubleType())])
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(t)
+        return rows.assign(thr_expanding=rows[x].expanding(min_periods=min_rows).quantile(q).shift(1))
+
+    return df.groupBy(*keys).applyInPandas(grow, schema)
 
 
 def month_to_date_max(df: DataFrame, x: str, keys: Keys, t: str) -> DataFrame:
@@ -115,26 +126,28 @@ def month_to_date_max(df: DataFrame, x: str, keys: Keys, t: str) -> DataFrame:
     return df.withColumn("thr_month", F.max(x).over(w))
 
 
-def margin_features(df: DataFrame, x: str, thr: str, keys: Keys, t: str) -> DataFrame:
+def margin_features(df: DataFrame, x: str, thr: str, keys: Keys, t: str, day: Column) -> DataFrame:
+    """Margin over the threshold: plain ratio, lags, ramp, rolling extremes, the day's best."""
     w = over(keys, t)
-    df = df.withColumns({"margin": F.col(x) - F.col(thr), "margin_ratio": F.col(x) / F.greatest(thr, F.lit(1.0))})
-    cols = {f"margin_lag{k}": F.lag("margin", k).over(w) for k in (1, 2, 3, 4, 8)}
-    cols |= {"margin_ramp4": F.col("margin") - F.lag("margin", 4).over(w), "margin_max4": framed(F.max, "margin", 4, keys, t), "margin_roll4": framed(F.avg, "margin", 4, keys, t)}
-    return df.withColumns(cols)
+    df = df.withColumns({"margin": F.col(x) - F.col(thr), "margin_ratio": F.try_divide(F.col(x), F.col(thr)), "_day": day})
+    cols = {f"margin_lag{k}": F.lag("margin", k).over(w) for k in (1, 2, 4, 8, 96)}
+    cols |= {"margin_ramp4": F.col("margin") - F.lag("margin", 4).over(w), "margin_max4": framed(F.max, "margin", 4, keys, t), "margin_max96": framed(F.max, "margin", 96, keys, t), "margin_roll96": framed(F.avg, "margin", 96, keys, t)}
+    cols["day_max_margin"] = F.max(x).over(over([*keys, "_day"], t).rowsBetween(Window.unboundedPreceding, 0)) - F.col(thr)
+    return df.withColumns(cols).drop("_day")
 
 
 def peak_history(df: DataFrame, peak: str, ks: Sequence[int], keys: Keys, t: str) -> DataFrame:
-    """Peaks among the k rows before."""
-    w = over(keys, t)
-    return df.withColumns({f"peaks_{k}": F.coalesce(F.sum(peak).over(w.rowsBetween(-k, -1)), F.lit(0)) for k in ks})
+    """Peaks among the k rows before; null until there are k."""
+    return df.withColumns({f"peaks_{k}": framed(F.sum, peak, k, keys, t, shift=1) for k in ks})
 
 
 def steps_since_peak(df: DataFrame, peak: str, keys: Keys, t: str, cap: int = 400) -> DataFrame:
-    """Rows between the last earlier peak and the current row, at most cap."""
+    """Rows between the last earlier peak and the current row, at most cap; null before the
+    first peak."""
     w = over(keys, t)
     df = df.withColumn("_rn", F.row_number().over(w))
     last = F.last(F.when(F.col(peak) == 1, F.col("_rn")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("since_peak", F.least(F.coalesce(F.col("_rn") - last - 1, F.lit(cap)), F.lit(cap))).drop("_rn")
+    return df.withColumn("since_peak", F.when(last.isNotNull(), F.least(F.col("_rn") - last - 1, F.lit(cap)))).drop("_rn")
 
 
 def day_so_far(df: DataFrame, x: str, qty: str, keys: Keys, t: str) -> DataFrame:
@@ -155,27 +168,31 @@ def slot_rate(df: DataFrame, label: str, slot: str, train: Column, keys: Keys, p
 
 def work_calendar(days: DataFrame, day: str, holiday: str, keys: Keys = ()) -> DataFrame:
     """Work-day features of a table with one row per day: workday, bridge day, days to the
-    next and since the last non-workday, length of the non-work run."""
+    next and since the last non-workday (-1 if there is none), and off_run, the days that
+    remain of the run of non-work days, this one included."""
     w = Window.partitionBy(*keys).orderBy(day)
     off = (F.col(holiday) == 1) | (F.weekday(day) >= 5)
     d = days.withColumn("is_workday", (~off).cast("int"))
-    near = (F.coalesce(F.lag("is_workday").over(w), F.lit(1)) == 0) & (F.coalesce(F.lead("is_workday").over(w), F.lit(1)) == 0)
+    near = (F.lag("is_workday").over(w) == 0) & (F.lead("is_workday").over(w) == 0)
     free = F.when(F.col("is_workday") == 0, F.col(day))
-    nxt = F.first(free, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    nxt = F.first(free, ignorenulls=True).over(ahead)
     prev = F.last(free, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumns({"is_bridge": ((F.col("is_workday") == 1) & near).cast("int"), "days_to_off": F.datediff(nxt, day), "days_since_off": F.datediff(day, prev)})
-    d = d.withColumn("_run", F.sum("is_workday").over(w))
-    size = F.count("*").over(Window.partitionBy(*keys, "_run", "is_workday"))
-    return d.withColumn("off_run", F.when(F.col("is_workday") == 0, size).otherwise(0)).drop("_run")
+    d = d.withColumns({"is_bridge": F.coalesce(((F.col("is_workday") == 1) & near).cast("int"), F.lit(0)), "days_to_off": F.coalesce(F.datediff(nxt, day), F.lit(-1)), "days_since_off": F.coalesce(F.datediff(day, prev), F.lit(-1)), "_rn": F.row_number().over(w)})
+    stop = F.first(F.when(F.col("is_workday") == 1, F.col("_rn")), ignorenulls=True).over(ahead)
+    end = F.coalesce(stop, F.count("*").over(Window.partitionBy(*keys)) + 1)
+    return d.withColumn("off_run", F.when(F.col("is_workday") == 0, end - F.col("_rn")).otherwise(0)).drop("_rn")
 
 
 def solar(t: str, latitude: float, longitude: float, zone_hours: float) -> dict[str, Column]:
-    """Solar elevation in degrees, daylight flag and day length in hours."""
-    day = F.dayofyear(t)
-    tilt = F.radians(F.lit(23.45) * F.sin(F.lit(2) * F.pi() * (F.lit(284) + day) / F.lit(365)))
+    """Solar elevation in degrees, daylight flag and day length in hours, with the equation
+    of time."""
+    year = F.radians(F.lit(360 / 365) * (F.dayofyear(t) - 81))
+    tilt = F.radians(F.lit(23.44)) * F.sin(year)
     lat = F.radians(F.lit(latitude))
-    hour = F.hour(t) + F.minute(t) / 60 + F.lit((longitude - 15 * zone_hours) / 15)
-    angle = F.radians((hour - 12) * 15)
+    minutes = 9.87 * F.sin(2 * year) - 7.53 * F.cos(year) - 1.5 * F.sin(year)
+    true = (F.hour(t) + F.minute(t) / 60) * 60 + F.lit(4 * (longitude - 15 * zone_hours)) + minutes
+    angle = F.radians(true / 4 - 180)
     elevation = F.degrees(F.asin(F.sin(lat) * F.sin(tilt) + F.cos(lat) * F.cos(tilt) * F.cos(angle)))
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.tan(lat) * F.tan(tilt)))
     return {"solar_elevation": elevation, "is_daylight": (elevation > 0).cast("int"), "day_length_h": F.degrees(F.acos(cosine)) * 2 / 15}
@@ -186,22 +203,28 @@ def season(t: str) -> Column:
     return F.when(m.isin(6, 7, 8), "summer").when(m.isin(11, 12, 1, 2), "winter").otherwise("spring_fall")
 
 
+# Peak hours of the tariff outside winter and in winter.
+PEAK_HOURS, WINTER_PEAK_HOURS = (11, 12, 13, 14, 15, 16, 17), (10, 11, 12, 17, 18, 19, 20, 21, 22)
+
+
 def load_zone(t: str) -> Column:
     """Tariff zone by season and hour."""
-    h, m = F.hour(t), F.month(t)
-    winter = m.isin(11, 12, 1, 2)
-    light = (h >= 23) | (h < 9)
-    peak = F.when(winter, h.isin(10, 11, 17, 18, 19, 22)).otherwise(h.isin(10, 11, 13, 14, 15, 16))
-    return F.when(light, "light").when(peak, "peak").otherwise("mid")
+    h = F.hour(t)
+    peak = F.when(season(t) == "winter", h.isin(*WINTER_PEAK_HOURS)).otherwise(h.isin(*PEAK_HOURS))
+    return F.when(peak, "peak").when((h >= 23) | (h < 9), "light").otherwise("mid")
 
 
-def weather_derived(df: DataFrame, temp: str, keys: Keys, t: str) -> DataFrame:
+def weather_derived(df: DataFrame, temp: str, keys: Keys, t: str, dew: str | None = None, pressure: str | None = None) -> DataFrame:
+    """Differences and the day's mean of the temperature; with a dew point its spread and the
+    apparent temperature (from the vapour pressure), with a pressure its 3-hour change."""
     w = over(keys, t)
-    return df.withColumns({
-        "temp_diff1h": F.col(temp) - F.lag(temp, 1).over(w),
-        "temp_diff3h": F.col(temp) - F.lag(temp, 3).over(w),
-        "temp_roll24h": framed(F.avg, temp, 24, keys, t, 6),
-    })
+    cols = {"temp_diff1h": F.col(temp) - F.lag(temp, 1).over(w), "temp_diff3h": F.col(temp) - F.lag(temp, 3).over(w), "temp_roll24h": framed(F.avg, temp, 24, keys, t, 6)}
+    if dew:
+        vapour = 6.11 * F.exp(17.27 * F.col(dew) / (237.3 + F.col(dew)))
+        cols |= {"dew_spread": F.col(temp) - F.col(dew), "heat_proxy": F.col(temp) + 0.33 * vapour - 4.0}
+    if pressure:
+        cols["pressure_diff3h"] = F.col(pressure) - F.lag(pressure, 3).over(w)
+    return df.withColumns(cols)
 
 
 def previous_day(df: DataFrame, x: str, keys: Keys, t: str) -> DataFrame:

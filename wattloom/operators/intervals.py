@@ -109,12 +109,12 @@ def risk_score(pred: str, thr: str, width: str, cap: float = 3.0) -> Column:
     return F.greatest(F.lit(-cap), F.least(F.lit(cap), r))
 
 
-def rule_regime(df: DataFrame, operating: str, ramp: str, ramp_cut: Column, level: str, level_cut: Column, keys: Keys, t: str) -> DataFrame:
-    """Transition if the state switched within 4 rows or the ramp is high; else low load or
-    stable."""
-    w = Window.partitionBy(*keys).orderBy(t).rowsBetween(-4, 0)
-    switched = F.max(operating).over(w) != F.min(operating).over(w)
-    r = F.when(switched | (F.abs(ramp) >= ramp_cut), "TRANSITION").when(F.col(level) <= level_cut, "LOW_LOAD").otherwise("STABLE")
+def rule_regime(df: DataFrame, operating: str, ramp: str, ramp_cut: Column, keys: Keys, t: str) -> DataFrame:
+    """TRANSITION if the state differs from that of 4 rows ago (or nothing is known of it) or
+    the ramp is high; else LOW_LOAD while idle, or STABLE."""
+    before = F.lag(operating, 4).over(Window.partitionBy(*keys).orderBy(t))
+    switched = ~F.col(operating).eqNullSafe(before)
+    r = F.when(switched | F.coalesce(F.abs(ramp) >= ramp_cut, F.lit(False)), "TRANSITION").when(F.col(operating) == 0, "LOW_LOAD").otherwise("STABLE")
     return df.withColumn("regime", r)
 
 

@@ -129,7 +129,7 @@ def by_condition(df: DataFrame, label: str, alert: str, conditions: dict[str, Co
 
 def error_cells(df: DataFrame, label: str, score: str, by: Keys, **profile: Column) -> DataFrame:
     """Profiles of TP, FN, FP, TN at the cut whose alert rate equals the prevalence."""
-    prevalence = df.groupBy(*by).agg(F.avg(label).alias("_p"), F.sort_array(F.collect_list(F.lit(0))).alias("_x")).drop("_x")
+    prevalence = df.groupBy(*by).agg(F.avg(label).alias("_p"))
     ranked = df.join(prevalence, list(by)).withColumn("_r", F.percent_rank().over(Window.partitionBy(*by).orderBy(score)))
     hit = (F.col("_r") >= 1 - F.col("_p")).cast("int")
     cell = F.when((F.col(label) == 1) & (hit == 1), "TP").when(F.col(label) == 1, "FN").when(hit == 1, "FP").otherwise("TN")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.operators.events import runs
+
 Keys = Sequence[str]
 
 
@@ -124,7 +126,62 @@ def sequential_state(early: Column, confirm: Column) -> Column:
     return F.when(early & confirm, "confirmed").when(early, "rejected").when(confirm, "late").otherwise("quiet")
 
 
-def tier(band: Column, risk: Column, high: float, low: float) -> Column:
-    """Confidence tier of an alert by band and risk score."""
-    sure = band.isin("HIGH", "MEDIUM")
-    return F.when(band == "OOD", "REVIEW").when(sure & (risk >= high), "AUTO").when(risk >= high, "WARN").when(risk >= low, "ADVISE").otherwise("MONITOR")
+TIERS = ("HUMAN_REVIEW", "WARN_ONLY", "ADVISE", "MONITOR", "AUTO", "AUTO_NORMAL")
+
+
+def tier(band: Column, risky: Column) -> Column:
+    """Confidence tier of a row by band and whether its risk is over the cut: automatic action
+    only in the HIGH band, advice in MEDIUM, a warning alone in LOW whatever the risk."""
+    return F.when(band == "OOD", TIERS[0]).when(band == "LOW", TIERS[1]).when((band == "MEDIUM") & risky, TIERS[2]).when(band == "MEDIUM", TIERS[3]).when(risky, TIERS[4]).otherwise(TIERS[5])
+
+
+GATES = ("none", "advisory_if_unsure", "confirm_only_if_unsure")
+
+
+def event_sweep(df: DataFrame, peak: str, early: str, confirm: str, unsure: str, k: int, qs: int, by: Keys, step: str, minutes: int = 15, least_lead: int = 30) -> DataFrame:
+    """Events, detected events, mean lead and the share of leads of at least least_lead
+    minutes, of every policy: (kind, early, confirm, gate).
+
+    An event is a run of peaks (gap 2). It is detected by an alert in the k steps before its
+    first; the lead is that of the first such alert. Each event is the few rows before it as
+    (steps ahead, early level, confirm level, unsure); equal ones are counted first, and only
+    these patterns meet the grid. Kinds are `single_early` and `single_confirm` (which looks
+    one step back only) and `escalate`."""
+    w = Window.partitionBy(*by).orderBy(step)
+    look = F.collect_list(F.struct(F.col(step).alias("t"), F.col(early).alias("e"), F.col(confirm).alias("c"), F.col(unsure).alias("u"))).over(w.rowsBetween(-k, -1))
+    ev = runs(df.withColumn("_look", look), peak, by, step, 2, look=F.min_by("_look", step))
+    ahead = F.sort_array(F.transform("look", lambda r: F.struct((F.col("first") - r["t"]).alias("a"), r["e"].alias("e"), r["c"].alias("c"), r["u"].alias("u"))), asc=False)
+    p = ev.select(*by, ahead.alias("p")).groupBy(*by, "p").agg(F.count("*").alias("n"))
+    grid = F.sequence(F.lit(1), F.lit(qs))
+    g = p.withColumn("i", F.explode(grid))
+
+    def first(rows: DataFrame, kind: str, cond, e, c, gate) -> DataFrame:
+        hit = F.get(F.filter("p", cond), F.lit(0))["a"]
+        return rows.select(*by, "n", F.lit(kind).alias("kind"), e.alias("early"), c.alias("confirm"), gate.alias("gate"), hit.alias("a"))
+
+    none = F.lit(None).cast("int")
+    parts = [first(g, "single_early", lambda r: r["e"] >= F.col("i"), F.col("i"), none, F.lit("none")), first(g, "single_confirm", lambda r: (r["c"] >= F.col("i")) & (r["a"] <= 1), none, F.col("i"), F.lit("none"))]
+    pair = g.withColumn("j", F.explode(grid))
+    both = pair.withColumn("gate", F.explode(F.array(*[F.lit(x) for x in GATES])))
+    parts.append(first(both, "escalate", lambda r: (r["e"] >= F.col("i")) & ((r["c"] >= F.col("j")) | ((F.col("gate") == GATES[2]) & (r["u"] == 0))), F.col("i"), F.col("j"), F.col("gate")))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    lead = F.least(F.col("a"), F.lit(k)) * minutes
+    found = F.sum(F.when(F.col("a").isNotNull(), F.col("n")).otherwise(0))
+    return rows.groupBy(*by, "kind", "early", "confirm", "gate").agg(
+        F.sum("n").alias("n_events"),
+        found.alias("detected"),
+        (F.sum("n") - found).alias("missed"),
+        (F.sum(lead * F.col("n")) / F.nullif(found, F.lit(0))).alias("lead"),
+        (F.sum(F.when(lead >= least_lead, F.col("n")).otherwise(0)) / F.nullif(found, F.lit(0))).alias("lead_share"),
+    )
+
+
+def policy_curve(steps: DataFrame, singles: DataFrame, events: DataFrame, days: DataFrame, by: Keys) -> DataFrame:
+    """Step counts of pairs and singles with the events of the same policy, and loads a day.
+    All are tables with a row per policy; null levels join as null."""
+    every = steps.withColumn("kind", F.lit("escalate")).unionByName(singles)
+    on = ["kind", "early", "confirm", "gate"]
+    cond = [every[c] == events[c] for c in by] + [every[c].eqNullSafe(events[c]) for c in on]
+    joined = every.join(events, cond).select(*[every[c] for c in every.columns], *[events[c] for c in events.columns if c not in (*by, *on)])
+    d = joined.join(days, list(by))
+    return d.withColumns({"false_a_day": F.col("fp") / F.col("days"), "advisories_a_day": F.col("advisories") / F.col("days")}).drop("days")

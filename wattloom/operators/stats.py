@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.functions.special import normal_tail, safe_corr
+from wattloom.functions.special import normal_tail, safe_corr, uniform
 
 Keys = Sequence[str]
 
@@ -68,43 +68,110 @@ def adjusted_rand(df: DataFrame, a: str, b: str, by: Keys = ()) -> DataFrame:
     return d.select(*by, ((F.col("_ij") - expected) / F.nullif(top - expected, F.lit(0.0))).alias("ari"))
 
 
-def poisson_weight(seed: int, replica: Column, *key: Column | str) -> Column:
-    """A Poisson(1) number that depends on the key and replica alone."""
-    u = F.pmod(F.xxhash64(F.lit(seed), replica, *key), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    out, total, p = F.lit(0), 0.0, math.exp(-1)
+def poisson_steps() -> list[float]:
+    """Cumulative probabilities of a Poisson(1) number from 0 to 7."""
+    out, total, p = [], 0.0, math.exp(-1)
     for k in range(8):
         total += p
-        out = out + (u >= total).cast("int")
+        out.append(total)
         p /= k + 1
     return out
 
 
+def poisson_weight(seed: int, replica: Column, *key: Column | str) -> Column:
+    """A Poisson(1) number that depends on the key and replica alone."""
+    u = uniform(F.lit(seed), replica, *key)
+    return F.size(F.filter(F.array(*[F.lit(x) for x in poisson_steps()]), lambda x: x <= u))
+
+
+def replicas_of(blocks: DataFrame, block: Keys, replicas: int, seed: int) -> DataFrame:
+    """Every block once per replica _r with its weight _w; blocks are few, rows never."""
+    r = blocks.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
+    return r.withColumn("_w", poisson_weight(seed, F.col("_r"), *block))
+
+
+def hashed_block(key: str, blocks: int) -> Column:
+    """One of so many blocks, at random but repeatably: rows are resampled as whole blocks, so
+    that replicas touch block sums alone, whatever the number of rows."""
+    return F.floor(uniform(F.lit("block"), key) * blocks).cast("long")
+
+
+def _interval(each: DataFrame, value: str, by: Keys) -> DataFrame:
+    q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
+    d = each.groupBy(*by).agg(q.alias("_q"), F.avg((F.col(value) < 0).cast("int")).alias("below_zero"))
+    return d.select(*by, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), "below_zero")
+
+
 def block_bootstrap(df: DataFrame, a: Column, b: Column, block: Keys, by: Keys, replicas: int, seed: int = 0) -> DataFrame:
     """Bootstrap of mean(a) - mean(b) over whole blocks, such as days: estimate, 95 %
     interval and share of replicas below zero. Rows become one (sum, n) per block first,
     so replicas touch blocks alone."""
     days = df.groupBy(*by, *block).agg(F.sum(a - b).alias("_d"), F.count(a - b).alias("_n"))
-    r = days.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
-    w = poisson_weight(seed, F.col("_r"), *block)
-    each = r.groupBy(*by, "_r").agg((F.sum(w * F.col("_d")) / F.nullif(F.sum(w * F.col("_n")), F.lit(0))).alias("_m"))
-    q = each.groupBy(*by).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"), F.avg((F.col("_m") < 0).cast("int")).alias("below_zero"))
+    r = replicas_of(days, block, replicas, seed)
+    each = r.groupBy(*by, "_r").agg((F.sum(F.col("_w") * F.col("_d")) / F.nullif(F.sum(F.col("_w") * F.col("_n")), F.lit(0))).alias("_m"))
     mean = days.groupBy(*by).agg((F.sum("_d") / F.sum("_n")).alias("difference"))
-    joined = mean.join(q, list(by)) if by else mean.crossJoin(q)
-    return joined.select(*by, "difference", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), "below_zero")
-
-
-def permutation_null(df: DataFrame, label: str, score: str, key: str, replicas: int, by: Keys = (), seed: int = 0) -> DataFrame:
-    """Null of the difference of mean scores: labels are given to rows in hashed order, so
-    the number of positives in a replica is binomial with the observed rate."""
-    rate = df.groupBy(*by).agg(F.avg(label).alias("_p"))
-    d = (df.join(rate, list(by)) if by else df.crossJoin(rate)).withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas))))
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("replica"), F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003.0) < F.col("_p")
-    on = F.when(F.col("replica") == 0, F.col(label) == 1).otherwise(drawn)
-    each = d.groupBy(*by, "replica").agg((F.avg(F.when(on, F.col(score))) - F.avg(F.when(~on, F.col(score)))).alias("gap"))
-    every = Window.partitionBy(*by)
-    e = each.withColumn("_seen", F.max(F.when(F.col("replica") == 0, F.abs("gap"))).over(every))
-    null = F.col("replica") > 0
-    return e.groupBy(*by).agg(F.max("_seen").alias("gap"), F.percentile(F.when(null, F.abs("gap")), F.lit(0.95)).alias("null_p95"), F.avg(F.when(null, (F.abs("gap") >= F.col("_seen")).cast("int"))).alias("p"))
+    q = _interval(each, "_m", by)
+    return (mean.join(q, list(by)) if by else mean.crossJoin(q)).select(*by, "difference", "low", "high", "below_zero")
+
+
+def group_bootstrap(df: DataFrame, x: str, group: Column, key: str, by: Keys, replicas: int, blocks: int = 64, seed: int = 0) -> DataFrame:
+    """Unpaired bootstrap of the mean of x in the group against the rest: rows of each side
+    are resampled by hashed blocks of their own."""
+    d = df.withColumns({"_g": group.cast("int"), "_b": hashed_block(key, blocks)})
+    s = d.groupBy(*by, "_g", "_b").agg(F.sum(x).alias("_s"), F.count(x).alias("_n"))
+    r = replicas_of(s, ["_g", "_b"], replicas, seed)
+    mean = lambda g, w: F.sum(F.when(F.col("_g") == g, w * F.col("_s"))) / F.nullif(F.sum(F.when(F.col("_g") == g, w * F.col("_n"))), F.lit(0))
+    each = r.groupBy(*by, "_r").agg((mean(1, F.col("_w")) - mean(0, F.col("_w"))).alias("_m")).where("_m is not null")
+    return s.groupBy(*by).agg((mean(1, F.lit(1)) - mean(0, F.lit(1))).alias("difference")).join(_interval(each, "_m", by), list(by))
+
+
+def cost_bootstrap(days: DataFrame, by: Keys, block: Keys, ratio: float, replicas: int, seed: int = 0) -> DataFrame:
+    """Day-block bootstrap of the cost difference of policies a and b from a table of days:
+    fp_a, missed_a, fp_b, missed_b, events (owned by the day of their onset). Replicas
+    without an event are left out."""
+    r = replicas_of(days, block, replicas, seed)
+    total = lambda c: F.sum(F.col("_w") * F.col(c))
+    cost = lambda p: (total(f"fp_{p}") + ratio * total(f"missed_{p}")) / F.nullif(ratio * total("events"), F.lit(0.0))
+    each = r.groupBy(*by, "_r").agg((cost("a") - cost("b")).alias("_m")).where("_m is not null")
+    return each.groupBy(*by).agg(F.avg("_m").alias("difference")).join(_interval(each, "_m", by), list(by))
+
+
+def rate_bootstrap(df: DataFrame, label: str, alert: str, conditions: dict[str, Column], block: Keys, by: Keys, replicas: int, seed: int = 0) -> DataFrame:
+    """Day-block bootstrap of miss and false-alarm rates under each condition."""
+    met = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in conditions.items()], F.lit("ALL")))
+    one = lambda a, b: F.count_if((F.col(label) == a) & (F.col(alert) == b))
+    days = df.withColumn("condition", F.explode(met)).groupBy(*by, "condition", *block).agg(one(1, 1).alias("tp"), one(1, 0).alias("fn"), one(0, 1).alias("fp"), one(0, 0).alias("tn"))
+    r = replicas_of(days, block, replicas, seed)
+    rate = lambda a, b: F.sum(F.col("_w") * F.col(a)) / F.nullif(F.sum(F.col("_w") * (F.col(a) + F.col(b))), F.lit(0))
+    each = r.groupBy(*by, "condition", "_r").agg(rate("fn", "tp").alias("fn_rate"), rate("fp", "tn").alias("fp_rate"))
+    q = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
+    out = each.groupBy(*by, "condition").agg(F.avg("fn_rate").alias("fn_rate"), q("fn_rate").alias("_a"), F.avg("fp_rate").alias("fp_rate"), q("fp_rate").alias("_b"))
+    return out.select(*by, "condition", "fn_rate", F.col("_a")[0].alias("fn_low"), F.col("_a")[1].alias("fn_high"), "fp_rate", F.col("_b")[0].alias("fp_low"), F.col("_b")[1].alias("fp_high"))
+
+
+def permutation_null(df: DataFrame, label: str, columns: Keys, key: str, replicas: int, blocks: int = 256, seed: int = 0) -> DataFrame:
+    """Null of the best gain of a product of two columns over the better of them alone, in
+    |AUC - 1/2|: max_gain, and p95 and maximum of the products' strength when labels are given
+    anew. New labels go to whole hashed blocks of rows at the observed rate, and each replica
+    looks at one pair, so replicas touch block sums of ranks alone."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    forms = {a: F.col(a) for a in columns} | {f"{a}*{b}": F.round(F.col(a) * F.col(b), 9) for a, b in pairs}
+    long = df.select(F.col(label).alias("_y"), hashed_block(key, blocks).alias("_b"), F.inline(F.array(*[F.struct(F.lit(n).alias("form"), v.cast("double").alias("v")) for n, v in forms.items()])))
+    v = long.where("v is not null").groupBy("form", "v", "_b").agg(F.count("*").alias("n"), F.sum("_y").alias("pos"))
+    values = v.groupBy("form", "v").agg(F.sum("n").alias("n"))
+    rank = F.sum("n").over(Window.partitionBy("form").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - (F.col("n") - 1) / 2
+    b = v.join(values.select("form", "v", rank.alias("rank")), ["form", "v"]).groupBy("form", "_b").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum(F.col("pos") * F.col("rank")).alias("rp"))
+    strength = lambda n, pos, rp: F.abs((rp - pos * (pos + 1) / 2) / F.nullif(pos * (n - pos), F.lit(0.0)) - 0.5)
+    d = lambda c: F.sum(c).cast("double")
+    seen = b.groupBy("form").agg(strength(d("n"), d("pos"), d("rp")).alias("g"), (F.sum("pos") / F.sum("n")).alias("rate"))
+    gains = seen.agg(*[F.max(F.when(F.col("form") == n, F.col("g"))).alias(n) for n in forms])
+    best = gains.select(F.greatest(*[F.col(f"`{a}*{c}`") - F.greatest(a, c) for a, c in pairs]).alias("max_gain"))
+    names = F.array(*[F.lit(f"{a}*{c}") for a, c in pairs])
+    r = F.broadcast(df.sparkSession.range(1, replicas + 1).select(F.col("id").alias("_r"), F.get(names, F.floor(uniform(F.lit("pair"), F.lit(seed), "id") * len(pairs)).cast("int")).alias("form")))
+    drawn = b.join(r, "form").join(F.broadcast(seen.select("form", "rate")), "form").withColumn("_on", (uniform(F.lit("label"), F.lit(seed), "_r", "_b") < F.col("rate")).cast("int"))
+    each = drawn.groupBy("_r").agg(strength(d("n"), F.sum(F.col("_on") * F.col("n")).cast("double"), F.sum(F.col("_on") * F.col("r")).cast("double")).alias("g"))
+    null = each.agg(F.percentile("g", F.lit(0.95)).alias("null_p95"), F.max("g").alias("null_max"))
+    return best.crossJoin(null).withColumn("exceeds", (F.col("max_gain") > F.col("null_p95")).cast("int"))
 
 
 def pairwise_auc(df: DataFrame, key: str, columns: Keys, label: str) -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = "_chunk"
 
@@ -22,12 +24,29 @@ def with_halo(df: DataFrame, keys: Sequence[str], step: str, chunk: int, halo: i
     perhaps to the next."""
     if halo > chunk:
         raise ValueError("the halo is longer than a chunk")
-    own = F.floor(F.col(step) / chunk)
+    own = F.floor(F.col(step) / chunk).cast("long")
     lent = F.col(step) % chunk >= chunk - halo
     rows = df.withColumn("_own", own).withColumn(CHUNK, F.explode(F.when(lent, F.array(own, own + 1)).otherwise(F.array(own))))
     return build(rows, [*keys, CHUNK]).where(F.col("_own") == F.col(CHUNK)).drop("_own", CHUNK)
 
 
+def trailing_quantiles(df: DataFrame, x: str, rules: dict[str, tuple[int, float, int]], keys: Sequence[str], step: str) -> DataFrame:
+    """df with a column per rule (n, q, least): the quantile, by linear interpolation, of the n
+    rows before the current one, null where fewer than `least` of them have a value.
+
+    Chunks are as long as the longest frame, so a task holds two of them; inside it every
+    rule is one rolling pass that keeps its frame sorted."""
+    longest = max(n for n, _, _ in rules.values())
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in rules]])
+    widened = T.StructType([*schema.fields, T.StructField("_own", T.LongType()), T.StructField(CHUNK, T.LongType())])
+
+    def roll(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(step)
+        return rows.assign(**{c: rows[x].rolling(n, min_periods=least).quantile(q).shift(1) for c, (n, q, least) in rules.items()})[widened.names]
+
+    return with_halo(df, keys, step, longest, longest, lambda d, by: d.groupBy(*by).applyInPandas(roll, widened))
+
+
 def running(df: DataFrame, keys: Sequence[str], step: str, chunk: int, value: Column, name: str) -> DataFrame:
     """Running sum of value up to each row: sums per chunk, their prefix, then the rows of
     each chunk alone."""

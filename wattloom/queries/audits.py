@@ -7,10 +7,21 @@ from pyspark.sql import functions as F
 
 from wattloom.operators import audit as au, bursts as bu, metrics as mt, stats as st
 from wattloom.operators.features import over
-from wattloom.queries.base import DEMAND, K, S, SCORED, SHOTS, demand, register, scored, shots, table
+from wattloom.queries.base import DEMAND, K, S, SCORED, SHOTS, demand, register, scored, shots, table, u_sql
 from wattloom.queries.meter import SLOT, W
 
 
+def weight_sql(*parts: str) -> str:
+    """The twin of stats.poisson_weight: parts are the seed, the replica and the block."""
+    return f"len(list_filter([{', '.join(map(repr, st.poisson_steps()))}], lambda x: x <= {u_sql(*parts)}))"
+
+
+def boot_sql(seed: str, block: str, replicas: int) -> str:
+    """The twin of stats.block_bootstrap over d_ (series_id, block, d, n)."""
+    return f""", r_ as (select *, {weight_sql(seed, "r", block)} w from d_, range(1, {replicas + 1}) t(r)), e_ as (select series_id, r, sum(w * d) / nullif(sum(w * n), 0) m from r_ group by 1, 2), p_ as (select series_id, sum(d) / sum(n) difference from d_ group by 1)
+select p_.series_id, any_value(difference) difference, quantile_cont(m, 0.025) low, quantile_cont(m, 0.975) high, avg((m < 0)::int) below_zero from e_ join p_ on p_.series_id = e_.series_id group by 1"""
+
+
 # ---- aggregation and audits
 @register("a1_daily_rollup", "series_id day peak:f mean:f energy:f qty:i active:i", DEMAND + 'select series_id, ts15::date "day", max(kw) peak, avg(kw) mean, sum(kw) / 4 energy, sum(qty) qty, count(distinct case when is_operating = 1 then hour(ts15) end) active from demand group by 1, 2')
 def a1(spark, sf):
@@ -152,9 +163,10 @@ def a20(spark, sf):
     return au.budget(scored(spark, sf), "label", "score", 0.1, K, S)
 
 
-@register("a21_stratified_sample", "label:i machine:i n:i")
+@register("a21_stratified_sample", "id:i label:i machine:i b:f", SHOTS + f""", u_ as (select *, {u_sql("0", "id")} u from shots), f_ as (select *, row_number() over (partition by "label", machine order by u, id, b) rn from u_),
+r_ as (select *, row_number() over (order by u, id, b) pl from f_ where rn > 2) select id, "label", machine, b from f_ where rn <= 2 union all select id, "label", machine, b from r_ where pl <= 50 - (select count(*) from f_ where rn <= 2)""")
 def a21(spark, sf):
-    return au.stratified(shots(spark, sf), ["label", "machine"], 2, 50, "id").groupBy("label", "machine").agg(F.count("*").alias("n"))
+    return au.stratified(shots(spark, sf), ["label", "machine"], 2, 50, ["id", "b"])
 
 
 @register("a22_set_operations", "kind n:i", """with a as (select l_shipdate::date d from lineitem), o as (select o_orderdate::date d from orders)
@@ -241,27 +253,58 @@ def x9(spark, sf):
     return st.adjusted_rand(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
 
 
-@register("x4_paired_bootstrap", "series_id difference:f low:f high:f below_zero:f")
+@register("x4_paired_bootstrap", "series_id difference:f low:f high:f below_zero:f", SCORED + ", d_ as (select series_id, floor(" + u_sql("'block'", "step") + " * 64)::bigint bl, sum(abs(y - score) - abs(y - kw)) d, count(*) n from scored group by 1, 2)" + boot_sql("1", "bl", 200))
 def x4(spark, sf):
-    d = scored(spark, sf)
-    return st.block_bootstrap(d, F.abs(F.col("y") - F.col("score")), F.abs(F.col("y") - F.col("kw")), ["step"], K, 200, 1)
+    d = scored(spark, sf).withColumn("bl", st.hashed_block("step", 64))
+    return st.block_bootstrap(d, F.abs(F.col("y") - F.col("score")), F.abs(F.col("y") - F.col("kw")), ["bl"], K, 200, 1)
 
 
-@register("x5_day_block_bootstrap", "series_id difference:f low:f high:f below_zero:f")
+@register("x5_day_block_bootstrap", "series_id difference:f low:f high:f below_zero:f", SCORED + ", d_ as (select series_id, ts15::date bl, sum(abs(y - score) - abs(y - seasonal)) d, count(*) n from scored group by 1, 2)" + boot_sql("1", "bl", 500))
 def x5(spark, sf):
     d = scored(spark, sf).withColumn("day", F.to_date("ts15"))
     return st.block_bootstrap(d, F.abs(F.col("y") - F.col("score")), F.abs(F.col("y") - F.col("seasonal")), ["day"], K, 500, 1)
 
 
-@register("x8_permutation", "gap:f null_p95:f p:f")
+COND = """unnest(list_filter([case when "hour" < 6 then 'night' end, case when is_operating = 0 then 'idle' end, case when abs(ramp4) > 100 then 'ramp' end, 'ALL'], lambda x: x is not null)) condition"""
+
+
+@register("x7_rate_bootstrap", "series_id condition fn_rate:f fn_low:f fn_high:f fp_rate:f fp_low:f fp_high:f", SCORED + f""", l_ as (select *, {COND} from scored), d_ as (select series_id, condition, ts15::date bl, count(*) filter (where "label" = 1 and alert = 1) tp, count(*) filter (where "label" = 1 and alert = 0) fn, count(*) filter (where "label" = 0 and alert = 1) fp, count(*) filter (where "label" = 0 and alert = 0) tn from l_ group by 1, 2, 3),
+r_ as (select *, {weight_sql("3", "r", "bl")} w from d_, range(1, 301) t(r)), e_ as (select series_id, condition, r, sum(w * fn) / nullif(sum(w * (fn + tp)), 0) a, sum(w * fp) / nullif(sum(w * (fp + tn)), 0) b from r_ group by 1, 2, 3)
+select series_id, condition, avg(a) fn_rate, quantile_cont(a, 0.025) fn_low, quantile_cont(a, 0.975) fn_high, avg(b) fp_rate, quantile_cont(b, 0.025) fp_low, quantile_cont(b, 0.975) fp_high from e_ group by 1, 2""")
+def x7(spark, sf):
+    conds = {"night": F.col("hour") < 6, "idle": F.col("is_operating") == 0, "ramp": F.abs("ramp4") > 100}
+    return st.rate_bootstrap(scored(spark, sf).withColumn("day", F.to_date("ts15")), "label", "alert", conds, ["day"], K, 300, 3)
+
+
+@register("x15_group_bootstrap", "series_id difference:f low:f high:f below_zero:f", SCORED + f""", d_ as (select series_id, is_operating g, floor({u_sql("'block'", "step")} * 64)::bigint bl, sum(abs(y - score)) s, count(*) n from scored group by 1, 2, 3),
+r_ as (select *, {weight_sql("5", "r", "g", "bl")} w from d_, range(1, 201) t(r)), e_ as (select series_id, r, sum(w * s) filter (where g = 1) / nullif(sum(w * n) filter (where g = 1), 0) - sum(w * s) filter (where g = 0) / nullif(sum(w * n) filter (where g = 0), 0) m from r_ group by 1, 2),
+p_ as (select series_id, sum(s) filter (where g = 1) / nullif(sum(n) filter (where g = 1), 0) - sum(s) filter (where g = 0) / nullif(sum(n) filter (where g = 0), 0) difference from d_ group by 1)
+select p_.series_id, any_value(difference) difference, quantile_cont(m, 0.025) low, quantile_cont(m, 0.975) high, avg((m < 0)::int) below_zero from e_ join p_ on p_.series_id = e_.series_id where m is not null group by 1""")
+def x15(spark, sf):
+    d = scored(spark, sf).withColumn("err", F.abs(F.col("y") - F.col("score")))
+    return st.group_bootstrap(d, "err", F.col("is_operating") == 1, "step", K, 200, seed=5)
+
+
+FORMS = [*"abcd", *(f"{x}*{y}" for i, x in enumerate("abcd") for y in "abcd"[i + 1 :])]
+PERM = SHOTS + ", l_ as (" + " union all ".join(f"select '{f}' form, {f if len(f) == 1 else f'round({f}, 9)'}::double v, \"label\" y, floor({u_sql(chr(39) + 'block' + chr(39), 'id')} * 256)::bigint bl from shots" for f in FORMS) + """),
+k_ as (select *, rank() over (partition by form order by v) + (count(*) over (partition by form, v) - 1) / 2.0 rk from l_),
+b_ as (select form, bl, count(*)::double n, sum(y)::double pos, sum(rk) r, sum(y * rk) rp from k_ group by 1, 2),
+s_ as (select form, abs((sum(rp) - sum(pos) * (sum(pos) + 1) / 2) / nullif(sum(pos) * (sum(n) - sum(pos)), 0) - 0.5) g, sum(pos) / sum(n) rate from b_ group by 1),
+o_ as (select max(p.g - greatest(a.g, b.g)) max_gain from s_ p join s_ a on a.form = split_part(p.form, '*', 1) join s_ b on b.form = split_part(p.form, '*', 2) where p.form like '%*%'),
+"""
+
+
+@register("x8_permutation", "max_gain:f null_p95:f null_max:f exceeds:i", PERM + f"""d_ as (select r, ['{"', '".join(f for f in FORMS if len(f) > 1)}'][floor({u_sql("'pair'", "0", "r")} * 6)::int + 1] form from range(1, 201) t(r)),
+j_ as (select d_.r rep, b_.*, ({u_sql("'label'", "0", "d_.r", "bl")} < rate)::int "on" from d_ join b_ on b_.form = d_.form join s_ on s_.form = d_.form),
+e_ as (select rep, abs((sum("on" * r) - sum("on" * n) * (sum("on" * n) + 1) / 2) / nullif(sum("on" * n) * (sum(n) - sum("on" * n)), 0) - 0.5) g from j_ group by 1)
+select any_value(max_gain) max_gain, quantile_cont(g, 0.95) null_p95, max(g) null_max, (any_value(max_gain) > quantile_cont(g, 0.95))::int exceeds from e_, o_""")
 def x8(spark, sf):
-    return st.permutation_null(shots(spark, sf), "label", "a", "id", 100)
+    return st.permutation_null(shots(spark, sf), "label", ["a", "b", "c", "d"], "id", 200)
 
 
-@register("x11_confound_auc", "auc:f", SHOTS + """, m as (select * from shots where machine % 2 = 0), r as (select *, rank() over (order by id) + (count(*) over (partition by id) - 1) / 2.0 r from m) select (sum(r) filter (where "label" = 1) - sum("label") * (sum("label") + 1) / 2.0) / (sum("label") * (count(*) - sum("label"))) auc from r""")
+@register("x11_confound_auc", "n:i auc:f", SHOTS + """, m as (select * from shots where id between (select min(id) from shots where "label" = 1) and (select max(id) from shots where "label" = 1)), r as (select *, rank() over (order by id) + (count(*) over (partition by id) - 1) / 2.0 r from m) select count(*) n, (sum(r) filter (where "label" = 1) - sum("label") * (sum("label") + 1) / 2.0) / (sum("label") * (count(*) - sum("label"))) auc from r""")
 def x11(spark, sf):
-    d = shots(spark, sf).where("machine % 2 = 0").withColumn("all", F.lit(0))
-    return mt.roc_auc(d, "label", "id", ["all"])
+    return au.order_auc(shots(spark, sf), "label", "id")
 
 
 @register("j12_pair_forms", "form auc:f", SHOTS + ", u as (" + " union all ".join(f"select '{x}{o}{y}' form, round({x} {o} {y}, 9) v, \"label\" lb from shots" for i, x in enumerate("acd") for y in "acd"[i + 1 :] for o in "+-*") + ") , r as (select form, lb, rank() over (partition by form order by v) + (count(*) over (partition by form, v) - 1) / 2.0 r from u) select form, (sum(r) filter (where lb = 1) - sum(lb) * (sum(lb) + 1) / 2.0) / (sum(lb) * (count(*) - sum(lb))) auc from r group by 1")

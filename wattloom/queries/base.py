@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wattloom.operators import clean
 from wattloom.operators.features import over
+from wattloom.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,7 +50,8 @@ def demand(spark: SparkSession, sf: str) -> DataFrame:
     """15-minute demand per event type on a dense grid: series_id, step, ts15, kw, qty,
     is_operating."""
     e = table(spark, sf, "events").withColumnRenamed("event_type", "series_id")
-    b = clean.resample(e.withColumnRenamed("ts", "ts15"), ["series_id"], "ts15", "15 minutes", kw=F.round(F.sum("value"), 2), qty=F.count("*"))
+    # bins are few beside events: computed once, then read for the keys, the span and the join
+    b = cut(clean.resample(e.withColumnRenamed("ts", "ts15"), ["series_id"], "ts15", "15 minutes", kw=F.round(F.sum("value"), 2), qty=F.count("*")))
     d = clean.dense_grid(b, ["series_id"], "ts15", "15 minutes")
     # the grid starts on the first bin of all series, which is on the quarter hour
     first = F.broadcast(b.agg(F.min("ts15").alias("_first")))
@@ -73,13 +75,14 @@ K, S = ["series_id"], "step"
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """demand with a threshold (the series' p95), peak flag, a score (mean of 4), the value
-    an hour ahead (y), a day before (seasonal), label, alert, probability, fold, hour."""
+    an hour ahead (y), a day before (seasonal), label, alert, probability, fold, hour; computed
+    once, as thresholds and rules read it again."""
     d = demand(spark, sf)
     thr = d.groupBy("series_id").agg(F.percentile("kw", F.lit(0.95)).alias("thr"))
     w = over(K, S)
     d = d.join(thr, "series_id").withColumns({"score": F.round(F.avg("kw").over(w.rowsBetween(-3, 0)), 6), "y": F.lead("kw", 4).over(w), "seasonal": F.lag("kw", 96).over(w), "ramp4": F.col("kw") - F.lag("kw", 4).over(w)})
     d = d.where("y is not null and seasonal is not null")
-    return d.withColumns({
+    d = d.withColumns({
         "peak": (F.col("kw") >= F.col("thr")).cast("int"),
         "label": (F.col("y") >= F.col("thr")).cast("int"),
         "alert": (F.col("score") >= F.col("thr") * 0.7).cast("int"),
@@ -87,6 +90,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
         "fold": F.floor(F.col("step") / 720),
         "hour": F.hour("ts15"),
     })
+    return cut(d)
 
 
 SCORED = (
@@ -120,3 +124,9 @@ SHOTS = """
 with shots as (select l_orderkey * 10 + l_linenumber id, l_quantity a, l_extendedprice b, l_discount c, l_tax d,
   case when l_returnflag = 'R' then 1 else 0 end "label", l_shipdate::date "day", l_suppkey machine from lineitem)
 """
+
+
+def u_sql(*parts: str) -> str:
+    """The twin of functions.special.uniform."""
+    text = ", ".join(f"({p})::varchar" for p in parts)
+    return f"(('0x' || substr(md5(concat_ws('|', {text})), 1, 8))::ubigint / 4294967296.0)"

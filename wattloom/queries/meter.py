@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wattloom.operators import clean, events as ev, features as ft
 from wattloom.plans import halo
-from wattloom.queries.base import DEMAND, K, S, SCORED, SHOTS, demand, register, scored, shots, table
+from wattloom.queries.base import DEMAND, K, S, SCORED, SHOTS, demand, register, scored, shots, table, u_sql
 
 W = "partition by series_id order by step"
 BASE = "series_id step:i"
@@ -61,14 +61,14 @@ def t5(spark, sf):
 
 
 WEATHER = """
-with w as (select event_type series_id, date_trunc('hour', ts) ts, avg(json_extract_string(props, '$.k')::double) temp from events where hour(ts) % 5 <> 2 group by 1, 2),
+with w as (select event_type series_id, date_trunc('hour', ts) ts, avg(json_extract_string(props, '$.k')::double) temp from events group by 1, 2),
 g as (select s.series_id, t.ts from (select distinct series_id from w) s, (select unnest(generate_series(min(ts), max(ts), interval '1 hour')) ts from w) t),
 weather as (select g.series_id, g.ts, round(temp, 6) temp from g left join w on w.series_id = g.series_id and w.ts = g.ts)
 """
 
 
 def weather(spark, sf):
-    e = table(spark, sf, "events").where(F.hour("ts") % 5 != 2).select(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), F.get_json_object("props", "$.k").cast("double").alias("k"))
+    e = table(spark, sf, "events").select(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), F.get_json_object("props", "$.k").cast("double").alias("k"))
     w = e.groupBy("series_id", "ts").agg(F.round(F.avg("k"), 6).alias("temp"))
     return clean.dense_grid(w, K, "ts", "1 hour")
 
@@ -107,7 +107,15 @@ def t11(spark, sf):
     return table(spark, sf, "events").withColumn("local", clean.local_hour("ts"))
 
 
-@register("t12_ordinal", "zone code:i n:i", DEMAND + """select zone, list_position(['light', 'mid', 'peak'], zone) - 1 code, count(*) n from (select case when hour(ts15) >= 23 or hour(ts15) < 9 then 'light' when hour(ts15) in (10, 11, 17, 18, 19, 22) then 'peak' else 'mid' end zone from demand) group by 1, 2""")
+def season_sql(t: str) -> str:
+    return f"case when month({t}) in (6, 7, 8) then 'summer' when month({t}) in (11, 12, 1, 2) then 'winter' else 'spring_fall' end"
+
+
+def zone_sql(t: str) -> str:
+    return f"case when hour({t}) < 9 or hour({t}) = 23 then 'light' when month({t}) in (11, 12, 1, 2) and (hour({t}) between 10 and 12 or hour({t}) between 17 and 22) then 'peak' when month({t}) not in (11, 12, 1, 2) and hour({t}) between 11 and 17 then 'peak' else 'mid' end"
+
+
+@register("t12_ordinal", "zone code:i n:i", DEMAND + """select zone, list_position(['light', 'mid', 'peak'], zone) - 1 code, count(*) n from (select """ + zone_sql("ts15") + """ zone from demand) group by 1, 2""")
 def t12(spark, sf):
     d = demand(spark, sf).withColumn("zone", ft.load_zone("ts15"))
     return d.groupBy("zone", clean.ordinal("zone", ["light", "mid", "peak"]).alias("code")).agg(F.count("*").alias("n"))
@@ -123,7 +131,7 @@ def t14(spark, sf):
     return clean.first_per_group(table(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber"])
 
 
-@register("t17_hashed_split", "part n:i")
+@register("t17_hashed_split", "part n:i", SHOTS + f"select case when {u_sql('7', 'id')} < 0.8 then 'train' else 'test' end part, count(*) n from shots group by 1")
 def t17(spark, sf):
     return shots(spark, sf).groupBy(F.when(clean.hashed_split(["id"], 0.8, 7), "train").otherwise("test").alias("part")).agg(F.count("*").alias("n"))
 
@@ -196,18 +204,26 @@ def trailing(n: int, q: float, least: int) -> str:
     return framed(f"quantile_cont(kw, {q})", n, 1, least)
 
 
-@register("f9_trailing_p95", BASE + " thr:f", DEMAND + f"select series_id, step, {trailing(672, 0.95, 96)} thr from demand")
+#: The published threshold: p95 of the 30 days before, once 7 days are there.
+MONTH, WEEK = 2880, 672
+WINDOWS, LEVELS = (1344, 2880, 5760, 8640), (0.9, 0.95, 0.97)
+
+
+def trailing_p95(d):
+    return halo.trailing_quantiles(d, "kw", {"thr": (MONTH, 0.95, WEEK)}, K, S)
+
+
+@register("f9_trailing_p95", BASE + " thr:f", DEMAND + f"select series_id, step, {trailing(MONTH, 0.95, WEEK)} thr from demand")
 def f9(spark, sf):
-    build = lambda d, keys: ft.trailing_quantile(d, "kw", 672, 0.95, 96, keys, S)
-    return halo.with_halo(demand(spark, sf), K, S, 720, 672, build)
+    return trailing_p95(demand(spark, sf))
 
 
-@register("f10_threshold_grid", "series_id rule prevalence:f events:i warm_up:i drift:f", DEMAND + ", g as (" + " union all ".join(f"select series_id, step, kw, 'w{n}_q{int(q * 100)}' rule, {trailing(n, q, m)} thr from demand" for n, m in ((96, 48), (192, 96)) for q in (0.9, 0.95)) + """),
+@register("f10_threshold_grid", "series_id rule prevalence:f events:i warm_up:i drift:f", DEMAND + ", g as (" + " union all ".join(f"select series_id, step, kw, 'w{n}_q{int(q * 100)}' rule, {trailing(n, q, WEEK)} thr from demand" for n in WINDOWS for q in LEVELS) + """),
 f as (select *, case when thr is null then null when kw >= thr then 1 else 0 end peak from g),
 o as (select *, case when peak = 1 and coalesce(lag(peak) over (partition by series_id, rule order by step), 0) = 0 then 1 else 0 end onset from f)
 select series_id, rule, avg(peak) prevalence, sum(onset) events, count(*) filter (where thr is null) warm_up, max(thr) - min(thr) drift from o group by 1, 2""")
 def f10(spark, sf):
-    return ft.threshold_grid(demand(spark, sf).select("series_id", "step", "kw"), "kw", {96: 48, 192: 96}, [0.9, 0.95], K, S)
+    return ft.threshold_grid(demand(spark, sf).select("series_id", "step", "kw"), "kw", WINDOWS, LEVELS, WEEK, K, S)
 
 
 @register("f11_expanding_p95", BASE + " thr_expanding:f", DEMAND + f"select series_id, step, case when count(kw) over ({W} rows between unbounded preceding and 1 preceding) >= 96 then quantile_cont(kw, 0.95) over ({W} rows between unbounded preceding and 1 preceding) end thr_expanding from demand")
@@ -220,19 +236,21 @@ def f12(spark, sf):
     return ft.month_to_date_max(demand(spark, sf), "kw", K, "ts15")
 
 
-@register("f13_margins", BASE + " margin:f margin_ratio:f margin_lag8:f margin_ramp4:f margin_max4:f margin_roll4:f", SCORED + f""", m as (select series_id, step, kw - thr margin, kw / greatest(thr, 1.0) margin_ratio from scored)
-select series_id, step, margin, margin_ratio, lag(margin, 8) over ({W}) margin_lag8, margin - lag(margin, 4) over ({W}) margin_ramp4, {framed("max(margin)", 4, x="margin")} margin_max4, {framed("avg(margin)", 4, x="margin")} margin_roll4 from m""")
+@register("f13_margins", BASE + " margin:f margin_ratio:f margin_lag1:f margin_lag2:f margin_lag4:f margin_lag8:f margin_lag96:f margin_ramp4:f margin_max4:f margin_max96:f margin_roll96:f day_max_margin:f", SCORED + f""", m as (select series_id, step, ts15, kw, thr, kw - thr margin, kw / nullif(thr, 0) margin_ratio from scored)
+select series_id, step, margin, margin_ratio, {', '.join(f'lag(margin, {k}) over ({W}) margin_lag{k}' for k in (1, 2, 4, 8, 96))}, margin - lag(margin, 4) over ({W}) margin_ramp4, {framed("max(margin)", 4, x="margin")} margin_max4, {framed("max(margin)", 96, x="margin")} margin_max96, {framed("avg(margin)", 96, x="margin")} margin_roll96,
+ max(kw) over (partition by series_id, ts15::date order by step) - thr day_max_margin from m""")
 def f13(spark, sf):
-    return ft.margin_features(scored(spark, sf), "kw", "thr", K, S)
+    return ft.margin_features(scored(spark, sf), "kw", "thr", K, S, F.to_date("ts15"))
 
 
-@register("f14_peak_history", BASE + " peaks_96:i peaks_672:i", SCORED + "select series_id, step, " + ", ".join(f"coalesce(sum(peak) over ({W} rows between {k} preceding and 1 preceding), 0) peaks_{k}" for k in (96, 672)) + " from scored")
+@register("f14_peak_history", BASE + " peaks_96:i peaks_672:i", SCORED + "select series_id, step, " + ", ".join(f"{framed('sum(peak)', k, 1, x='peak')} peaks_{k}" for k in (96, 672)) + " from scored")
 def f14(spark, sf):
     return ft.peak_history(scored(spark, sf), "peak", [96, 672], K, S)
 
 
-@register("f15_since_peak", BASE + " since_peak:i", SCORED + f""", r as (select *, row_number() over ({W}) rn from scored)
-select series_id, step, least(coalesce(rn - last_value(case when peak = 1 then rn end ignore nulls) over ({W} rows between unbounded preceding and 1 preceding) - 1, 400), 400) since_peak from r""")
+@register("f15_since_peak", BASE + " since_peak:i", SCORED + f""", r as (select *, row_number() over ({W}) rn from scored),
+l as (select *, last_value(case when peak = 1 then rn end ignore nulls) over ({W} rows between unbounded preceding and 1 preceding) pk from r)
+select series_id, step, case when pk is not null then least(rn - pk - 1, 400) end since_peak from l""")
 def f15(spark, sf):
     return ft.steps_since_peak(scored(spark, sf), "peak", K, S)
 
@@ -252,33 +270,40 @@ def f17(spark, sf):
 
 @register("f19_work_calendar", "day is_workday:i is_bridge:i days_to_off:i days_since_off:i off_run:i", """
 with d as (select distinct l_shipdate::date "day" from lineitem), h as (select "day", case when dayofmonth("day") in (1, 15, 17) then 1 else 0 end hol from d),
-w as (select *, case when hol = 1 or isodow("day") >= 6 then 0 else 1 end is_workday from h), o as (select *, coalesce(lag(is_workday) over (order by "day"), 1) pv, coalesce(lead(is_workday) over (order by "day"), 1) nx,
+w as (select *, case when hol = 1 or isodow("day") >= 6 then 0 else 1 end is_workday, row_number() over (order by "day") i from h),
+o as (select *, lag(is_workday) over (order by "day") pv, lead(is_workday) over (order by "day") nx,
  min(case when is_workday = 0 then "day" end) over (order by "day" rows between current row and unbounded following) nf, max(case when is_workday = 0 then "day" end) over (order by "day" rows between unbounded preceding and current row) pf,
- sum(is_workday) over (order by "day") r from w)
-select "day", is_workday, case when is_workday = 1 and pv = 0 and nx = 0 then 1 else 0 end is_bridge, nf - "day" days_to_off, "day" - pf days_since_off, case when is_workday = 0 then count(*) over (partition by r, is_workday) else 0 end off_run from o""")
+ coalesce(min(case when is_workday = 1 then i end) over (order by "day" rows between current row and unbounded following), (select count(*) + 1 from w)) bk from w)
+select "day", is_workday, case when is_workday = 1 and pv = 0 and nx = 0 then 1 else 0 end is_bridge, coalesce(nf - "day", -1) days_to_off, coalesce("day" - pf, -1) days_since_off, case when is_workday = 0 then bk - i else 0 end off_run from o""")
 def f19(spark, sf):
     days = shots(spark, sf).select("day").distinct().withColumn("hol", F.dayofmonth("day").isin(1, 15, 17).cast("int"))
     return ft.work_calendar(days, "day", "hol")
 
 
-@register("f20_solar", BASE + " solar_elevation:f is_daylight:i day_length_h:f", DEMAND + """, s as (select *, radians(23.45 * sin(2 * pi() * (284 + dayofyear(ts15)) / 365)) tilt, radians(37.5) lat, radians((hour(ts15) + minute(ts15) / 60.0 + (127.0 - 135) / 15 - 12) * 15) ang from demand),
-e as (select *, degrees(asin(sin(lat) * sin(tilt) + cos(lat) * cos(tilt) * cos(ang))) el from s)
-select series_id, step, el solar_elevation, case when el > 0 then 1 else 0 end is_daylight, degrees(acos(greatest(-1.0, least(1.0, -tan(lat) * tan(tilt))))) * 2 / 15 day_length_h from e""")
+SOLAR = """, s as (select *, radians(360 / 365.0 * (dayofyear(ts15) - 81)) yr, radians(37.5) lat from demand),
+z as (select *, radians(23.44) * sin(yr) tilt, radians(((hour(ts15) + minute(ts15) / 60.0) * 60 + 4 * (127.0 - 135) + 9.87 * sin(2 * yr) - 7.53 * cos(yr) - 1.5 * sin(yr)) / 4 - 180) ang from s),
+sun as (select *, degrees(asin(sin(lat) * sin(tilt) + cos(lat) * cos(tilt) * cos(ang))) el from z)
+"""
+
+
+@register("f20_solar", BASE + " solar_elevation:f is_daylight:i day_length_h:f", DEMAND + SOLAR + "select series_id, step, el solar_elevation, case when el > 0 then 1 else 0 end is_daylight, degrees(acos(greatest(-1.0, least(1.0, -tan(lat) * tan(tilt))))) * 2 / 15 day_length_h from sun")
 def f20(spark, sf):
     return demand(spark, sf).withColumns(ft.solar("ts15", 37.5, 127.0, 9))
 
 
-@register("f21_season_zone", "season n:i", "select case when month(l_shipdate) in (6, 7, 8) then 'summer' when month(l_shipdate) in (11, 12, 1, 2) then 'winter' else 'spring_fall' end season, count(*) n from lineitem group by 1")
+@register("f21_season_zone", "season zone n:i", f"with l as (select l_shipdate + to_hours((l_orderkey % 24)::int) t from lineitem) select {season_sql('t')} season, {zone_sql('t')} zone, count(*) n from l group by 1, 2")
 def f21(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(ft.season("l_shipdate").alias("season")).agg(F.count("*").alias("n"))
+    l = table(spark, sf, "lineitem").select((F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_orderkey") % 24)).alias("t"))
+    return l.groupBy(ft.season("t").alias("season"), ft.load_zone("t").alias("zone")).agg(F.count("*").alias("n"))
 
 
 WH = "partition by series_id order by ts"
 
 
-@register("f22_weather", "series_id ts temp_diff1h:f temp_diff3h:f temp_roll24h:f", WEATHER + f"select series_id, ts, temp - lag(temp, 1) over ({WH}) temp_diff1h, temp - lag(temp, 3) over ({WH}) temp_diff3h, case when count(temp) over ({WH} rows between 23 preceding and current row) >= 6 then avg(temp) over ({WH} rows between 23 preceding and current row) end temp_roll24h from weather")
+@register("f22_weather", "series_id ts temp_diff1h:f temp_diff3h:f temp_roll24h:f dew_spread:f heat_proxy:f pressure_diff3h:f", WEATHER + f", x as (select *, temp / 4 dew, 1000 + temp / 2 pressure from weather) select series_id, ts, temp - lag(temp, 1) over ({WH}) temp_diff1h, temp - lag(temp, 3) over ({WH}) temp_diff3h, case when count(temp) over ({WH} rows between 23 preceding and current row) >= 6 then avg(temp) over ({WH} rows between 23 preceding and current row) end temp_roll24h, temp - dew dew_spread, temp + 0.33 * (6.11 * exp(17.27 * dew / (237.3 + dew))) - 4.0 heat_proxy, pressure - lag(pressure, 3) over ({WH}) pressure_diff3h from x")
 def f22(spark, sf):
-    return ft.weather_derived(weather(spark, sf), "temp", K, "ts")
+    d = weather(spark, sf).withColumns({"dew": F.col("temp") / 4, "pressure": 1000 + F.col("temp") / 2})
+    return ft.weather_derived(d, "temp", K, "ts", "dew", "pressure")
 
 
 @register("f23_previous_day", BASE + " prev_max:f prev_min:f", DEMAND + """, g as (select series_id, ts15::date + 1 dd, max(kw) a, min(kw) b from demand group by 1, 2)
@@ -444,10 +469,13 @@ def e11(spark, sf):
     return d.groupBy("series_id").agg(*[F.sum(c).alias(c) for c in ("p95", "p99", "local_max", "day_max")])
 
 
-@register("e12_missed_taxonomy", "series_id kind n:i", SCORED + f", a_ as (select *, max(alert) over ({W} rows between 4 preceding and current row) ca, score - thr margin from scored)" + runs_sql("a_", "peak", 2, ", max(ca) caught, max(margin) best") + """select series_id, case when caught = 1 then 'caught' when best < -200 then 'forecast_miss' when best >= -100 then 'rule_blocked' else 'undetermined' end kind, count(*) n from runs group by 1, 2""")
+@register("e12_missed_taxonomy", "series_id kind lower:i probable:i n:i", SCORED + f", a_ as (select *, max(alert) over ({W} rows between 4 preceding and current row) ca, max((score >= 0.5 * thr)::int) over ({W} rows between 4 preceding and current row) lo, max((p >= 0.4)::int) over ({W} rows between 4 preceding and current row) pb, score - thr margin, avg(abs(y - score)) over (partition by series_id) mae from scored)" + runs_sql("a_", "peak", 2, ", max(ca) caught, max(margin) best, max(lo) lower, max(pb) probable, max(mae) mae") + """select series_id, case when caught = 1 then 'caught' when best < -2 * mae then 'forecast_miss' when best >= -mae then 'rule_blocked' else 'undetermined' end kind, lower, probable, count(*) n from runs group by 1, 2, 3, 4""")
 def e12(spark, sf):
-    d = scored(spark, sf).withColumn("margin", F.col("score") - F.col("thr")).withColumn("near", F.max("alert").over(ft.over(K, S).rowsBetween(-4, 0)))
-    return ev.missed_taxonomy(d, "peak", "near", "margin", 100.0, K, S).groupBy("series_id", "kind").agg(F.count("*").alias("n"))
+    recent = lambda c: F.max(c).over(ft.over(K, S).rowsBetween(-4, 0))
+    d = scored(spark, sf)
+    mae = d.groupBy("series_id").agg(F.avg(F.abs(F.col("y") - F.col("score"))).alias("mae"))
+    d = d.join(mae, "series_id").withColumns({"margin": F.col("score") - F.col("thr"), "near": recent("alert"), "lower": recent((F.col("score") >= 0.5 * F.col("thr")).cast("int")), "probable": recent((F.col("p") >= 0.4).cast("int"))})
+    return ev.missed_taxonomy(d, "peak", "near", "margin", "mae", K, S, ["lower", "probable"]).groupBy("series_id", "kind", "lower", "probable").agg(F.count("*").alias("n"))
 
 
 @register("e13_false_alarms", "series_id n:i near:i", SCORED + ", a_ as (select *, kw - thr margin from scored)" + runs_sql("a_", "alert", 2, ', max("label") lb, max(margin) best') + "select series_id, count(*) n, count(*) filter (where best >= -50) near from runs where lb = 0 group by 1")
@@ -462,11 +490,10 @@ def e14(spark, sf):
     return ev.onsets(scored(spark, sf), "peak", K, S).where("onset = 1").groupBy("series_id").agg(F.count("*").alias("n"))
 
 
-@register("flagship_peak_events", "series_id events:i events_per_day:f peak_kw:f", DEMAND + f", t_ as (select *, {trailing(672, 0.95, 96)} thr from demand), x_ as (select *, case when kw >= thr then 1 else 0 end peak from t_)" + runs_sql("x_", "peak", 2, ", max(kw) kw_max") + ", d_ as (select series_id, count(*) / 96.0 dd from demand group by 1) select r.series_id, count(*) events, count(*) / max(dd) events_per_day, max(kw_max) peak_kw from runs r join d_ on d_.series_id = r.series_id group by 1")
+@register("flagship_peak_events", "series_id events:i events_per_day:f peak_kw:f", DEMAND + f", t_ as (select *, {trailing(MONTH, 0.95, WEEK)} thr from demand), x_ as (select *, case when kw >= thr then 1 else 0 end peak from t_)" + runs_sql("x_", "peak", 2, ", max(kw) kw_max") + ", d_ as (select series_id, count(*) / 96.0 dd from demand group by 1) select r.series_id, count(*) events, count(*) / max(dd) events_per_day, max(kw_max) peak_kw from runs r join d_ on d_.series_id = r.series_id group by 1")
 def flagship(spark, sf):
     d = demand(spark, sf)
-    build = lambda x, keys: ft.trailing_quantile(x, "kw", 672, 0.95, 96, keys, S)
-    d = halo.with_halo(d, K, S, 720, 672, build).withColumn("peak", F.coalesce((F.col("kw") >= F.col("thr")).cast("int"), F.lit(0)))
     days = d.groupBy("series_id").agg((F.count("*") / 96).alias("days"))
+    d = trailing_p95(d).withColumn("peak", F.coalesce((F.col("kw") >= F.col("thr")).cast("int"), F.lit(0)))
     e = ev.runs(d, "peak", K, S, 2, kw_max=F.max("kw")).groupBy("series_id").agg(F.count("*").alias("events"), F.max("kw_max").alias("peak_kw"))
     return e.join(days, "series_id").withColumn("events_per_day", F.col("events") / F.col("days"))
