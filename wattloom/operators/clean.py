@@ -112,3 +112,10 @@ def packed_weather(df: DataFrame) -> DataFrame:
         number("VIS", 1, ["999999"]).alias("ext_visibility"),
         number("CIG", 1, ["99999"]).alias("ext_ceiling"),
     )
+
+
+def dictionary(df: DataFrame, meaning: dict[str, tuple[str, str]]) -> DataFrame:
+    """A data dictionary: column, meaning, unit, and as evidence its rows, filled rows and
+    distinct values. One pass counts, columns become rows after it."""
+    parts = [F.struct(F.lit(c).alias("column"), F.lit(m).alias("meaning"), F.lit(u).alias("unit"), F.count("*").alias("rows"), F.count(c).alias("filled"), F.countDistinct(c).alias("distinct")) for c, (m, u) in meaning.items()]
+    return df.agg(F.array(*parts).alias("_d")).select(F.inline("_d"))

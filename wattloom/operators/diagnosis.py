@@ -60,9 +60,9 @@ def flag_validation(df: DataFrame, names: Sequence[str], error: str, covered: st
     return long.groupBy(*by, "flag").agg(F.sum("on").alias("n"), (inside(error, 1) / F.nullif(inside(error, 0), F.lit(0.0))).alias("mae_ratio"), inside(covered, 1).alias("coverage_in"), inside(covered, 0).alias("coverage_out"))
 
 
-def forbidden(df: DataFrame, column: str, phrases: Sequence[str]) -> DataFrame:
+def forbidden(df: DataFrame, column: str, phrases: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows whose text has a phrase that operators must not read."""
-    return df.agg(F.count_if(F.col(column).rlike("(?i)" + "|".join(phrases))).alias("n_forbidden"), F.count("*").alias("n"))
+    return df.groupBy(*by).agg(F.count_if(F.col(column).rlike("(?i)" + "|".join(phrases))).alias("n_forbidden"), F.count("*").alias("n"))
 
 
 def contract(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.functions.special import uniform
+
 Keys = Sequence[str]
 
 
@@ -37,7 +39,7 @@ def chrono_split(keys: Keys, t: str, shares: dict[str, float]) -> Column:
 def group_kfold(df: DataFrame, group: str, label: str, k: int, seed: int = 0) -> DataFrame:
     """Whole groups in one fold, groups of each class dealt in turn by hashed order."""
     g = df.groupBy(group).agg(F.max(label).alias("_class"))
-    w = Window.partitionBy("_class").orderBy(F.xxhash64(F.lit(seed), group), group)
+    w = Window.partitionBy("_class").orderBy(uniform(F.lit(seed), group), group)
     return df.join(g.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k))).drop("_class"), group)
 
 
@@ -130,3 +132,32 @@ def coverage(df: DataFrame, y: str, by: Keys, operating: str, peak: str) -> Data
         F.avg(F.when(F.col(peak) == 1, hit)).alias("coverage_peak"),
         F.avg(F.col("int_hi") - F.col("int_lo")).alias("width"),
     )
+
+
+def one_sided(cal: DataFrame, test: DataFrame, y: str, upper: str, level: float, by: Keys) -> DataFrame:
+    """test with upper_q: the upper forecast plus the conformal correction of y - upper."""
+    q = _upper_quantile(cal, y, upper, level, by)
+    return test.join(q, list(by), "left").withColumn("upper_q", F.col(upper) + F.col("_q")).drop("_q")
+
+
+def _upper_quantile(cal: DataFrame, y: str, upper: str, level: float, by: Keys) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy("_e")
+    d = cal.withColumn("_e", F.col(y) - F.col(upper)).where("_e is not null").withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*by))})
+    at = F.least(F.lit(1.0), level * (1 + 1 / F.col("_n"))) * (F.col("_n") - 1)
+    share = F.greatest(F.lit(0.0), 1 - F.abs(at - F.col("_i")))
+    return d.where(share > 0).groupBy(*by).agg(F.sum(F.col("_e") * share).alias("_q"))
+
+
+def grouping_menu(cal: DataFrame, test: DataFrame, y: str, lo: str, hi: str, alpha: float, groups: dict[str, str], fixed: str, by: Keys, min_group: int = 50, min_fixed: int = 30) -> DataFrame:
+    """Per grouping (name to a column of group labels): coverage, width, the worst gap of its
+    own groups, and the worst gap on one fixed partition, so that groupings can be compared."""
+    tag = lambda d: d.select("*", F.inline(F.array(*[F.struct(F.lit(n).alias("grouping"), F.col(c).cast("string").alias("group")) for n, c in groups.items()])))
+    d = conformal(tag(cal), tag(test), y, lo, hi, alpha, [*by, "grouping"], "group", min_group)
+    hit = ((F.col(y) >= F.col("int_lo")) & (F.col(y) <= F.col("int_hi"))).cast("int")
+    d = d.withColumn("_hit", hit)
+    gap = lambda d: F.abs(d - (1 - alpha))
+    own = d.groupBy(*by, "grouping", "group").agg(F.avg("_hit").alias("_c")).groupBy(*by, "grouping").agg(F.max(gap(F.col("_c"))).alias("worst_gap"), F.count("*").alias("groups"))
+    part = d.groupBy(*by, "grouping", fixed).agg(F.avg("_hit").alias("_c"), F.count("*").alias("_n")).where(F.col("_n") >= min_fixed)
+    part = part.groupBy(*by, "grouping").agg(F.max(gap(F.col("_c"))).alias("fixed_gap"))
+    out = d.groupBy(*by, "grouping").agg(F.count("*").alias("n"), F.avg("_hit").alias("coverage"), F.avg(F.col("int_hi") - F.col("int_lo")).alias("width"))
+    return out.join(own, [*by, "grouping"]).join(part, [*by, "grouping"], "left")

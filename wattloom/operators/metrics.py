@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.functions.special import uniform
+
 Keys = Sequence[str]
 
 
@@ -144,3 +146,15 @@ def rank_normalised(df: DataFrame, score: str, by: Keys) -> DataFrame:
     total = F.sum("_n").over(Window.partitionBy(*by))
     c = c.withColumn("rank_share", (upto - (F.col("_n") - 1) / 2) / total)
     return df.join(c.drop("_n"), [*by, score])
+
+
+def oracle_f1(df: DataFrame, y: str, e: str, label: str, keys: Keys, t: str, replicas: int) -> DataFrame:
+    """What F1 an unbiased forecast with the same errors could reach: residuals are dealt anew
+    over the rows of a key in hashed order, the best F1 is taken of every replica, and averaged.
+    With the bias of all rows and of positive ones."""
+    n = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(t)))
+    r = n.select(*keys, t, y, label, F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("_r"))
+    r = r.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_r").orderBy(uniform(F.lit("oracle"), "_r", t), t)))
+    v = r.join(n.select(*keys, "_i", F.col(e).alias("_e")), [*keys, "_i"]).withColumn("_v", F.round(F.col(y) + F.col("_e"), 9))
+    f1 = best_f1_cut(v, label, "_v", [*keys, "_r"]).groupBy(*keys).agg(F.avg("f1").alias("oracle_f1"))
+    return df.groupBy(*keys).agg(F.avg(e).alias("bias_all"), F.avg(F.when(F.col(label) == 1, F.col(e))).alias("bias_peak")).join(f1, list(keys))

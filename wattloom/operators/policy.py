@@ -165,7 +165,7 @@ def event_sweep(df: DataFrame, peak: str, early: str, confirm: str, unsure: str,
     both = pair.withColumn("gate", F.explode(F.array(*[F.lit(x) for x in GATES])))
     parts.append(first(both, "escalate", lambda r: (r["e"] >= F.col("i")) & ((r["c"] >= F.col("j")) | ((F.col("gate") == GATES[2]) & (r["u"] == 0))), F.col("i"), F.col("j"), F.col("gate")))
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    lead = F.least(F.col("a"), F.lit(k)) * minutes
+    lead = F.when(F.col("a").isNotNull(), F.least(F.col("a"), F.lit(k)) * minutes)
     found = F.sum(F.when(F.col("a").isNotNull(), F.col("n")).otherwise(0))
     return rows.groupBy(*by, "kind", "early", "confirm", "gate").agg(
         F.sum("n").alias("n_events"),
@@ -185,3 +185,55 @@ def policy_curve(steps: DataFrame, singles: DataFrame, events: DataFrame, days:
     joined = every.join(events, cond).select(*[every[c] for c in every.columns], *[events[c] for c in events.columns if c not in (*by, *on)])
     d = joined.join(days, list(by))
     return d.withColumns({"false_a_day": F.col("fp") / F.col("days"), "advisories_a_day": F.col("advisories") / F.col("days")}).drop("days")
+
+
+def timer_score(p: str, k: int, m: int, keys: Keys, t: str) -> Column:
+    """The score whose cut is the timer `k of the last m rows over the cut`: the k-th largest
+    of the last m values; null where there are fewer than k."""
+    last = F.collect_list(p).over(Window.partitionBy(*keys).orderBy(t).rowsBetween(-m + 1, 0))
+    return F.get(F.sort_array(last, asc=False), F.lit(k - 1))
+
+
+def timer_settings(df: DataFrame, p: str, smooths: Sequence[int], timers: Sequence[tuple[int, int]], keys: Keys, t: str) -> DataFrame:
+    """Every row once per setting (smooth, k, m) with its score z: smoothing and timer turn a
+    cut's alerts into `z >= cut`, so one ranking serves every cut."""
+    d = df.withColumns({f"_s{s}": smooth(p, s, keys, t) for s in smooths})
+    d = d.withColumns({f"_z{s}_{k}_{m}": timer_score(f"_s{s}", k, m, keys, t) for s in smooths for k, m in timers})
+    each = F.array(*[F.struct(F.lit(s).alias("smooth"), F.lit(k).alias("k"), F.lit(m).alias("m"), F.col(f"_z{s}_{k}_{m}").alias("z")) for s in smooths for k, m in timers])
+    return d.select(*df.columns, F.inline(each))
+
+
+def rate_choice(cal: DataFrame, score: str, label: str, rates: Sequence[float], by: Keys) -> DataFrame:
+    """(by, rate, f1): the alert rate whose quantile cut has the best F1 on calibration rows;
+    of equals the largest rate."""
+    qs = sorted(round(1 - r, 9) for r in rates)
+    level = with_level(cal, score, cal_thresholds(cal, score, qs, by), by, "_level")
+    s = single_sweep(level, "_level", label, len(qs), by).join(cal.groupBy(*by).agg(F.sum(label).alias("_p")), list(by))
+    f1 = F.round(F.coalesce(2.0 * F.col("tp") / F.nullif(F.col("tp") + F.col("fp") + F.col("_p"), F.lit(0)), F.lit(0.0)), 12)
+    best = s.groupBy(*by).agg(F.max_by(F.struct("early", f1.alias("f1")), F.struct(f1, -F.col("early"))).alias("_b"))
+    return best.select(*by, F.round(1 - F.get(F.array(*[F.lit(q) for q in qs]), F.col("_b.early") - 1), 9).alias("rate"), "_b.f1")
+
+
+def rate_alerts(test: DataFrame, score: str, choice: DataFrame, rates: Sequence[float], by: Keys, name: str) -> DataFrame:
+    """test with the alerts of a chosen rate, as a quantile of test's own scores per group."""
+    qs = sorted(round(1 - r, 9) for r in rates)
+    cuts = cal_thresholds(test, score, qs, by).select(*by, F.round(1 - F.col("q"), 9).alias("rate"), "threshold")
+    at = cuts.join(choice.select(*by, "rate"), [*by, "rate"]).select(*by, F.col("threshold").alias("_cut"))
+    return test.join(at, list(by), "left").withColumn(name, F.coalesce((F.col(score) >= F.col("_cut")).cast("int"), F.lit(0))).drop("_cut")
+
+
+def op_rules(df: DataFrame, score: str, label: str, rates: Sequence[float], by: Keys, fold: str) -> DataFrame:
+    """TEST rows with the alerts of four rules for the operating point, chosen on CAL rows: the
+    best F1 cut of each fold (r1), the best alert rate of each fold (r2), the pooled cut (r3),
+    the pooled rate applied to each fold's scores (r4)."""
+    from wattloom.operators.metrics import best_f1_cut
+
+    cal, test = df.where("role = 'CAL'"), df.where("role = 'TEST'")
+    each = [*by, fold]
+    cut = lambda keys, name: best_f1_cut(cal, label, score, keys, True).select(*keys, F.col("cut").alias(name))
+    d = test.join(cut(each, "_c1"), each, "left").join(cut(by, "_c3"), list(by), "left")
+    on = lambda c: F.coalesce((F.col(score) >= F.col(c)).cast("int"), F.lit(0))
+    d = d.withColumns({"r1": on("_c1"), "r3": on("_c3")}).drop("_c1", "_c3")
+    d = rate_alerts(d, score, rate_choice(cal, score, label, rates, each), rates, each, "r2")
+    pooled = rate_choice(cal, score, label, rates, by).join(test.select(*each).distinct(), list(by))
+    return rate_alerts(d, score, pooled, rates, each, "r4")

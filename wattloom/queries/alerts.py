@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wattloom.operators import diagnosis as dg, events as ev, intervals as iv, metrics as mt, policy as pl
+from wattloom.operators import audit as au, diagnosis as dg, events as ev, intervals as iv, metrics as mt, policy as pl
 from wattloom.operators.features import over
 from wattloom.queries.base import K, S, SCORED, register, scored
 from wattloom.queries.meter import W, runs_sql
+from wattloom.session import cut
 
 BY = ["series_id", "fold"]
-QS = [0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]
+#: The published threshold grid and cost ratios.
+QS = [0.50, 0.54, 0.58, 0.62, 0.66, 0.70, 0.74, 0.78, 0.82, 0.86, 0.90, 0.94, 0.98]
+RATIOS = [1, 2, 5, 10, 20, 50, 100]
+NQ = len(QS) + 1
 
 
 # ---- metrics
@@ -134,10 +138,10 @@ def v21(spark, sf):
 
 
 # ---- policies: thresholds from CAL (fold 1), applied to all folds
-CAL = """, cal as (select * from scored where fold = 1),
-thr_ as (select series_id, unnest(range(1, 8)) lv, unnest([0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]) q, unnest(quantile_cont(score, [0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99])) th from cal group by 1),
-thk_ as (select series_id, unnest(range(1, 8)) lv, unnest(quantile_cont(kw, [0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99])) th from cal group by 1),
-fut_ as (select *, coalesce(max(peak) over (partition by series_id order by step rows between 1 following and 4 following), 0) future, case when abs(ramp4) > 100 then 1 else 0 end unsure from scored)
+CAL = f""", cal as (select * from scored where fold = 1),
+thr_ as (select series_id, unnest(range(1, {NQ})) lv, unnest({QS}) q, unnest(quantile_cont(score, {QS})) th from cal group by 1),
+thk_ as (select series_id, unnest(range(1, {NQ})) lv, unnest(quantile_cont(kw, {QS})) th from cal group by 1),
+fut_ as (select *, coalesce(max(peak) over (partition by series_id order by step rows between 1 following and 4 following), 0) future, coalesce(lead(peak) over (partition by series_id order by step), 0) future1, case when abs(ramp4) > 100 then 1 else 0 end unsure from scored)
 """
 
 
@@ -149,7 +153,7 @@ def levelled(spark, sf):
     """scored with future, unsure, and the early and confirm levels."""
     d = scored(spark, sf)
     early, confirm = thresholds(d, "score"), thresholds(d, "kw")
-    d = ev.future_any(d, "peak", 4, K, S).withColumn("unsure", (F.abs("ramp4") > 100).cast("int"))
+    d = ev.future_any(ev.future_any(d, "peak", 4, K, S), "peak", 1, K, S, "future1").withColumn("unsure", (F.abs("ramp4") > 100).cast("int"))
     return pl.with_level(pl.with_level(d, "score", early, K, "early_level"), "kw", confirm, K, "confirm_level")
 
 
@@ -169,15 +173,15 @@ def p2(spark, sf):
     return d.join(t, "series_id").groupBy("series_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("threshold")).alias("alerts"))
 
 
-@register("p5_single_sweep", "series_id early:i tp:i fp:i", SCORED + LEVELS + "select series_id, i early, sum(case when early_level >= i then future else 0 end) tp, sum(case when early_level >= i then 1 - future else 0 end) fp from lev, range(1, 8) r(i) group by 1, 2")
+@register("p5_single_sweep", "series_id early:i tp:i fp:i", SCORED + LEVELS + f"select series_id, i early, sum(case when early_level >= i then future else 0 end) tp, sum(case when early_level >= i then 1 - future else 0 end) fp from lev, range(1, {NQ}) r(i) group by 1, 2")
 def p5(spark, sf):
     return pl.single_sweep(levelled(spark, sf), "early_level", "future", len(QS), K)
 
 
-PAIRS = LEVELS + """, pr as (select series_id, i "early", j "confirm", g gate,
+PAIRS = LEVELS + f""", pr as (select series_id, i "early", j "confirm", g gate,
  case when g = 'confirm_only_if_unsure' then (confirm_level >= j or unsure = 0) else confirm_level >= j end al,
  g <> 'none' and confirm_level < j and unsure = 1 ad, future, confirm_level < j rj
- from lev, range(1, 8) a(i), range(1, 8) b(j), (values ('none'), ('advisory_if_unsure'), ('confirm_only_if_unsure')) c(g) where early_level >= i),
+ from lev, range(1, {NQ}) a(i), range(1, {NQ}) b(j), (values ('none'), ('advisory_if_unsure'), ('confirm_only_if_unsure')) c(g) where early_level >= i),
 curve as (select series_id, "early", "confirm", gate, count(*) filter (where rj) / count(*) rejection, count(*) filter (where al and future = 1) tp, count(*) filter (where al and future = 0) fp, count(*) filter (where ad) advisories from pr group by 1, 2, 3, 4)
 """
 
@@ -194,39 +198,69 @@ def p4(spark, sf):
     return d.groupBy("series_id").agg(*[F.sum(c).alias(n) for n, c in rules.items()])
 
 
-COSTS = PAIRS + """, ev_ as (select series_id, sum(future) n_events from lev group by 1), cost as (select c.*, n_events - tp missed, n_events, ratio, (fp + ratio * (n_events - tp)) / nullif(ratio * n_events, 0) cost from curve c join ev_ e on e.series_id = c.series_id, (values (1.0), (5.0), (10.0), (50.0)) r(ratio))
+COSTS = PAIRS + runs_sql("lev", "peak", 2) + f""", lk as (select r.series_id, r.event_id, r."first" - l.step a, early_level e, confirm_level c, unsure u from runs r left join lev l on l.series_id = r.series_id and l.step between r."first" - 4 and r."first" - 1),
+pol as (select 'single_early' kind, i "early", null::bigint "confirm", 'none' gate from range(1, {NQ}) a(i) union all select 'single_confirm', null, j, 'none' from range(1, {NQ}) b(j) union all select 'escalate', i, j, g from range(1, {NQ}) a(i), range(1, {NQ}) b(j), (values ('none'), ('advisory_if_unsure'), ('confirm_only_if_unsure')) c(g)),
+ec as (select series_id, event_id, kind, "early", "confirm", gate, max(case when (kind = 'single_early' and e >= "early") or (kind = 'single_confirm' and c >= "confirm" and a <= 1) or (kind = 'escalate' and e >= "early" and (c >= "confirm" or (gate = 'confirm_only_if_unsure' and u = 0))) then a end) a from lk, pol group by all),
+es as (select series_id, kind, "early", "confirm", gate, count(*) n_events, count(a) detected, count(*) - count(a) missed, avg(case when a is not null then least(a, 4) * 15 end) "lead", avg(case when a is not null then (least(a, 4) * 15 >= 30)::int end) lead_share from ec group by 1, 2, 3, 4, 5),
+st_ as (select 'escalate' kind, * from curve union all select 'single_early', series_id, i, null, 'none', 0, sum(case when early_level >= i then future else 0 end), sum(case when early_level >= i then 1 - future else 0 end), 0 from lev, range(1, {NQ}) r(i) group by series_id, i
+ union all select 'single_confirm', series_id, null, i, 'none', 0, sum(case when confirm_level >= i then future1 else 0 end), sum(case when confirm_level >= i then 1 - future1 else 0 end), 0 from lev, range(1, {NQ}) r(i) group by series_id, i),
+dd_ as (select series_id, count(*) / 96.0 nd from lev group by 1),
+pc as (select s.*, n_events, detected, missed, "lead", lead_share, fp / nd false_a_day, advisories / nd advisories_a_day,
+ case s.kind when 'single_confirm' then 0 when 'single_early' then 1 else 2 end * 100000 + coalesce(s."early", 0) * 1000 + coalesce(s."confirm", 0) * 10 + case s.gate when 'none' then 0 when 'advisory_if_unsure' then 1 else 2 end place
+ from st_ s join es e on e.series_id = s.series_id and e.kind = s.kind and e."early" is not distinct from s."early" and e."confirm" is not distinct from s."confirm" and e.gate = s.gate join dd_ on dd_.series_id = s.series_id),
+cost as (select pc.*, ratio::double ratio, (fp + ratio * missed) / nullif(ratio * n_events, 0) cost from pc, (select unnest({RATIOS}) ratio))
 """
 
 
-def costs(spark, sf):
+def curve(spark, sf):
+    """Every policy with its steps, events, leads and loads a day."""
     d = levelled(spark, sf)
-    total = d.groupBy("series_id").agg(F.sum("future").alias("n_events"))
-    curve = pl.pair_sweep(d, "early_level", "confirm_level", "unsure", "future", len(QS), K).join(total, "series_id")
-    return pl.cost_curve(curve.withColumn("missed", F.col("n_events") - F.col("tp")), [1, 5, 10, 50])
+    pairs = pl.pair_sweep(d, "early_level", "confirm_level", "unsure", "future", len(QS), K)
+    single = lambda level, future, kind: pl.single_sweep(d, level, future, len(QS), K).select(
+        "series_id", (F.col("early") if kind == "single_early" else F.lit(None).cast("int")).alias("early"), (F.col("early") if kind == "single_confirm" else F.lit(None).cast("int")).alias("confirm"),
+        F.lit("none").alias("gate"), F.lit(0.0).alias("rejection"), "tp", "fp", F.lit(0).cast("long").alias("advisories"), F.lit(kind).alias("kind"),
+    )
+    singles = single("early_level", "future", "single_early").unionByName(single("confirm_level", "future1", "single_confirm"))
+    events = pl.event_sweep(d, "peak", "early_level", "confirm_level", "unsure", 4, len(QS), K, S)
+    days = d.groupBy("series_id").agg((F.count("*") / 96).alias("days"))
+    c = pl.policy_curve(pairs, singles, events, days, K)
+    order = lambda c, names: F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c)) - 1
+    place = order("kind", ["single_confirm", "single_early", "escalate"]) * 100000 + F.coalesce("early", F.lit(0)) * 1000 + F.coalesce("confirm", F.lit(0)) * 10 + order("gate", list(pl.GATES))
+    return c.withColumn("place", place)
+
+
+def costs(spark, sf):
+    return pl.cost_curve(cut(curve(spark, sf)), RATIOS)
 
 
-@register("p6_cost_curve", "series_id early:i confirm:i gate ratio:f cost:f", SCORED + COSTS + "select * from cost")
+@register("p5_event_sweep", "series_id kind early:i confirm:i gate n_events:i detected:i missed:i lead:f lead_share:f tp:i fp:i false_a_day:f advisories_a_day:f", SCORED + COSTS + "select * from pc")
+def p5_events(spark, sf):
+    return curve(spark, sf)
+
+
+@register("p6_cost_curve", "series_id kind early:i confirm:i gate ratio:f cost:f", SCORED + COSTS + "select * from cost")
 def p6(spark, sf):
     return costs(spark, sf)
 
 
-@register("p7_best_points", "series_id ratio:f scope early:i confirm:i gate cost:f", SCORED + COSTS + """, sc as (select *, unnest(case when gate = 'none' then ['all', 'plain'] else ['all', 'gated'] end) "scope" from cost),
-k_ as (select *, row_number() over (partition by series_id, ratio, "scope" order by round(cost, 12), "early", "confirm", gate) rk from sc) select * from k_ where rk = 1""")
+@register("p7_best_points", "series_id ratio:f scope kind early:i confirm:i gate cost:f lead:f missed:i", SCORED + COSTS + """, sc as (select *, unnest(list_filter(['all', case when kind = 'escalate' then 'escalation_only' else 'single_only' end, case when "lead" >= 30 then 'lead_constrained' end], lambda x: x is not null)) "scope" from cost),
+k_ as (select *, row_number() over (partition by series_id, ratio, "scope" order by round(cost, 12), place) rk from sc) select * from k_ where rk = 1""")
 def p7(spark, sf):
-    scopes = {"all": F.lit(True), "plain": F.col("gate") == "none", "gated": F.col("gate") != "none"}
-    return pl.best_points(costs(spark, sf), scopes, ["series_id", "ratio"], ["early", "confirm", "gate"])
+    scopes = {"all": F.lit(True), "single_only": F.col("kind") != "escalate", "escalation_only": F.col("kind") == "escalate", "lead_constrained": F.col("lead") >= 30}
+    return pl.best_points(costs(spark, sf), scopes, ["series_id", "ratio"], ["place"])
 
 
-@register("p8_verdict", "series_id ratio:f gated_wins:i", SCORED + COSTS + """select series_id, ratio, case when round(min(cost) filter (where gate <> 'none'), 12) < round(min(cost) filter (where gate = 'none'), 12) then 1 else 0 end gated_wins from cost group by 1, 2""")
+@register("p8_verdict", "series_id ratio:f single:f escalation:f escalation_wins:i", SCORED + COSTS + """, v_ as (select series_id, ratio, min(cost) filter (where kind <> 'escalate') single, min(cost) filter (where kind = 'escalate') escalation from cost group by 1, 2) select *, case when round(escalation, 12) < round(single, 12) then 1 else 0 end escalation_wins from v_""")
 def p8(spark, sf):
-    best = lambda c: F.round(F.min(F.when(c, F.col("cost"))), 12)
-    return costs(spark, sf).groupBy("series_id", "ratio").agg((best(F.col("gate") != "none") < best(F.col("gate") == "none")).cast("int").alias("gated_wins"))
+    best = lambda c: F.min(F.when(c, F.col("cost")))
+    v = costs(spark, sf).groupBy("series_id", "ratio").agg(best(F.col("kind") != "escalate").alias("single"), best(F.col("kind") == "escalate").alias("escalation"))
+    return v.withColumn("escalation_wins", F.coalesce((F.round("escalation", 12) < F.round("single", 12)).cast("int"), F.lit(0)))
 
 
-@register("p9_pareto", "series_id ratio:f cost:f rejection:f", SCORED + COSTS + """, d_ as (select distinct series_id, ratio, round(cost, 9) cost, round(rejection, 9) rejection from cost), b_ as (select *, max(rejection) over (partition by series_id, ratio order by cost, rejection desc rows between unbounded preceding and 1 preceding) best from d_) select * from b_ where best is null or rejection > best""")
+@register("p9_pareto", "series_id cost:f lead:f", SCORED + COSTS + """, d_ as (select distinct series_id, round(cost, 9) cost, round("lead", 9) "lead" from cost where ratio = 10 and "lead" is not null and detected > 0), b_ as (select *, max("lead") over (partition by series_id order by cost, "lead" desc rows between unbounded preceding and 1 preceding) best from d_) select * from b_ where best is null or "lead" > best""")
 def p9(spark, sf):
-    d = costs(spark, sf).select("series_id", "ratio", F.round("cost", 9).alias("cost"), F.round("rejection", 9).alias("rejection")).distinct()
-    return pl.pareto(d, ["series_id", "ratio"], "cost", "rejection")
+    d = costs(spark, sf).where("ratio = 10 and lead is not null and detected > 0")
+    return pl.pareto(d.select("series_id", F.round("cost", 9).alias("cost"), F.round("lead", 9).alias("lead")).distinct(), K, "cost", "lead")
 
 
 SEQ = CAL + """, a_ as (select series_id, step + 4 t, score s60 from scored), b_ as (select series_id, step + 1 t, kw k15 from scored),
@@ -253,8 +287,8 @@ def p10(spark, sf):
     return sequential(spark, sf).groupBy("series_id", "state").agg(F.count("*").alias("n"))
 
 
-@register("p11_select_then_apply", "series_id part cut:i fp:i missed:i", SCORED + LEVELS + """, pt as (select *, case when date_diff('day', ts15::date, (max(ts15) over (partition by series_id))::date) < 7 then 'LOCK' when date_diff('day', ts15::date, (max(ts15) over (partition by series_id))::date) < 14 then 'TEST' else 'SEL' end part from lev),
-sw as (select series_id, part, i, sum(case when early_level >= i then 1 - future else 0 end) fp, sum(case when early_level < i then future else 0 end) missed from pt, range(1, 8) r(i) group by 1, 2, 3),
+@register("p11_select_then_apply", "series_id part cut:i fp:i missed:i", SCORED + LEVELS + f""", pt as (select *, case when date_diff('day', ts15::date, (max(ts15) over (partition by series_id))::date) < 7 then 'LOCK' when date_diff('day', ts15::date, (max(ts15) over (partition by series_id))::date) < 14 then 'TEST' else 'SEL' end part from lev),
+sw as (select series_id, part, i, sum(case when early_level >= i then 1 - future else 0 end) fp, sum(case when early_level < i then future else 0 end) missed from pt, range(1, {NQ}) r(i) group by 1, 2, 3),
 pk as (select series_id, i, row_number() over (partition by series_id order by fp + 10 * missed, i) rk from sw where part = 'SEL')
 select sw.series_id, part, sw.i cut, fp, missed from sw join pk on pk.series_id = sw.series_id and pk.i = sw.i and rk = 1 where part <> 'SEL'""")
 def p11(spark, sf):
@@ -266,9 +300,9 @@ def p11(spark, sf):
     return s.where("part <> 'SEL'").join(pick, "series_id").where("early = cut")
 
 
-@register("p12_capacity", "series_id gate n:i", SCORED + PAIRS + "select series_id, gate, count(*) n from curve where advisories <= 100 group by 1, 2")
+@register("p12_capacity", "series_id kind gate n:i", SCORED + COSTS + "select series_id, kind, gate, count(*) n from pc where advisories_a_day <= 12 group by 1, 2, 3")
 def p12(spark, sf):
-    return pl.pair_sweep(levelled(spark, sf), "early_level", "confirm_level", "unsure", "future", len(QS), K).where("advisories <= 100").groupBy("series_id", "gate").agg(F.count("*").alias("n"))
+    return curve(spark, sf).where("advisories_a_day <= 12").groupBy("series_id", "kind", "gate").agg(F.count("*").alias("n"))
 
 
 @register("p13_k_of_m", "series_id step:i timer:i", SCORED + f"select series_id, step, case when sum(alert) over ({W} rows between 3 preceding and current row) >= 2 then 1 else 0 end timer from scored")
@@ -281,30 +315,91 @@ def p14(spark, sf):
     return scored(spark, sf).withColumn("smooth", pl.smooth("p", 3, K, S))
 
 
-@register("p16_rate_cuts", "series_id rate:f cut:f alerts:i", SCORED + CAL + ", c_ as (select series_id, unnest([0.05, 0.1, 0.2]) rate, unnest(quantile_cont(score, [0.95, 0.9, 0.8])) cut from cal group by 1) select c_.series_id, rate, cut, count(*) filter (where score >= cut and fold > 1) alerts from c_ join scored s on s.series_id = c_.series_id group by 1, 2, 3")
+RATE_GRID = [round(0.02 + 0.005 * i, 3) for i in range(46)]
+#: TEST folds of three, each with the CAL tail of its past.
+ROLES = """, o_ as (select *, row_number() over (partition by series_id order by step) - 1 i0, count(*) over (partition by series_id) n0 from scored),
+f_ as (select o_.* exclude (fold), k fold, n0 - (n0 // 4) * (3 - k) st, n0 // 4 sz from o_, range(3) t(k)),
+ro as (select *, case when i0 >= st + sz then null when i0 >= st then 'TEST' when i0 >= floor(st * 0.8) then 'CAL' else 'TRAIN' end role from f_)
+"""
+BEST = """, cc{x} as (select {by}, p, sum("label") pos, count(*) nr from ro where role = 'CAL' group by all), cu{x} as (select *, sum(pos) over (partition by {by} order by p desc) tp, sum(nr) over (partition by {by} order by p desc) n, sum(pos) over (partition by {by}) pp from cc{x}),
+bc{x} as (select {by}, arg_max(p, (round(2.0 * tp / (n + pp), 12), p)) ct from cu{x} where pp > 0 group by all),
+rq{x} as (select {by}, unnest({qs}) q, unnest(quantile_cont(p, {qs})) th from ro where role = 'CAL' group by {by}),
+rf{x} as (select {q}.* , round(coalesce(2.0 * sum(case when p >= th then "label" else 0 end) / nullif(sum(case when p >= th then 1 else 0 end) + sum("label"), 0), 0), 12) f1 from rq{x} {q} join ro r on {on} where role = 'CAL' group by all),
+br{x} as (select {by}, arg_max(q, (f1, -q)) q from rf{x} group by {by})
+"""
+
+
+def folds3(spark, sf):
+    return cut(iv.rolling_origin(scored(spark, sf).drop("fold"), 3, K, S))
+
+
+RQS = sorted(round(1 - r, 9) for r in RATE_GRID)
+
+
+@register("p16_op_rules", "series_id rule tp:i fp:i fn:i", SCORED + ROLES + BEST.format(x="a", by="series_id, fold", qs=RQS, q="rq", on="r.series_id = rq.series_id and r.fold = rq.fold") + BEST.format(x="b", by="series_id", qs=RQS, q="rq", on="r.series_id = rq.series_id") + f""", tq as (select series_id, fold, unnest({RQS}) q, unnest(quantile_cont(p, {RQS})) th from ro where role = 'TEST' group by series_id, fold),
+al as (select t.series_id, "label", coalesce((p >= a.ct)::int, 0) r1, coalesce((p >= ta.th)::int, 0) r2, coalesce((p >= b.ct)::int, 0) r3, coalesce((p >= tb.th)::int, 0) r4 from ro t left join bca a on a.series_id = t.series_id and a.fold = t.fold left join bcb b on b.series_id = t.series_id
+ left join bra qa on qa.series_id = t.series_id and qa.fold = t.fold left join tq ta on ta.series_id = t.series_id and ta.fold = t.fold and ta.q = qa.q left join brb qb on qb.series_id = t.series_id left join tq tb on tb.series_id = t.series_id and tb.fold = t.fold and tb.q = qb.q where role = 'TEST'),
+lo as (select series_id, "label", rule, a from al unpivot (a for rule in (r1, r2, r3, r4)))
+select series_id, rule, count(*) filter (where a = 1 and "label" = 1) tp, count(*) filter (where a = 1 and "label" = 0) fp, count(*) filter (where a = 0 and "label" = 1) fn from lo group by 1, 2""".replace("{q}", "rq"))
 def p16(spark, sf):
-    d = scored(spark, sf)
-    c = pl.rate_cut(d.where("fold = 1"), "score", [0.05, 0.1, 0.2], K)
-    return d.join(F.broadcast(c), "series_id").groupBy("series_id", "rate", "cut").agg(F.count_if((F.col("score") >= F.col("cut")) & (F.col("fold") > 1)).alias("alerts"))
+    d = pl.op_rules(folds3(spark, sf), "p", "label", RATE_GRID, K, "fold")
+    long = d.select("series_id", "label", F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("a")) for r in ("r1", "r2", "r3", "r4")])))
+    return mt.class_metrics(long, "label", "a", ["series_id", "rule"])
+
+
+TIMERS = [(1, 1), (2, 2), (2, 3), (3, 3), (2, 4), (3, 4)]
+TIMERS_WIDE = [*TIMERS, (4, 4), (3, 5), (4, 5)]
+
+
+def settings_sql(src: str, p: str, smooths, timers, by: str) -> str:
+    """Every row once per (smooth, k, m) with the k-th largest of the last m smoothed values."""
+    w = f"partition by {by} order by step"
+    one = lambda s, k, m: f"select *, {s} sm, {k} k, {m} m, (list_reverse_sort(list(ps{s}) over ({w} rows between {m - 1} preceding and current row)))[{k}] z from s_"
+    return f", s_ as (select *, {', '.join(f'avg({p}) over ({w} rows between {s - 1} preceding and current row) ps{s}' for s in smooths)} from {src}), z_ as (" + " union all ".join(one(s, k, m) for s in smooths for k, m in timers) + ")"
+
+
+@register("p15_joint_choice", "series_id smooth:i k:i m:i f1:f", SCORED + settings_sql("(select * from scored where fold = 1)", "p", [1, 2, 3, 4], TIMERS_WIDE, "series_id") + """, c_ as (select series_id, sm, k, m, round(z, 9) z, sum("label") pos, count(*) nr from z_ where z is not null group by all), u_ as (select *, sum(pos) over w tp, sum(nr) over w n, sum(pos) over (partition by series_id, sm, k, m) pp from c_ window w as (partition by series_id, sm, k, m order by z desc)),
+f_ as (select series_id, sm "smooth", k, m, max(round(2.0 * tp / (n + pp), 12)) f1 from u_ where pp > 0 group by all) select * from f_ qualify row_number() over (partition by series_id order by f1 desc, "smooth", m, k) = 1""")
+def p15(spark, sf):
+    d = scored(spark, sf).where("fold = 1").select("series_id", S, "p", "label")
+    z = pl.timer_settings(d, "p", [1, 2, 3, 4], TIMERS_WIDE, K, S).withColumn("z", F.round("z", 9))
+    best = mt.best_f1_cut(z, "label", "z", ["series_id", "smooth", "k", "m"], True)
+    return au.arg_min(best, K, -F.col("f1"), "smooth", "m", "k")
+
+
+@register("p22_rate_transfer", "series_id fold:i k:i m:i residual_lead:i rate:f cal_f1:f alerts:i hits:i", SCORED + ROLES + settings_sql("(select * from ro where role <> 'TRAIN')", "p", [1], TIMERS, "series_id, fold, role") + f""", zz as (select series_id, fold, role, step, k, m, "label", round(z, 9) z from z_ where z is not null), rq as (select series_id, fold, k, m, unnest({RQS}) q, unnest(quantile_cont(z, {RQS})) th from zz where role = 'CAL' group by series_id, fold, k, m),
+rf as (select rq.*, round(coalesce(2.0 * sum(case when z >= th then "label" else 0 end) / nullif(sum(case when z >= th then 1 else 0 end) + sum("label"), 0), 0), 12) f1 from rq join zz on zz.series_id = rq.series_id and zz.fold = rq.fold and zz.k = rq.k and zz.m = rq.m and role = 'CAL' group by all),
+bs as (select series_id, fold, k, m, round(1 - arg_max(q, (f1, -q)), 9) rate, max(f1) cal_f1 from rf group by all), pk as (select * from bs qualify row_number() over (partition by series_id, fold order by cal_f1 desc, m, k) = 1),
+tq as (select series_id, fold, k, m, unnest({RQS}) q, unnest(quantile_cont(z, {RQS})) th from zz where role = 'TEST' group by series_id, fold, k, m)
+select pk.series_id, pk.fold, pk.k, pk.m, 60 - (pk.m - 1) * 15 residual_lead, rate, cal_f1, count(*) filter (where z >= th) alerts, count(*) filter (where z >= th and "label" = 1) hits from pk join zz on zz.series_id = pk.series_id and zz.fold = pk.fold and zz.k = pk.k and zz.m = pk.m and role = 'TEST' join tq on tq.series_id = pk.series_id and tq.fold = pk.fold and tq.k = pk.k and tq.m = pk.m and tq.q = round(1 - rate, 9) group by all""")
+def p22(spark, sf):
+    keys = ["series_id", "fold", "k", "m"]
+    d = folds3(spark, sf).where("role <> 'TRAIN'").select("series_id", "fold", "role", S, "p", "label")
+    z = cut(pl.timer_settings(d, "p", [1], TIMERS, ["series_id", "fold", "role"], S).withColumn("z", F.round("z", 9)).where("z is not null"))
+    cal, test = z.where("role = 'CAL'"), z.where("role = 'TEST'")
+    pick = cut(au.arg_min(pl.rate_choice(cal, "z", "label", RATE_GRID, keys), ["series_id", "fold"], -F.col("f1"), "m", "k"))
+    t = test.join(pick.select(*keys, "rate", F.col("f1").alias("cal_f1")), keys)
+    t = pl.rate_alerts(t, "z", pick, RATE_GRID, keys, "on")
+    return t.groupBy(*keys, "rate", "cal_f1").agg(F.sum("on").alias("alerts"), F.sum(F.col("on") * F.col("label")).alias("hits")).withColumn("residual_lead", 60 - (F.col("m") - 1) * 15)
 
 
 @register("p17_pooled_alert", "n:i tp:i fp:i cut:f", SCORED + """, s_ as (select p, sum("label") pos, count(*) nr from scored where fold = 1 group by 1), u_ as (select *, sum(pos) over (order by p desc) tp, sum(nr) over (order by p desc) n, sum(pos) over () pp from s_), k_ as (select p cut from u_ order by round(2.0 * tp / (n + pp), 12) desc, p desc limit 1)
 select count(*) n, count(*) filter (where p >= cut and "label" = 1) tp, count(*) filter (where p >= cut and "label" = 0) fp, max(cut) cut from scored, k_ where fold > 1""")
 def p17(spark, sf):
     d = scored(spark, sf).withColumn("all", F.lit(0))
-    cut = mt.best_f1_cut(d.where("fold = 1"), "label", "p", ["all"], True).select("all", "cut")
+    best = mt.best_f1_cut(d.where("fold = 1"), "label", "p", ["all"], True).select("all", "cut")
     hit = F.col("p") >= F.col("cut")
-    return d.where("fold > 1").join(F.broadcast(cut), "all").agg(F.count("*").alias("n"), F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit & (F.col("label") == 0)).alias("fp"), F.max("cut").alias("cut"))
+    return d.where("fold > 1").join(F.broadcast(best), "all").agg(F.count("*").alias("n"), F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit & (F.col("label") == 0)).alias("fp"), F.max("cut").alias("cut"))
 
 
-@register("p18_matched_budget", "series_id goal:f early:i fp:i", SCORED + LEVELS + """, sw as (select series_id, i, sum(case when early_level >= i then 1 - future else 0 end) fp from lev, range(1, 8) r(i) group by 1, 2), k_ as (select series_id, goal, i, fp, row_number() over (partition by series_id, goal order by abs(fp - goal), i) rk from sw, (values (100.0), (200.0), (400.0)) g(goal)) select series_id, goal, i "early", fp from k_ where rk = 1""")
+@register("p18_matched_budget", "series_id goal:f early:i fp:i", SCORED + LEVELS + f""", sw as (select series_id, i, sum(case when early_level >= i then 1 - future else 0 end) fp from lev, range(1, {NQ}) r(i) group by 1, 2), k_ as (select series_id, goal, i, fp, row_number() over (partition by series_id, goal order by abs(fp - goal), i) rk from sw, (values (100.0), (200.0), (400.0)) g(goal)) select series_id, goal, i "early", fp from k_ where rk = 1""")
 def p18(spark, sf):
     s = pl.single_sweep(levelled(spark, sf), "early_level", "future", len(QS), K)
     return pl.matched_budget(s, "fp", [100, 200, 400], K, ["early"])
 
 
 # ---- intervals: CAL fold 1, test fold 2 and 3
-INT = SCORED + """, i_ as (select *, score * 0.5 lo, score * 1.5 + 10 hi, case when score >= thr * 0.5 then 'high' else 'low' end grp from scored), e_ as (select *, greatest(lo - y, y - hi) e from i_ where fold = 1),
+INT = SCORED + """, i_ as (select *, score * 0.5 lo, score * 1.5 + 10 hi, case when kw < t1 then 0 when kw < t2 then 1 else 2 end grp from scored join (select series_id sid, quantile_cont(kw, 1 / 3.0) t1, quantile_cont(kw, 2 / 3.0) t2 from scored where fold = 0 group by 1) on sid = series_id), e_ as (select *, greatest(lo - y, y - hi) e from i_ where fold = 1),
 n_ as (select series_id, count(*) n, list(e order by e) es from e_ group by 1), q_ as (select series_id, n, least(1.0, 0.9 * (1 + 1.0 / n)) * (n - 1) h, es from n_), c_ as (select series_id, es[floor(h)::int + 1] + (h - floor(h)) * (coalesce(es[floor(h)::int + 2], es[floor(h)::int + 1]) - es[floor(h)::int + 1]) q from q_),
 gn_ as (select series_id, grp, count(*) n, list(e order by e) es from e_ group by 1, 2 having count(*) >= 50), gq_ as (select series_id, grp, least(1.0, 0.9 * (1 + 1.0 / n)) * (n - 1) h, es from gn_), gc_ as (select series_id, grp, es[floor(h)::int + 1] + (h - floor(h)) * (coalesce(es[floor(h)::int + 2], es[floor(h)::int + 1]) - es[floor(h)::int + 1]) q from gq_)
 """
@@ -312,7 +407,9 @@ gn_ as (select series_id, grp, count(*) n, list(e order by e) es from e_ group b
 
 def naive_interval(spark, sf):
     d = scored(spark, sf)
-    return d.withColumns({"lo": F.col("score") * 0.5, "hi": F.col("score") * 1.5 + 10, "grp": F.when(F.col("score") >= F.col("thr") * 0.5, "high").otherwise("low")})
+    t = d.where("fold = 0").groupBy("series_id").agg(F.percentile("kw", F.array(F.lit(1 / 3.0), F.lit(2 / 3.0))).alias("t"))
+    group = F.when(F.col("kw") < F.col("t")[0], 0).when(F.col("kw") < F.col("t")[1], 1).otherwise(2)
+    return d.join(t, "series_id").withColumns({"lo": F.col("score") * 0.5, "hi": F.col("score") * 1.5 + 10, "grp": group}).drop("t")
 
 
 @register("r1_conformal", "series_id step:i int_lo:f int_hi:f", INT + "select i_.series_id, step, lo - q int_lo, hi + q int_hi from i_ join c_ on c_.series_id = i_.series_id where fold > 1")
@@ -348,14 +445,21 @@ def r9(spark, sf):
     return naive_interval(spark, sf).withColumn("width", F.col("hi") - F.col("lo")).withColumn("risk", iv.risk_score("score", "thr", "width"))
 
 
-@register("r10_rule_regime", "series_id regime n:i", SCORED + f""", c_ as (select series_id, quantile_cont(abs(ramp4), 0.9) rc, quantile_cont(score, 0.3) lc from scored where fold = 1 group by 1),
-g_ as (select s.*, rc, lc, max(is_operating) over (partition by s.series_id order by step rows between 4 preceding and current row) a, min(is_operating) over (partition by s.series_id order by step rows between 4 preceding and current row) b from scored s join c_ on c_.series_id = s.series_id)
-select series_id, case when a <> b or abs(ramp4) >= rc then 'TRANSITION' when score <= lc then 'LOW_LOAD' else 'STABLE' end regime, count(*) n from g_ group by 1, 2""")
-def r10(spark, sf):
+REGIME = f""", rc_ as (select series_id, quantile_cont(abs(ramp4), 0.9) rc, quantile_cont(score, 0.5) m1, quantile_cont(score, 0.8) m2, quantile_cont(abs(ramp4), 0.5) r1 from scored where fold <= 1 group by 1),
+rg_ as (select s.*, rc, m1, m2, r1, case when is_operating is distinct from lag(is_operating, 4) over (partition by s.series_id order by step) or abs(ramp4) >= rc then 'TRANSITION' when is_operating = 0 then 'LOW_LOAD' else 'STABLE' end regime from scored s join rc_ on rc_.series_id = s.series_id)
+"""
+
+
+def regimes(spark, sf):
     d = scored(spark, sf)
-    c = d.where("fold = 1").groupBy("series_id").agg(F.percentile(F.abs("ramp4"), F.lit(0.9)).alias("rc"), F.percentile("score", F.lit(0.3)).alias("lc"))
-    g = iv.rule_regime(d.join(c, "series_id"), "is_operating", "ramp4", F.col("rc"), "score", F.col("lc"), K, S)
-    return g.groupBy("series_id", "regime").agg(F.count("*").alias("n"))
+    q = lambda c, x: F.percentile(c, F.lit(x))
+    c = d.where("fold <= 1").groupBy("series_id").agg(q(F.abs("ramp4"), 0.9).alias("rc"), q("score", 0.5).alias("m1"), q("score", 0.8).alias("m2"), q(F.abs("ramp4"), 0.5).alias("r1"))
+    return iv.rule_regime(d.join(c, "series_id"), "is_operating", "ramp4", F.col("rc"), K, S)
+
+
+@register("r10_rule_regime", "series_id regime n:i", SCORED + REGIME + "select series_id, regime, count(*) n from rg_ group by 1, 2")
+def r10(spark, sf):
+    return regimes(spark, sf).groupBy("series_id", "regime").agg(F.count("*").alias("n"))
 
 
 @register("r13_decile_curve", "series_id decile:i n:i mae:f", SCORED + "select series_id, decile, count(*) n, avg(abs(y - score)) mae from (select *, ntile(10) over (partition by series_id order by abs(ramp4), step) decile from scored) group by 1, 2")
@@ -422,15 +526,28 @@ def d7(spark, sf):
     return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
 
 
-@register("d10_advisory_fine", "series_id level n:i", DIAG + "select series_id, case when ood then 'HUMAN_REVIEW' when alr and not uns then 'CONFIRMED_WARNING' when alr then 'LOW_CONFIDENCE_WARNING' when gap then 'INFORMATION_GAP' when erl and uns then 'UNCERTAIN_ADVISORY' when uns then 'LOW_CONFIDENCE_MONITOR' when erl then 'EARLY_WATCH' else 'NORMAL' end level, count(*) n from g_ group by 1, 2")
+@register("d10_advisory_fine", "series_id level n:i mae:f coverage:f", DIAG + "select series_id, case when ood then 'HUMAN_REVIEW' when alr and not uns then 'WARN_CONFIRMED' when alr then 'WARN_LOW_CONFIDENCE' when erl and not cnf and uns then 'ADVISORY_UNCERTAIN' when erl then 'EARLY_WATCH' when uns then 'MONITOR_LOW_CONFIDENCE' else 'NORMAL_MONITORING' end level, count(*) n, avg(err) mae, avg(hit) coverage from g_ group by 1, 2")
 def d10(spark, sf):
-    return diagnosed(spark, sf).groupBy("series_id", dg.advisory_fine(ood()).alias("level")).agg(F.count("*").alias("n"))
+    level = dg.advisory_fine(ood(), F.col("kw") >= F.col("cc"))
+    return diagnosed(spark, sf).groupBy("series_id", level.alias("level")).agg(F.count("*").alias("n"), F.avg("err").alias("mae"), F.avg("hit").alias("coverage"))
+
+
+GATE_QS = [round(0.80 + 0.01 * i, 2) for i in range(20)]
 
 
-@register("p19_tier_curve", "series_id tier n:i hits:i", DIAG + ", t_ as (select *, (score - thr) / nullif(hi - lo, 0) rk, case when hi - lo > 150 then 'LOW' else 'HIGH' end bd from g_) select series_id, case when ood then 'REVIEW' when bd = 'HIGH' and rk >= 0.5 then 'AUTO' when rk >= 0.5 then 'WARN' when rk >= 0 then 'ADVISE' else 'MONITOR' end tier, count(*) n, sum(\"label\") hits from t_ group by 1, 2")
+@register("p19_tier_curve", "series_id risk_q:f tier n:i hits:i mae:f", DIAG + f""", b_ as (select series_id, quantile_cont(hi - lo, 0.5) a, quantile_cont(hi - lo, 0.8) b from i_ where fold = 1 group by 1), rq_ as (select series_id, unnest({GATE_QS}) q, unnest(quantile_cont(score, {GATE_QS})) th from g_ group by 1),
+t_ as (select g_.*, q, score >= th rk, case when ood then 'OOD' when hi - lo <= a then 'HIGH' when hi - lo <= b then 'MEDIUM' else 'LOW' end bd from g_ join b_ on b_.series_id = g_.series_id join rq_ on rq_.series_id = g_.series_id)
+select series_id, q risk_q, case when bd = 'OOD' then 'HUMAN_REVIEW' when bd = 'LOW' then 'WARN_ONLY' when bd = 'MEDIUM' and rk then 'ADVISE' when bd = 'MEDIUM' then 'MONITOR' when rk then 'AUTO' else 'AUTO_NORMAL' end tier, count(*) n, sum("label") hits, avg(err) mae from t_ group by 1, 2, 3""")
 def p19(spark, sf):
-    d = diagnosed(spark, sf).withColumns({"band": F.when(ood(), "OOD").when(F.col("unsure") == 1, "LOW").otherwise("HIGH"), "risk": F.try_divide(F.col("score") - F.col("thr"), F.col("hi") - F.col("lo"))})
-    return d.groupBy("series_id", pl.tier(F.col("band"), F.col("risk"), 0.5, 0.0).alias("tier")).agg(F.count("*").alias("n"), F.sum("label").alias("hits"))
+    d = diagnosed(spark, sf).withColumn("width", F.col("hi") - F.col("lo"))
+    cal = naive_interval(spark, sf).where("fold = 1").withColumn("width", F.col("hi") - F.col("lo"))
+    d = iv.bands(d, "width", iv.width_cuts(cal, "width", K), K, ood())
+    # a row passes the first `level` cuts: rows are counted by (band, level), then met with the cuts
+    d = pl.with_level(d, "score", pl.cal_thresholds(d, "score", GATE_QS, K), K, "level")
+    h = d.groupBy("series_id", "band", "level").agg(F.count("*").alias("n"), F.sum("label").alias("hits"), F.sum("err").alias("err"))
+    g = h.select("*", F.posexplode(F.array(*[F.lit(q) for q in GATE_QS])).alias("i", "risk_q"))
+    tier = pl.tier(F.col("band"), F.col("level") > F.col("i"))
+    return g.groupBy("series_id", "risk_q", tier.alias("tier")).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), (F.sum("err") / F.sum("n")).alias("mae"))
 
 
 # ---- folds

@@ -30,10 +30,10 @@ def v16(spark, sf):
     return vd.marginal(levels(spark, sf), "level", "mae", K)
 
 
-@register("p20_cost_scenarios", "series_id name implied:f ratio:f early:i confirm:i gate cost:f", SCORED + COSTS + """, sc_ as (select * from (values ('small', 40.0, 10.0), ('large', 900.0, 20.0)) v("name", miss, alarm)), k_ as (select cost.*, "name", miss / alarm implied, row_number() over (partition by series_id, "name" order by round(abs(ratio - miss / alarm), 9), round(cost, 12), "early", "confirm", gate) rk from cost, sc_) select * from k_ where rk = 1""")
+@register("p20_cost_scenarios", "series_id name implied:f ratio:f kind early:i confirm:i gate cost:f", SCORED + COSTS + """, sc_ as (select * from (values ('small', 40.0, 10.0), ('large', 900.0, 20.0)) v("name", miss, alarm)), k_ as (select cost.*, "name", miss / alarm implied, row_number() over (partition by series_id, "name" order by round(abs(ratio - miss / alarm), 9), round(cost, 12), place) rk from cost, sc_) select * from k_ where rk = 1""")
 def p20(spark, sf):
     s = spark.createDataFrame([("small", 40.0, 10.0), ("large", 900.0, 20.0)], "name string, miss_cost double, alarm_cost double")
-    return vd.scenarios(costs(spark, sf), s, K, ["early", "confirm", "gate"])
+    return vd.scenarios(costs(spark, sf), s, K, ["place"])
 
 
 @register("x14_adoption_rules", "series_id adopt:i failed", SCORED + """, m_ as (select series_id, fold, avg(abs(y - score)) a, avg(abs(y - kw)) b, avg(abs(y - score)) filter (where peak = 1) pa, avg(abs(y - kw)) filter (where peak = 1) pb from scored group by 1, 2),

@@ -37,8 +37,11 @@ def read_labelled(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def read_sites(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All CSV files of a folder; `site` is the file's name without its ending."""
+    """All CSV files of a folder with their site: the folder's `site=` part, or else the file's
+    name without its ending."""
     df = spark.read.csv(path, schema=schema, header=True)
+    if "site" in df.columns:
+        return df
     return df.withColumn("site", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
 
 
