@@ -85,24 +85,31 @@ def width_cuts(cal: DataFrame, width: str, by: Keys) -> DataFrame:
     return cal.groupBy(*by).agg(q.alias("_q")).select(*by, F.col("_q")[0].alias("c50"), F.col("_q")[1].alias("c80"))
 
 
-def mahalanobis(train: DataFrame, df: DataFrame, columns: Keys, q: float = 0.99, name: str = "maha") -> tuple[DataFrame, float]:
-    """Squared distance from TRAIN's mean under its population covariance, and the TRAIN
-    quantile. Only the p x p covariance comes to the driver; a singular one is handled by
-    the pseudo-inverse."""
+def mahalanobis_fit(train: DataFrame, columns: Keys):
+    """Mean and pseudo-inverse of the population covariance: only these p x p numbers come to
+    the driver."""
     import numpy as np
 
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     row = train.agg(*[F.avg(c) for c in columns], *[F.covar_pop(columns[i], columns[j]) for i, j in pairs]).first()
     p = len(columns)
-    mean, cov = list(row[:p]), np.zeros((p, p))
+    cov = np.zeros((p, p))
     for (i, j), v in zip(pairs, row[p:]):
         cov[i, j] = cov[j, i] = v or 0.0
-    inverse = np.linalg.pinv(cov)
-    diff = [F.col(c) - F.lit(float(m or 0.0)) for c, m in zip(columns, mean)]
-    terms = [diff[i] * diff[j] * float(inverse[i, j] * (1 if i == j else 2)) for i, j in pairs]
-    distance = sum(terms[1:], terms[0])
-    cut = train.agg(F.percentile(distance, F.lit(q))).first()[0]
-    return df.withColumn(name, distance), cut
+    return [float(m or 0.0) for m in row[:p]], np.linalg.pinv(cov)
+
+
+def mahalanobis_of(columns: Keys, mean: Sequence[float], inverse) -> Column:
+    """Squared distance from the mean as one expression."""
+    diff = [F.col(c) - F.lit(m) for c, m in zip(columns, mean)]
+    terms = [diff[i] * diff[j] * float(inverse[i, j] * (1 if i == j else 2)) for i in range(len(columns)) for j in range(i, len(columns))]
+    return sum(terms[1:], terms[0])
+
+
+def mahalanobis(train: DataFrame, df: DataFrame, columns: Keys, q: float = 0.99, name: str = "maha") -> tuple[DataFrame, float]:
+    """df with its squared distance from TRAIN, and the TRAIN quantile."""
+    distance = mahalanobis_of(columns, *mahalanobis_fit(train, columns))
+    return df.withColumn(name, distance), train.agg(F.percentile(distance, F.lit(q))).first()[0]
 
 
 def risk_score(pred: str, thr: str, width: str, cap: float = 3.0) -> Column:

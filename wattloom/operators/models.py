@@ -6,7 +6,7 @@ columns without nulls: drop or fill first.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
@@ -15,9 +15,10 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.functions.special import uniform
 from wattloom.operators.stats import adjusted_rand
 
 Names = Sequence[str]
@@ -102,16 +103,107 @@ def soft_vote(df: DataFrame, columns: Names, name: str = "vote") -> DataFrame:
 
 
 def state_models(train: DataFrame, test: DataFrame, features: Names, y: str, state: str, least: int = 500, kind: str = "ridge") -> DataFrame:
-    """A model per state that has enough rows, and the model of all rows for the rest."""
-    whole = predict_point(fit_point(train, features, y, kind), test, name="_all")
-    sizes = {r[0]: r[1] for r in train.groupBy(state).count().collect()}  # one row per state
-    parts = None
-    for s, n in sizes.items():
-        part = whole.where(F.col(state).eqNullSafe(F.lit(s)))
-        part = predict_point(fit_point(train.where(F.col(state) == s), features, y, kind), part, name="pred") if n >= least and s is not None else part.withColumn("pred", F.col("_all"))
-        parts = part if parts is None else parts.unionByName(part)
-    rest = whole.where(~F.coalesce(F.col(state).isin([s for s in sizes if s is not None]), F.lit(False))).withColumn("pred", F.col("_all"))
-    return (rest if parts is None else parts.unionByName(rest)).drop("_all")
+    """A model per state that has enough rows, and the model of all rows for the rest. test is
+    read once: each model adds a column, and the row's state chooses."""
+    out = predict_point(fit_point(train, features, y, kind), test, name="_all")
+    pred = None
+    for s, n in [(r[0], r[1]) for r in train.groupBy(state).count().collect()]:  # one row per state
+        if s is None or n < least:
+            continue
+        out = predict_point(fit_point(train.where(F.col(state) == s), features, y, kind), out, name=f"_of_{s}")
+        own = F.col(state) == s
+        pred = F.when(own, F.col(f"_of_{s}")) if pred is None else pred.when(own, F.col(f"_of_{s}"))
+    out = out.withColumn("pred", F.col("_all") if pred is None else pred.otherwise(F.col("_all")))
+    return out.drop(*[c for c in out.columns if c == "_all" or c.startswith("_of_")])
+
+
+def over_folds(frame: DataFrame, each: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], folds: Sequence[int]) -> DataFrame:
+    """The union of each(train, cal, test) over the folds of a frame with fold and role. The
+    driver loops over folds; every fit and forecast is distributed."""
+    out = None
+    for f in folds:
+        d = frame.where(F.col("fold") == f)
+        part = each(*(d.where(F.col("role") == r) for r in ("TRAIN", "CAL", "TEST")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def stack(train: DataFrame, cal: DataFrame, test: DataFrame, features: Names, label: str, bases: Sequence[str], top: str = "logistic") -> DataFrame:
+    """Base classifiers fitted on train; their probabilities, beside the features, feed a
+    classifier fitted on cal. test with p."""
+    names = [f"_p_{k}" for k in bases]
+    for kind, name in zip(bases, names):
+        m = fit_classifier(train, features, label, kind)
+        cal, test = predict_probability(m, cal, name), predict_probability(m, test, name)
+    return predict_probability(fit_classifier(cal, [*features, *names], label, top), test).drop(*names)
+
+
+def vote(train: DataFrame, parts: Sequence[DataFrame], features: Names, label: str, kinds: Sequence[str]) -> list[DataFrame]:
+    """The parts with p, the mean probability of the kinds fitted on train."""
+    names = [f"_p_{k}" for k in kinds]
+    out = list(parts)
+    for kind, name in zip(kinds, names):
+        m = fit_classifier(train, features, label, kind)
+        out = [predict_probability(m, d, name) for d in out]
+    return [soft_vote(d, names, "p").drop(*names) for d in out]
+
+
+def duplicate_variants(train: DataFrame, test: DataFrame, features: Names, y: str, base: str, group: Names, order: str, clean: Column, kind: str = "ridge") -> DataFrame:
+    """test once per variant with pred: all rows, the first of each group of repeats, all rows
+    weighted by one over their group's size, and clean rows alone; one fixed test."""
+    w = Window.partitionBy(*group)
+    d = train.withColumns({"_n": F.count("*").over(w), "_rn": F.row_number().over(w.orderBy(order))}).withColumn("_w", 1.0 / F.col("_n"))
+    sets = {"raw": (d, None), "first": (d.where("_rn = 1"), None), "weighted": (d, "_w"), "clean": (d.where(clean), None)}
+    out = None
+    for name, (rows, weight) in sets.items():
+        part = predict_point(fit_point(rows, features, y, kind, base, weight), test, base).withColumn("variant", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def mode_gate(cal: DataFrame, y: str, peak: str, by: Names, gain: float = 0.01, peak_loss: float = 0.02, width_loss: float = 0.05) -> DataFrame:
+    """The mode of each group by its CAL figures: PUBLIC only if its MAE is lower by `gain`, its
+    MAE at peaks higher by at most `peak_loss` and its intervals wider by at most `width_loss`.
+    cal has pred_core, pred_public, width_core, width_public."""
+    err = lambda m: F.abs(F.col(y) - F.col(f"pred_{m}"))
+    at = lambda c: F.avg(F.when(F.col(peak) == 1, c))
+    g = cal.groupBy(*by).agg(F.avg(err("core")).alias("a"), F.avg(err("public")).alias("b"), at(err("core")).alias("pa"), at(err("public")).alias("pb"), F.avg("width_core").alias("wa"), F.avg("width_public").alias("wb"))
+    part = lambda a, b: a / F.nullif(b, F.lit(0.0))
+    g = g.select(*by, part(F.col("a") - F.col("b"), F.col("a")).alias("gain"), part(F.col("pb") - F.col("pa"), F.col("pa")).alias("peak_loss"), part(F.col("wb") - F.col("wa"), F.col("wa")).alias("width_loss"))
+    ok = (F.col("gain") >= gain) & (F.col("peak_loss") <= peak_loss) & (F.col("width_loss") <= width_loss)
+    return g.withColumn("mode", F.when(F.coalesce(ok, F.lit(False)), "PUBLIC").otherwise("CORE"))
+
+
+def relevance_weight(train: DataFrame, y: str, name: str = "_w") -> DataFrame:
+    """train with 1 + 4 * the place of y between its p90 and p99.5, within 0 and 1."""
+    lo, hi = train.agg(F.percentile(y, F.array(F.lit(0.9), F.lit(0.995)))).first()[0]
+    return train.withColumn(name, 1 + 4 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(y) - lo) / max(hi - lo, 1e-6))))
+
+
+def distance_weight(train: DataFrame, maha: str, cut: float, name: str = "_w") -> DataFrame:
+    """train with 1 + 3 * the place of its distance between the p80 and the cut."""
+    lo = train.agg(F.percentile(maha, F.lit(0.8))).first()[0]
+    return train.withColumn(name, 1 + 3 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(maha) - lo) / max(cut - lo, 1e-6))))
+
+
+def clustering_stability(df: DataFrame, features: Names, key: str, k: int, seeds: Sequence[int]) -> DataFrame:
+    """Adjusted Rand index of a k-means fit with the first seed against fits with other seeds
+    (all rows) and against one fitted on a hashed half of the rows; all label all rows."""
+    x = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="features", withMean=True)]).fit(df).transform(df)
+    half = x.where(uniform(F.lit("half"), key) < 0.5)
+    fits = {f"seed_{s}": KMeans(k=k, seed=s, predictionCol=f"c_{s}").fit(x) for s in seeds} | {"half": KMeans(k=k, seed=seeds[0], predictionCol="c_half").fit(half)}
+    for m in fits.values():
+        x = m.transform(x)
+    first = f"c_{seeds[0]}"
+    others = [(n, f"c_{n.removeprefix('seed_')}") for n in fits if n != f"seed_{seeds[0]}"]
+    long = x.select(F.col(first).alias("a"), F.inline(F.array(*[F.struct(F.lit(n).alias("other"), F.col(c).alias("b")) for n, c in others])))
+    return adjusted_rand(long, "a", "b", ["other"])
+
+
+def redundancy(df: DataFrame, target: str, features: Names) -> float:
+    """R squared of a column explained linearly by others."""
+    m = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), LinearRegression(featuresCol="features", labelCol=target)]).fit(df)
+    return float(m.stages[-1].summary.r2)
 
 
 def mixture_regimes(train: DataFrame, df: DataFrame, features: Names, level: str, ramp: str, k: int = 3, seed: int = 7) -> DataFrame:

@@ -1,64 +1,391 @@
-"""Fitted models on the demand fixture: rows-only for the driver, properties in tests."""
+"""Fitted models on the demand fixture: rows-only for the driver, properties in tests.
+
+Linear forecasts run over 5 rolling-origin folds and 4 horizons, trees and classifiers over
+the 5 folds at the 60-minute horizon."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler  # noqa: F401
 from pyspark.sql import functions as F
 
-from wattloom.operators import intervals as iv, models as ml
-from wattloom.queries.base import K, S, register, scored, shots, table
-from wattloom.session import cut
+from wattloom.functions.special import uniform
+from wattloom.operators import clean, features as ft, intervals as iv, metrics as mt, models as ml, scoring as sc, stats as st
+from wattloom.queries.base import K, S, SCORED, register, scored, shots, table
+from wattloom.session import cut, scratch
 
 X = ["kw", "score", "seasonal", "ramp4", "hour", "is_operating"]
+FOLDS = 5
+LINEAR = ("ridge", "lasso", "elastic", "ols")
 
 
-def frame(spark, sf):
-    d = scored(spark, sf).withColumn("ramp4", F.coalesce("ramp4", F.lit(0.0)))
-    d = iv.rolling_origin(d.drop("fold"), 2, K, S)
-    return cut(d.where("fold = 1"))
+def frame(spark, sf, folds=FOLDS):
+    """Decision rows with targets of 4 horizons, once per fold and role, computed once."""
+    d = scored(spark, sf).withColumns({"ramp4": F.coalesce("ramp4", F.lit(0.0)), "is_operating_lag4": F.coalesce(F.lag("is_operating", 4).over(ft.over(K, S)), F.col("is_operating"))})
+    d = ft.targets(d, "kw", [1, 2, 3, 4], K, S).dropna(subset=["y_h1", "y_h4"])
+    d = d.withColumns({"clean": (F.col("ts15") >= F.lit("2024-01-16").cast("timestamp_ntz")).cast("int"), "day": F.to_date("ts15")} | ft.cyclic(clean.slot_of_day("ts15"), 96, 2, "tod"))
+    return cut(iv.rolling_origin(d.drop("fold"), folds, K, S))
 
 
 def parts(spark, sf):
-    d = frame(spark, sf)
+    """Roles of the last of two folds."""
+    d = frame(spark, sf, 2).where("fold = 1")
     return tuple(d.where(F.col("role") == r) for r in ("TRAIN", "CAL", "TEST"))
 
 
-for _kind in ("gbt", "rf", "ridge", "lasso"):
+def errors(p, *by):
+    return p.groupBy("series_id", *by).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae"), F.avg(F.abs(F.col("y") - F.col("kw"))).alias("naive_mae"))
+
+
+def point_over(d, kind, features=X, horizons=(4,), folds=FOLDS):
+    """TEST forecasts of every fold and horizon: models see TRAIN and CAL (M20)."""
+    out = None
+    for h in horizons:
+        y = f"y_h{h}"
+        each = lambda train, cal, test: ml.predict_point(ml.fit_point(train.unionByName(cal), features, y, kind, base="kw"), test, base="kw")  # noqa: B023, E731
+        p = ml.over_folds(d, each, range(folds)).withColumns({"y": F.col(y), "horizon": F.lit(h)})
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+for _kind in (*LINEAR, "dt", "rf", "gbt"):
 
-    @register(f"m7_point_{_kind}", "series_id n:i mae:f naive_mae:f")
+    @register(f"m7_point_{_kind}", "series_id horizon:i fold:i n:i mae:f naive_mae:f")
     def point(spark, sf, kind=_kind):
-        train, cal, test = parts(spark, sf)
-        m = ml.fit_point(train.unionByName(cal), X, "y", kind, base="kw")
-        p = ml.predict_point(m, test, base="kw")
-        return p.groupBy("series_id").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae"), F.avg(F.abs(F.col("y") - F.col("kw"))).alias("naive_mae"))
+        return errors(point_over(frame(spark, sf), kind, horizons=(1, 2, 3, 4) if kind in LINEAR else (4,)), "horizon", "fold")
 
 
-@register("m8_leaf_quantiles", "series_id n:i coverage:f width:f")
+def quantile_fold(train, cal, test, qs=(0.05, 0.95), names=("lo", "hi"), features=X):
+    m, leaves = ml.fit_quantiles(train, features, "y", list(qs))
+    leaves = cut(leaves)
+    at = lambda d: ml.predict_quantiles(m, leaves, d, ["series_id", "step"], list(names))
+    return at(cal), at(test)
+
+
+@register("m8_leaf_quantiles", "series_id fold:i n:i coverage:f width:f over75:f over90:f")
 def m8(spark, sf):
-    train, cal, test = parts(spark, sf)
-    m, leaves = ml.fit_quantiles(train, X, "y", [0.05, 0.95])
-    at = lambda d: ml.predict_quantiles(m, leaves, d, ["series_id", "step"], ["lo", "hi"])
-    c = iv.conformal(at(cal), at(test), "y", "lo", "hi", 0.1, K)
-    hit = ((F.col("y") >= F.col("int_lo")) & (F.col("y") <= F.col("int_hi"))).cast("int")
-    return c.groupBy("series_id").agg(F.count("*").alias("n"), F.avg(hit).alias("coverage"), F.avg(F.col("int_hi") - F.col("int_lo")).alias("width"))
+    def each(train, cal, test):
+        c, t = quantile_fold(train, cal, test, (0.05, 0.75, 0.90, 0.95), ("lo", "q75", "q90", "hi"))
+        return iv.conformal(c, t, "y", "lo", "hi", 0.1, K)
+
+    p = ml.over_folds(frame(spark, sf), each, range(FOLDS))
+    one = lambda c: F.avg(c.cast("int"))
+    inside = (F.col("y") >= F.col("int_lo")) & (F.col("y") <= F.col("int_hi"))
+    return p.groupBy("series_id", "fold").agg(F.count("*").alias("n"), one(inside).alias("coverage"), F.avg(F.col("int_hi") - F.col("int_lo")).alias("width"), one(F.col("y") > F.col("q75")).alias("over75"), one(F.col("y") > F.col("q90")).alias("over90"))
+
+
+KINDS = ("logistic", "nb", "dt", "rf", "gbt", "mlp")
 
 
-for _kind in ("logistic", "nb", "rf"):
+def probability_fold(kind, label="label"):
+    """each(train, cal, test) with p_cal and the prior, for over_folds."""
 
-    @register(f"m12_classifier_{_kind}", "series_id n:i brier:f prior_brier:f")
+    def each(train, cal, test):
+        if kind == "vote":
+            c, t = ml.vote(train, [cal.drop("p"), test.drop("p")], X, label, ["logistic", "nb", "dt"])
+        elif kind == "stack":
+            c = t = None
+        else:
+            m = ml.fit_classifier(train, X, label, kind.removesuffix("_balanced"), kind.endswith("_balanced"))
+            c, t = ml.predict_probability(m, cal.drop("p")), ml.predict_probability(m, test.drop("p"))
+        prior = train.agg(F.avg(label)).first()[0]
+        if kind == "stack":
+            return ml.stack(train, cal.drop("p"), test.drop("p"), X, label, ["logistic", "nb"]).withColumns({"p_cal": F.col("p"), "prior": F.lit(prior)})
+        return ml.calibrate(c, t, label, "p").withColumn("prior", F.lit(prior))
+
+    return each
+
+
+for _name, _kind in [*[(f"m12_classifier_{k}", k) for k in KINDS], ("m13_balanced", "logistic_balanced"), ("m14_soft_vote", "vote"), ("m15_stacking", "stack")]:
+
+    @register(_name, "series_id fold:i n:i brier:f prior_brier:f")
     def classifier(spark, sf, kind=_kind):
-        train, cal, test = parts(spark, sf)
-        m = ml.fit_classifier(train, X, "label", kind)
-        t = ml.calibrate(ml.predict_probability(m, cal.drop("p")), ml.predict_probability(m, test.drop("p")), "label", "p")
-        prior = train.agg(F.avg("label")).first()[0]
-        return t.groupBy("series_id").agg(F.count("*").alias("n"), F.avg((F.col("p_cal") - F.col("label")) ** 2).alias("brier"), F.avg((F.lit(prior) - F.col("label")) ** 2).alias("prior_brier"))
+        t = ml.over_folds(frame(spark, sf), probability_fold(kind), range(FOLDS))
+        square = lambda c: F.avg((F.col(c) - F.col("label")) ** 2)
+        return t.groupBy("series_id", "fold").agg(F.count("*").alias("n"), square("p_cal").alias("brier"), square("prior").alias("prior_brier"))
 
 
-@register("m17_state_models", "series_id n:i mae:f")
+@register("m17_state_models", "series_id fold:i n:i mae:f naive_mae:f")
 def m17(spark, sf):
+    each = lambda train, cal, test: ml.state_models(train.unionByName(cal), test, ["kw", "score", "seasonal"], "y", "is_operating")
+    return errors(ml.over_folds(frame(spark, sf), each, range(FOLDS)), "fold")
+
+
+@register("m18_duplicate_variants", "series_id variant n:i mae:f naive_mae:f")
+def m18(spark, sf):
+    train, cal, test = parts(spark, sf)
+    return errors(ml.duplicate_variants(train.unionByName(cal), test, X, "y", "kw", ["series_id", "kw", "score", "seasonal"], S, F.col("clean") == 1), "variant")
+
+
+PUBLIC = [*X, "tod_sin1", "tod_cos1", "tod_sin2", "tod_cos2"]
+
+
+@register("m19_mode_gate", "fold:i mode gain:f peak_loss:f width_loss:f")
+def m19(spark, sf):
+    def each(train, cal, test):
+        d = cal
+        for mode, features in (("core", X), ("public", PUBLIC)):
+            d = ml.predict_point(ml.fit_point(train, features, "y", "ridge", base="kw"), d, base="kw", name=f"pred_{mode}")
+            m, leaves = ml.fit_quantiles(train, features, "y", [0.05, 0.95])
+            d = ml.predict_quantiles(m, cut(leaves), d, ["series_id", "step"], ["_l", "_h"]).withColumn(f"width_{mode}", F.col("_h") - F.col("_l")).drop("_l", "_h")
+        return ml.mode_gate(d, "y", "label", ["fold"])
+
+    return ml.over_folds(frame(spark, sf), each, range(FOLDS))
+
+
+@register("m38_refit_all", "series_id n:i mean_forecast:f")
+def m38(spark, sf):
+    """A model of all history, used on the rows whose target is still to come."""
+    d = frame(spark, sf, 2)
+    history = d.where("fold = 1")
+    m = ml.fit_point(history, PUBLIC, "y_h4", "ridge", base="kw")
+    return ml.predict_point(m, history.where("role = 'TEST'"), base="kw").groupBy("series_id").agg(F.count("*").alias("n"), F.avg("pred").alias("mean_forecast"))
+
+
+#: Toggles of the recipe: residual target, relevance weights, features.
+VARIANTS = {"A0_level": (False, False, X), "A1_residual": (True, False, X), "A2_weighted": (True, True, X), "A3_cyclic": (True, False, PUBLIC), "A5_all": (True, True, PUBLIC)}
+INFORMATION = {"L0_power": ["kw", "score", "seasonal", "ramp4"], "L1_calendar": ["kw", "score", "seasonal", "ramp4", "hour", "tod_sin1", "tod_cos1"], "L3_production": PUBLIC}
+
+
+def variants_of(d, variants):
+    out = None
+    for name, (residual, weighted, features) in variants.items():
+        base = "kw" if residual else None
+
+        def each(train, cal, test):
+            fit = train.unionByName(cal)
+            fit = ml.relevance_weight(fit, "y") if weighted else fit  # noqa: B023
+            return ml.predict_point(ml.fit_point(fit, features, "y", "ridge", base, "_w" if weighted else None), test, base)  # noqa: B023
+
+        p = ml.over_folds(d, each, range(FOLDS)).withColumn("variant", F.lit(name))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("m21_ablation", "series_id variant n:i mae:f naive_mae:f")
+def m21(spark, sf):
+    return errors(variants_of(frame(spark, sf), VARIANTS), "variant")
+
+
+@register("m22_information_ablation", "series_id variant n:i mae:f naive_mae:f")
+def m22(spark, sf):
+    return errors(variants_of(frame(spark, sf), {k: (True, False, f) for k, f in INFORMATION.items()}), "variant")
+
+
+@register("m23_added_channel", "series_id variant coverage:f width:f low_share:f")
+def m23(spark, sf):
+    """Levels A, B, C of channels: what a channel changes in coverage, width and wide rows."""
+    train, cal, test = parts(spark, sf)
+    out = None
+    for name, features in {"A_power": ["kw", "score", "seasonal"], "B_production": ["kw", "score", "seasonal", "is_operating", "qty"], "C_calendar": PUBLIC}.items():
+        c, t = quantile_fold(train, cal, test, features=features)
+        p = iv.conformal(c, t, "y", "lo", "hi", 0.1, K).withColumn("width", F.col("int_hi") - F.col("int_lo"))
+        cal_w = iv.conformal(c, c, "y", "lo", "hi", 0.1, K).withColumn("width", F.col("int_hi") - F.col("int_lo"))
+        b = iv.bands(p, "width", iv.width_cuts(cal_w, "width", K), K, F.lit(False))
+        g = b.groupBy("series_id").agg(F.avg(F.col("y").between(F.col("int_lo"), F.col("int_hi")).cast("int")).alias("coverage"), F.avg("width").alias("width"), F.avg((F.col("band") == "LOW").cast("int")).alias("low_share")).withColumn("variant", F.lit(name))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+@register("m24_distance_weight", "series_id variant n:i mae:f naive_mae:f")
+def m24(spark, sf):
+    train, cal, test = parts(spark, sf)
+    fit = train.unionByName(cal)
+    far, limit = iv.mahalanobis(train, fit, X[:4])
+    one = lambda d, w, n: ml.predict_point(ml.fit_point(d, X, "y", "ridge", "kw", w), test, "kw").withColumn("variant", F.lit(n))
+    return errors(one(fit, None, "plain").unionByName(one(ml.distance_weight(far, "maha", limit), "_w", "distance")), "variant")
+
+
+@register("m25_transfer", "series_id n:i local_mae:f others_mae:f naive_mae:f")
+def m25(spark, sf):
+    train, cal, test = parts(spark, sf)
+    fit = cut(train.unionByName(cal))
+    out = None
+    for (site,) in test.select("series_id").distinct().orderBy("series_id").collect():  # one fit pair a site
+        own = F.col("series_id") == site
+        t = test.where(own)
+        t = ml.predict_point(ml.fit_point(fit.where(own), X, "y", "ridge", "kw"), t, "kw", "local")
+        t = ml.predict_point(ml.fit_point(fit.where(~own), X, "y", "ridge", "kw"), t, "kw", "others")
+        out = t if out is None else out.unionByName(t)
+    err = lambda c: F.avg(F.abs(F.col("y") - F.col(c)))
+    return out.groupBy("series_id").agg(F.count("*").alias("n"), err("local").alias("local_mae"), err("others").alias("others_mae"), err("kw").alias("naive_mae"))
+
+
+@register("m29_error_model", "series_id n:i mae:f spread:f auc:f")
+def m29(spark, sf):
+    """How well context tells the size of a forecast's error, and whether it is a large one."""
     train, cal, test = parts(spark, sf)
-    p = ml.state_models(train.unionByName(cal), test, ["kw", "score", "seasonal"], "y", "is_operating")
-    return p.groupBy("series_id").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae"))
+    m = ml.fit_point(train, X, "y", "ridge", base="kw")
+    err = lambda d: ml.predict_point(m, d, "kw").withColumn("err", F.abs(F.col("y") - F.col("pred"))).drop("pred", "p")
+    c, t = err(cal), err(test)
+    limit = c.agg(F.percentile("err", F.lit(0.8))).first()[0]
+    high = lambda d: d.withColumn("high", (F.col("err") >= limit).cast("int"))
+    t = ml.predict_point(ml.fit_point(c, X, "err", "rf"), high(t), name="guess")
+    t = ml.predict_probability(ml.fit_classifier(high(c), X, "high", "logistic"), t)
+    auc = mt.roc_auc(t.withColumn("p", F.round("p", 9)), "high", "p", K)
+    return t.groupBy("series_id").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("err") - F.col("guess"))).alias("mae"), F.avg(F.abs(F.col("err") - limit)).alias("spread")).join(auc, "series_id")
+
+
+@register("m30_importance", "feature importance:f")
+def m30(spark, sf):
+    train, cal, _ = parts(spark, sf)
+    m = ml.fit_point(train.unionByName(cal), X, "y", "rf", base="kw")
+    return spark.createDataFrame(ml.importances(m, X), "feature string, importance double")
+
+
+@register("m31_one_class", "label:i n:i outside:f")
+def m31(spark, sf):
+    """Distance from one class; the cut leaves 1 % of it outside."""
+    x = [f"e{i}" for i in range(8)]
+    e = cut(table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(x)]))
+    normal = e.agg(F.min("label")).first()[0]
+    d, limit = iv.mahalanobis(e.where(F.col("label") == normal), e, x)
+    return d.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("maha") > limit).cast("int")).alias("outside"))
+
+
+@register("m32_redundancy", "target r2:f")
+def m32(spark, sf):
+    d = cut(shots(spark, sf).withColumns({"ac": F.col("a") * F.col("c"), "acd": F.col("a") * F.col("c") * F.col("d")}))
+    return spark.createDataFrame([(t, ml.redundancy(d, t, ["a", "b", "c", "d"])) for t in ("ac", "acd", "a")], "target string, r2 double")
+
+
+BUNDLE = ["kw", "score", "seasonal", "ramp4", "hour", "is_operating"]
+
+
+def bundle(spark, sf):
+    """A saved and reloaded bundle, and the rows to score."""
+    train, cal, test = parts(spark, sf)
+    path = scratch(spark, "bundle")
+    ml.save_bundle(path, *sc.fit_bundle(train, cal, BUNDLE, [1, 4], [0.5, 0.7, 0.9], K, S))
+    return sc.load(spark, path, [1, 4]), test
+
+
+def scored_rows(rows, loaded):
+    return sc.score(rows, loaded, BUNDLE, 0.7, 0.9, "confirm_only_if_unsure", K, S)
+
+
+OPERATOR = "series_id step:i forecast_h1:f forecast_h4:f interval_low_h4:f interval_high_h4:f reliability_h4 risk_h4:f early:i alert:i regime explained:i gap:i advisory_level"
+
+
+@register("m33_batch_scoring", OPERATOR)
+def m33(spark, sf):
+    loaded, test = bundle(spark, sf)
+    return scored_rows(test, loaded)
+
+
+@register("s10_prediction_file", "series_id step:i forecast_h1:f forecast_h4:f actual_h1:f actual_h4:f")
+def s10(spark, sf):
+    loaded, test = bundle(spark, sf)
+    path = scratch(spark, "predictions")
+    scored_rows(test, loaded).select("series_id", S, "forecast_h1", "forecast_h4", F.col("y_h1").alias("actual_h1"), F.col("y_h4").alias("actual_h4")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("w6_stream_scoring", OPERATOR)
+def w6(spark, sf):
+    """The rows of m33 as a stream: the same score on each batch."""
+    from wattloom.streaming import streams as ss
+
+    loaded, test = bundle(spark, sf)
+    path = scratch(spark, "rows")
+    test.write.parquet(path)
+    return ss.score_stream(spark.readStream.schema(test.schema).parquet(path), lambda rows: scored_rows(rows, loaded), scratch(spark, "scored"))
+
+
+FAMILIES = {"amplitude": ["a"], "level": ["b"], "shape": ["c", "d"], "all": ["a", "b", "c", "d"]}
+
+
+def auc_of(train, test, features):
+    p = ml.predict_probability(ml.fit_classifier(train, features, "label", "logistic"), test).withColumn("p", F.round("p", 9))
+    return mt.roc_auc(p.withColumn("all_", F.lit(0)), "label", "p", ["all_"]).select("auc")
+
+
+@register("m35_feature_families", "family quantised:i auc:f")
+def m35(spark, sf):
+    d = shots(spark, sf)
+    d = cut(iv.group_kfold(d, "machine", "label", 5).withColumns({"a_q": clean.requantise("a", 5.0), "b_q": clean.requantise("b", 1000.0), "c_q": clean.requantise("c", 0.05), "d_q": clean.requantise("d", 0.05)}))
+    out = None
+    for family, columns in FAMILIES.items():
+        for q in (0, 1):
+            r = auc_of(d.where("fold <> 0"), d.where("fold = 0"), [f"{c}_q" for c in columns] if q else columns).select(F.lit(family).alias("family"), F.lit(q).alias("quantised"), "auc")
+            out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("m36_baseline_table", "series_id model horizon:i mae:f difference:f low:f high:f")
+def m36(spark, sf):
+    """Models against the naive forecast at every horizon, with day-block intervals."""
+    d = frame(spark, sf)
+    p = point_over(d, "ridge", horizons=(1, 2, 3, 4)).withColumn("model", F.lit("ridge"))
+    for kind in ("rf", "gbt"):
+        p = p.unionByName(ml.over_folds(d, lambda tr, ca, te: ml.predict_point(ml.fit_point(tr.unionByName(ca), X, "y_h4", kind, base="kw"), te, base="kw"), [FOLDS - 1]).withColumns({"y": F.col("y_h4"), "horizon": F.lit(4), "model": F.lit(kind)}))  # noqa: B023
+    p = cut(p.unionByName(point_over(d, "ridge").withColumns({"model": F.lit("naive"), "pred": F.col("kw")})))
+    by = ["series_id", "model", "horizon"]
+    boot = st.block_bootstrap(p, F.abs(F.col("y") - F.col("pred")), F.abs(F.col("y") - F.col("kw")), ["day"], by, 200, 4)
+    return errors(p, "model", "horizon").join(boot, by)
+
+
+@register("m37_split_contrast", "split auc:f")
+def m37(spark, sf):
+    d = shots(spark, sf)
+    groups = iv.group_kfold(d, "machine", "label", 5).withColumn("part", F.when(F.col("fold") == 0, "test").otherwise("train")).drop("fold")
+    leaky = d.withColumn("part", F.when(uniform(F.lit("leaky"), "id") < 0.2, "test").otherwise("train"))
+    late = d.crossJoin(F.broadcast(d.agg(F.percentile_approx(F.unix_date("day"), F.lit(0.8)).alias("_c")))).withColumn("part", F.when(F.unix_date("day") > F.col("_c"), "test").otherwise("train")).drop("_c")
+    out = None
+    for name, rows in (("leaky", leaky), ("grouped", groups), ("temporal", late)):
+        rows = cut(rows)
+        r = auc_of(rows.where("part = 'train'"), rows.where("part = 'test'"), ["a", "b", "c", "d"]).select(F.lit(name).alias("split"), "auc")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("m39_classifier_benchmark", "model target window tp:i fp:i fn:i tn:i f1:f mcc:f")
+def m39(spark, sf):
+    """Classifiers on exact-slot and within-an-hour labels; the cut of best F1 on CAL."""
+    train, cal, test = parts(spark, sf)
+    within = lambda d: d.withColumn("within60", (F.greatest("y_h1", "y_h2", "y_h3", "y_h4") >= F.col("thr")).cast("int"))
+    out = None
+    for kind in ("logistic", "nb", "rf"):
+        for target in ("label", "within60"):
+            tr, ca, te = (within(d).drop("p") for d in (train, cal, test))
+            m = ml.fit_classifier(tr, X, target, kind)
+            c, t = (ml.predict_probability(m, d).withColumn("p", F.round("p", 9)) for d in (ca, te))
+            best = mt.best_f1_cut(c, target, "p", K, True).select("series_id", "cut")
+            t = t.join(best, "series_id", "left").withColumn("on", F.coalesce((F.col("p") >= F.col("cut")).cast("int"), F.lit(0)))
+            t = clean.window_tags(t, F.col("clean") == 1).select("window", F.col(target).alias("y1"), "on", F.lit(kind).alias("model"), F.lit(target).alias("target"))
+            out = t if out is None else out.unionByName(t)
+    return mt.class_metrics(out, "y1", "on", ["model", "target", "window"])
+
+
+@register("m40_reference_scores", "series_id naive:f scaled:f prior:f n:i", SCORED + """, c_ as (select series_id, min(kw - thr) a, max(kw - thr) b, avg("label") prior from scored where fold = 1 group by 1) select s.series_id, avg(kw - thr) naive, avg(greatest(0, least(1, (kw - thr - a) / nullif(b - a, 0)))) scaled, max(prior) prior, count(*) n from scored s join c_ on c_.series_id = s.series_id where fold > 1 group by 1""")
+def m40(spark, sf):
+    d = scored(spark, sf).withColumn("margin", F.col("kw") - F.col("thr"))
+    c = d.where("fold = 1").groupBy("series_id").agg(F.min("margin").alias("a"), F.max("margin").alias("b"), F.avg("label").alias("prior"))
+    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("margin") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0))))
+    return d.where("fold > 1").join(c, "series_id").groupBy("series_id").agg(F.avg("margin").alias("naive"), F.avg(scaled).alias("scaled"), F.max("prior").alias("prior"), F.count("*").alias("n"))
+
+
+@register("f18_forecast_margins", "series_id step:i margin:f q75_margin:f q90_margin:f")
+def f18(spark, sf):
+    def each(train, cal, test):
+        p = ml.predict_point(ml.fit_point(train, X, "y", "ridge", base="kw"), test, base="kw")
+        m, leaves = ml.fit_quantiles(train, X, "y", [0.75, 0.90])
+        return ml.predict_quantiles(m, cut(leaves), p, ["series_id", "step"], ["q75", "q90"])
+
+    p = ml.over_folds(frame(spark, sf), each, range(FOLDS))
+    return p.select("series_id", S, *[(F.col(c) - F.col("thr")).alias(n) for c, n in (("pred", "margin"), ("q75", "q75_margin"), ("q90", "q90_margin"))])
+
+
+def points(spark, sf):
+    return cut(table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)]))
+
+
+@register("x10_silhouette", "k:i silhouette:f")
+def x10(spark, sf):
+    return spark.createDataFrame([(k, s) for k, _, s, _ in ml.kmeans_check(points(spark, sf), [f"e{i}" for i in range(8)], [3], "label")], "k int, silhouette double")
+
+
+@register("x16_stability", "other ari:f")
+def x16(spark, sf):
+    return ml.clustering_stability(points(spark, sf), [f"e{i}" for i in range(8)], "vec_id", 3, [7, 11, 13])
 
 
 @register("m26_mixture_regimes", "regime n:i mean_kw:f")

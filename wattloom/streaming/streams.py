@@ -115,7 +115,8 @@ class DelayTimer(StatefulProcessor):
 
 
 def stateful(rows: DataFrame, processor: StatefulProcessor, schema: str, late: str = "30 minutes", timers: bool = True) -> DataFrame:
-    """Run a processor keyed by series_id; needs the RocksDB state store."""
+    """Run a processor keyed by series_id, with the state store that such processors need."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return rows.withWatermark("ts", late).groupBy("series_id").transformWithStateInPandas(processor, schema, "Append", "EventTime" if timers else "None")
 
 
@@ -126,3 +127,15 @@ def run_now(stream: DataFrame, finish: Callable[[DataFrame], DataFrame] = lambda
     q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return finish(spark.read.schema(stream.schema).parquet(f"{base}/out"))
+
+
+def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """Score each batch of a stream with a function of a batch, append it to the table at path
+    under its batch number (a repeated batch replaces its own rows), and give the table."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{path}/out").drop("batch")
