@@ -209,7 +209,7 @@ def test_texts_without_or_under_one_name_keep_their_links(spark):
 
 
 def test_hot_keys_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(components, "LEAST", 3)
+    monkeypatch.setattr(components, "LEAST", 3)  # every bucket, hub and label is hot
     test_a_large_group_of_near_copies(spark)
     test_components_of_a_chain(spark)
     links = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(i, i + 100) for i in range(1, 40)], "a long, b long")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from wattloom.session import cut
 
-#: A key is hot if it holds over 1 / HOT of the rows, and over LEAST rows: so at most HOT keys
-#: are hot, whatever the size of the table, and their rows can be broadcast.
-HOT, LEAST = 10_000, 64
+#: A key is hot if it holds over 1 / HOT of the rows, and over LEAST rows (fewer of these small
+#: rows are no work for one task): so at most HOT keys are hot, whatever the size of the table,
+#: and their rows can be broadcast.
+HOT, LEAST = 10_000, 20_000
 
 
 def hot_limit(rows: int) -> int:

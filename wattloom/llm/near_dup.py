@@ -265,9 +265,9 @@ def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     if size := shared.agg(F.sum("n")).first()[0]:
         entries = cut(join_hot(entries, shared.select("key", "low"), "key", some(shared.where(F.col("n") > hot_limit(size)).select("key"))))
         labels = _classes(docs, reps, entries, idf, threshold)
-    texts = cut(reps.select("node", "digest", "doc_id", "n").join(labels, "node", "left").select("digest", "doc_id", "n", F.coalesce("label", "node").alias("label")))
+    texts = reps.select("node", "digest", "doc_id", "n").join(labels, "node", "left").select("digest", "doc_id", "n", F.coalesce("label", "node").alias("label"))
     group = texts.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.hex("digest")).alias("class_key"))
-    classes = cut(join_hot(texts, group, "label", hot_keys(texts, "label", size or 0)).drop("label"))
+    classes = cut(join_hot(texts, group, "label", hot_keys(labels, "label", size or 0)).drop("label"))
     return sketch.select("doc_id", "digest"), classes
 
 
@@ -303,7 +303,7 @@ def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, idf, threshol
         found = _verify(cut(pairs), texts, idf, threshold)
         links = cut(found if links is None else links.union(found))
         labels = components(links)
-        labelled = cut(entries.select("key", "band", "node").join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label")))
+        labelled = entries.select("key", "band", "node").join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
         kinds = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
         divided = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square"), F.count("*").alias("kinds"))
         divided = cut(divided.where("kinds > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("square")) / 2).alias("pairs")))
@@ -319,7 +319,7 @@ def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, idf, threshol
         before = left
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         ranked = entries.join(degree, "node", "left").select("key", "node", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
-        lead = cut(ranked.groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("lead")))
+        lead = ranked.groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("lead"))
         ahead = join_hot(entries, lead, "key", hot).where("label <> lead.label")
         pairs = ahead.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
 
@@ -394,7 +394,7 @@ def _compare_blocks(entries: DataFrame, reps: DataFrame, texts: DataFrame, idf,
     whole = own.join(marks, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = whole.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "band", "node", "label", "block", "samples")
     met = groups.groupBy("key", "one", "two").applyInArrow(meet, "key long, one int, two int, band int, node long, label long, block int")
-    return cut(met).join(marks, "node").join(texts, "node").groupBy("key", "one", "two").applyInArrow(run, "a long, b long")
+    return met.join(marks, "node").join(texts, "node").groupBy("key", "one", "two").applyInArrow(run, "a long, b long")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
