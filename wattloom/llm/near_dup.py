@@ -13,8 +13,7 @@ bucket all others are compared with one leader; a bucket whose texts are then al
 class is done. Buckets that stay divided go on with the text of most links as leader while
 that pays. What is left is compared pair by pair: pairs of different classes, except those
 whose samples agree so rarely that the pair cannot be similar (see AGREE). Buckets of more
-than SMALL texts are compared by blocks inside tasks, first of samples alone, then of the
-texts that have a partner; tasks put out links alone. Every link is an exact weighted
+than SMALL texts are compared by blocks inside tasks that put out links alone. Every link is an exact weighted
 Jaccard similarity of whole texts.
 
 A node is a distinct text, so rows without a doc_id, or several texts under one, are compared
@@ -350,15 +349,8 @@ def _partners(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
 
 def _compare_blocks(entries: DataFrame, reps: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """Links between texts of different labels in one bucket: entries (key, band, node,
-    label, n). Blocks go against blocks: first their samples, which leave the texts that have
-    a partner there, then those texts."""
-
-    def meet(table: pa.Table) -> pa.Table:
-        some = np.zeros(len(table), bool)
-        for i, others in _partners(table):
-            if len(others):
-                some[i] = some[others] = True
-        return table.filter(pa.array(some)).drop_columns(["samples"])
+    label, n). Blocks of at most about BLOCK texts and BLOCK_BYTES bytes go against blocks, so
+    a task holds two blocks and a text is sent once for every block of its bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         node, label = (np.array(table[c].to_pylist(), np.int64) for c in ("node", "label"))
@@ -391,10 +383,9 @@ def _compare_blocks(entries: DataFrame, reps: DataFrame, texts: DataFrame, idf,
     rows = blocks.agg(F.sum("n")).first()[0] or 0
     own = join_hot(entries.drop("n"), blocks.select("key", "blocks"), "key", some(blocks.where(F.col("n") > hot_limit(rows)).select("key")))
     own = own.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    whole = own.join(marks, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = whole.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "band", "node", "label", "block", "samples")
-    met = groups.groupBy("key", "one", "two").applyInArrow(meet, "key long, one int, two int, band int, node long, label long, block int")
-    return met.join(marks, "node").join(texts, "node").groupBy("key", "one", "two").applyInArrow(run, "a long, b long")
+    whole = own.join(marks, "node").join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = whole.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "band", "node", "label", "block", "samples", "text")
+    return groups.groupBy("key", "one", "two").applyInArrow(run, "a long, b long")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
