@@ -257,8 +257,10 @@ def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     sketch = cut(_sketch(docs, idf))
     reps = sketch.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("samples").alias("samples"))
     reps = cut(reps.withColumn("node", F.monotonically_increasing_id()))
-    entries = reps.select("node", F.posexplode("keys").alias("band", "key")).where("key <> 0").select("node", "band", F.xxhash64("band", "key").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "low", "n")
+    # the first leader of a bucket is its text of least doc_id: copies tend to be near an original
+    entries = reps.select("node", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("age"), F.posexplode("keys").alias("band", "key")).where("key <> 0").select("node", "age", "band", F.xxhash64("band", "key").alias("key"))
+    shared = entries.groupBy("key").agg(F.min_by("node", "age").alias("low"), F.count("*").alias("n")).where("n > 1")
+    entries = entries.drop("age")
     shared = cut(shared)
     labels = spark.createDataFrame([], "node long, label long")
     if size := shared.agg(F.sum("n")).first()[0]:
