@@ -38,6 +38,13 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None)
     return left.join(F.broadcast(right.join(keys, key)), key).select(*rest.columns).unionByName(rest)
 
 
+def tidy(df: DataFrame) -> None:
+    """A round of a loop is over: its shuffle files and checkpoints, which nothing refers to any
+    more, can go. Spark deletes them after the driver's garbage collection alone, and a driver
+    with little work may not come to one before the disks of the executors are full."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every end of links (a, b); label is the component's least node.
 
@@ -58,3 +65,5 @@ def components(links: DataFrame) -> DataFrame:
         if new.where("label <> old").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
+        del seen, low, jump, new
+        tidy(labels)

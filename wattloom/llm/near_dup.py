@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.llm import text as tx
-from wattloom.llm.components import components, hot_keys, hot_limit, join_hot, some
+from wattloom.llm.components import components, hot_keys, hot_limit, join_hot, some, tidy
 from wattloom.session import cut, ship
 
 WORDS = 5
@@ -313,6 +313,8 @@ def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, idf, threshol
             return labels
         hot = some(divided.where(F.col("n") > hot_limit(rows)).select("key"))
         entries = cut(join_hot(labelled, divided.select("key", "n"), "key", hot))
+        del found, pairs, labelled, kinds, divided
+        tidy(entries)
         if left <= PAIRS_PER_ENTRY * rows or left > 0.8 * before:
             few = _verify(cut(_small_pairs(entries.where(F.col("n") <= SMALL), reps).distinct()), texts, idf, threshold)
             many = _compare_blocks(entries.where(F.col("n") > SMALL), reps, texts, idf, threshold)
