@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,16 @@ def test_words_and_shingles_match_plain_python():
     assert np.diff(at).tolist() == [5, 0, 1, 1]
 
 
+def test_slices_are_the_rows_in_bounded_runs():
+    words = [None, "", "abc", "é" * 50, "x" * 500, "y", None, "z" * 99]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(w))), pa.array(w, pa.string())], names=["a", "b"]) for w in (words, [], words[::-1])]
+    for size in (1, 100, 101, 10_000):
+        got = list(text.slices(iter(batches), 1, size=size))
+        assert [r for x in got for r in x.to_pylist()] == [r for x in batches for r in x.to_pylist()]
+        assert all(x.num_rows == 1 or sum(len((t or "").encode()) for t in x.column(1).to_pylist()) <= size for x in got)
+        assert len(got) == 2 if size == 10_000 else len(got) > 2
+
+
 def test_hash_index_against_dict():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(1, 1 << 63, 3000, dtype=np.uint64))

@@ -257,7 +257,7 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = _matcher(*sent.value)
-        for batch in batches:
+        for batch in tx.slices(batches, 1):
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in tx.chunks(texts):
                 rows = [(keys[lo + t], i, n, x, round(1 - x / n, 6), s) for t, i, x, s, n in match.find(texts[lo:hi])]

@@ -276,7 +276,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(TEMPLATES if templates is None else templates, coverage)
         kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
-        for batch in batches:
+        for batch in tx.slices(batches, 1):
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows = [(keys[lo + i], *rest) for lo, hi in tx.chunks(texts) for i, *rest in scanner.find(texts[lo:hi])]
             cols = list(zip(*rows)) or [[]] * 5

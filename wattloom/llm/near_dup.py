@@ -67,7 +67,7 @@ def word_frequencies(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list = []
         out = lambda: pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], names=["word", "n"])
-        for batch in batches:
+        for batch in tx.slices(batches, 0):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for lo, hi in tx.chunks(texts):
                 _, _, _, h, first = tx.words(texts[lo:hi])
@@ -193,7 +193,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def _sketch(docs: DataFrame, idf) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in tx.chunks(texts):
                 keys, samples = signatures(texts[lo:hi], idf)
@@ -212,9 +212,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
     pairs: its text is then copied to as many tasks as they need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.slices(batches, 2, 3):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            # a leader stands in many rows: its text is weighed once a batch
+            # a leader stands in many rows: its text is weighed once a slice
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             own: dict[str, tuple] = {}
             todo = list(dict.fromkeys([*left, *right]))

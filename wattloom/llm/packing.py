@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattloom.llm import text as tx
 from wattloom.llm.tokens import tokenizer
 from wattloom.session import cut, ship
 
@@ -41,7 +42,7 @@ def split_tokens(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.slices(batches, 1):
             keys = batch.column(0).to_pylist()
             for at, flat, off in _encoded(path, batch.column(1).to_pylist()):
                 rows: list[tuple] = []

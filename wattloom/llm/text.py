@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -23,7 +24,9 @@ _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 _U = np.uint64
 #: Characters handled at once; a longer text is handled alone.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
+#: Bytes of strings of an Arrow batch that Python holds at once.
+SLICE = 1 << 22
 
 
 @lru_cache(1)
@@ -71,6 +74,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def slices(batches: Iterator[pa.RecordBatch], *columns: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, in runs with about `size` bytes of strings in the
+    columns (one row at least): what Python copies from a batch stays small."""
+    for batch in batches:
+        total = np.zeros(batch.num_rows, np.int64)
+        for c in columns:
+            total += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(total)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(total, size + (total[lo - 1] if lo else 0), "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def chunks(texts: list[str], size: int = CHUNK):
     """Runs [lo, hi) of texts with about `size` characters each."""
     lo = total = 0
@@ -127,7 +145,7 @@ def keep_rows(docs: DataFrame, judge: Callable[[list[str | None]], list[bool]])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             yield batch.filter(pa.array(judge(batch.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

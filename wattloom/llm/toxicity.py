@@ -45,7 +45,7 @@ def _counts(docs: DataFrame) -> DataFrame:
     """(word, n) documents of docs that contain each word hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.slices(batches, 0):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             toxic = np.array(batch.column(1).to_pylist(), np.int64)
             for lo, hi in tx.chunks(texts):
@@ -194,7 +194,7 @@ def _measured(texts: DataFrame, model: Model, what) -> list[tuple[int, int, floa
     """(toxic, words, what) of each training document: at most 2 * TRAIN_PER_CLASS rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.slices(batches, 0):
             got = _in_chunks(batch.column(0).to_pylist(), model)
             rows = [(w, what(model, w, s)) for w, s in got]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["toxic", "words", "x"])
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     passage = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.slices(batches, 1):
             got = _in_chunks(batch.column(1).to_pylist(), model)
             evidence = np.array([model.evidence(w, s) for w, s in got])
             p = model.probability(evidence)
