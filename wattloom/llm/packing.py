@@ -35,7 +35,8 @@ def split_tokens(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     A document's ids are its text's ids and then end_id. Only a document longer than
     capacity is cut, into capacity-sized pieces, the last one maybe shorter. A null or
     empty text has the one id end_id. Repeated rows give repeated pieces. The checksum is
-    of little-endian unsigned 32-bit ids; the column ids holds them in the given numpy kind."""
+    of little-endian unsigned 32-bit ids; the column ids holds them in the given numpy kind,
+    deflated, as each copy of it on disk or in a shuffle is most of its row."""
     ship(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if ids else 5]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -51,7 +52,7 @@ def split_tokens(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
                     for piece, s in enumerate(range(0, len(whole), capacity)):
                         part = whole[s : s + capacity]
                         row = (keys[i], piece, s, len(part), zlib.crc32(part.tobytes()))
-                        rows.append((*row, part.astype(ids).tobytes()) if ids else row)
+                        rows.append((*row, zlib.compress(part.astype(ids).tobytes(), 1)) if ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

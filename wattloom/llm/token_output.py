@@ -11,6 +11,7 @@ lengths of its pieces and where they come from. `read_shards` gives the sequence
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +60,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, capacity: int = 2048,
                 for row, (which, own) in enumerate(found.items()):
                     ends = [0]
                     for p in own:
-                        given = np.frombuffer(p["ids"], kind)
+                        given = np.frombuffer(zlib.decompress(p["ids"]), kind)
                         ends.append(ends[-1] + len(given))
                         ids[row, ends[-2] : ends[-1]] = given
                         positions[row, ends[-2] : ends[-1]] = np.arange(len(given))
