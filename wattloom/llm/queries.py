@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm import chat, decontam, html_extract, licenses, near_dup, packing, quality, token_output, toxicity, warc
+from wattloom.llm import chat, decontam, html_extract, licenses, line_dedup, near_dup, packing, periodic, quality, ranked_search, token_output, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,19 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(table(spark, sf_dir, "conversations"))
 
 
+def op11_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_dyadic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.kept_digests(docs, line_dedup.keep_bitmaps(docs))
+
+
 QUERIES = {
     "op1_divergence_rules": op1_divergence_rules,
     "op2_cgk_decontamination": op2_cgk_decontamination,
@@ -69,6 +82,13 @@ QUERIES = {
     "op8_patience_licenses": op8_patience_licenses,
     "op9_packed_matrices": op9_packed_matrices,
     "op10_prefix_targets": op10_prefix_targets,
+    "op11_limited_accumulators": op11_limited_accumulators,
+    "op12_dyadic_runs": op12_dyadic_runs,
+    "op13_line_bitmaps": op13_line_bitmaps,
 }
 
-ORACLE: dict[str, str] = {"op1_divergence_rules": quality.oracle_sql()}
+ORACLE: dict[str, str] = {
+    "op1_divergence_rules": quality.oracle_sql(),
+    "op11_limited_accumulators": ranked_search.ORACLE_SQL,
+    "op13_line_bitmaps": line_dedup.ORACLE_SQL,
+}
