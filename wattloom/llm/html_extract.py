@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,124 +31,289 @@ MAX_LINKS, STOP_LOW, STOP_HIGH = 0.4, 0.1, 0.2
 FEW_LINKS = 0.2
 
 # Element names and name parts of page furniture.
-RAW = frozenset("script style textarea title noscript template iframe svg object select noembed noframes".split())
-VERBATIM = frozenset(["xmp"])  # raw text that is shown
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+CODE = frozenset("script style".split())  # unclosed, they run to the page's end as in a browser
+VERBATIM = "xmp"  # raw text that is shown
+HIDDEN = frozenset("select svg object template noscript option optgroup datalist".split())  # elements whose children are no text
 FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body caption center col colgroup dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus reply replies respond share sharing social related recommended trending widget skip search copyright".split())
 #: Words that beside a name part leave a class or id furniture (comment-list, but not code-comment).
 GLUE = frozenset("a an all and area article bar block body bottom box button buttons col column container content count feed footer foot form global group head header icon icons inner item items left link links list main message mobile nav outer page panel post primary right row secondary section site slot story text the title to top user view web website wrap wrapper".split())
+#: Beginnings of name parts that tell what an element is beside any other words, and words that take that back.
+REMARKS = ("comment", "disqus", "respond", "replies")
+TELLING = ("advert", "adsby", "adslot", "adunit", "sponsor", "sidebar", "breadcrumb", "newsletter", "cookie", "navbar", "pagination", "promo", "popup", "widget", "sharing", "recommend", "trending")
+UNSAID = frozenset("code no not has with without enabled disabled open closed closing inline layout is".split())
 DATA = frozenset("pre td th li dd".split())  # code, tables and lists have few stop words by nature
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
-
-_TAG = re.compile(r"<(?:!--(.*?)(?:-->|$)|([!?][^>]*)>|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>)", re.S)
-_OPEN = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")  # a tag that the page's end cuts
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Elements that a block ends, as none can be in them.
+CLOSED = ("p", "select", "svg", "option", "optgroup")
+#: Elements inside each other that are told apart, as in browsers; deeper ones belong to the last of them.
+DEPTH = 512
+
+_NAME = re.compile(r"[^\s/>]+")
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"=?[^\s/>=]*")
+_WHOLE = re.compile(r'([a-zA-Z-]+)="([^"<>]*)"')  # the usual form, at once
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_ENDS = re.compile(rf"</({'|'.join(sorted(RAW | HIDDEN))})(?=[\s/>])", re.I)
+_END_OF = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _STOP_OF = {k: frozenset(ws) for k, ws in COMMON_WORDS.items()}
 _STOP = frozenset(w for ws in COMMON_WORDS.values() for w in ws)
-_IMPLIED = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-
-
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in FURNITURE or (tag == "header" and not in_article):
-        return True
-    for key, *values in _ATTR.findall(attributes):
-        value = next((v for v in values if v), "").lower()
-        key = key.lower()
-        if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key in ("class", "id") and tag not in ("html", "body", "article", "main") and any(map(_names_furniture, value.split())):
-            return True
-    return False
-
-
-def _names_furniture(name: str) -> bool:
-    """Whether a class or id is made of name parts and words that say nothing else."""
-    parts = [x for x in re.split(r"[^a-z]+", name) if x]
-    return any(x in NAMES for x in parts) and all(x in NAMES or x in GLUE for x in parts)
+_IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "a": {"a"}}
+
+
+class Tokens:
+    """Text, start tags, end tags and raw text of a page, in one pass that is linear in its
+    size: no character is looked at again after a search that failed."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.unpaired = {'"': False, "'": False}  # no such quote is left
+        self.last_end = {m[1].lower(): m.start() for m in _ENDS.finditer(page)}
+
+    def __iter__(self) -> Iterator[tuple[str, str, dict[str, str], bool]]:
+        """(kind, name or text, attributes, closed by itself); kinds: text, raw, start, end."""
+        page, pos, size = self.page, 0, len(self.page)
+        while pos < size:
+            at = page.find("<", pos)
+            if at < 0:
+                yield "text", page[pos:], {}, False
+                return
+            if at > pos:
+                yield "text", page[pos:at], {}, False
+            mark = page[at + 1 : at + 2]
+            slash = mark == "/"
+            letter = page[at + 2 : at + 3] if slash else mark
+            if letter.isascii() and letter.isalpha():
+                name = _NAME.match(page, at + 1 + slash)
+                attributes, itself, pos = self._attributes(name.end())
+                if pos < 0:  # the page ends inside the tag
+                    return
+                tag = name[0].lower()
+                yield "end" if slash else "start", tag, attributes, itself
+                if not slash and tag in RAW:
+                    if self.last_end.get(tag, -1) >= pos:
+                        end = _END_OF[tag].search(page, pos).start()
+                        yield "raw", page[pos:end], {"of": tag}, False
+                        pos = end
+                    elif tag in CODE:
+                        return
+            elif mark in ("!", "?") and mark or slash and letter:
+                if page.startswith("<!--", at):
+                    begin = at + 4
+                    if page.startswith((">", "->"), begin):
+                        end = page.find(">", begin)
+                    else:
+                        ends = [x for x in (page.find("-->", begin), page.find("--!>", begin, self._bound(begin))) if x >= 0]
+                        end = page.find(">", min(ends)) if ends else -1
+                else:
+                    end = page.find(">", at)
+                if end < 0:
+                    return
+                pos = end + 1
+            else:
+                yield "text", "<", {}, False
+                pos = at + 1
+
+    def _bound(self, begin: int) -> int:
+        end = self.page.find("-->", begin)
+        return end if end >= 0 else len(self.page)
+
+    def _attributes(self, pos: int) -> tuple[dict[str, str], bool, int]:
+        """Attributes of a tag from pos, whether it ends in a slash of its own, and where it
+        ends (-1: nowhere). A quote that nothing closes ends with its tag."""
+        page, found = self.page, {}
+        while True:
+            gap = _GAP.match(page, pos)
+            pos = gap.end()
+            if pos >= len(page):
+                return found, False, -1
+            if page[pos] == ">":
+                return found, gap[0].endswith("/"), pos + 1
+            whole = _WHOLE.match(page, pos)
+            if whole:
+                found.setdefault(whole[1].lower(), whole[2])
+                pos = whole.end()
+                continue
+            key = _KEY.match(page, pos)
+            pos = key.end()
+            value = ""
+            if equals := _EQUALS.match(page, pos):
+                pos = equals.end()
+                quote = page[pos : pos + 1]
+                if quote in self.unpaired:
+                    end = -1 if self.unpaired[quote] else page.find(quote, pos + 1)
+                    if end < 0:
+                        self.unpaired[quote] = True
+                        end = page.find(">", pos)
+                        if end < 0:
+                            return found, False, -1
+                        value, pos = page[pos + 1 : end], end
+                    else:
+                        value, pos = page[pos + 1 : end], end + 1
+                else:
+                    bare = _BARE.match(page, pos)
+                    value, pos = bare[0], bare.end()
+            found.setdefault(key[0].lower(), value)
+
+
+def _named(value: str) -> str:
+    """What class or id names say: "" nothing, sure (made of name parts and words that say
+    nothing else), remark (a part that begins as reader comments do) or suspect (one that
+    begins as other furniture does)."""
+    said = ""
+    for name in value.split():
+        parts = [x.lower() for x in _PART.findall(name)]
+        if any(x in NAMES for x in parts) and all(x in NAMES or x in GLUE for x in parts):
+            return "sure"
+        if UNSAID.isdisjoint(parts):
+            if any(x.startswith(REMARKS) for x in parts):
+                said = "remark"
+            elif not said and any(x.startswith(TELLING) for x in parts):
+                said = "suspect"
+    return said
+
+
+def _kind(tag: str, attributes: dict[str, str], in_article: bool) -> str:
+    """What an element is: as _named, or sure by its own name, role or style."""
+    if tag in FURNITURE or tag in HIDDEN or (tag == "header" and not in_article):
+        return "sure"
+    if not attributes:
+        return ""
+    get = lambda k: entities.unescape(attributes[k]).lower() if k in attributes else ""
+    if get("role") in ROLES or "hidden" in attributes or get("aria-hidden") == "true":
+        return "sure"
+    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", get("style")):
+        return "sure"
+    if tag in ("html", "body", "main"):
+        return ""
+    said = _named(entities.unescape(attributes.get("class", "") + " " + attributes.get("id", "")))
+    return ("remark" if said == "remark" else "") if tag == "article" else said
 
 
 def blocks(page: str) -> list[dict]:
     """Text blocks in page order: text, links (characters in links), bad (in furniture),
-    article (in a marked article), data (in code, a table or a list)."""
+    article (in a marked article), data (in code, a table or a list).
+
+    An element that only a part of its name makes furniture (post-comments-v2, but also
+    layout-sidebar-left) is not, where it holds the article mark or most of the text."""
     out: list[dict] = []
     parts: list[str] = []
     links = 0
-    open_tags: list[tuple[str, bool, bool]] = []  # name, furniture, article
-    depth: Counter[str] = Counter()  # open tags by name, and of each kind
-
-    def push(tag: str, bad: bool, article: bool) -> None:
-        open_tags.append((tag, bad, article))
-        depth.update({tag: 1, "*bad": bad, "*article": article, "*data": tag in DATA})
-
-    def pop() -> str:
-        tag, bad, article = open_tags.pop()
-        depth.subtract({tag: 1, "*bad": bad, "*article": article, "*data": tag in DATA})
-        return tag
+    open_tags: list[tuple[str, bool, bool, int]] = []  # name, furniture, article, suspect (0: none)
+    depth: dict[str, int] = defaultdict(int)  # open tags by name, and of each kind
+    deeper: dict[str, int] = defaultdict(int)  # open tags beyond DEPTH
+    suspects: list[str] = [""]  # kind of each
+    around: list[set[int]] = [set()]  # suspects that hold each article mark
+    inside: list[int] = []  # suspects that are open
+
+    def push(tag: str, bad: bool, article: bool, suspect: int) -> None:
+        open_tags.append((tag, bad, article, suspect))
+        depth[tag] += 1
+        depth["*bad"] += bad
+        depth["*article"] += article
+        depth["*data"] += tag in DATA
+        depth["*closed"] += tag in CLOSED
+        if article:
+            around[0] |= set(inside)
+        if suspect:
+            inside.append(suspect)
+
+    def drop(k: int) -> None:
+        tag, bad, article, suspect = open_tags.pop(k)
+        depth[tag] -= 1
+        depth["*bad"] -= bad
+        depth["*article"] -= article
+        depth["*data"] -= tag in DATA
+        depth["*closed"] -= tag in CLOSED
+        if suspect:
+            inside.remove(suspect)
 
     def flush() -> None:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            out.append({"text": text, "links": links, "bad": depth["*bad"] > 0, "article": depth["*article"] > 0, "data": depth["*data"] > 0})
+            out.append({"text": text, "links": links, "bad": depth["*bad"] > 0, "article": depth["*article"] > 0, "data": depth["*data"] > 0, "suspects": tuple(inside)})
         parts.clear()
         links = 0
 
     def add(text: str) -> None:
         nonlocal links
         parts.append(text)
-        if depth["a"]:
+        if depth["a"] > 0:
             links += len(" ".join(text.split()))
 
-    pos = 0
-    while True:
-        m = _TAG.search(page, pos)
-        text = page[pos : m.start()] if m else _OPEN.sub("", page[pos:])
-        if text:
-            add(entities.unescape(text))
-        if not m:
-            break
-        pos = m.end()
-        closing, tag, attributes = m[3], (m[4] or "").lower(), m[5] or ""
-        if not tag:
-            continue
-        if tag in RAW and not closing:
-            if not attributes.rstrip().endswith("/"):
-                pos = _end_of(tag, page, pos)[1]
+    tokens = Tokens(page)
+    for kind, name, attributes, itself in tokens:
+        if kind == "text":
+            add(entities.unescape(name))
             continue
-        if tag in BLOCKS or tag == "br":
-            if tag == "br":
-                parts.append(" ")
-            else:
+        if kind == "raw":
+            if attributes["of"] == VERBATIM:
+                add(name)
                 flush()
-        if tag in VERBATIM and not closing:
-            stop, pos = _end_of(tag, page, m.end())
-            add(page[m.end() : stop])
+            continue
+        if name == "br":
+            parts.append(" ")
+        elif name in BLOCKS:
             flush()
+        if kind == "end":
+            if deeper[name]:
+                deeper[name] -= 1
+            elif depth[name] > 0 and name not in RAW:
+                k = len(open_tags) - 1
+                while open_tags[k][0] != name:
+                    k -= 1
+                if name in BLOCKS or name in HIDDEN or not any(t[0] in BLOCKS for t in open_tags[k:]):
+                    while len(open_tags) > k:
+                        drop(len(open_tags) - 1)
+                else:  # an inline element that blocks outlive
+                    drop(k)
             continue
-        if closing:
-            if depth[tag]:
-                while pop() != tag:
-                    pass
-        elif tag not in VOID and not attributes.rstrip().endswith("/"):
-            if tag in _IMPLIED and open_tags and open_tags[-1][0] in _IMPLIED[tag]:
-                pop()
-            bad = _is_furniture(tag, attributes, depth["*article"] > 0)
-            push(tag, bad, tag in ("article", "main") and not bad)
+        if name in VOID or name in RAW or itself:
+            continue
+        if name in HIDDEN and name not in ("option", "optgroup") and tokens.last_end.get(name, -1) < 0:
+            continue  # nothing on the page ends it
+        while depth["*closed"] and name in BLOCKS and name not in HIDDEN:
+            k = len(open_tags) - 1
+            while k >= 0 and open_tags[k][0] not in BLOCKS and open_tags[k][0] not in CLOSED:
+                k -= 1
+            if k < 0 or open_tags[k][0] not in CLOSED:
+                break
+            while len(open_tags) > k:
+                drop(len(open_tags) - 1)
+        if name in _IMPLIED and open_tags and open_tags[-1][0] in _IMPLIED[name]:
+            drop(len(open_tags) - 1)
+            if name == "tr" and open_tags and open_tags[-1][0] == "tr":
+                drop(len(open_tags) - 1)
+        if len(open_tags) >= DEPTH:
+            deeper[name] += 1
+            continue
+        said = _kind(name, attributes, depth["*article"] > 0)
+        suspect = 0
+        if said in ("remark", "suspect"):
+            suspects.append(said)
+            suspect = len(suspects) - 1
+        push(name, said == "sure", name in ("article", "main") and not said, suspect)
     flush()
+    if len(suspects) > 1:
+        total, held = 0, [0] * len(suspects)
+        for b in out:
+            if not b["bad"]:
+                total += len(b["text"])
+                for k in b["suspects"]:
+                    held[k] += len(b["text"])
+        innocent = {k for k in range(1, len(suspects)) if k in around[0] or held[k] > (0.9 if suspects[k] == "remark" else 0.5) * total}
+        for b in out:
+            b["bad"] = b["bad"] or not innocent.issuperset(b["suspects"])
     return out
 
 
-def _end_of(tag: str, page: str, pos: int) -> tuple[int, int]:
-    """Where the raw text from pos ends, and its closing tag."""
-    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-    return (end.start(), end.end()) if end else (len(page), len(page))
-
-
 def _size(text: str) -> int:
     """Characters; one of a wide script (from U+2E80 on) says as much as three."""
     return len(text) if text.isascii() else len(text) + 2 * sum(c >= "\u2e80" for c in text)
