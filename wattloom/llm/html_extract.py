@@ -180,20 +180,24 @@ def _named(value: str) -> str:
 
 
 def _kind(tag: str, attributes: dict[str, str], in_article: bool) -> str:
-    """What an element is: as _named, or sure by its own name, role or style."""
-    if tag in FURNITURE or tag in HIDDEN or (tag == "header" and not in_article):
+    """What an element is: as _named, sure by its own name or role, or hidden."""
+    if tag in HIDDEN:
+        return "hidden"
+    if tag in FURNITURE or (tag == "header" and not in_article):
         return "sure"
     if not attributes:
         return ""
     get = lambda k: entities.unescape(attributes[k]).lower() if k in attributes else ""
-    if get("role") in ROLES or "hidden" in attributes or get("aria-hidden") == "true":
-        return "sure"
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", get("style")):
+    if "hidden" in attributes or get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", get("style")):
+        return "hidden"
+    if get("role") in ROLES:
         return "sure"
     if tag in ("html", "body", "main"):
         return ""
     said = _named(entities.unescape(attributes.get("class", "") + " " + attributes.get("id", "")))
-    return ("remark" if said == "remark" else "") if tag == "article" else said
+    if tag == "article":
+        return "remark" if said and any(x.lower().startswith(REMARKS) for x in _PART.findall(attributes.get("class", "") + " " + attributes.get("id", ""))) else ""
+    return said
 
 
 def blocks(page: str) -> list[dict]:
@@ -205,17 +209,18 @@ def blocks(page: str) -> list[dict]:
     out: list[dict] = []
     parts: list[str] = []
     links = 0
-    open_tags: list[tuple[str, bool, bool, int]] = []  # name, furniture, article, suspect (0: none)
+    open_tags: list[tuple[str, str, bool, int]] = []  # name, what it is, article, suspect (0: none)
     depth: dict[str, int] = defaultdict(int)  # open tags by name, and of each kind
     deeper: dict[str, int] = defaultdict(int)  # open tags beyond DEPTH
     suspects: list[str] = [""]  # kind of each
     around: list[set[int]] = [set()]  # suspects that hold each article mark
     inside: list[int] = []  # suspects that are open
 
-    def push(tag: str, bad: bool, article: bool, suspect: int) -> None:
-        open_tags.append((tag, bad, article, suspect))
+    def push(tag: str, said: str, article: bool, suspect: int) -> None:
+        open_tags.append((tag, said, article, suspect))
         depth[tag] += 1
-        depth["*bad"] += bad
+        depth["*bad"] += said == "sure"
+        depth["*hidden"] += said == "hidden"
         depth["*article"] += article
         depth["*data"] += tag in DATA
         depth["*closed"] += tag in CLOSED
@@ -225,9 +230,10 @@ def blocks(page: str) -> list[dict]:
             inside.append(suspect)
 
     def drop(k: int) -> None:
-        tag, bad, article, suspect = open_tags.pop(k)
+        tag, said, article, suspect = open_tags.pop(k)
         depth[tag] -= 1
-        depth["*bad"] -= bad
+        depth["*bad"] -= said == "sure"
+        depth["*hidden"] -= said == "hidden"
         depth["*article"] -= article
         depth["*data"] -= tag in DATA
         depth["*closed"] -= tag in CLOSED
@@ -244,6 +250,8 @@ def blocks(page: str) -> list[dict]:
 
     def add(text: str) -> None:
         nonlocal links
+        if depth["*hidden"]:
+            return
         parts.append(text)
         if depth["a"] > 0:
             links += len(" ".join(text.split()))
@@ -260,7 +268,7 @@ def blocks(page: str) -> list[dict]:
             continue
         if name == "br":
             parts.append(" ")
-        elif name in BLOCKS:
+        elif name in BLOCKS and not depth["*hidden"]:
             flush()
         if kind == "end":
             if deeper[name]:
@@ -299,7 +307,7 @@ def blocks(page: str) -> list[dict]:
         if said in ("remark", "suspect"):
             suspects.append(said)
             suspect = len(suspects) - 1
-        push(name, said == "sure", name in ("article", "main") and not said, suspect)
+        push(name, said, name in ("article", "main") and not said, suspect)
     flush()
     if len(suspects) > 1:
         total, held = 0, [0] * len(suspects)

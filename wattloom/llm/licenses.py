@@ -12,8 +12,9 @@ of c needs at least that share of words, so the count is a necessary condition.
 from __future__ import annotations
 
 import pkgutil
+import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from wattloom.llm import text as tx
 from wattloom.session import ship
 
 MIN_COVERAGE = 0.8
+#: Words of a template under which it is a notice or header, whose words stand close.
+NOTICE = 100
 
 _FILES = "Apache-2.0 Artistic-1.0-Perl CC0-1.0 CC-BY-SA-3.0 CC-BY-SA-4.0 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 MPL-1.1 MPL-2.0"
 
@@ -104,9 +107,6 @@ def _known() -> tuple[dict[str, str], dict[str, tuple[str, ...]]]:
         add(f"CC-{c}-notice", f"Licensed under CC {'-'.join(kinds)} {v}.", f"cc {c}")
         add(f"CC-{c}-notice long", f"This work is licensed under a Creative Commons {long} International License.", f"commons {long}")
     add("CC0-1.0-notice", "Licensed under CC0 1.0.", "cc0 1 0")
-    tags = [*_FILES.split(), "MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "Unlicense", "Zlib", "AGPL-3.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "Apache-1.1", "WTFPL", *(f"CC-{c}" for c in cc)]
-    for tag in dict.fromkeys(tags):
-        add(f"{tag}-tag", f"SPDX-License-Identifier: {tag}", f"identifier {tag}")
     return whole | short, naming
 
 
@@ -115,6 +115,21 @@ def _known() -> tuple[dict[str, str], dict[str, tuple[str, ...]]]:
 TEMPLATES, NAMING = _known()
 
 
+_SPDX = re.compile(r"spdx-license-identifier:[ \t]*([a-z0-9.+() \t-]+)")
+
+
+def _tags() -> dict[str, str]:
+    """SPDX ids in lower case, and as they are put out."""
+    cc = [f"{c}-{v}" for c in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("1.0", "2.0", "2.5", "3.0", "4.0")]
+    tags = [*_FILES.split(), "MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "Unlicense", "Zlib", "AGPL-3.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "Apache-1.1", "WTFPL", *(f"CC-{c}" for c in cc)]
+    gnu = [t for t in tags if re.match("A?L?GPL|GFDL", t)]
+    tags += [t + end for t in gnu for end in ("-only", "-or-later", "+")]
+    return {t.lower(): t for t in tags}
+
+
+TAGS = _tags()
+
+
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest chain of pairs, sorted by their first entry, that rises in the second."""
     tails: list[int] = []
@@ -188,23 +203,33 @@ class Scanner:
     def find(self, texts: list[str]) -> list[tuple]:
         """(text, license, coverage, first word, end word) of every license: its best place
         among those that no better template takes."""
-        _, _, _, h, first = tx.words(texts)
+        joined, start, end, h, first = tx.words(texts)
         if not len(h) or not len(self.known):
             return []
+        tags: dict[int, list[tuple]] = defaultdict(list)
+        for m in _SPDX.finditer(joined):
+            i = int(np.searchsorted(first, np.searchsorted(start, m.start()), "right")) - 1
+            unless = False
+            for word in re.finditer(r"[a-z0-9.+-]+", m[1]):
+                name, word_at = word[0].rstrip("."), m.start(1) + word.start()
+                if name in TAGS and not unless:
+                    a, b = np.searchsorted(start, word_at), np.searchsorted(end, word_at + len(name), "right")
+                    tags[i].append((int(b - a), 1.0, int(a - first[i]), int(b - first[i]), f"{TAGS[name]}-tag"))
+                unless = name == "with"  # an exception comes next
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         hits = np.flatnonzero(self.known[at] == h)
         bounds = np.searchsorted(hits, first).tolist()
         out = []
         for i in range(len(texts)):
             places = hits[bounds[i] : bounds[i + 1]]
-            if not len(places):
+            if not len(places) and i not in tags:
                 continue
             here, n = np.unique(at[places], return_counts=True)
             shared = np.minimum(self.counts[here], n[:, None]).sum(0)
-            found = []
+            found = tags.get(i, [])
             for t in np.flatnonzero(shared >= self.least).tolist():
                 name, words, naming = self.templates[t]
-                for matched, a, b in self._find(h[first[i] : first[i + 1]], places - first[i], words, naming):
+                for matched, a, b in self._find(h[first[i] : first[i + 1]], places - first[i], words, naming, self.coverage):
                     if matched >= self.coverage * len(words):
                         found.append((2 * matched - len(words), matched / len(words), a, b, name))
             out += [(i, *row) for row in self._best(found, int(first[i + 1] - first[i]))]
@@ -225,14 +250,14 @@ class Scanner:
         return list(best.values())
 
     @staticmethod
-    def _find(text: np.ndarray, places: np.ndarray, words: list[int], naming: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    def _find(text: np.ndarray, places: np.ndarray, words: list[int], naming: list[tuple[int, int]], coverage: float) -> Iterator[tuple[int, int, int]]:
         """(matched words, first word, end word) of the template's places.
 
-        With naming phrases: around each place of the first one, all of them aligned whole.
-        Else over dense stretches: words of a license stand near each other, so the text is
-        divided where the gap between its template words is over the template's length, and
-        a stretch longer than two templates is searched in overlapping parts."""
-        if naming:
+        Notices with naming phrases: around each place of the first one, all of them aligned
+        whole. Else first over windows of two templates, which finds copies that stand close. What
+        is left beside them is aligned whole, however far its words lie apart; where a text
+        repeats the words that would be anchors, it is divided before each repetition."""
+        if naming and len(words) < NOTICE:
             i, j = naming[0]
             starts = places[text[places] == words[i]]
             for k in range(1, j - i):
@@ -251,16 +276,49 @@ class Scanner:
         own = np.isin(text[places], np.array(words, np.uint64))
         spots = places[own]  # words outside the template match nothing: only its own are aligned
         known = text[spots].tolist()
-        cuts = [0, *(np.flatnonzero(np.diff(spots) > len(words)) + 1).tolist(), len(known)]
-        for a, b in zip(cuts, cuts[1:]):
-            step = 2 * len(words)
-            for lo in range(a, max(a + 1, b - len(words)), len(words)):
-                hi = min(b, lo + step)
-                if hi - lo < len(words) // 2:
-                    continue
-                pairs = align(known[lo:hi], words)
-                if pairs:
-                    yield len(pairs), int(spots[lo + pairs[0][0]]), int(spots[lo + pairs[-1][0]]) + 1
+        least = coverage * len(words)
+
+        def good(pairs: list[tuple[int, int]], lo: int) -> bool:
+            if not pairs or len(pairs) < least:
+                return False
+            where = {y: int(spots[lo + x]) for x, y in pairs}
+            return all(where.get(y, -1) == where.get(a, -1) + y - a >= 0 for a, b in naming for y in range(a, b))
+
+        found: list[tuple[int, int, int]] = []
+        for lo in range(0, max(1, len(known) - len(words)), len(words)):
+            pairs = align(known[lo : lo + 2 * len(words)], words)
+            if good(pairs, lo):
+                found.append((len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1))
+        copies: list[tuple[int, int, int]] = []
+        for m, a, b in sorted(found, key=lambda f: (f[2] - f[1] - 2 * f[0], f[1])):
+            if all(b <= c or d <= a for _, c, d in copies):
+                copies.append((m, a, b))
+        edges = [0, *(x for _, a, b in sorted(copies, key=lambda c: c[1]) for x in (a, b)), len(known)]
+        todo = [(a, b, True) for a, b in zip(edges[::2], edges[1::2])]
+        once = Counter(words)
+        while todo:
+            a, b, whole = todo.pop()
+            if b - a < least:
+                continue
+            pairs = align(known[a:b], words)
+            if good(pairs, a):
+                copies.append((len(pairs), a + pairs[0][0], a + pairs[-1][0] + 1))
+                todo += [(a, a + pairs[0][0], True), (a + pairs[-1][0] + 1, b, True)]
+            elif whole:
+                counts = Counter(w for w in known[a:b] if once[w] == 1)
+                times = Counter(n for n in counts.values() if n > 1)
+                if times:  # anchors that stand n times: a part for each copy
+                    n = max(times, key=lambda k: (times[k], k))
+                    seen: Counter[int] = Counter()
+                    begin: dict[int, int] = {}
+                    for i, w in enumerate(known[a:b], a):
+                        if counts.get(w) == n:
+                            begin.setdefault(seen[w], i)
+                            seen[w] += 1
+                    parts = [a, *(begin[k] for k in sorted(begin) if k), b]
+                    todo += [(x, y, False) for x, y in zip(parts, parts[1:])]
+        for m, a, b in copies:
+            yield m, int(spots[a]), int(spots[b - 1]) + 1
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = MIN_COVERAGE) -> DataFrame:

@@ -7,6 +7,7 @@ Each content is a complete gzip WARC file (one member a record) that other tools
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -25,6 +26,10 @@ MIN_REVISIT = 100
 ARCHIVE_BYTES = 8_000_000
 #: Bytes given to the decompressor at once: it copies what is left over.
 FEED = 1 << 14
+#: The same at the start of what may be no member at all.
+FIRST = 256
+#: Bytes of a name or comment in a member's header.
+NAME = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -104,59 +109,107 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+#: What ends a header: a blank line, or the version line of the next record where it is broken.
+_HEADER_END = re.compile(rb"\r?\n\r?\n|WARC/1\.[01]\r?\n")
 _MEMBER = b"\x1f\x8b\x08"
 _FIELD = re.compile(rb"(?:WARC|Content|X)-[A-Za-z-]+:[^\x00-\x1f]*\r\n", re.I)
+_SIZES = {"md5": 16, "sha1": 20, "sha256": 32, "sha384": 48, "sha512": 64}
+
+
+def known_digest(value: str) -> tuple[str, bytes] | None:
+    """Algorithm and bytes of a labelled digest, in hex, base32 or base64 (told apart by length
+    and alphabet); no bytes where the value is none of them, as no data has that digest. None
+    for another algorithm or no label: that can't be checked."""
+    kind, _, text = value.partition(":")
+    kind, text = kind.strip().lower().replace("-", ""), text.strip().rstrip("=")
+    size = _SIZES.get(kind)
+    if not size:
+        return None
+    if len(text) == 2 * size and re.fullmatch("[0-9a-fA-F]+", text):
+        return kind, bytes.fromhex(text)
+    if len(text) == -(-8 * size // 5) and re.fullmatch("[A-Za-z2-7]+", text):
+        return kind, base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    if len(text) == -(-4 * size // 3) and re.fullmatch("[A-Za-z0-9+/]+", text):
+        return kind, base64.b64decode(text + "=" * (-len(text) % 4))
+    return kind, b""
+
+
+def _fits(digest: tuple[str, bytes] | None, data: bytes) -> bool | None:
+    """Whether data has the digest; None where that can't be checked."""
+    return hashlib.new(digest[0], data).digest() == digest[1] if digest else None
 
 
 def _parse(raw: bytes, start: int, strict: bool = False) -> tuple[int, dict | None, str]:
     """The record of raw at start: its end, its fields, or None and what failed.
 
-    strict is for bytes whose own check failed: fields must be whole, digests must be there."""
+    The block's digest decides; the payload's only where there is none of the block (crawlers
+    differ in what they take for the payload of a chunked answer). strict is for bytes whose
+    own check failed: fields must be whole, a known digest must be there."""
     m = _VERSION.match(raw, start)
     if not m:
         return start, None, "no version line"
-    split = re.compile(rb"\r?\n\r?\n").search(raw, m.end())
-    if not split:
+    split = _HEADER_END.search(raw, m.end())
+    if not split or split[0].startswith(b"WARC"):
         return start, None, "no end of header"
     head: dict[str, str] = {}
     for line in raw[m.end() : split.start()].splitlines():
         key, _, value = line.partition(b":")
         head[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not head.get("content-length", "").isdigit():
+    if not re.fullmatch("[0-9]{1,18}", head.get("content-length", "")):
         return start, None, "no length"
     end = split.end() + int(head["content-length"])
-    block = raw[split.end() : end]
-    if len(block) < int(head["content-length"]):
+    if end > len(raw):
         return start, None, "cut short"
-    kind, _, want = head.get("warc-block-digest", "").partition(":")
-    if kind in ("sha256", "sha1") and hashlib.new(kind, block).hexdigest() != want.lower():
+    block = raw[split.end() : end]
+    whole = _fits(known_digest(head.get("warc-block-digest", "")), block)
+    if whole is False:
         return start, None, "block digest"
-    http, _, payload = block.partition(b"\r\n\r\n")
+    kind = head.get("warc-type")
+    http, payload = b"", block
+    if head.get("content-type", "").startswith("application/http") or kind in ("response", "revisit") and block.startswith(b"HTTP/"):
+        http, _, payload = block.partition(b"\r\n\r\n")
     size = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-    kind, _, digest = head.get("warc-payload-digest", "").partition(":")
-    revisit = head.get("warc-type") == "revisit"
-    if not revisit and kind == "sha256" and hashlib.sha256(payload).hexdigest() != digest.lower():
+    revisit = kind == "revisit"
+    named = known_digest(head.get("warc-payload-digest", ""))
+    right = None if revisit or re.search(rb"(?im)^transfer-encoding:", http) else _fits(named, payload)
+    if whole is None and right is False:
         return start, None, "payload digest"
     if strict:
         fields = raw[m.end() : split.start()] + b"\r\n"
         if "".join(f.decode("latin-1") for f in _FIELD.findall(fields)) != fields.decode("latin-1"):
             return start, None, "header"
-        if head.get("warc-block-digest", "").partition(":")[0] not in ("sha256", "sha1") or not revisit and kind not in ("sha256", ""):
+        if whole is None:
             return start, None, "no digest"
-    number = lambda k: int(head[k]) if re.fullmatch(r"-?\d+", head.get(k, "")) else None
+    number = lambda k: int(head[k]) if re.fullmatch(r"-?\d{1,18}", head.get(k, "")) else None
     tail = re.compile(rb"(?:\r?\n){0,2}").match(raw, end)
     url = head.get("warc-target-uri")
+    sha = named[1].hex() if named and named[0] == "sha256" and (revisit or right) else None if revisit else hashlib.sha256(payload).hexdigest()
     return tail.end(), {
         "page_id": number("x-page-id"),
         "url": None if url is None else re.sub(r"(?:%[0-9A-F]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), url),
-        "record_type": head.get("warc-type"),
-        "payload_bytes": int(size[1]) if size else len(payload),
-        "payload_digest": digest or hashlib.sha256(payload).hexdigest(),
+        "record_type": kind,
+        "payload_bytes": int(size[1]) if size and (revisit or int(size[1]) == len(payload)) else None if revisit else len(payload),
+        "payload_digest": sha,
         "refers_to": number("x-refers-to-page"),
         "payload": None if revisit else payload,
     }, ""
 
 
+def _opens_member(content: bytes, pos: int) -> bool:
+    """Whether a gzip header stands at pos: no reserved flags, names of at most NAME bytes."""
+    if not content.startswith(_MEMBER, pos) or len(content) < pos + 10 or content[pos + 3] & 0xE0:
+        return False
+    flags, at = content[pos + 3], pos + 10
+    if flags & 4:
+        at += 2 + int.from_bytes(content[at : at + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            at = content.find(b"\0", at, at + NAME) + 1
+            if not at:
+                return False
+    return True
+
+
 def _unpack(content: bytes, pos: int) -> tuple[bytes, int, str]:
     """What the gzip member at pos holds as far as it can be read, where reading ended, and
     what failed."""
@@ -165,13 +218,13 @@ def _unpack(content: bytes, pos: int) -> tuple[bytes, int, str]:
     end = pos
     try:
         while end < len(content) and not unpack.eof:
-            parts.append(unpack.decompress(content[end : end + FEED]))
-            end = min(len(content), end + FEED)
+            step = FEED if end > pos else FIRST
+            parts.append(unpack.decompress(content[end : end + step]))
+            end = min(len(content), end + step)
     except zlib.error:
         # the failed step gave nothing: read up to it again, and then byte by byte
         unpack = zlib.decompressobj(31)
-        for at in range(pos, end, FEED):
-            unpack.decompress(content[at : at + FEED])
+        unpack.decompress(content[pos:end])
         try:
             while end < len(content):
                 parts.append(unpack.decompress(content[end : end + 1]))
@@ -203,25 +256,39 @@ def _inside(raw: bytes, failed: str) -> Iterator[tuple[int, int, dict | None, st
         yield len(raw) if gap_at is None else gap_at, len(raw), None, failed or why
 
 
-def _next(content: bytes, pos: int, end: int, seen: set[bytes]) -> int:
-    """Where the search goes on after a broken member at pos that was read until end, which
-    may be past its own end: the next member or version line. Of records that stand before
-    end as they are, those with digests in seen are the member's own (stored blocks)."""
-    at = pos + 1
-    member = content.find(_MEMBER, at)
-    while True:
-        version = _VERSION.search(content, at)
-        start = version.start() if version else len(content)
-        if 0 <= member <= start:
-            return member
-        if start >= end:
-            return start
-        at, fields, _ = _parse(content, start)
-        if fields and hashlib.sha256(content[start:at].rstrip()).digest() not in seen:
-            return start
-        at = max(at, start + 1)
-        if 0 <= member < at:
-            member = content.find(_MEMBER, at)
+class _Search:
+    """Where the search in an archive goes on. Members and version lines are looked for once:
+    a place that was found ahead, or that there is none, holds for later searches."""
+
+    def __init__(self, content: bytes):
+        self.content = content
+        self.member = self.version = 0
+
+    def members(self, at: int) -> int:
+        if self.member < at:
+            found = self.content.find(_MEMBER, at)
+            self.member = found if found >= 0 else len(self.content)
+        return self.member
+
+    def versions(self, at: int) -> int:
+        if self.version < at:
+            found = _VERSION.search(self.content, at)
+            self.version = found.start() if found else len(self.content)
+        return self.version
+
+    def after(self, pos: int, end: int, seen: set[bytes]) -> int:
+        """The next member or version line after a broken member at pos that was read until
+        end, which may be past its own end. Of records that stand before end as they are,
+        those with digests in seen are the member's own (stored blocks)."""
+        at = pos + 1
+        while True:
+            member, start = self.members(at), self.versions(at)
+            if member <= start or start >= end:
+                return min(member, start)
+            at, fields, _ = _parse(self.content, start)
+            if fields and hashlib.sha256(self.content[start:at].rstrip()).digest() not in seen:
+                return start
+            at = max(at, start + 1)
 
 
 def salvage(content: bytes) -> Iterator[dict]:
@@ -236,22 +303,23 @@ def salvage(content: bytes) -> Iterator[dict]:
     member have the member's position and size, and their own place in its decompressed
     bytes as inner and inner_size. All other fields of a gap are None."""
     pos, gap_at, why = 0, None, ""
+    search = _Search(content)
     while pos < len(content):
         rows: list[dict] = []
-        if content.startswith(_MEMBER, pos):
+        if _opens_member(content, pos):
             raw, end, broken = _unpack(content, pos)
             inside = list(_inside(raw, broken))
             failure = broken or next((f for *_, f in inside if f), "")
             if any(fields for _, _, fields, _ in inside):
                 rows = [{"inner": a, "inner_size": z - a, "gap": f or None} | (fields or {}) for a, z, fields, f in inside]
             if broken:
-                end = _next(content, pos, end, {hashlib.sha256(raw[a:z].rstrip()).digest() for a, z, fields, _ in inside if fields})
+                end = search.after(pos, end, {hashlib.sha256(raw[a:z].rstrip()).digest() for a, z, fields, _ in inside if fields})
         else:
             end, fields, failure = _parse(content, pos)
             if fields:
                 rows = [{"gap": None} | fields]
             else:
-                end = _next(content, pos, pos, set())
+                end = search.after(pos, pos, set())
         if rows and gap_at is not None:
             yield {"position": gap_at, "size": pos - gap_at, "gap": why}
             gap_at = None
