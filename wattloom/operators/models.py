@@ -68,9 +68,7 @@ def predict_quantiles(model: PipelineModel, leaves: DataFrame, df: DataFrame, ke
 
 def fit_classifier(train: DataFrame, features: Names, label: str, kind: str = "logistic", balanced: bool = False, seed: int = 7) -> PipelineModel:
     n = len(features)
-    base = {"featuresCol": "features", "labelCol": label, "rawPredictionCol": "_raw", "predictionCol": "_class"}
-    if kind not in ("svc",):
-        base["probabilityCol"] = "_prob"
+    base = {"featuresCol": "features", "labelCol": label, "predictionCol": "_class"}
     if balanced:
         share = train.agg(F.avg(label)).first()[0] or 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
@@ -84,6 +82,7 @@ def fit_classifier(train: DataFrame, features: Names, label: str, kind: str = "l
         "gbt": lambda: GBTClassifier(maxIter=15, maxDepth=3, seed=seed, **base),
         "mlp": lambda: MultilayerPerceptronClassifier(layers=[n, 8, 2], maxIter=50, seed=seed, **{k: v for k, v in base.items() if k != "weightCol"}),
     }[kind]()
+    model = model.setRawPredictionCol("_raw").setProbabilityCol("_prob")  # not all take these as keywords
     stages = [VectorAssembler(inputCols=list(features), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="features", withMean=True), model]
     return Pipeline(stages=stages).fit(train)
 

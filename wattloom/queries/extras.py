@@ -191,16 +191,27 @@ def stream_of(spark, sf, *columns):
     return spark.readStream.schema(d.schema).parquet(path)
 
 
-@register("w4_sequential_stream", "series_id state n:i")
+#: Rows that the watermark has passed when all files are read.
+PASSED = "(select max(ts15) - interval 30 minutes from scored)"
+
+
+@register("w4_sequential_stream", "series_id state n:i", SCORED + f""", seen as (
+  select series_id, ts15, ts15 + interval 1 hour target, alert, max(case when peak = 1 then ts15 end) over (partition by series_id order by step rows between 3 following and 3 following) c3,
+    max(case when peak = 1 then ts15 end) over (partition by series_id order by step rows between 4 following and 4 following) c4 from scored),
+hit as (select *, coalesce(c3, c4) came from seen where alert = 1),
+states as (
+  select series_id, 'watch' state from hit where ts15 <= {PASSED} union all select series_id, 'confirmed' from hit where came <= {PASSED}
+  union all select series_id, 'rejected' from hit where came is null and target <= {PASSED})
+select series_id, state, count(*) n from states group by 1, 2""")
 def w4(spark, sf):
     rows = stream_of(spark, sf, F.col("alert").alias("early"), F.col("peak").alias("confirm"))
     return ss.run_now(ss.stateful(rows, ss.SequentialAlert(), "series_id string, target timestamp, state string")).groupBy("series_id", "state").agg(F.count("*").alias("n"))
 
 
-@register("w5_delay_stream", "series_id n:i timer:i", SCORED + f"select series_id, count(*) n, sum(t) timer from (select series_id, case when sum(alert) over ({W} rows between 3 preceding and current row) >= 2 then 1 else 0 end t from scored) group by 1")
+@register("w5_delay_stream", "series_id n:i timer:i", SCORED + f"select series_id, count(*) n, sum(t) timer from (select series_id, ts15, case when sum(alert) over ({W} rows between 3 preceding and current row) >= 2 then 1 else 0 end t from scored) where ts15 <= {PASSED} group by 1")
 def w5(spark, sf):
     rows = stream_of(spark, sf, F.col("alert").alias("flag"))
-    out = ss.run_now(ss.stateful(rows, ss.DelayTimer(2, 4), "series_id string, ts timestamp, timer int", timers=False))
+    out = ss.run_now(ss.stateful(rows, ss.DelayTimer(2, 4), "series_id string, ts timestamp, timer int"))
     return out.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("timer").alias("timer"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import json
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -50,74 +53,134 @@ def target_join(early: DataFrame, confirm: DataFrame, ahead: str = "45 minutes",
     return a.join(b, (F.col("series_id") == F.col("series")) & (F.col("target") == F.col("at"))).select("series_id", "target", "early_kw", "confirm_kw")
 
 
-class SequentialAlert(StatefulProcessor):
-    """Watch at an early flag, confirm or reject at the target time.
+class InEventTime(StatefulProcessor):
+    """Rows of a key, released one time after the other.
 
-    Rows are (series_id, ts, early, confirm) in any order within the watermark. A watched
-    target is kept in a map by target time with a timer at it; a confirming row inside the
-    last quarter hour confirms it, and at the timer it is rejected if nothing came."""
+    A row waits in a list of the key, and a timer stands at the first waiting time. When the
+    watermark has reached it, every row up to the watermark has come (later ones are late and
+    left out), and all of them are released in the order of their times. Which batch brought
+    a row, and in what order, changes nothing; what waits is bounded by the watermark's delay.
+    A subclass has `columns`, the flags of a row that it uses, `schema`, the columns that it
+    puts out, and released(), which works on `state`, a dictionary of its own of bounded size;
+    state["due"] may hold times at which it wants to be called without rows. Times are
+    milliseconds since 1970; rows of one time come in the order of their flags."""
 
-    def __init__(self, horizon_ms: int = 3_600_000, confirm_ms: int = 900_000):
-        self.horizon, self.confirm = horizon_ms, confirm_ms
+    columns: tuple[str, ...] = ()
+    schema: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.watch = handle.getMapState("watch", "target long", "state string")
+        self.waiting = handle.getListState("waiting", "time long, flags string")
+        self.memory = handle.getValueState("memory", "state string")
+
+    def released(self, key: tuple, time: int, rows: list[tuple[int, ...]], state: dict) -> list[tuple]:
+        """What to put out at time; rows are the flags of the rows of that time."""
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        frame = pd.concat(list(rows)).sort_values("ts")
-        for ts, early, confirm in zip(frame["ts"], frame["early"], frame["confirm"]):
-            now = int(ts.timestamp() * 1000)
-            if confirm:
-                for (target,), (state,) in list(self.watch.iterator()):
-                    if state == "watch" and now <= target <= now + self.confirm:
-                        self.watch.updateValue((target,), ("confirmed",))
-                        out.append((key[0], pd.Timestamp(target, unit="ms"), "confirmed"))
-            if early and not self.watch.containsKey((now + self.horizon,)):
-                self.watch.updateValue((now + self.horizon,), ("watch",))
-                self.handle.registerTimer(now + self.horizon)
-                out.append((key[0], pd.Timestamp(now + self.horizon, unit="ms"), "watch"))
-        yield pd.DataFrame(out, columns=["series_id", "target", "state"])
+        watermark = timerValues.getCurrentWatermarkInMs()
+        new = []
+        for frame in rows:
+            times = (frame["ts"] - pd.Timestamp(0)) // pd.Timedelta(1, "ms")
+            new += [(time, " ".join(str(int(f)) for f in flags)) for time, *flags in zip(times.tolist(), *(frame[c].tolist() for c in self.columns)) if time > watermark]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(new)[0])
+        yield pd.DataFrame([], columns=list(self.schema))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        target = expiredTimerInfo.getExpiryTimeInMs()
-        state = self.watch.getValue((target,)) if self.watch.containsKey((target,)) else None
-        out = [(key[0], pd.Timestamp(target, unit="ms"), "rejected")] if state and state[0] == "watch" else []
-        self.watch.removeKey((target,))
-        yield pd.DataFrame(out, columns=["series_id", "target", "state"])
+        watermark = timerValues.getCurrentWatermarkInMs()
+        state = json.loads(self.memory.get()[0]) if self.memory.exists() else {}
+        rows, later = defaultdict(list), []
+        for time, flags in self.waiting.get():
+            if time <= watermark:
+                rows[time].append(tuple(map(int, flags.split())))
+            else:
+                later.append((time, flags))
+        out = []
+        todo = [*rows, *(t for t in state.get("due", []) if t <= watermark)]
+        heapq.heapify(todo)
+        last = None
+        while todo:
+            time = heapq.heappop(todo)
+            if time == last:
+                continue
+            before = set(state.get("due", []))
+            out += self.released(key, time, sorted(rows.get(time, [])), state)
+            for due in set(state.get("due", [])) - before:
+                if due <= watermark:
+                    heapq.heappush(todo, due)
+            last = time
+        if rows:
+            self.waiting.put(later) if later else self.waiting.clear()
+        if last is not None:
+            state["due"] = [t for t in state.get("due", []) if t > watermark]
+            self.memory.update((json.dumps(state),))
+        if ahead := [t for t, _ in later] + state.get("due", []):
+            self.handle.registerTimer(min(ahead))
+        yield pd.DataFrame(out, columns=list(self.schema))
 
     def close(self) -> None:
-        pass
+        """The state store keeps everything."""
 
 
-class DelayTimer(StatefulProcessor):
-    """k of the last m rows of a key: a ring of m flags is the state."""
+class SequentialAlert(InEventTime):
+    """Watch at an early flag; at the target time, `horizon` later, the alert is settled.
 
-    def __init__(self, k: int = 2, m: int = 4):
-        self.k, self.m = k, m
+    Rows are (series_id, ts, early, confirm) in any order within the watermark. A row in the
+    last `confirm` before the target, or at it, confirms the alert by its flag, and that is put
+    out at once; at the target it is rejected if such rows came without a flag, and expired if
+    none came. The state holds the targets of the last horizon."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getValueState("ring", "flags string")
+    columns = ("early", "confirm")
+    schema = ("series_id", "target", "state")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ring = self.ring.get()[0] if self.ring.exists() else ""
-        frame = pd.concat(list(rows)).sort_values("ts")
-        out = []
-        for ts, flag in zip(frame["ts"], frame["flag"]):
-            ring = (ring + str(int(flag)))[-self.m :]
-            out.append((key[0], ts, int(ring.count("1") >= self.k)))
-        self.ring.update((ring,))
-        yield pd.DataFrame(out, columns=["series_id", "ts", "timer"])
+    def __init__(self, horizon_ms: int = 3_600_000, confirm_ms: int = 900_000):
+        self.horizon, self.confirm = horizon_ms, confirm_ms
 
-    def close(self) -> None:
-        pass
+    def released(self, key, time, rows, state):
+        watch, due, out = state.setdefault("watch", {}), state.setdefault("due", []), []
+        put = lambda target, name: out.append((key[0], pd.Timestamp(int(target), unit="ms"), name))
+        if rows:
+            flag = any(confirm for _, confirm in rows)
+            for target, name in watch.items():
+                if time <= int(target) <= time + self.confirm and name != "confirmed":
+                    watch[target] = "confirmed" if flag else "rejected"
+                    if flag:
+                        put(target, "confirmed")
+        name = watch.pop(str(time), "confirmed")
+        if name != "confirmed":
+            put(time, "rejected" if name == "rejected" else "expired")
+        if any(early for early, _ in rows):
+            watch[str(time + self.horizon)] = "watch"
+            due.append(time + self.horizon)
+            put(time + self.horizon, "watch")
+        return out
+
+
+class DelayTimer(InEventTime):
+    """k of the last m rows of a key, in the order of their times: a ring of m flags is the state."""
+
+    columns = ("flag",)
+    schema = ("series_id", "ts", "timer")
+
+    def __init__(self, k: int = 2, m: int = 4):
+        self.k, self.m = k, m
+
+    def released(self, key, time, rows, state):
+        ring, out = state.get("ring", ""), []
+        for (flag,) in rows:
+            ring = (ring + str(flag))[-self.m :]
+            out.append((key[0], pd.Timestamp(time, unit="ms"), int(ring.count("1") >= self.k)))
+        state["ring"] = ring
+        return out
 
 
-def stateful(rows: DataFrame, processor: StatefulProcessor, schema: str, late: str = "30 minutes", timers: bool = True) -> DataFrame:
-    """Run a processor keyed by series_id, with the state store that such processors need."""
+def stateful(rows: DataFrame, processor: InEventTime, schema: str, late: str = "30 minutes") -> DataFrame:
+    """Run a processor keyed by series_id, with the state store that such processors need. What
+    is put out has a time up to the watermark: the last `late` of a stream is still to come."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.withWatermark("ts", late).groupBy("series_id").transformWithStateInPandas(processor, schema, "Append", "EventTime" if timers else "None")
+    return rows.withWatermark("ts", late).groupBy("series_id").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def run_now(stream: DataFrame, finish: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
