@@ -1,8 +1,9 @@
 """Event algebra on flagged series: runs of flags (gaps and islands), onsets, recall, lead.
 
-`step` is the row's integer place on the series' grid. Runs are found with windows keyed
-by series; matching of events with alerts is by equi joins on the steps an event spans or
-by window frames, never by comparing all events with all alerts.
+`step` is the row's integer place on the series' grid. Runs are found in chunks of steps and
+stitched at their borders (plans.stitch), frames reach a few rows over a chunk's border
+(plans.halo): no window holds a whole series. Events are matched with alerts by frames,
+never by comparing all events with all alerts.
 """
 
 from __future__ import annotations
@@ -12,15 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Keys = Sequence[str]
-
+from wattloom.plans.halo import with_frames
+from wattloom.plans.stitch import run_ids
 
-def run_ids(df: DataFrame, flag: str, keys: Keys, step: str, gap: int = 2) -> DataFrame:
-    """The flagged rows with the number of their run; flags at most `gap` steps apart join."""
-    w = Window.partitionBy(*keys).orderBy(step)
-    rows = df.where(F.col(flag) == 1)
-    new = F.coalesce((F.col(step) - F.lag(step).over(w) > gap).cast("int"), F.lit(1))
-    return rows.withColumn("_new", new).withColumn("event_id", F.sum("_new").over(w)).drop("_new")
+Keys = Sequence[str]
 
 
 def runs(df: DataFrame, flag: str, keys: Keys, step: str, gap: int = 2, **extra: Column) -> DataFrame:
@@ -36,21 +32,19 @@ def strict_runs(df: DataFrame, flag: str, keys: Keys, step: str, **extra: Column
 
 def onsets(df: DataFrame, flag: str, keys: Keys, step: str) -> DataFrame:
     """onset = 1 where the flag rises from 0."""
-    before = F.coalesce(F.lag(flag).over(Window.partitionBy(*keys).orderBy(step)), F.lit(0))
-    return df.withColumn("onset", ((F.col(flag) == 1) & (before == 0)).cast("int"))
+    before = lambda w: F.coalesce(F.lag(flag).over(w), F.lit(0))
+    return with_frames(df, keys, step, 1, 0, lambda w: {"onset": ((F.col(flag) == 1) & (before(w) == 0)).cast("int")})
 
 
 def future_any(df: DataFrame, flag: str, k: int, keys: Keys, step: str, name: str = "future") -> DataFrame:
     """Whether the flag is set in (step, step + k]."""
-    w = Window.partitionBy(*keys).orderBy(step).rowsBetween(1, k)
-    return df.withColumn(name, F.coalesce(F.max(flag).over(w), F.lit(0)))
+    return with_frames(df, keys, step, 0, k, lambda w: {name: F.coalesce(F.max(flag).over(w.rowsBetween(1, k)), F.lit(0))})
 
 
 def anatomy(df: DataFrame, flag: str, x: str, keys: Keys, step: str, pad: int = 8) -> DataFrame:
     """Per run: duration, peak and its step, baseline (mean of the pad rows before), area
     over the baseline, rise in level and steps, mean after, rebound."""
-    w = Window.partitionBy(*keys).orderBy(step)
-    d = df.withColumns({"_pre": F.avg(x).over(w.rowsBetween(-pad, -1)), "_post": F.avg(x).over(w.rowsBetween(1, pad)), "_low": F.min(x).over(w.rowsBetween(1, pad))})
+    d = with_frames(df, keys, step, pad, pad, lambda w: {"_pre": F.avg(x).over(w.rowsBetween(-pad, -1)), "_post": F.avg(x).over(w.rowsBetween(1, pad)), "_low": F.min(x).over(w.rowsBetween(1, pad))})
     e = runs(d, flag, keys, step, 2, peak=F.max(x), peak_step=F.max_by(step, F.struct(F.col(x), -F.col(step))), baseline=F.min_by("_pre", step), post=F.max_by("_post", step), low_after=F.max_by("_low", step), total=F.sum(x))
     return e.select(
         *keys,
@@ -75,8 +69,8 @@ def exceedance(df: DataFrame, flag: str, x: str, thr: str, keys: Keys, step: str
 def event_recall(df: DataFrame, flag: str, alert: str, k: int, keys: Keys, step: str, include_onset: bool = False, minutes: int = 15) -> DataFrame:
     """Per event whether an alert came in the k rows before its onset (or at it), and the
     lead of the first one, at most k steps. The look-back is a frame on the dense grid."""
-    w = Window.partitionBy(*keys).orderBy(step).rowsBetween(-k, 0 if include_onset else -1)
-    d = df.withColumn("_first", F.min(F.when(F.col(alert) == 1, F.col(step))).over(w))
+    frame = lambda w: w.rowsBetween(-k, 0 if include_onset else -1)
+    d = with_frames(df, keys, step, k, 0, lambda w: {"_first": F.min(F.when(F.col(alert) == 1, F.col(step))).over(frame(w))})
     e = runs(d, flag, keys, step, 2, first_alert=F.min_by("_first", step))
     lead = F.when(F.col("first_alert").isNotNull(), F.least(F.col("first") - F.col("first_alert"), F.lit(k)) * minutes)
     return e.select(*keys, "event_id", "first", "last", F.col("first_alert").isNotNull().cast("int").alias("detected"), lead.alias("lead_min"))
@@ -85,9 +79,8 @@ def event_recall(df: DataFrame, flag: str, alert: str, k: int, keys: Keys, step:
 def covered_events(df: DataFrame, flag: str, alert: str, keys: Keys, step: str, before: int = 0) -> DataFrame:
     """Per event whether an alert stands inside it or up to `before` steps ahead, and the
     first such alert's distance to the onset."""
-    w = Window.partitionBy(*keys).orderBy(step)
-    near = F.min(F.when(F.col(alert) == 1, F.col(step))).over(w.rowsBetween(-before, 0))
-    e = runs(df.withColumn("_near", near), flag, keys, step, 2, first_alert=F.min("_near"))
+    near = lambda w: {"_near": F.min(F.when(F.col(alert) == 1, F.col(step))).over(w.rowsBetween(-before, 0))}
+    e = runs(with_frames(df, keys, step, before, 0, near), flag, keys, step, 2, first_alert=F.min("_near"))
     return e.select(*keys, "event_id", "first", "last", F.col("first_alert").isNotNull().cast("int").alias("detected"), (F.col("first") - F.col("first_alert")).alias("lead_steps"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattloom.plans import stitch
 from wattloom.plans.halo import trailing_quantiles
 
 Keys = Sequence[str]
@@ -68,12 +69,8 @@ def cyclic(slot: Column, period: int, pairs: int, name: str) -> dict[str, Column
 
 def run_length(df: DataFrame, flag: str, keys: Keys, t: str) -> DataFrame:
     """off_run_len and on_run_len: rows since the flag changed, this row included."""
-    w = over(keys, t)
-    changed = F.coalesce((F.col(flag) != F.lag(flag).over(w)).cast("int"), F.lit(1))
-    df = df.withColumn("_change", changed).withColumn("_run", F.sum("_change").over(w))
-    n = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(t))
-    df = df.withColumns({"off_run_len": F.when(F.col(flag) == 0, n).otherwise(0), "on_run_len": F.when(F.col(flag) != 0, n).otherwise(0)})
-    return df.drop("_change", "_run")
+    df = stitch.run_length(df, flag, keys, t, "_n")
+    return df.withColumns({"off_run_len": F.when(F.col(flag) == 0, F.col("_n")).otherwise(0), "on_run_len": F.when(F.col(flag) != 0, F.col("_n")).otherwise(0)}).drop("_n")
 
 
 def restart_flags(df: DataFrame, x: str, daily_mean: str) -> DataFrame:
@@ -144,10 +141,8 @@ def peak_history(df: DataFrame, peak: str, ks: Sequence[int], keys: Keys, t: str
 def steps_since_peak(df: DataFrame, peak: str, keys: Keys, t: str, cap: int = 400) -> DataFrame:
     """Rows between the last earlier peak and the current row, at most cap; null before the
     first peak."""
-    w = over(keys, t)
-    df = df.withColumn("_rn", F.row_number().over(w))
-    last = F.last(F.when(F.col(peak) == 1, F.col("_rn")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("since_peak", F.when(last.isNotNull(), F.least(F.col("_rn") - last - 1, F.lit(cap)))).drop("_rn")
+    d = stitch.rows_since(df, peak, keys, t, "_rows_since")
+    return d.withColumn("since_peak", F.least("_rows_since", F.when(F.col("_rows_since").isNotNull(), cap))).drop("_rows_since")
 
 
 def day_so_far(df: DataFrame, x: str, qty: str, keys: Keys, t: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,18 @@ def with_halo(df: DataFrame, keys: Sequence[str], step: str, chunk: int, halo: i
     return build(rows, [*keys, CHUNK]).where(F.col("_own") == F.col(CHUNK)).drop("_own", CHUNK)
 
 
+def with_frames(df: DataFrame, keys: Sequence[str], step: str, back: int, ahead: int, columns: Callable[[WindowSpec], dict[str, Column]], chunk: int = 4096) -> DataFrame:
+    """df with columns(w), where w is ordered by step and frames of it reach at most `back` rows
+    before and `ahead` rows after the current one, on series with a row for every step. Each
+    chunk is lent the rows that stand so near its borders."""
+    size = max(chunk, back, ahead)
+    own, place = F.floor(F.col(step) / size).cast("long"), F.col(step) % size
+    near = F.filter(F.array(own, F.when(place >= size - back, own + 1), F.when(place < ahead, own - 1)), lambda c: c.isNotNull())
+    rows = df.withColumn("_own", own).withColumn(CHUNK, F.explode(near))
+    w = Window.partitionBy(*keys, CHUNK).orderBy(step)
+    return rows.withColumns(columns(w)).where(F.col("_own") == F.col(CHUNK)).drop("_own", CHUNK)
+
+
 def trailing_quantiles(df: DataFrame, x: str, rules: dict[str, tuple[int, float, int]], keys: Sequence[str], step: str) -> DataFrame:
     """df with a column per rule (n, q, least): the quantile, by linear interpolation, of the n
     rows before the current one, null where fewer than `least` of them have a value.
