@@ -296,7 +296,8 @@ def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, idf, threshol
     """(node, label) of the nodes with links. entries: node, band, key, low (the key's leader)."""
     wanted = entries.select("node").distinct().join(reps.select("node", "digest", _name().alias("name")), "node")
     own = docs.where("text is not null").select(_digest().alias("digest"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("name"), "text")
-    texts = cut(own.join(wanted, ["digest", "name"]).groupBy("digest", "name").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
+    # equal rows become one in the tasks that read them: a key that many rows share is not dealt whole
+    texts = cut(own.groupBy("digest", "name").agg(F.first("text").alias("text")).join(wanted, ["digest", "name"]).select("node", "text"))
     pairs = entries.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     links = None
     before = math.inf
@@ -400,5 +401,6 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     chosen = classes.groupBy("class_key").agg(first).select(F.col("first.digest").alias("__digest"), _name("first.doc_id").alias("__name"))
     texts = docs.where("text is not null").withColumns({"__digest": _digest(), "__name": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))})
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = texts.join(chosen, ["__digest", "__name"], "left_semi").groupBy("__digest", "__name").agg(F.first(row).alias("__row"))
+    one = texts.groupBy("__digest", "__name").agg(F.first(row).alias("__row"))  # equal rows meet in the tasks that read them
+    kept = one.join(chosen, ["__digest", "__name"], "left_semi")
     return kept.select("__row.*").unionByName(docs.where("text is null"))
