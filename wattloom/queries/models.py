@@ -5,10 +5,12 @@ the 5 folds at the 60-minute horizon."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.special import uniform
-from wattloom.operators import clean, features as ft, intervals as iv, metrics as mt, models as ml, scoring as sc, stats as st
+from wattloom.operators import clean, features as ft, intervals as iv, linear as ln, metrics as mt, models as ml, scoring as sc, stats as st
+from wattloom.queries.meter import W, weather
 from wattloom.queries.base import K, S, SCORED, register, scored, shots, table
 from wattloom.session import cut, scratch
 
@@ -17,12 +19,50 @@ FOLDS = 5
 LINEAR = ("ridge", "lasso", "elastic", "ols")
 
 
-def frame(spark, sf, folds=FOLDS):
-    """Decision rows with targets of 4 horizons, once per fold and role, computed once."""
+def rows_of(spark, sf):
+    """Decision rows with targets of 4 horizons."""
     d = scored(spark, sf).withColumns({"ramp4": F.coalesce("ramp4", F.lit(0.0)), "is_operating_lag4": F.coalesce(F.lag("is_operating", 4).over(ft.over(K, S)), F.col("is_operating"))})
     d = ft.targets(d, "kw", [1, 2, 3, 4], K, S).dropna(subset=["y_h1", "y_h4"])
     d = d.withColumns({"clean": (F.col("ts15") >= F.lit("2024-01-16").cast("timestamp_ntz")).cast("int"), "day": F.to_date("ts15")} | ft.cyclic(clean.slot_of_day("ts15"), 96, 2, "tod"))
-    return cut(iv.rolling_origin(d.drop("fold"), folds, K, S))
+    return d.drop("fold")
+
+
+def frame(spark, sf, folds=FOLDS):
+    """rows_of once per fold and role, computed once."""
+    return cut(iv.rolling_origin(rows_of(spark, sf), folds, K, S))
+
+
+YS = ["y_h1", "y_h2", "y_h3", "y_h4"]
+
+
+def by_roles(spark, sf):
+    """rows_of, each once, with its role in every fold and what else linear fits use; computed once."""
+    d = ft.run_length(rows_of(spark, sf), "is_operating", K, S).withColumn("restart_recent", ((F.col("on_run_len") > 0) & (F.col("on_run_len") <= 8)).cast("int"))
+    return cut(ln.roles(d, FOLDS, K, S))
+
+
+def tests_of(d):
+    """Rows with the one fold whose TEST they are in."""
+    return d.withColumn("fold", F.instr("roles", "E") - 1).where("fold >= 0")
+
+
+def fold_models(d, names, fits, by=(), letters="TC", least=0):
+    """(fold, by..., model, intercept, coef) of every fit, all from one pass over d."""
+    names = [*names, *YS]
+    grams = ln.of_folds(ln.moments(d, names, [*by, "roles"]), FOLDS, letters, by, len(names))
+    return ln.solve(grams.where(F.col("m")[0] >= least), names, fits)
+
+
+def at_horizon(p):
+    """p with model and horizon from `model|horizon`, and y at that horizon."""
+    part = F.split("model", r"\|")
+    p = p.withColumns({"horizon": part[1].cast("int"), "model": part[0]})
+    return p.withColumn("y", F.element_at(F.array(*YS), F.col("horizon")))
+
+
+def linear_over(d, names, fits):
+    """Forecasts of TEST rows by every fit; folds x fits are few, so models go to the rows."""
+    return at_horizon(ln.predict(tests_of(d), F.broadcast(fold_models(d, names, fits)), names, ["fold"]))
 
 
 def parts(spark, sf):
@@ -46,11 +86,37 @@ def point_over(d, kind, features=X, horizons=(4,), folds=FOLDS):
     return out
 
 
-for _kind in (*LINEAR, "dt", "rf", "gbt"):
+#: Rows with their roles, and the fits of every fold and horizon, in SQL.
+ROWS_SQL = SCORED + f""", fr as (select *, coalesce(ramp4, 0) r4, lead(kw, 1) over ({W}) y_h1, lead(kw, 2) over ({W}) y_h2, lead(kw, 3) over ({W}) y_h3, lead(kw, 4) over ({W}) y_h4 from scored),
+nm as (select *, row_number() over ({W}) - 1 i_, count(*) over (partition by series_id) n_ from fr where y_h1 is not null and y_h4 is not null),
+ro as (
+  select nm.*, f.fold_, h.h, [y_h1, y_h2, y_h3, y_h4][h.h] yh,
+    case when i_ >= n_ - (n_ // {FOLDS + 1}) * ({FOLDS} - f.fold_) + n_ // {FOLDS + 1} then '-' when i_ >= n_ - (n_ // {FOLDS + 1}) * ({FOLDS} - f.fold_) then 'E' else 'T' end role_
+  from nm cross join range({FOLDS}) f(fold_) cross join (values (1), (2), (3), (4)) h(h)),
+fit_ as (select * from ro where role_ = 'T'),
+"""
+X_SQL = ["kw", "score", "seasonal", "r4", '"hour"', "is_operating"]
 
-    @register(f"m7_point_{_kind}", "series_id horizon:i fold:i n:i mae:f naive_mae:f")
+
+def point_sql(penalty):
+    return ROWS_SQL + ln.gram_sql("fit_", ["fold_", "h"], X_SQL, "yh - kw", penalty) + f"""
+select series_id, ro.h horizon, ro.fold_ fold, count(*) n, avg(abs(yh - (kw + {ln.value_sql(X_SQL)}))) mae, avg(abs(yh - kw)) naive_mae
+from ro join model on model.fold_ = ro.fold_ and model.h = ro.h where role_ = 'E' group by 1, 2, 3"""
+
+
+POINT_SQL = {"ols": 0.0, "ridge": 1.0}
+for _kind in LINEAR:
+
+    @register(f"m7_point_{_kind}", "series_id horizon:i fold:i n:i mae:f naive_mae:f", point_sql(POINT_SQL[_kind]) if _kind in POINT_SQL else None)
     def point(spark, sf, kind=_kind):
-        return errors(point_over(frame(spark, sf), kind, horizons=(1, 2, 3, 4) if kind in LINEAR else (4,)), "horizon", "fold")
+        return errors(linear_over(by_roles(spark, sf), X, [ln.Fit.of(f"{kind}|{h}", X, f"y_h{h}", "kw", kind) for h in (1, 2, 3, 4)]), "horizon", "fold")
+
+
+for _kind in ("dt", "rf", "gbt"):
+
+    @register(f"m7_point_{_kind}", "series_id horizon:i fold:i n:i mae:f naive_mae:f")
+    def tree_point(spark, sf, kind=_kind):
+        return errors(point_over(frame(spark, sf), kind), "horizon", "fold")
 
 
 def quantile_fold(train, cal, test, qs=(0.05, 0.95), names=("lo", "hi"), features=X):
@@ -103,10 +169,18 @@ for _name, _kind in [*[(f"m12_classifier_{k}", k) for k in KINDS], ("m13_balance
         return t.groupBy("series_id", "fold").agg(F.count("*").alias("n"), square("p_cal").alias("brier"), square("prior").alias("prior_brier"))
 
 
-@register("m17_state_models", "series_id fold:i n:i mae:f naive_mae:f")
+@register("m17_state_models", "series_id horizon:i fold:i n:i mae:f naive_mae:f")
 def m17(spark, sf):
-    each = lambda train, cal, test: ml.state_models(train.unionByName(cal), test, ["kw", "score", "seasonal"], "y", "is_operating")
-    return errors(ml.over_folds(frame(spark, sf), each, range(FOLDS)), "fold")
+    """A model per state with 500 rows or more, else that of all rows; states are not counted
+    or listed on the driver."""
+    d, x = by_roles(spark, sf), ["kw", "score", "seasonal"]
+    fits = [ln.Fit.of(f"state|{h}", x, f"y_h{h}", None, "ridge") for h in (1, 2, 3, 4)]
+    whole = fold_models(d, x, fits)
+    own = fold_models(d.where("is_operating is not null"), x, fits, ["is_operating"], least=500)
+    chosen = whole.select("fold", "model", F.col("intercept").alias("_i"), F.col("coef").alias("_c"))
+    t = tests_of(d).join(F.broadcast(chosen), "fold").join(own, ["fold", "model", "is_operating"], "left")
+    t = t.withColumns({"intercept": F.coalesce("intercept", "_i"), "coef": F.coalesce("coef", "_c")}).withColumn("pred", ln.value(x))
+    return errors(at_horizon(t), "horizon", "fold")
 
 
 @register("m18_duplicate_variants", "series_id variant n:i mae:f naive_mae:f")
@@ -140,34 +214,66 @@ def m38(spark, sf):
     return ml.predict_point(m, history.where("role = 'TEST'"), base="kw").groupBy("series_id").agg(F.count("*").alias("n"), F.avg("pred").alias("mean_forecast"))
 
 
-#: Toggles of the recipe: residual target, relevance weights, features.
-VARIANTS = {"A0_level": (False, False, X), "A1_residual": (True, False, X), "A2_weighted": (True, True, X), "A3_cyclic": (True, False, PUBLIC), "A5_all": (True, True, PUBLIC)}
-INFORMATION = {"L0_power": ["kw", "score", "seasonal", "ramp4"], "L1_calendar": ["kw", "score", "seasonal", "ramp4", "hour", "tod_sin1", "tod_cos1"], "L3_production": PUBLIC}
+SHUT = ["off_run_len", "on_run_len", "restart_recent"]
+CYCLIC = PUBLIC[len(X) :]
+#: Toggles of the recipe: residual target, cyclic features, relevance weights, shutdown features.
+VARIANTS = {"A0_baseline": (False, False, False, False), "A1_resid": (True, False, False, False), "A2_cyclic": (False, True, False, False), "A3_extreme_weight": (False, False, True, False), "A4_shutdown_feat": (False, False, False, True), "A5_all": (True, True, True, True)}
+INFORMATION = {"L0_power": ["kw", "score", "seasonal", "ramp4"], "L1_calendar": ["kw", "score", "seasonal", "ramp4", "hour", "tod_sin1", "tod_cos1"], "L2_weather": ["kw", "score", "seasonal", "ramp4", "hour", "tod_sin1", "tod_cos1", "temp", "temp_diff3h"], "L3_production": [*PUBLIC, "qty", "temp", "temp_diff3h"]}
 
 
-def variants_of(d, variants):
-    out = None
-    for name, (residual, weighted, features) in variants.items():
-        base = "kw" if residual else None
+#: What comes from outside a site, level by level: calendar, weather, sun and tariff.
+EXTERNAL = {"E0_core": [], "E1_calendar": ["is_workday", "days_to_off"]}
+EXTERNAL["E2_weather"] = [*EXTERNAL["E1_calendar"], "temp", "temp_diff3h"]
+EXTERNAL["E3_tariff"] = [*EXTERNAL["E2_weather"], "solar_elevation", "is_daylight", "zone_peak", "zone_light"]
 
-        def each(train, cal, test):
-            fit = train.unionByName(cal)
-            fit = ml.relevance_weight(fit, "y") if weighted else fit  # noqa: B023
-            return ml.predict_point(ml.fit_point(fit, features, "y", "ridge", base, "_w" if weighted else None), test, base)  # noqa: B023
 
-        p = ml.over_folds(d, each, range(FOLDS)).withColumn("variant", F.lit(name))
-        out = p if out is None else out.unionByName(p)
-    return out
+def external(spark, sf, d):
+    """d with the external columns; gaps of the weather are filled for 6 hours, then by the site's mean."""
+    days = d.select("day").distinct().withColumn("_off", F.lit(0))
+    cal = ft.work_calendar(days, "day", "_off").select("day", "is_workday", "days_to_off")
+    air = clean.ffill(weather(spark, sf), ["temp"], K, "ts", 6)
+    air = ft.weather_derived(air, "temp", K, "ts").withColumn("_mean", F.avg("temp").over(Window.partitionBy("series_id")))
+    air = air.select("series_id", F.col("ts").alias("_hour"), F.coalesce("temp", "_mean", F.lit(0.0)).alias("temp"), F.coalesce("temp_diff3h", F.lit(0.0)).alias("temp_diff3h"))
+    d = d.withColumn("_hour", F.date_trunc("hour", "ts15").cast("timestamp_ntz")).join(cal, "day", "left").join(air, ["series_id", "_hour"], "left").drop("_hour")
+    d = d.withColumns(ft.solar("ts15", 37.5, 127.0, 9)).withColumns({f"zone_{z}": (ft.load_zone("ts15") == z).cast("int") for z in ("peak", "light")})
+    return d.fillna(0.0, ["temp", "temp_diff3h"]).fillna(0, ["is_workday", "days_to_off"])
 
 
-@register("m21_ablation", "series_id variant n:i mae:f naive_mae:f")
+@register("m21_ablation", "series_id variant horizon:i n:i mae:f naive_mae:f")
 def m21(spark, sf):
-    return errors(variants_of(frame(spark, sf), VARIANTS), "variant")
-
-
-@register("m22_information_ablation", "series_id variant n:i mae:f naive_mae:f")
+    """Every recipe over all folds and horizons: plain ones from one pass, weighted ones from
+    one more, in which a row stands once for each fold and horizon that weighs it."""
+    d = by_roles(spark, sf)
+    names = [*PUBLIC, *SHUT]
+
+    def fit(name, h):
+        residual, cyclic, _, shut = VARIANTS[name]
+        return ln.Fit.of(f"{name}|{h}", [*X, *(CYCLIC if cyclic else []), *(SHUT if shut else [])], f"y_h{h}", "kw" if residual else None, "ridge")
+
+    plain = fold_models(d, names, [fit(v, h) for v in VARIANTS if not VARIANTS[v][2] for h in (1, 2, 3, 4)])
+    long = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).where(F.substr("roles", F.col("fold") + 1, F.lit(1)).isin("T", "C"))
+    long = long.withColumn("h", F.explode(F.array(*[F.lit(h) for h in (1, 2, 3, 4)]))).withColumn("_y", F.element_at(F.array(*YS), F.col("h")))
+    ends = long.groupBy("fold", "h").agg(F.percentile("_y", F.array(F.lit(0.9), F.lit(0.995))).alias("_e"))  # folds x horizons rows
+    long = long.join(F.broadcast(ends), ["fold", "h"])
+    place = (F.col("_y") - F.col("_e")[0]) / F.greatest(F.col("_e")[1] - F.col("_e")[0], F.lit(1e-6))
+    grams = ln.moments(long.withColumn("_w", 1 + 4 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), place))), [*names, *YS], ["fold", "h"], "_w")
+    weighted = ln.solve(grams, [*names, *YS], [fit(v, h) for v in VARIANTS if VARIANTS[v][2] for h in (1, 2, 3, 4)])
+    weighted = weighted.where(F.split("model", r"\|")[1].cast("int") == F.col("h")).drop("h")
+    p = at_horizon(ln.predict(tests_of(d), F.broadcast(plain.unionByName(weighted)), names, ["fold"]))
+    return errors(p.withColumnRenamed("model", "variant"), "variant", "horizon")
+
+
+@register("m22_information_ablation", "series_id variant horizon:i n:i mae:f naive_mae:f ratio:f")
 def m22(spark, sf):
-    return errors(variants_of(frame(spark, sf), {k: (True, False, f) for k, f in INFORMATION.items()}), "variant")
+    """Levels of information on the same rows, from one pass: errors, and their ratio to the
+    best level's. L is what the site has; E adds what comes from outside it."""
+    d = cut(external(spark, sf, by_roles(spark, sf)))
+    names = [*PUBLIC, "qty", *EXTERNAL["E3_tariff"]]
+    levels = INFORMATION | {k: [*X, *v] for k, v in EXTERNAL.items()}
+    fits = [ln.Fit.of(f"{k}|{h}", x, f"y_h{h}", "kw", "ridge") for k, x in levels.items() for h in (1, 2, 3, 4)]
+    e = errors(linear_over(d, names, fits).withColumnRenamed("model", "variant"), "variant", "horizon")
+    best = F.min("mae").over(Window.partitionBy("series_id", "horizon", F.substring("variant", 1, 1)))
+    return e.withColumn("ratio", F.col("mae") / F.nullif(best, F.lit(0.0)))
 
 
 @register("m23_added_channel", "series_id variant coverage:f width:f low_share:f")
@@ -194,19 +300,23 @@ def m24(spark, sf):
     return errors(one(fit, None, "plain").unionByName(one(ml.distance_weight(far, "maha", limit), "_w", "distance")), "variant")
 
 
-@register("m25_transfer", "series_id n:i local_mae:f others_mae:f naive_mae:f")
+@register("m25_transfer", "series_id horizon:i fold:i n:i local_mae:f others_mae:f naive_mae:f within_10:i beats_naive:i")
 def m25(spark, sf):
-    train, cal, test = parts(spark, sf)
-    fit = cut(train.unionByName(cal))
-    out = None
-    for (site,) in test.select("series_id").distinct().orderBy("series_id").collect():  # one fit pair a site
-        own = F.col("series_id") == site
-        t = test.where(own)
-        t = ml.predict_point(ml.fit_point(fit.where(own), X, "y", "ridge", "kw"), t, "kw", "local")
-        t = ml.predict_point(ml.fit_point(fit.where(~own), X, "y", "ridge", "kw"), t, "kw", "others")
-        out = t if out is None else out.unionByName(t)
+    """Each site by its own model and by that of all other sites, whose moments are the total
+    less its own; no loop over sites."""
+    d = by_roles(spark, sf)
+    names = [*X, *YS]
+    own = ln.of_folds(ln.moments(d, names, ["series_id", "roles"]), FOLDS, "TC", ["series_id"], len(names))
+    own = cut(own)  # a row per site and fold, read three times
+    others = ln.without(ln.added(own, ["fold"], len(names)), own, ["fold"])
+    fits = [ln.Fit.of(f"m|{h}", X, f"y_h{h}", "kw", "ridge") for h in (1, 2, 3, 4)]
+    on = ["series_id", "fold", "model"]
+    both = ln.solve(own, names, fits).join(ln.solve(others.select(*own.columns), names, fits).select(*on, F.col("intercept").alias("_i"), F.col("coef").alias("_c")), on)
+    p = ln.predict(tests_of(d), both, X, ["series_id", "fold"], "local")
+    p = at_horizon(p.withColumns({"intercept": F.col("_i"), "coef": F.col("_c")}).withColumn("others", ln.value(X)))
     err = lambda c: F.avg(F.abs(F.col("y") - F.col(c)))
-    return out.groupBy("series_id").agg(F.count("*").alias("n"), err("local").alias("local_mae"), err("others").alias("others_mae"), err("kw").alias("naive_mae"))
+    g = p.groupBy("series_id", "horizon", "fold").agg(F.count("*").alias("n"), err("local").alias("local_mae"), err("others").alias("others_mae"), err("kw").alias("naive_mae"))
+    return g.withColumns({"within_10": (F.col("others_mae") <= 1.1 * F.col("local_mae")).cast("int"), "beats_naive": (F.col("others_mae") < F.col("naive_mae")).cast("int")})
 
 
 @register("m29_error_model", "series_id n:i mae:f spread:f auc:f")
@@ -313,11 +423,13 @@ def m35(spark, sf):
 @register("m36_baseline_table", "series_id model horizon:i mae:f difference:f low:f high:f")
 def m36(spark, sf):
     """Models against the naive forecast at every horizon, with day-block intervals."""
+    columns = ["series_id", "model", "horizon", "fold", "day", "y", "kw", "pred"]
+    linear = linear_over(by_roles(spark, sf), X, [ln.Fit.of(f"ridge|{h}", X, f"y_h{h}", "kw", "ridge") for h in (1, 2, 3, 4)])
+    p = linear.select(*columns).unionByName(linear.withColumns({"model": F.lit("naive"), "pred": F.col("kw")}).select(*columns))
     d = frame(spark, sf)
-    p = point_over(d, "ridge", horizons=(1, 2, 3, 4)).withColumn("model", F.lit("ridge"))
-    for kind in ("rf", "gbt"):
-        p = p.unionByName(ml.over_folds(d, lambda tr, ca, te: ml.predict_point(ml.fit_point(tr.unionByName(ca), X, "y_h4", kind, base="kw"), te, base="kw"), [FOLDS - 1]).withColumns({"y": F.col("y_h4"), "horizon": F.lit(4), "model": F.lit(kind)}))  # noqa: B023
-    p = cut(p.unionByName(point_over(d, "ridge").withColumns({"model": F.lit("naive"), "pred": F.col("kw")})))
+    for kind in ("rf", "gbt"):  # over the same folds
+        p = p.unionByName(point_over(d, kind).withColumn("model", F.lit(kind)).select(*columns))
+    p = cut(p)
     by = ["series_id", "model", "horizon"]
     boot = st.block_bootstrap(p, F.abs(F.col("y") - F.col("pred")), F.abs(F.col("y") - F.col("kw")), ["day"], by, 200, 4)
     return errors(p, "model", "horizon").join(boot, by)
