@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattloom.plans import stitch
+from wattloom.plans import expanding, stitch
 from wattloom.plans.halo import trailing_quantiles
 
 Keys = Sequence[str]
@@ -106,15 +105,8 @@ def threshold_grid(df: DataFrame, x: str, windows: Sequence[int], qs: Sequence[f
 
 
 def expanding_quantile(df: DataFrame, x: str, q: float, min_rows: int, keys: Keys, t: str) -> DataFrame:
-    """Quantile of all the past of a series, kept sorted as it grows: a series is one group,
-    worked through once."""
-    schema = T.StructType([*df.schema.fields, T.StructField("thr_expanding", T.DoubleType())])
-
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(t)
-        return rows.assign(thr_expanding=rows[x].expanding(min_periods=min_rows).quantile(q).shift(1))
-
-    return df.groupBy(*keys).applyInPandas(grow, schema)
+    """Quantile of all the past of a series; see plans.expanding. t is a dense step."""
+    return expanding.expanding_quantile(df, x, q, min_rows, keys, t)
 
 
 def month_to_date_max(df: DataFrame, x: str, keys: Keys, t: str) -> DataFrame:
