@@ -292,12 +292,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return out.select(*alone.columns).unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def _hot_texts(counted: DataFrame) -> DataFrame | None:
+    """The digests of counted (digest, n) that over 1 / HOT of the rows have; None if none has."""
+    return some(counted.where(F.col("n") > hot_limit(counted.agg(F.sum("n")).first()[0] or 0)).select("digest"))
+
+
 def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, idf, threshold: float) -> DataFrame:
     """(node, label) of the nodes with links. entries: node, band, key, low (the key's leader)."""
     wanted = entries.select("node").distinct().join(reps.select("node", "digest", _name().alias("name")), "node")
     own = docs.where("text is not null").select(_digest().alias("digest"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("name"), "text")
-    # equal rows become one in the tasks that read them: a key that many rows share is not dealt whole
-    texts = cut(own.groupBy("digest", "name").agg(F.first("text").alias("text")).join(wanted, ["digest", "name"]).select("node", "text"))
+    hot = _hot_texts(reps)
+    if hot is None:
+        one = own.join(wanted, ["digest", "name"])
+    else:  # rows of a text that very many share become one in the tasks that read them
+        few = own.join(F.broadcast(hot), "digest", "left_semi").groupBy("digest", "name").agg(F.first("text").alias("text"))
+        one = own.join(F.broadcast(hot), "digest", "left_anti").unionByName(few).join(wanted, ["digest", "name"])
+    texts = cut(one.groupBy("digest", "name").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
     pairs = entries.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     links = None
     before = math.inf
@@ -401,6 +411,10 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     chosen = classes.groupBy("class_key").agg(first).select(F.col("first.digest").alias("__digest"), _name("first.doc_id").alias("__name"))
     texts = docs.where("text is not null").withColumns({"__digest": _digest(), "__name": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))})
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = texts.groupBy("__digest", "__name").agg(F.first(row).alias("__row"))  # equal rows meet in the tasks that read them
-    kept = one.join(chosen, ["__digest", "__name"], "left_semi")
+    hot = _hot_texts(classes)
+    if hot is not None:  # rows of a text that very many share become one in the tasks that read them
+        keys = F.broadcast(hot.withColumnRenamed("digest", "__digest"))
+        few = texts.join(keys, "__digest", "left_semi").groupBy("__digest", "__name").agg(F.first(F.struct("*")).alias("__all")).select("__all.*")
+        texts = texts.join(keys, "__digest", "left_anti").unionByName(few)
+    kept = texts.join(chosen, ["__digest", "__name"], "left_semi").groupBy("__digest", "__name").agg(F.first(row).alias("__row"))
     return kept.select("__row.*").unionByName(docs.where("text is null"))
