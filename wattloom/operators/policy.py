@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.operators.events import runs
+from wattloom.plans.halo import with_frames
 
 Keys = Sequence[str]
 
@@ -138,7 +139,7 @@ def tier(band: Column, risky: Column) -> Column:
 GATES = ("none", "advisory_if_unsure", "confirm_only_if_unsure")
 
 
-def event_sweep(df: DataFrame, peak: str, early: str, confirm: str, unsure: str, k: int, qs: int, by: Keys, step: str, minutes: int = 15, least_lead: int = 30) -> DataFrame:
+def event_sweep(df: DataFrame, peak: str, early: str, confirm: str, unsure: str, k: int, qs: int, by: Keys, step: str, minutes: int = 15, least_lead: int = 30, day: str | None = None) -> DataFrame:
     """Events, detected events, mean lead and the share of leads of at least least_lead
     minutes, of every policy: (kind, early, confirm, gate).
 
@@ -146,10 +147,12 @@ def event_sweep(df: DataFrame, peak: str, early: str, confirm: str, unsure: str,
     first; the lead is that of the first such alert. Each event is the few rows before it as
     (steps ahead, early level, confirm level, unsure); equal ones are counted first, and only
     these patterns meet the grid. Kinds are `single_early` and `single_confirm` (which looks
-    one step back only) and `escalate`."""
-    w = Window.partitionBy(*by).orderBy(step)
-    look = F.collect_list(F.struct(F.col(step).alias("t"), F.col(early).alias("e"), F.col(confirm).alias("c"), F.col(unsure).alias("u"))).over(w.rowsBetween(-k, -1))
-    ev = runs(df.withColumn("_look", look), peak, by, step, 2, look=F.min_by("_look", step))
+    one step back only) and `escalate`. With a day column, events are counted by the day of
+    their onset."""
+    look = F.collect_list(F.struct(F.col(step).alias("t"), F.col(early).alias("e"), F.col(confirm).alias("c"), F.col(unsure).alias("u")))
+    seen = with_frames(df, by, step, k, 0, lambda w: {"_look": look.over(w.rowsBetween(-k, -1))})
+    ev = runs(seen, peak, by, step, 2, look=F.min_by("_look", step), **({day: F.min_by(day, step)} if day else {}))
+    by = [*by, day] if day else by
     ahead = F.sort_array(F.transform("look", lambda r: F.struct((F.col("first") - r["t"]).alias("a"), r["e"].alias("e"), r["c"].alias("c"), r["u"].alias("u"))), asc=False)
     p = ev.select(*by, ahead.alias("p")).groupBy(*by, "p").agg(F.count("*").alias("n"))
     grid = F.sequence(F.lit(1), F.lit(qs))

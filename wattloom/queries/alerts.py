@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wattloom.operators import audit as au, diagnosis as dg, events as ev, intervals as iv, metrics as mt, policy as pl
+from wattloom.operators import audit as au, diagnosis as dg, events as ev, intervals as iv, ledger as lg, metrics as mt, policy as pl
 from wattloom.operators.features import over
 from wattloom.queries.base import K, S, SCORED, register, scored
 from wattloom.queries.meter import W, runs_sql
@@ -287,17 +287,36 @@ def p10(spark, sf):
     return sequential(spark, sf).groupBy("series_id", "state").agg(F.count("*").alias("n"))
 
 
-@register("p11_select_then_apply", "series_id part cut:i fp:i missed:i", SCORED + LEVELS + f""", pt as (select *, case when date_diff('day', ts15::date, (max(ts15) over (partition by series_id))::date) < 7 then 'LOCK' when date_diff('day', ts15::date, (max(ts15) over (partition by series_id))::date) < 14 then 'TEST' else 'SEL' end part from lev),
-sw as (select series_id, part, i, sum(case when early_level >= i then 1 - future else 0 end) fp, sum(case when early_level < i then future else 0 end) missed from pt, range(1, {NQ}) r(i) group by 1, 2, 3),
-pk as (select series_id, i, row_number() over (partition by series_id order by fp + 10 * missed, i) rk from sw where part = 'SEL')
-select sw.series_id, part, sw.i cut, fp, missed from sw join pk on pk.series_id = sw.series_id and pk.i = sw.i and rk = 1 where part <> 'SEL'""")
+PLACE = """case kind when 'single_confirm' then 0 when 'single_early' then 1 else 2 end * 100000 + coalesce("early", 0) * 1000 + coalesce("confirm", 0) * 10 + case gate when 'none' then 0 when 'advisory_if_unsure' then 1 else 2 end"""
+LEDGER = SCORED + COSTS + f""", gp as (select series_id, ts15::date bl, i "early", j "confirm", g gate, future, case when g = 'confirm_only_if_unsure' then (confirm_level >= j or unsure = 0) else confirm_level >= j end al
+ from lev, range(1, {NQ}) a(i), range(1, {NQ}) b(j), (values ('none'), ('advisory_if_unsure'), ('confirm_only_if_unsure')) c(g) where early_level >= i),
+ga as (
+ select series_id, bl, 'escalate' kind, "early", "confirm", gate, count(*) filter (where al and future = 0) fp, count(*) filter (where al) alerts, 0 n_events, 0 missed, 0.0 lead_sum from gp group by 1, 2, 3, 4, 5, 6
+ union all select series_id, ts15::date, 'single_early', i, null, 'none', sum(case when early_level >= i then 1 - future else 0 end), sum((early_level >= i)::int), 0, 0, 0.0 from lev, range(1, {NQ}) r(i) group by series_id, ts15::date, i
+ union all select series_id, ts15::date, 'single_confirm', null, i, 'none', sum(case when confirm_level >= i then 1 - future1 else 0 end), sum((confirm_level >= i)::int), 0, 0, 0.0 from lev, range(1, {NQ}) r(i) group by series_id, ts15::date, i
+ union all select ec.series_id, f.ts15::date, kind, "early", "confirm", gate, 0, 0, count(*), count(*) - count(a), coalesce(sum(case when a is not null then least(a, 4) * 15 end), 0) from ec join runs r on r.series_id = ec.series_id and r.event_id = ec.event_id join lev f on f.series_id = r.series_id and f.step = r."first" group by 1, 2, 3, 4, 5, 6),
+gl as (select series_id, bl, kind, "early", "confirm", gate, {PLACE} place, sum(fp) fp, sum(alerts) alerts, sum(n_events) n_events, sum(missed) missed, sum(lead_sum) lead_sum from ga group by all),
+gd as (select gl.*, case when date_diff('day', bl, mx) < 7 then 'LOCK' when date_diff('day', bl, mx) < 14 then 'TEST' else 'SEL' end part from gl join (select series_id, max(ts15)::date mx from lev group by 1) m on m.series_id = gl.series_id),
+gt as (select series_id, part, kind, "early", "confirm", gate, place, sum(fp) fp, sum(alerts) alerts, sum(n_events) n_events, sum(missed) missed, sum(lead_sum) / nullif(sum(n_events) - sum(missed), 0) "lead" from gd group by 1, 2, 3, 4, 5, 6, 7),
+gc as (select gt.*, ratio::double ratio, (fp + ratio * missed) / nullif(ratio * n_events, 0) cost from gt, (select unnest({RATIOS}) ratio)),
+gs as (select *, unnest(list_filter(['all', case when kind = 'escalate' then 'escalation_only' else 'single_only' end, case when "lead" >= 30 then 'lead_constrained' end], lambda x: x is not null)) "scope" from gc where part = 'SEL' and cost is not null),
+gk as (select *, row_number() over (partition by series_id, ratio, "scope" order by round(cost, 12), place) rk from gs),
+gh as (select *, row_number() over (partition by series_id, ratio order by round(cost, 12), place) rk from gc where part = 'TEST' and cost is not null)
+"""
+
+
+def day_book(spark, sf):
+    """The ledger of all policies of p5, a row per series, day and policy, with its part."""
+    d = levelled(spark, sf).withColumn("day", F.to_date("ts15"))
+    book = lg.ledger(d, "peak", "early_level", "confirm_level", "unsure", "future", "future1", 4, len(QS), K, S, "day")
+    return cut(lg.parts_of(book, d.groupBy("series_id").agg(F.max("day").alias("_last")), K, "day", 7, 7))
+
+
+@register("p11_select_then_apply", "series_id ratio:f scope part kind early:i confirm:i gate cost:f cost_on_sel:f fp:i alerts:i n_events:i missed:i lead:f", LEDGER + """
+select c.series_id, c.ratio, k."scope", c.part, c.kind, c."early", c."confirm", c.gate, c.cost, k.cost cost_on_sel, c.fp, c.alerts, c.n_events, c.missed, c."lead" from gc c join gk k on k.series_id = c.series_id and k.ratio = c.ratio and k.place = c.place and k.rk = 1 where c.part <> 'SEL'
+union all select series_id, ratio, 'post_hoc', part, kind, "early", "confirm", gate, cost, null, fp, alerts, n_events, missed, "lead" from gh where rk = 1""")
 def p11(spark, sf):
-    d = iv.last_days(levelled(spark, sf), "ts15", K, 7, 7)
-    s = pl.single_sweep(d, "early_level", "future", len(QS), ["series_id", "part"])
-    total = d.groupBy("series_id", "part").agg(F.sum("future").alias("all"))
-    s = s.join(total, ["series_id", "part"]).withColumn("missed", F.col("all") - F.col("tp"))
-    pick = s.where("part = 'SEL'").groupBy("series_id").agg(F.min_by("early", F.struct(F.col("fp") + 10 * F.col("missed"), "early")).alias("cut"))
-    return s.where("part <> 'SEL'").join(pick, "series_id").where("early = cut")
+    return lg.select_then_apply(cut(lg.costs(day_book(spark, sf), RATIOS, K)), K)
 
 
 @register("p12_capacity", "series_id kind gate n:i", SCORED + COSTS + "select series_id, kind, gate, count(*) n from pc where advisories_a_day <= 12 group by 1, 2, 3")
@@ -392,10 +411,17 @@ def p17(spark, sf):
     return d.where("fold > 1").join(F.broadcast(best), "all").agg(F.count("*").alias("n"), F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit & (F.col("label") == 0)).alias("fp"), F.max("cut").alias("cut"))
 
 
-@register("p18_matched_budget", "series_id goal:f early:i fp:i", SCORED + LEVELS + f""", sw as (select series_id, i, sum(case when early_level >= i then 1 - future else 0 end) fp from lev, range(1, {NQ}) r(i) group by 1, 2), k_ as (select series_id, goal, i, fp, row_number() over (partition by series_id, goal order by abs(fp - goal), i) rk from sw, (values (100.0), (200.0), (400.0)) g(goal)) select series_id, goal, i "early", fp from k_ where rk = 1""")
+@register("p18_matched_budget", "series_id kind gate goal:f early:i confirm:i alerts_a_day:f precision:f event_recall:f lead:f lead_share:f", SCORED + COSTS + """, b_ as (select pc.*, (tp + fp) / nd alerts_a_day from pc join dd_ on dd_.series_id = pc.series_id),
+k_ as (select *, row_number() over (partition by series_id, kind, gate, goal order by round(abs(alerts_a_day - goal), 12), place) rk from b_, (values (5.0), (10.0), (20.0)) g(goal))
+select series_id, kind, gate, goal, "early", "confirm", alerts_a_day, tp / nullif(tp + fp, 0) "precision", detected / nullif(n_events, 0) event_recall, "lead", lead_share from k_ where rk = 1""")
 def p18(spark, sf):
-    s = pl.single_sweep(levelled(spark, sf), "early_level", "future", len(QS), K)
-    return pl.matched_budget(s, "fp", [100, 200, 400], K, ["early"])
+    """Every kind of policy at the cut whose alert steps a day are nearest to 5, 10 and 20."""
+    c = curve(spark, sf)
+    days = scored(spark, sf).groupBy("series_id").agg((F.count("*") / 96).alias("days"))
+    c = c.join(days, "series_id").withColumn("alerts_a_day", (F.col("tp") + F.col("fp")) / F.col("days"))
+    best = pl.matched_budget(c, "alerts_a_day", [5, 10, 20], ["series_id", "kind", "gate"], ["place"])
+    part = lambda a, b: a / F.nullif(b, F.lit(0))
+    return best.withColumns({"precision": part(F.col("tp"), F.col("tp") + F.col("fp")), "event_recall": part(F.col("detected"), F.col("n_events"))})
 
 
 # ---- intervals: CAL fold 1, test fold 2 and 3

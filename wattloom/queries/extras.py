@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wattloom.functions.special import uniform
-from wattloom.operators import clean, diagnosis as dg, features as ft, intervals as iv, joins as jn, policy as pl, shapes as sh, stats as st, verdicts as vd
-from wattloom.queries.alerts import CAL, DIAG, SEQ, diagnosed, ood, sequential, thresholds
+from wattloom.operators import clean, diagnosis as dg, features as ft, intervals as iv, joins as jn, ledger as lg, policy as pl, shapes as sh, stats as st, verdicts as vd
+from wattloom.queries.alerts import CAL, DIAG, LEDGER, SEQ, day_book, diagnosed, ood, sequential, thresholds
 from wattloom.queries.audits import signatures, SIGN, weight_sql
 from wattloom.queries.base import DEMAND, K, S, SCORED, SHOTS, demand, register, scored, shots, table, u_sql
 from wattloom.queries.meter import SLOT, SOLAR, W, zone_sql
@@ -146,14 +146,18 @@ def m4(spark, sf):
 
 
 # ---- policy cost by day blocks
-@register("x6_cost_bootstrap", "series_id difference:f low:f high:f below_zero:f", SCORED + f""", dy as (select series_id, ts15::date bl, count(*) filter (where alert = 1 and "label" = 0) fa, count(*) filter (where alert = 0 and "label" = 1) ma, count(*) filter (where kw >= thr and "label" = 0) fb, count(*) filter (where kw < thr and "label" = 1) mb, sum("label") ev from scored group by 1, 2),
-r_ as (select *, {weight_sql("9", "r", "bl")} w from dy, range(1, 301) t(r)), e_ as (select series_id, r, (sum(w * fa) + 10 * sum(w * ma)) / nullif(10.0 * sum(w * ev), 0) - (sum(w * fb) + 10 * sum(w * mb)) / nullif(10.0 * sum(w * ev), 0) m from r_ group by 1, 2)
-select series_id, avg(m) difference, quantile_cont(m, 0.025) low, quantile_cont(m, 0.975) high, avg((m < 0)::int) below_zero from e_ where m is not null group by 1""")
+@register("x6_cost_bootstrap", "series_id part difference:f low:f high:f below_zero:f", LEDGER + f""", ch as (select a.series_id, a.place pa, b.place pb from gk a join gk b on b.series_id = a.series_id and b.ratio = a.ratio where a.ratio = 10 and a.rk = 1 and b.rk = 1 and a."scope" = 'escalation_only' and b."scope" = 'single_only'),
+dy as (select gd.series_id, part, bl, coalesce(sum(fp) filter (where place = pa), 0) fa, coalesce(sum(missed) filter (where place = pa), 0) ma, coalesce(sum(fp) filter (where place = pb), 0) fb, coalesce(sum(missed) filter (where place = pb), 0) mb, max(n_events) ev from gd join ch on ch.series_id = gd.series_id where part <> 'SEL' and place in (pa, pb) group by 1, 2, 3),
+r_ as (select *, {weight_sql("9", "r", "bl")} w from dy, range(1, 301) t(r)), e_ as (select series_id, part, r, (sum(w * fa) + 10 * sum(w * ma)) / nullif(10.0 * sum(w * ev), 0) - (sum(w * fb) + 10 * sum(w * mb)) / nullif(10.0 * sum(w * ev), 0) m from r_ group by 1, 2, 3)
+select series_id, part, avg(m) difference, quantile_cont(m, 0.025) low, quantile_cont(m, 0.975) high, avg((m < 0)::int) below_zero from e_ where m is not null group by 1, 2""")
 def x6(spark, sf):
-    naive = (F.col("kw") >= F.col("thr")).cast("int")
-    n = lambda a, v, l: F.count_if((a == v) & (F.col("label") == l))
-    days = scored(spark, sf).groupBy("series_id", F.to_date("ts15").alias("day")).agg(n(F.col("alert"), 1, 0).alias("fp_a"), n(F.col("alert"), 0, 1).alias("missed_a"), n(naive, 1, 0).alias("fp_b"), n(naive, 0, 1).alias("missed_b"), F.sum("label").alias("events"))
-    return st.cost_bootstrap(days, K, ["day"], 10, 300, 9)
+    """Whether the escalation chosen on SEL costs less than the single policy chosen there, by
+    resampled days of TEST and of LOCK; an event counts on the day of its onset."""
+    book = day_book(spark, sf)
+    picks = lg.select_then_apply(cut(lg.costs(book, [10], K)), K)
+    one = lambda scope, name: picks.where(F.col("scope") == scope).select("series_id", F.col("place").alias(name)).distinct()
+    chosen = one("escalation_only", "place_a").join(one("single_only", "place_b"), "series_id")
+    return st.cost_bootstrap(lg.paired_days(book.where("part <> 'SEL'"), chosen, K, "day"), ["series_id", "part"], ["day"], 10, 300, 9)
 
 
 # ---- searches of shapes
