@@ -25,6 +25,8 @@ from wattloom.session import cut, ship
 
 #: Pieces that one rank cell should hold, on average, if all had one length.
 CELL = 20_000
+#: Rows of (partition, length) that are sent to all tasks: 24 MB.
+CELLS = 1 << 20
 
 SEGMENT = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "lo", "hi", "first", "per", "at")])
 
@@ -230,7 +232,6 @@ def pack(pieces: DataFrame, capacity: int, planner: Callable[[dict[int, int], in
 
     The plan is bounded by capacity alone (a pattern uses up a length, or leaves less of it
     than one bin holds), so its segments are broadcast."""
-    spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     segments = planner(histogram, capacity)
     total = sum(histogram.values())
@@ -243,11 +244,47 @@ def pack(pieces: DataFrame, capacity: int, planner: Callable[[dict[int, int], in
     cells = cells.select(*key, F.coalesce(before, F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "piece", "ids_crc32"))
     ranked = salted.withColumn("within", within).join(cells, key).withColumn("rank", F.col("before") + F.col("within") - 1)
+    return _placed(ranked, pieces.columns, segments)
+
+
+def pack_in_place(pieces: DataFrame, capacity: int, planner: Callable[[dict[int, int], int], list[tuple]]) -> DataFrame:
+    """As pack, but pieces with large columns are not dealt by length for their ranks: each
+    partition numbers its own, from where the partitions before it end. pieces must be a
+    checkpointed table, whose rows keep their partitions and their order. What the partitions
+    begin with is a row per partition and length; beyond CELLS of them pack does the work."""
+    cells = cut(pieces.groupBy(F.spark_partition_id().alias("part"), "length").agg(F.count("*").alias("n")))
+    if cells.count() > CELLS:
+        return pack(pieces, capacity, planner)
+    histogram = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
+    at = pieces.columns.index("length")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            length = batch.column(at).to_numpy()
+            order = np.argsort(length, kind="stable")
+            ordered = length[order]
+            first = np.searchsorted(ordered, ordered)
+            within = np.empty(len(length), np.int64)
+            within[order] = np.arange(len(length)) - first + seen[ordered]
+            seen += np.bincount(length, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(within)], names=[*batch.schema.names, "within"])
+
+    counted = pieces.mapInArrow(number, T.StructType([*pieces.schema.fields, T.StructField("within", T.LongType())])).withColumn("part", F.spark_partition_id())
+    ranked = counted.join(F.broadcast(cells), ["part", "length"]).withColumn("rank", F.col("before") + F.col("within"))
+    return _placed(ranked, pieces.columns, planner(histogram, capacity))
+
+
+def _placed(ranked: DataFrame, columns: list[str], segments: list[tuple]) -> DataFrame:
+    """ranked pieces (length, rank) with the places that the plan's segments give them."""
+    spark = ranked.sparkSession
     table = F.broadcast(spark.createDataFrame(segments, SEGMENT).withColumnRenamed("length", "of"))
     placed = ranked.join(table, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     step = F.col("rank") - F.col("lo")
     return placed.select(
-        *pieces.columns,
+        *columns,
         (F.col("first") + F.floor(step / F.col("per"))).cast("long").alias("sequence_id"),
         (F.col("at") + step % F.col("per") * F.col("length")).cast("long").alias("offset"),
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.packing import best_fit_decreasing, pack, split_tokens
+from wattloom.llm.packing import best_fit_decreasing, pack_in_place, split_tokens
 from wattloom.llm.tokens import tokenizer
 from wattloom.session import cut, scratch, ship
 
@@ -39,7 +39,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, capacity: int = 2048,
     if capacity > 1 << 16:
         raise ValueError("positions are 16-bit: capacity is at most 65536")
     kind = "<u2" if max(tokenizer(path).model.get_vocab_size() - 1, pad_id, end_id) < 1 << 16 else "<u4"
-    placed = pack(cut(split_tokens(docs, path, capacity, end_id, kind)), capacity, best_fit_decreasing)
+    placed = pack_in_place(cut(split_tokens(docs, path, capacity, end_id, kind)), capacity, best_fit_decreasing)
     shard = F.floor(F.col("sequence_id") / SHARD).cast("long").alias("shard")
     piece = F.struct("sequence_id", "offset", "doc_id", "piece", "ids")
     # at most SHARD * capacity ids
