@@ -161,7 +161,7 @@ def x6(spark, sf):
 
 
 # ---- searches of shapes
-@register("x12_dtw_pairs", "series_id at_a:i at_b:i dtw:f")
+@register("x12_dtw_pairs", "series_id at_a:i at_b:i dtw:f warped:i")
 def x12(spark, sf):
     from wattloom.operators import events as ev
 
@@ -169,7 +169,7 @@ def x12(spark, sf):
     return sh.nearest_dtw(shapes, "shape", K, "at", band=3)
 
 
-@register("x13_discords", "series_id at:i distance:f")
+@register("x13_discords", "series_id at:i distance:f looked:i")
 def x13(spark, sf):
     return sh.discords(demand(spark, sf), "kw", 20, 2, K, S)
 
