@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wattloom.operators import diagnosis as dg, intervals as iv, models as ml, policy as pl
 
 Names = Sequence[str]
-TABLES = ("conformal", "widths", "thresholds", "ramps", "distance", "leaves_1", "leaves_4")
+TABLES = ("conformal", "widths", "thresholds", "ramps", "distance")
 
 
 def fit_bundle(history: DataFrame, cal: DataFrame, features: Names, horizons: Sequence[int], qs: Sequence[float], keys: Names, step: str, kind: str = "ridge") -> tuple[dict, dict]:
@@ -41,7 +41,7 @@ def fit_bundle(history: DataFrame, cal: DataFrame, features: Names, horizons: Se
 
 def load(spark: SparkSession, path: str, horizons: Sequence[int]) -> tuple[dict, dict]:
     names = [f"{k}_{h}" for h in horizons for k in ("point", "leaf")]
-    return ml.load_bundle(spark, path, names, [*[t for t in TABLES if not t.startswith("leaves")], *[f"leaves_{h}" for h in horizons]])
+    return ml.load_bundle(spark, path, names, [*TABLES, *[f"leaves_{h}" for h in horizons]])
 
 
 def score(rows: DataFrame, bundle: tuple[dict, dict], features: Names, early_q: float, confirm_q: float, gate: str, keys: Names, step: str, early_h: int = 4, confirm_h: int = 1) -> DataFrame:
@@ -51,7 +51,7 @@ def score(rows: DataFrame, bundle: tuple[dict, dict], features: Names, early_q:
     d = rows
     far = tables["distance"].first()
     d = d.withColumn("_maha", iv.mahalanobis_of(features, list(far["mean"]), np.array(far["inverse"]).reshape(len(features), -1)))
-    for h in (early_h, confirm_h):
+    for h in sorted(int(n.removeprefix("point_")) for n in models if n.startswith("point_")):
         d = ml.predict_point(models[f"point_{h}"], d, base="kw", name=f"forecast_h{h}")
         d = ml.predict_quantiles(models[f"leaf_{h}"], tables[f"leaves_{h}"], d, [*keys, step], [f"_lo{h}", f"_hi{h}"])
         own = lambda t, *c: tables[t].where(F.col("h") == h).select(*keys, *c)  # noqa: B023, E731

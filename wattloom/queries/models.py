@@ -183,35 +183,72 @@ def m17(spark, sf):
     return errors(at_horizon(t), "horizon", "fold")
 
 
-@register("m18_duplicate_variants", "series_id variant n:i mae:f naive_mae:f")
+def weighted_models(long, names, fits):
+    """(fold, variant, model, intercept, coef) of training rows that stand once per fold and
+    variant with a weight _w."""
+    return ln.solve(ln.moments(long, [*names, *YS], ["fold", "variant"], "_w"), [*names, *YS], fits)
+
+
+def training(d):
+    """Rows of TRAIN and CAL, once per fold."""
+    long = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
+    return long.where(F.substr("roles", F.col("fold") + 1, F.lit(1)).isin("T", "C"))
+
+
+def each_weight(long, weights):
+    return long.withColumn("_v", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), w.cast("double").alias("_w")) for n, w in weights.items()]))).select("*", "_v.*").drop("_v").where("_w > 0")
+
+
+@register("m18_duplicate_variants", "series_id variant horizon:i n:i mae:f naive_mae:f")
 def m18(spark, sf):
-    train, cal, test = parts(spark, sf)
-    return errors(ml.duplicate_variants(train.unionByName(cal), test, X, "y", "kw", ["series_id", "kw", "score", "seasonal"], S, F.col("clean") == 1), "variant")
+    """All rows, the first of each group of repeats, all weighted by one over their group's
+    size, and clean rows alone: weights of one pass, on one fixed test set."""
+    d = by_roles(spark, sf)
+    group = Window.partitionBy("fold", "series_id", "kw", "score", "seasonal")
+    long = training(d).withColumns({"_n": F.count("*").over(group), "_rn": F.row_number().over(group.orderBy(S))})
+    long = each_weight(long, {"raw": F.lit(1), "first": F.col("_rn") == 1, "weighted": 1 / F.col("_n"), "clean": F.col("clean")})
+    models = cut(weighted_models(long, X, [ln.Fit.of(f"m|{h}", X, f"y_h{h}", "kw", "ridge") for h in (1, 2, 3, 4)]))
+    all_four = models.groupBy("fold").agg(F.count_distinct("variant").alias("_k")).where("_k = 4")  # early folds have no clean rows
+    models = models.join(all_four, "fold", "left_semi")
+    return errors(at_horizon(ln.predict(tests_of(d), F.broadcast(models), X, ["fold"])), "variant", "horizon")
 
 
 PUBLIC = [*X, "tod_sin1", "tod_cos1", "tod_sin2", "tod_cos2"]
 
 
-@register("m19_mode_gate", "fold:i mode gain:f peak_loss:f width_loss:f")
-def m19(spark, sf):
-    def each(train, cal, test):
-        d = cal
-        for mode, features in (("core", X), ("public", PUBLIC)):
-            d = ml.predict_point(ml.fit_point(train, features, "y", "ridge", base="kw"), d, base="kw", name=f"pred_{mode}")
-            m, leaves = ml.fit_quantiles(train, features, "y", [0.05, 0.95])
-            d = ml.predict_quantiles(m, cut(leaves), d, ["series_id", "step"], ["_l", "_h"]).withColumn(f"width_{mode}", F.col("_h") - F.col("_l")).drop("_l", "_h")
-        return ml.mode_gate(d, "y", "label", ["fold"])
+MODES = {"core": X, "public": PUBLIC}
+
 
-    return ml.over_folds(frame(spark, sf), each, range(FOLDS))
+def gates(d):
+    """(fold, horizon, gain, peak_loss, width_loss, mode) by CAL forecasts of models of TRAIN;
+    widths are those of the 90 % conformal interval of a mode's errors."""
+    fits = [ln.Fit.of(f"{mode}|{h}", x, f"y_h{h}", "kw", "ridge") for mode, x in MODES.items() for h in (1, 2, 3, 4)]
+    cal = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).where(F.substr("roles", F.col("fold") + 1, F.lit(1)) == "C")
+    p = at_horizon(ln.predict(cal, F.broadcast(fold_models(d, PUBLIC, fits, letters="T")), PUBLIC, ["fold"]))
+    p = p.withColumn("peak", (F.col("y") >= F.col("thr")).cast("int"))
+    wide = p.groupBy("fold", "horizon", "series_id", S, "y", "peak").pivot("model", list(MODES)).agg(F.first("pred"))
+    wide = wide.withColumnsRenamed({m: f"pred_{m}" for m in MODES})
+    width = lambda m: (2 * F.percentile(F.abs(F.col("y") - F.col(f"pred_{m}")), F.lit(0.9))).alias(f"width_{m}")
+    widths = wide.groupBy("fold", "horizon").agg(*[width(m) for m in MODES])
+    return ml.mode_gate(wide.join(F.broadcast(widths), ["fold", "horizon"]), "y", "peak", ["fold", "horizon"])
 
 
-@register("m38_refit_all", "series_id n:i mean_forecast:f")
+@register("m19_mode_gate", "fold:i horizon:i mode gain:f peak_loss:f width_loss:f")
+def m19(spark, sf):
+    return gates(by_roles(spark, sf))
+
+
+@register("m38_refit_all", "series_id horizon:i mode n:i mean_forecast:f")
 def m38(spark, sf):
-    """A model of all history, used on the rows whose target is still to come."""
-    d = frame(spark, sf, 2)
-    history = d.where("fold = 1")
-    m = ml.fit_point(history, PUBLIC, "y_h4", "ridge", base="kw")
-    return ml.predict_point(m, history.where("role = 'TEST'"), base="kw").groupBy("series_id").agg(F.count("*").alias("n"), F.avg("pred").alias("mean_forecast"))
+    """At every horizon the mode that the last fold's gate takes, fitted on all history, on the
+    rows of the last test block."""
+    d = by_roles(spark, sf)
+    mode = gates(d).where(F.col("fold") == FOLDS - 1).select(F.concat(F.lower("mode"), F.lit("|"), "horizon").alias("model"), "mode")
+    fits = [ln.Fit.of(f"{m}|{h}", x, f"y_h{h}", "kw", "ridge") for m, x in MODES.items() for h in (1, 2, 3, 4)]
+    models = ln.solve(ln.moments(d, [*PUBLIC, *YS], []), [*PUBLIC, *YS], fits).join(F.broadcast(mode), "model")
+    new = tests_of(d).where(F.col("fold") == FOLDS - 1)
+    p = new.crossJoin(F.broadcast(models)).withColumn("pred", ln.value(PUBLIC))  # one model a horizon
+    return p.groupBy("series_id", F.split("model", r"\|")[1].cast("int").alias("horizon"), "mode").agg(F.count("*").alias("n"), F.avg("pred").alias("mean_forecast"))
 
 
 SHUT = ["off_run_len", "on_run_len", "restart_recent"]
@@ -291,13 +328,19 @@ def m23(spark, sf):
     return out
 
 
-@register("m24_distance_weight", "series_id variant n:i mae:f naive_mae:f")
+@register("m24_distance_weight", "series_id variant horizon:i n:i mae:f naive_mae:f")
 def m24(spark, sf):
-    train, cal, test = parts(spark, sf)
-    fit = train.unionByName(cal)
-    far, limit = iv.mahalanobis(train, fit, X[:4])
-    one = lambda d, w, n: ml.predict_point(ml.fit_point(d, X, "y", "ridge", "kw", w), test, "kw").withColumn("variant", F.lit(n))
-    return errors(one(fit, None, "plain").unionByName(one(ml.distance_weight(far, "maha", limit), "_w", "distance")), "variant")
+    """Training rows weighted by their distance from TRAIN's centre, against plain ones."""
+    d = by_roles(spark, sf)
+    long = None
+    for f in range(FOLDS):  # a covariance of four features a fold
+        fit = training(d).where(F.col("fold") == f)
+        train = fit.where(F.substr("roles", F.lit(f + 1), F.lit(1)) == "T")
+        far, limit = iv.mahalanobis(train, fit, X[:4])
+        part = ml.distance_weight(far, "maha", limit, "_far")
+        long = part if long is None else long.unionByName(part)
+    models = weighted_models(each_weight(long, {"plain": F.lit(1), "distance": F.col("_far")}), X, [ln.Fit.of(f"m|{h}", X, f"y_h{h}", "kw", "ridge") for h in (1, 2, 3, 4)])
+    return errors(at_horizon(ln.predict(tests_of(d), F.broadcast(models), X, ["fold"])), "variant", "horizon")
 
 
 @register("m25_transfer", "series_id horizon:i fold:i n:i local_mae:f others_mae:f naive_mae:f within_10:i beats_naive:i")
@@ -364,15 +407,15 @@ def bundle(spark, sf):
     """A saved and reloaded bundle, and the rows to score."""
     train, cal, test = parts(spark, sf)
     path = scratch(spark, "bundle")
-    ml.save_bundle(path, *sc.fit_bundle(train, cal, BUNDLE, [1, 4], [0.5, 0.7, 0.9], K, S))
-    return sc.load(spark, path, [1, 4]), test
+    ml.save_bundle(path, *sc.fit_bundle(train, cal, BUNDLE, [1, 2, 3, 4], [0.5, 0.7, 0.9], K, S))
+    return sc.load(spark, path, [1, 2, 3, 4]), test
 
 
 def scored_rows(rows, loaded):
     return sc.score(rows, loaded, BUNDLE, 0.7, 0.9, "confirm_only_if_unsure", K, S)
 
 
-OPERATOR = "series_id step:i forecast_h1:f forecast_h4:f interval_low_h4:f interval_high_h4:f reliability_h4 risk_h4:f early:i alert:i regime explained:i gap:i advisory_level"
+OPERATOR = "series_id step:i forecast_h1:f forecast_h2:f forecast_h3:f forecast_h4:f interval_low_h4:f interval_high_h4:f reliability_h4 risk_h4:f early:i alert:i regime explained:i gap:i advisory_level"
 
 
 @register("m33_batch_scoring", OPERATOR)
@@ -381,11 +424,11 @@ def m33(spark, sf):
     return scored_rows(test, loaded)
 
 
-@register("s10_prediction_file", "series_id step:i forecast_h1:f forecast_h4:f actual_h1:f actual_h4:f")
+@register("s10_prediction_file", "series_id step:i " + " ".join(f"forecast_h{h}:f actual_h{h}:f" for h in (1, 2, 3, 4)))
 def s10(spark, sf):
     loaded, test = bundle(spark, sf)
     path = scratch(spark, "predictions")
-    scored_rows(test, loaded).select("series_id", S, "forecast_h1", "forecast_h4", F.col("y_h1").alias("actual_h1"), F.col("y_h4").alias("actual_h4")).write.parquet(path)
+    scored_rows(test, loaded).select("series_id", S, *[f"forecast_h{h}" for h in (1, 2, 3, 4)], *[F.col(f"y_h{h}").alias(f"actual_h{h}") for h in (1, 2, 3, 4)]).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -403,21 +446,27 @@ def w6(spark, sf):
 FAMILIES = {"amplitude": ["a"], "level": ["b"], "shape": ["c", "d"], "all": ["a", "b", "c", "d"]}
 
 
-def auc_of(train, test, features):
-    p = ml.predict_probability(ml.fit_classifier(train, features, "label", "logistic"), test).withColumn("p", F.round("p", 9))
-    return mt.roc_auc(p.withColumn("all_", F.lit(0)), "label", "p", ["all_"]).select("auc")
+def fold_aucs(d, names, fits, by=()):
+    """(by..., model, fold, auc): linear discriminant scores of each fold by the moments of all
+    other folds, the total less its own; no fit per family."""
+    names = [*names, "_y"]
+    d = d.withColumn("_y", F.col("label").cast("double"))
+    own = cut(ln.moments(d, names, [*by, "fold"]))
+    rest = ln.without(ln.added(own, list(by), len(names)), own, list(by)) if by else own.withColumnRenamed("m", "_own").crossJoin(F.broadcast(ln.added(own, [], len(names)))).withColumn("m", F.zip_with("m", "_own", lambda x, y: x - y)).drop("_own")
+    models = ln.solve(rest.select(*by, "fold", "m"), names, fits)
+    p = ln.predict(d, F.broadcast(models), names[:-1], [*by, "fold"]).withColumn("p", F.round("pred", 9))
+    return mt.roc_auc(p, "label", "p", [*by, "model", "fold"])
 
 
-@register("m35_feature_families", "family quantised:i auc:f")
+@register("m35_feature_families", "family quantised:i auc:f folds:i")
 def m35(spark, sf):
+    """Mean AUC over five folds of whole machines, of every family, plain and quantised."""
     d = shots(spark, sf)
     d = cut(iv.group_kfold(d, "machine", "label", 5).withColumns({"a_q": clean.requantise("a", 5.0), "b_q": clean.requantise("b", 1000.0), "c_q": clean.requantise("c", 0.05), "d_q": clean.requantise("d", 0.05)}))
-    out = None
-    for family, columns in FAMILIES.items():
-        for q in (0, 1):
-            r = auc_of(d.where("fold <> 0"), d.where("fold = 0"), [f"{c}_q" for c in columns] if q else columns).select(F.lit(family).alias("family"), F.lit(q).alias("quantised"), "auc")
-            out = r if out is None else out.unionByName(r)
-    return out
+    names = ["a", "b", "c", "d", "a_q", "b_q", "c_q", "d_q"]
+    fits = [ln.Fit.of(f"{family}|{q}", [f"{c}_q" for c in columns] if q else columns, "_y") for family, columns in FAMILIES.items() for q in (0, 1)]
+    part = F.split("model", r"\|")
+    return fold_aucs(d, names, fits).groupBy(part[0].alias("family"), part[1].cast("int").alias("quantised")).agg(F.avg("auc").alias("auc"), F.count("auc").alias("folds"))
 
 
 @register("m36_baseline_table", "series_id model horizon:i mae:f difference:f low:f high:f")
@@ -435,18 +484,17 @@ def m36(spark, sf):
     return errors(p, "model", "horizon").join(boot, by)
 
 
-@register("m37_split_contrast", "split auc:f")
+@register("m37_split_contrast", "split auc:f folds:i")
 def m37(spark, sf):
-    d = shots(spark, sf)
-    groups = iv.group_kfold(d, "machine", "label", 5).withColumn("part", F.when(F.col("fold") == 0, "test").otherwise("train")).drop("fold")
-    leaky = d.withColumn("part", F.when(uniform(F.lit("leaky"), "id") < 0.2, "test").otherwise("train"))
-    late = d.crossJoin(F.broadcast(d.agg(F.percentile_approx(F.unix_date("day"), F.lit(0.8)).alias("_c")))).withColumn("part", F.when(F.unix_date("day") > F.col("_c"), "test").otherwise("train")).drop("_c")
-    out = None
-    for name, rows in (("leaky", leaky), ("grouped", groups), ("temporal", late)):
-        rows = cut(rows)
-        r = auc_of(rows.where("part = 'train'"), rows.where("part = 'test'"), ["a", "b", "c", "d"]).select(F.lit(name).alias("split"), "auc")
-        out = r if out is None else out.unionByName(r)
-    return out
+    """The same model under random folds of rows, folds of whole machines and folds of time."""
+    d = cut(shots(spark, sf))
+    groups = iv.group_kfold(d, "machine", "label", 5)
+    leaky = d.withColumn("fold", F.floor(uniform(F.lit("leaky"), "id") * 5).cast("int"))
+    ends = d.agg(F.percentile_approx(F.unix_date("day"), [0.2, 0.4, 0.6, 0.8], 10000).alias("_e"))
+    late = d.crossJoin(F.broadcast(ends)).withColumn("fold", F.size(F.filter("_e", lambda e: e < F.unix_date("day")))).drop("_e")
+    tagged = lambda rows, name: rows.select("id", "a", "b", "c", "d", "label", F.col("fold").cast("int").alias("fold"), F.lit(name).alias("split"))
+    rows = cut(tagged(leaky, "leaky").unionByName(tagged(groups, "grouped")).unionByName(tagged(late, "temporal")))
+    return fold_aucs(rows, ["a", "b", "c", "d"], [ln.Fit.of("lda", ["a", "b", "c", "d"], "_y")], ["split"]).groupBy("split").agg(F.avg("auc").alias("auc"), F.count("auc").alias("folds"))
 
 
 @register("m39_classifier_benchmark", "model target window tp:i fp:i fn:i tn:i f1:f mcc:f")
