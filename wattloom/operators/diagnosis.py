@@ -53,11 +53,26 @@ def routing(df: DataFrame, error: str, covered: str, peak: str, by: Sequence[str
     return df.groupBy(*by, cell.alias("cell")).agg(F.count("*").alias("n"), F.avg(error).alias("mae"), F.avg(covered).alias("coverage"), F.avg(peak).alias("prevalence"))
 
 
-def flag_validation(df: DataFrame, names: Sequence[str], error: str, covered: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per flag: rows, and error and coverage inside against outside it."""
-    long = df.unpivot([*by, error, covered], list(names), "flag", "on")
+def flag_validation(df: DataFrame, names: Sequence[str], error: str, covered: str, peak: str, by: Sequence[str], high: float = 0.8) -> DataFrame:
+    """Per flag: rows, share, error, coverage and peaks inside against outside it, and how well
+    it tells large errors (over their quantile `high` in the group): AUC, AP and AP over the
+    share of large errors. A flag has two scores, so both follow from four counts."""
+    cut = df.groupBy(*by).agg(F.percentile(error, F.lit(high)).alias("_cut"))
+    d = df.join(cut, list(by)).withColumn("_high", (F.col(error) >= F.col("_cut")).cast("int"))
+    long = d.unpivot([*by, error, covered, peak, "_high"], list(names), "flag", "on")
     inside = lambda c, v: F.avg(F.when(F.col("on") == v, F.col(c)))
-    return long.groupBy(*by, "flag").agg(F.sum("on").alias("n"), (inside(error, 1) / F.nullif(inside(error, 0), F.lit(0.0))).alias("mae_ratio"), inside(covered, 1).alias("coverage_in"), inside(covered, 0).alias("coverage_out"))
+    n, flagged = F.count("*"), F.sum("on")
+    positives, hits = F.sum("_high"), F.sum(F.col("on") * F.col("_high"))
+    g = long.groupBy(*by, "flag").agg(
+        flagged.alias("n"), F.avg("on").alias("share"), inside(error, 1).alias("mae_in"), inside(error, 0).alias("mae_out"), inside(covered, 1).alias("coverage_in"), inside(covered, 0).alias("coverage_out"),
+        inside(peak, 1).alias("peaks_in"), n.alias("_n"), positives.alias("_p"), hits.alias("_tp"),
+    )
+    part = lambda a, b: a / F.nullif(b, F.lit(0))
+    recall, false = part(F.col("_tp"), F.col("_p")), part(F.col("n") - F.col("_tp"), F.col("_n") - F.col("_p"))
+    rate = F.col("_p") / F.col("_n")
+    ap = recall * F.coalesce(part(F.col("_tp"), F.col("n")), F.lit(0.0)) + (1 - recall) * rate
+    g = g.withColumns({"mae_ratio": F.col("mae_in") / F.nullif("mae_out", F.lit(0.0)), "auc": 0.5 + (recall - false) / 2, "ap": ap})
+    return g.withColumn("lift", F.col("ap") / F.nullif(rate, F.lit(0.0))).drop("_n", "_p", "_tp")
 
 
 def forbidden(df: DataFrame, column: str, phrases: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

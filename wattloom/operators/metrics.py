@@ -84,6 +84,19 @@ def average_precision(df: DataFrame, label: str, score: str, by: Keys) -> DataFr
     return c.groupBy(*by).agg(F.sum(F.col("pos") / F.nullif(F.col("n_pos"), F.lit(0)) * (F.col("tp") / F.col("n_cut"))).alias("ap"))
 
 
+def screening_power(df: DataFrame, label: str, score: str, error: str, by: Keys) -> DataFrame:
+    """How well a score screens for a label: rows, positives, prevalence, AUC, AP, AP over the
+    prevalence, and the mean of the error column. Rows without a label do not count."""
+    d = df.where(F.col(label).isNotNull())
+    counts = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum(label).alias("n_peak"), F.avg(label).alias("prevalence"), F.avg(error).alias("mae"))
+    c = cumulative(d, label, score, by)
+    neg = (F.col("rows") - F.col("pos")).cast("double")
+    auc = F.sum(neg * (F.col("tp") - F.col("pos") / 2)) / F.nullif(F.max("n_pos").cast("double") * (F.max("n_all") - F.max("n_pos")), F.lit(0.0))
+    ap = F.sum(F.col("pos") / F.nullif(F.col("n_pos"), F.lit(0)) * (F.col("tp") / F.col("n_cut")))
+    both = counts.join(c.groupBy(*by).agg(auc.alias("auc"), ap.alias("ap")), list(by))
+    return both.withColumn("ap_lift", F.col("ap") / F.nullif(F.col("prevalence"), F.lit(0.0)))
+
+
 def best_f1_cut(df: DataFrame, label: str, score: str, by: Keys, largest: bool = False) -> DataFrame:
     """The cut of the best F1; of equals the smallest, or the largest, threshold."""
     c = cumulative(df, label, score, by)

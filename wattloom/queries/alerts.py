@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wattloom.operators import audit as au, diagnosis as dg, events as ev, intervals as iv, ledger as lg, metrics as mt, policy as pl
+from wattloom.operators import audit as au, clean, diagnosis as dg, events as ev, intervals as iv, ledger as lg, metrics as mt, policy as pl
 from wattloom.operators.features import over
 from wattloom.queries.base import K, S, SCORED, register, scored
 from wattloom.queries.meter import W, runs_sql
@@ -87,16 +87,20 @@ def v9(spark, sf):
     return d.groupBy("series_id").agg(F.sum("a").alias("exact"), F.sum("b").alias("within30"), F.sum("c").alias("within60"))
 
 
-@register("v10_horizon_power", "horizon:i ap_lift:f", SCORED + ", h_ as (" + " union all ".join(f'select {h} horizon, score, lead(peak, {h}) over ({W}) lb from scored' for h in (1, 2, 4)) + """), s_ as (select horizon, score, sum(lb) pos, count(*) nr from h_ where lb is not null group by 1, 2), u_ as (select *, sum(pos) over (partition by horizon order by score desc) tp, sum(nr) over (partition by horizon order by score desc) n, sum(pos) over (partition by horizon) p, sum(nr) over (partition by horizon) t from s_)
-select horizon, sum(pos / p * (tp / n)) / (max(p) / max(t)) ap_lift from u_ group by 1""")
+H_SQL = " union all ".join(f"select {h} horizon, ts15, score, lead(peak, {h}) over ({W}) lb, abs(lead(kw, {h}) over ({W}) - score) err from scored" for h in (1, 2, 3, 4))
+
+
+@register("v10_horizon_power", "window horizon:i n:i n_peak:i prevalence:f auc:f ap:f ap_lift:f mae:f", SCORED + f", h0_ as ({H_SQL}), h_ as (select 'all' \"window\", * from h0_ where lb is not null union all select 'clean', * from h0_ where lb is not null and ts15 >= timestamp '2024-01-16')" + """,
+s_ as (select "window", horizon, score, sum(lb) pos, count(*) nr from h_ group by 1, 2, 3), u_ as (select *, sum(pos) over (partition by "window", horizon order by score desc) tp, sum(nr) over (partition by "window", horizon order by score desc) n, sum(pos) over (partition by "window", horizon) p, sum(nr) over (partition by "window", horizon) t from s_),
+a_ as (select "window", horizon, sum(pos / p * (tp / n)) ap, sum((nr - pos) * (tp - pos / 2.0)) / (max(p) * (max(t) - max(p))) auc from u_ group by 1, 2),
+c_ as (select "window", horizon, count(*) n, sum(lb) n_peak, avg(lb) prevalence, avg(err) mae from h_ group by 1, 2)
+select c_.*, auc, ap, ap / prevalence ap_lift from c_ join a_ on a_."window" = c_."window" and a_.horizon = c_.horizon""")
 def v10(spark, sf):
-    d = scored(spark, sf)
-    w = over(K, S)
-    d = d.withColumns({f"lb{h}": F.lead("peak", h).over(w) for h in (1, 2, 4)})
-    long = d.select("score", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"lb{h}").alias("lb")) for h in (1, 2, 4)])).alias("x"))
-    long = long.select("score", "x.horizon", "x.lb").where("lb is not null")
-    rate = long.groupBy("horizon").agg(F.avg("lb").alias("rate"))
-    return mt.average_precision(long, "lb", "score", ["horizon"]).join(rate, "horizon").select("horizon", (F.col("ap") / F.col("rate")).alias("ap_lift"))
+    d, w, hs = scored(spark, sf), over(K, S), (1, 2, 3, 4)
+    d = d.withColumns({f"lb{h}": F.lead("peak", h).over(w) for h in hs} | {f"ahead{h}": F.lead("kw", h).over(w) for h in hs})
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"lb{h}").alias("lb"), F.abs(F.col(f"ahead{h}") - F.col("score")).alias("err")) for h in hs])
+    long = clean.window_tags(d.select("ts15", "score", F.inline(each)), F.col("ts15") >= F.lit("2024-01-16").cast("timestamp_ntz"))
+    return mt.screening_power(long, "lb", "score", "err", ["window", "horizon"])
 
 
 @register("v12_error_by_hour", "series_id hour:i mae:f n:i", SCORED + """select series_id, "hour", avg(abs(y - score)) mae, count(*) n from scored group by 1, 2""")
@@ -541,9 +545,12 @@ def d5(spark, sf):
     return dg.routing(diagnosed(spark, sf), "err", "hit", "peak", K)
 
 
-@register("d6_flag_validation", "series_id flag n:i mae_ratio:f coverage_in:f coverage_out:f", DIAG + ", u_ as (" + " union all ".join(f"select series_id, '{n}' flag, {c}::int f, err, hit from g_" for n, c in (("unsure", "uns"), ("explained", "xpl"), ("gap", "gap"))) + ") select series_id, flag, sum(f) n, avg(err) filter (where f = 1) / nullif(avg(err) filter (where f = 0), 0) mae_ratio, avg(hit) filter (where f = 1) coverage_in, avg(hit) filter (where f = 0) coverage_out from u_ group by 1, 2")
+@register("d6_flag_validation", "series_id flag n:i share:f mae_in:f mae_out:f mae_ratio:f coverage_in:f coverage_out:f peaks_in:f auc:f ap:f lift:f", DIAG + ", q8_ as (select series_id, quantile_cont(err, 0.8) q8 from g_ group by 1), u_ as (" + " union all ".join(f"""select g_.series_id, '{n}' flag, {c}::int f, err, hit, "label" pk, (err >= q8)::int hi from g_ join q8_ on q8_.series_id = g_.series_id""" for n, c in (("unsure", "uns"), ("explained", "xpl"), ("gap", "gap"))) + """),
+dv_ as (select series_id, flag, sum(f) n, avg(f) share, avg(err) filter (where f = 1) mae_in, avg(err) filter (where f = 0) mae_out, avg(hit) filter (where f = 1) coverage_in, avg(hit) filter (where f = 0) coverage_out, avg(pk) filter (where f = 1) peaks_in, count(*) t, sum(hi) p, sum(f * hi) tp from u_ group by 1, 2),
+dw_ as (select *, tp / nullif(p, 0) rc, (n - tp) / nullif(t - p, 0) fr, p / t rate from dv_)
+select *, mae_in / nullif(mae_out, 0) mae_ratio, 0.5 + (rc - fr) / 2 auc, rc * coalesce(tp / nullif(n, 0), 0) + (1 - rc) * rate ap, (rc * coalesce(tp / nullif(n, 0), 0) + (1 - rc) * rate) / nullif(rate, 0) lift from dw_""")
 def d6(spark, sf):
-    return dg.flag_validation(diagnosed(spark, sf), ["unsure", "explained", "gap"], "err", "hit", K)
+    return dg.flag_validation(diagnosed(spark, sf), ["unsure", "explained", "gap"], "err", "hit", "label", K)
 
 
 @register("d7_distribution", "level n:i share:f", DIAG + ", l_ as (select case when ood then 'HUMAN_REVIEW' when alr and not uns then 'CONFIRMED_WARNING' when alr then 'LOW_CONFIDENCE_WARNING' when gap then 'INFORMATION_GAP' when erl then 'EARLY_WATCH' else 'NORMAL' end level, count(*) n from g_ group by 1) select level, n, n / sum(n) over () share from l_")
