@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.special import uniform
+from wattloom.plans.quantiles import quantiles
 from wattloom.plans.ranks import numbered
 
 Keys = Sequence[str]
@@ -97,13 +98,13 @@ def order_auc(df: DataFrame, label: str, order: str) -> DataFrame:
 
 def equal_bins(df: DataFrame, x: str, y: str, split: str, bins: int, by: Keys = ()) -> DataFrame:
     """Rows in bins between quantiles of x; per bin the mean of y where split is below and
-    above its bin median."""
-    edges = df.groupBy(*by).agg(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_e"))
-    d = df.join(edges, list(by)) if by else df.crossJoin(edges)
+    above its bin median. Groups are few."""
+    edges = F.broadcast(quantiles(df, x, [i / bins for i in range(1, bins)], by, "_e"))
+    d = df.join(edges, list(by), "left") if by else df.crossJoin(edges)
     d = d.withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(x))))
-    cut = d.groupBy(*by, "bin").agg(F.percentile(split, F.lit(0.5)).alias("_m"))
-    d = d.join(cut, [*by, "bin"])
-    low = F.col(split) <= F.col("_m")
+    cut = F.broadcast(quantiles(d, split, [0.5], [*by, "bin"], "_m"))
+    d = d.join(cut, [*by, "bin"], "left")
+    low = F.col(split) <= F.col("_m")[0]
     return d.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(F.when(low, F.col(y))).alias("y_low"), F.avg(F.when(~low, F.col(y))).alias("y_high"))
 
 
