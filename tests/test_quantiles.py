@@ -30,3 +30,7 @@ def test_equal_bins_without_a_task_of_all_values(spark, sf):
     d = spark.createDataFrame([(k % 2, float(k), k % 3, float(k % 7) if k % 5 else None) for k in range(60)], "g int, x double, y int, s double")
     got = au.equal_bins(d, "x", "y", "s", 4, ["g"]).collect()
     assert sorted((r["g"], r["bin"], r["n"]) for r in got) == [(g, b, n) for g in (0, 1) for b, n in enumerate((8, 7, 7, 8))]
+
+
+def test_two_regimes_without_a_task_of_all_values(spark, sf):
+    assert not holds_distinct_values(QUERIES["a15_two_regimes"](spark, sf))
