@@ -90,7 +90,7 @@ def requantise(column: str, step: float) -> Column:
 
 
 def first_per_group(df: DataFrame, keys: Keys, order: Keys) -> DataFrame:
-    """The first row of each group."""
+    """The first row of each group; order must tell all its rows apart, or any of the first is taken."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 

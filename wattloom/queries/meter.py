@@ -128,7 +128,9 @@ def t13(spark, sf):
 
 @register("t14_first_per_group", "l_orderkey:i l_linenumber:i l_quantity:f", "select l_orderkey, min(l_linenumber) l_linenumber, arg_min(l_quantity, l_linenumber) l_quantity from lineitem group by 1")
 def t14(spark, sf):
-    return clean.first_per_group(table(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber"])
+    # lines of one number: the first in the file, as a scan of it in order takes them
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return clean.first_per_group(li, ["l_orderkey"], ["l_linenumber", "file", "row"])
 
 
 @register("t17_hashed_split", "part n:i", SHOTS + f"select case when {u_sql('7', 'id')} < 0.8 then 'train' else 'test' end part, count(*) n from shots group by 1")
