@@ -35,9 +35,10 @@ def geometry(df: DataFrame, keys: Keys, t: str, tie: str) -> DataFrame:
 
 
 def shape(df: DataFrame, x: str, keys: Keys, t: str, tie: str) -> DataFrame:
-    """Amplitude and shape features per burst, in one aggregation."""
+    """Amplitude and shape features per burst, in one aggregation. A burst's mean is summed in
+    time order, so that a sample beside the mean is on the same side in every run."""
     w = Window.partitionBy(*keys, "seg").orderBy(t, tie)
-    centred = F.col(x) - F.avg(x).over(Window.partitionBy(*keys, "seg"))
+    centred = F.col(x) - F.avg(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     d = df.withColumns({"_c": centred, "_i": F.row_number().over(w)})
     d = d.withColumn("_flip", (F.signum("_c") * F.signum(F.lag("_c").over(w)) < 0).cast("int"))
     peak, rms, mean_abs = F.max(F.abs(x)), F.sqrt(F.avg(F.col(x) * F.col(x))), F.avg(F.abs(x))
