@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from wattloom.operators import audit as au
+from wattloom.operators import audit as au, stats as st
 from wattloom.plans.quantiles import quantiles
 from wattloom.queries import QUERIES
 
@@ -34,3 +34,23 @@ def test_equal_bins_without_a_task_of_all_values(spark, sf):
 
 def test_two_regimes_without_a_task_of_all_values(spark, sf):
     assert not holds_distinct_values(QUERIES["a15_two_regimes"](spark, sf))
+
+
+def test_block_ranks_over_ranges_and_batches(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(f), None if k % 29 == 0 else float(np.round(rng.normal(), int(f) + 1)), int(rng.integers(0, 4)), k % 3 % 2) for f in range(3) for k in range(400)]
+    d = spark.createDataFrame(rows, "form int, v double, _b int, _y int").repartition(6)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = {(r["form"], r["_b"]): (r["n"], r["pos"], r["r"], r["rp"]) for r in st.block_ranks(d, 4).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for form, v, b, y in rows:
+        if v is not None:
+            others = [w for f, w, _, _ in rows if f == form and w is not None]
+            rank = sum(w < v for w in others) + (sum(w == v for w in others) + 1) / 2
+            n, pos, r, rp = want.get((form, b), (0, 0, 0, 0))
+            want[form, b] = n + 1, pos + y, r + rank, rp + y * rank
+    assert got == want
