@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.session import cut
+from wattloom.session import cut, few
 
 #: A key is hot if it holds over 1 / HOT of the rows, and over LEAST rows (fewer of these small
 #: rows are no work for one task): so at most HOT keys are hot, whatever the size of the table,
@@ -19,7 +19,7 @@ def hot_limit(rows: int) -> int:
 
 def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame | None:
     """(key, n) of the hot keys of df, which has so many rows: at most HOT; None if none is."""
-    return some(df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hot_limit(rows))) if rows > LEAST else None
+    return some(few(df.groupBy(key).agg(F.count("*").alias("n")), rows).where(F.col("n") > hot_limit(rows))) if rows > LEAST else None
 
 
 def some(hot: DataFrame) -> DataFrame | None:
@@ -51,17 +51,18 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the least label among neighbours and then the label of that label
     (pointer jumping), so the number of rounds follows the logarithm of a chain's length. A
     node with very many links, or a label of very many nodes, is a hot key of these joins.
-    No links: no rows."""
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    rows = edges.count()
+    No links: no rows. Each step runs in no more tasks than the links need (see few)."""
+    rows = 2 * links.count()
+    links = few(links, rows)
+    edges = cut(few(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), rows))
     hubs = hot_keys(edges, "b", rows)
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    labels = cut(few(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), rows))
     while True:
-        seen = join_hot(edges, labels.withColumnRenamed("node", "b"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = cut(labels.join(seen, "node", "left").select("node", "label", F.least("label", "near").alias("low")))
+        seen = few(join_hot(edges, labels.withColumnRenamed("node", "b"), "b", hubs), rows).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = cut(few(labels.join(seen, "node", "left").select("node", "label", F.least("label", "near").alias("low")), rows))
         jump = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
         new = join_hot(low, jump, "low", hot_keys(low, "low", rows)).select("node", F.col("label").alias("old"), F.least("low", "lower").alias("label"))
-        new = cut(new)
+        new = cut(few(new, rows))
         if new.where("label <> old").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from wattloom.llm import text as tx
 from wattloom.llm.components import components, hot_keys, hot_limit, join_hot, some, tidy
-from wattloom.session import cut, ship
+from wattloom.session import cut, few, ship
 
 WORDS = 5
 COMMON = 0.01
@@ -51,6 +51,8 @@ PAIRS_PER_ENTRY = 4
 SMALL = 32
 #: Texts, and bytes of text, that a block holds on average.
 BLOCK, BLOCK_BYTES = 512, 8_000_000
+#: Pairs of texts, and texts, for a task at least where there are many tasks.
+PAIRS, TEXTS = 500, 2_000
 _POOL = 12
 _U = np.uint64
 
@@ -236,7 +238,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
         spread = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"))
         copies = other.join(F.broadcast(hot), "a", "left").select("a", "text_a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
         both = spread.join(own, "b").join(copies, ["a", "salt"])
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return few(both.select("a", "b", "text_a", "text_b"), rows, PAIRS).mapInArrow(run, "a long, b long")
 
 
 def _digest(text: str = "text"):
@@ -255,20 +257,21 @@ def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     ship(spark)
     idf = idf_table(docs)
     sketch = cut(_sketch(docs, idf))
+    total = sketch.count()
     reps = sketch.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("samples").alias("samples"))
-    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()))
+    reps = cut(few(reps, total).withColumn("node", F.monotonically_increasing_id()))
     # the first leader of a bucket is its text of least doc_id: copies tend to be near an original
     entries = reps.select("node", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("age"), F.posexplode("keys").alias("band", "key")).where("key <> 0").select("node", "age", "band", F.xxhash64("band", "key").alias("key"))
     shared = entries.groupBy("key").agg(F.min_by("node", "age").alias("low"), F.count("*").alias("n")).where("n > 1")
     entries = entries.drop("age")
-    shared = cut(shared)
+    shared = cut(few(shared, BANDS * total))
     labels = spark.createDataFrame([], "node long, label long")
     if size := shared.agg(F.sum("n")).first()[0]:
-        entries = cut(join_hot(entries, shared.select("key", "low"), "key", some(shared.where(F.col("n") > hot_limit(size)).select("key"))))
-        labels = _classes(docs, reps, entries, idf, threshold)
+        entries = cut(few(join_hot(entries, shared.select("key", "low"), "key", some(shared.where(F.col("n") > hot_limit(size)).select("key"))), size))
+        labels = _classes(docs, reps, entries, size, idf, threshold)
     texts = reps.select("node", "digest", "doc_id", "n").join(labels, "node", "left").select("digest", "doc_id", "n", F.coalesce("label", "node").alias("label"))
     group = texts.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.hex("digest")).alias("class_key"))
-    classes = cut(join_hot(texts, group, "label", hot_keys(labels, "label", size or 0)).drop("label"))
+    classes = cut(few(join_hot(texts, group, "label", hot_keys(labels, "label", size or 0)).drop("label"), total))
     return sketch.select("doc_id", "digest"), classes
 
 
@@ -297,40 +300,43 @@ def _hot_texts(counted: DataFrame) -> DataFrame | None:
     return some(counted.where(F.col("n") > hot_limit(counted.agg(F.sum("n")).first()[0] or 0)).select("digest"))
 
 
-def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, idf, threshold: float) -> DataFrame:
-    """(node, label) of the nodes with links. entries: node, band, key, low (the key's leader)."""
+def _classes(docs: DataFrame, reps: DataFrame, entries: DataFrame, size: int, idf, threshold: float) -> DataFrame:
+    """(node, label) of the nodes with links. entries, of so many rows: node, band, key, low
+    (the key's leader)."""
     wanted = entries.select("node").distinct().join(reps.select("node", "digest", _name().alias("name")), "node")
     own = docs.where("text is not null").select(_digest().alias("digest"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("name"), "text")
     hot = _hot_texts(reps)
     if hot is None:
         one = own.join(wanted, ["digest", "name"])
     else:  # rows of a text that very many share become one in the tasks that read them
-        few = own.join(F.broadcast(hot), "digest", "left_semi").groupBy("digest", "name").agg(F.first("text").alias("text"))
-        one = own.join(F.broadcast(hot), "digest", "left_anti").unionByName(few).join(wanted, ["digest", "name"])
-    texts = cut(one.groupBy("digest", "name").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
+        same = own.join(F.broadcast(hot), "digest", "left_semi").groupBy("digest", "name").agg(F.first("text").alias("text"))
+        one = own.join(F.broadcast(hot), "digest", "left_anti").unionByName(same).join(wanted, ["digest", "name"])
+    texts = one.groupBy("digest", "name").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
+    texts = cut(few(texts, size, TEXTS))
     pairs = entries.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     links = None
     before = math.inf
     while True:
-        found = _verify(cut(pairs), texts, idf, threshold)
-        links = cut(found if links is None else links.union(found))
+        found = cut(_verify(cut(few(pairs, size)), texts, idf, threshold))
+        links = found if links is None else links.union(found)
         labels = components(links)
-        labelled = entries.select("key", "band", "node").join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
+        labelled = few(entries.select("key", "band", "node").join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label")), size)
         kinds = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
         divided = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square"), F.count("*").alias("kinds"))
-        divided = cut(divided.where("kinds > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("square")) / 2).alias("pairs")))
+        divided = divided.where("kinds > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("square")) / 2).alias("pairs"))
+        divided = cut(few(divided, size))
         rows, left = divided.agg(F.sum("n"), F.sum("pairs")).first()
         if not left:
             return labels
         hot = some(divided.where(F.col("n") > hot_limit(rows)).select("key"))
-        entries = cut(join_hot(labelled, divided.select("key", "n"), "key", hot))
+        entries = cut(few(join_hot(labelled, divided.select("key", "n"), "key", hot), rows))
         del found, pairs, labelled, kinds, divided
         tidy(entries)
         if left <= PAIRS_PER_ENTRY * rows or left > 0.8 * before:
-            few = _verify(cut(_small_pairs(entries.where(F.col("n") <= SMALL), reps).distinct()), texts, idf, threshold)
-            many = _compare_blocks(entries.where(F.col("n") > SMALL), reps, texts, idf, threshold)
-            return components(links.union(few).union(many))
-        before = left
+            small = _verify(cut(few(_small_pairs(entries.where(F.col("n") <= SMALL), reps).distinct(), SMALL * rows)), texts, idf, threshold)
+            large = _compare_blocks(entries.where(F.col("n") > SMALL), rows, reps, texts, idf, threshold)
+            return components(links.union(cut(small.union(large))))
+        before, size = left, rows
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         ranked = entries.join(degree, "node", "left").select("key", "node", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
         lead = ranked.groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("lead"))
@@ -362,9 +368,9 @@ def _partners(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
         yield i, others[(same.sum(1) >= AGREE) & ~same.reshape(-1, BANDS, ROWS).all(2)[:, :band].any(1)]
 
 
-def _compare_blocks(entries: DataFrame, reps: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+def _compare_blocks(entries: DataFrame, size: int, reps: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """Links between texts of different labels in one bucket: entries (key, band, node,
-    label, n). Blocks of at most about BLOCK texts and BLOCK_BYTES bytes go against blocks, so
+    label, n), at most so many. Blocks of at most about BLOCK texts and BLOCK_BYTES bytes go against blocks, so
     a task holds two blocks and a text is sent once for every block of its bucket."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -394,11 +400,11 @@ def _compare_blocks(entries: DataFrame, reps: DataFrame, texts: DataFrame, idf,
     marks = reps.select("node", "samples")
     sized = entries.join(reps.select("node", "size"), "node")
     most = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
-    blocks = cut(sized.groupBy("key").agg(most.alias("blocks"), F.count("*").alias("n")))
+    blocks = cut(few(sized.groupBy("key").agg(most.alias("blocks"), F.count("*").alias("n")), size))
     rows = blocks.agg(F.sum("n")).first()[0] or 0
     own = join_hot(entries.drop("n"), blocks.select("key", "blocks"), "key", some(blocks.where(F.col("n") > hot_limit(rows)).select("key")))
     own = own.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    whole = own.join(marks, "node").join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    whole = few(own.join(marks, "node").join(texts, "node"), rows, TEXTS).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = whole.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "band", "node", "label", "block", "samples", "text")
     return groups.groupBy("key", "one", "two").applyInArrow(run, "a long, b long")
 
@@ -414,7 +420,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     hot = _hot_texts(classes)
     if hot is not None:  # rows of a text that very many share become one in the tasks that read them
         keys = F.broadcast(hot.withColumnRenamed("digest", "__digest"))
-        few = texts.join(keys, "__digest", "left_semi").groupBy("__digest", "__name").agg(F.first(F.struct("*")).alias("__all")).select("__all.*")
-        texts = texts.join(keys, "__digest", "left_anti").unionByName(few)
+        same = texts.join(keys, "__digest", "left_semi").groupBy("__digest", "__name").agg(F.first(F.struct("*")).alias("__all")).select("__all.*")
+        texts = texts.join(keys, "__digest", "left_anti").unionByName(same)
     kept = texts.join(chosen, ["__digest", "__name"], "left_semi").groupBy("__digest", "__name").agg(F.first(row).alias("__row"))
     return kept.select("__row.*").unionByName(docs.where("text is null"))
