@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattloom.session import ship
+
 _long, _double = T.LongType(), T.DoubleType()
 METER = T.StructType(
     [T.StructField("date", T.StringType()), T.StructField("hour", _long)]
@@ -45,10 +54,93 @@ def read_sites(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.withColumn("site", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
 
 
+BOM = b"\xef\xbb\xbf"
+
+
+class Digest:
+    """MD5 of a file that comes in lines. The reader drops the last newline and a byte-order
+    mark: the size tells which of them the file has, so the digest is kept with and without a
+    mark until the end."""
+
+    def __init__(self, path: str, size: int):
+        self.path, self.size, self.seen = path, size, 0
+        self.plain, self.marked = hashlib.md5(usedforsecurity=False), hashlib.md5(BOM, usedforsecurity=False)
+
+    def add(self, lines: pa.Array) -> None:
+        body = pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines), b"\n")[0].as_buffer()
+        for h in (self.plain, self.marked):
+            if self.seen:
+                h.update(b"\n")
+            h.update(body)
+        self.seen += body.size + 1
+
+    def row(self) -> tuple[str, str]:
+        over = self.size - self.seen  # seen has a newline after every line
+        if over not in (-1, 0, 2, 3):
+            raise ValueError(f"{self.path} has {self.size} bytes, its lines have {self.seen}")
+        h = self.plain if over < 2 else self.marked
+        if over in (0, 3):
+            h.update(b"\n")
+        return self.path, h.hexdigest()
+
+
+def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, md5) of files whose lines stand together and in order: file, size, line."""
+    now = None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({k: [v] for k, v in zip(("file", "md5"), now.row())})
+
+    for batch in batches:
+        file, size, line = (batch.column(c) for c in ("file", "size", "line"))
+        start = 0
+        for end in pc.run_end_encode(file).run_ends.to_pylist():
+            path = file[start].as_py()
+            if now is None or now.path != path:
+                if now is not None:
+                    yield out()
+                now = Digest(path, size[start].as_py())
+            now.add(line.slice(start, end - start))
+            start = end
+    if now is not None:
+        yield out()
+
+
+def in_one_piece(ending: str) -> dict[str, str]:
+    """Options of a text reader by which files of this ending are neither unpacked nor split:
+    Hadoop's pass-through codec has them (in Spark's jars its key has the shaded name)."""
+    key = "io.compress.passthrough.extension"
+    return {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec", key: ending, f"org.apache.hadoop.shaded.{key}": ending}
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and checksum of files."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.length("content").alias("bytes"), F.md5("content").alias("md5"))
+    """Name, size and checksum of files of any size (Spark's scans leave out empty ones). An
+    MD5 is a chain, so one task digests a file, but it holds a batch of lines, and no file whole."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    m = F.col("_metadata")
+    listed = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), m["file_path"].alias("file"))
+
+    def lines(glob: str, options: dict[str, str]) -> DataFrame:
+        reader = spark.read.options(**options).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+        d = reader.option("lineSep", "\n").text(path)
+        return d.select(m["file_path"].alias("file"), m["file_size"].alias("size"), m["file_block_start"].alias("start"), m["file_block_length"].alias("length"), F.col("value").cast("binary").alias("line"))
+
+    names = {unquote(f).rsplit("/", 1)[-1] for f in files.inputFiles()}
+    literal = lambda text: re.sub(r"([^\w.])", r"\\\1", text)
+    out = spark.createDataFrame([], "file string, md5 string")
+    for ending in sorted({n[n.rindex(".") :] for n in names if "." in n}):
+        d = lines(f"*{literal(ending)}", in_one_piece(ending))
+        d = d.withColumn("line", F.when(F.col("length") == F.col("size"), F.col("line")).otherwise(F.raise_error(F.concat(F.lit("split: "), "file")).cast("binary")))
+        out = out.union(d.select("file", "size", "line").mapInArrow(digests, out.schema))
+    plain = sorted(literal(n) for n in names if "." not in n)
+    if plain:  # a codec goes by the ending: pieces of these files are put in order by a sort
+        d = lines("{" + ",".join(plain) + "}", {}).withColumn("at", F.monotonically_increasing_id())
+        d = d.repartition("file").sortWithinPartitions("file", "start", "at")
+        out = out.union(d.select("file", "size", "line").mapInArrow(digests, out.schema))
+    # no line comes of a file that is a mark alone
+    none = F.when(F.col("bytes") == len(BOM), F.md5(F.lit(BOM))).otherwise(F.raise_error(F.concat(F.lit("not read: "), "file")))
+    return listed.join(out, "file", "left").select("name", "bytes", F.coalesce("md5", none).alias("md5"))
 
 
 def save_table(df: DataFrame, path: str, form: str = "parquet", by: list[str] | None = None) -> None:
